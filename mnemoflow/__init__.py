@@ -1,0 +1 @@
+"""Conversation-memory analytics on Spark: every operator is a function from DataFrames to a DataFrame."""

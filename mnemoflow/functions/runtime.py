@@ -1,0 +1,58 @@
+"""Session helpers: lineage cuts on shared storage, task spreading, skew-free running sums."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Only where the cluster names none (tests, one machine), a local one is set."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None and sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="mnemoflow-checkpoint-"))
+    elif named is not None and sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise `df` on shared storage and drop its lineage, so lost executors cost no recomputation."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a table stored in fewer splits than there are cores, for steps bound by Python time.
+
+    A table large enough to fill the cluster has more splits than cores and passes unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str, block: int = 1 << 12) -> DataFrame:
+    """Add `out`: the sum of `value` over the rows of the same keys with a smaller `order` (an integer, unique per key).
+
+    Works in two levels, so that no task holds all rows of a hot key: sums per block of `block` consecutive order
+    values, a running sum over those blocks, and a running sum inside each block. Null `order` rows get null.
+    """
+    b = "__block"
+    with_block = df.withColumn(b, F.floor(F.col(order) / F.lit(block)))
+    totals = with_block.groupBy(*keys, b).agg(F.sum(value).alias("__total"))
+    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, b, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(*keys, b).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        with_block.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .join(starts, [*keys, b], "left")
+        .withColumn(out, F.col("__start") + F.col("__in"))
+        .drop(b, "__start", "__in")
+    )
+
+
+def null_if_blank(c: Column) -> Column:
+    return F.when(F.trim(c) != "", c)

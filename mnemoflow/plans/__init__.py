@@ -1,0 +1 @@
+"""Named queries over the test tables and the SQL they are checked against."""
