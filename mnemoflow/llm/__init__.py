@@ -1,0 +1 @@
+"""Operators on text for training-data pipelines. Nothing outside this folder imports it."""

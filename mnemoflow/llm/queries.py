@@ -1,0 +1,44 @@
+"""Queries of the operators on text, and the SQL for those that SQL can express."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources import table
+from .canonical import all_typed_values, map_values, unmatched_report
+from .mixing import mix_sources
+from .tokens import count_tokens, encode_corpus
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    return all_typed_values({t: table(spark, d, t) for t in ("commitments", "relationship_changes", "temporal_marks", "episode_events")})
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return map_values(_typed(spark, d), table(spark, d, "canonical_values"))
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    values = _typed(spark, d)
+    return unmatched_report(values, map_values(values, table(spark, d, "canonical_values")))
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents"), ["doc_id"])
+
+
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    return count_tokens(table(spark, d, "documents"), ["doc_id", "source"])
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).uses
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+
+SQL: dict[str, str] = {}
