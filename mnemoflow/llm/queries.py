@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources import table
 from .canonical import all_typed_values, map_values, unmatched_report
 from .mixing import mix_sources
+from .splitting import oversized, split_runs, split_texts
 from .tokens import count_tokens, encode_corpus
 
 
@@ -23,6 +24,18 @@ def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return unmatched_report(values, map_values(values, table(spark, d, "canonical_values")))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return oversized(table(spark, d, "messages"), "message_id")
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_texts(table(spark, d, "messages"), ["message_id"]).where("n_pieces > 1")
+
+
+def p2_run_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_runs(table(spark, d, "messages"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), ["doc_id"])
 
@@ -39,6 +52,8 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_run_pieces": p2_run_pieces, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p2_found": "select message_id from messages where ceil(length(text) / 4) > 900",
+}

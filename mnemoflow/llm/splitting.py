@@ -1,0 +1,145 @@
+"""Cutting oversized texts, and oversized runs of messages, at natural boundaries with an overlap."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.runtime import running_sum
+
+CHARS_PER_TOKEN = 4
+LIMIT, OVERLAP = 900, 60
+
+#: Natural boundaries a message can end on, strongest first.
+HINTS = ("chapter", "scene", "time", "location")
+
+#: Noncharacters that end a message inside a joined run: one for each hint, in that order, and one for none.
+MARKS = tuple(chr(0xFDD0 + i) for i in range(len(HINTS) + 1))
+MARK_CLASS = "[" + "".join(MARKS) + "]"
+
+#: Ends of a piece by falling strength, as look-behinds.
+ENDS = (
+    ("paragraph", r"(?<=\n[ \t\r]{0,8}\n)"),
+    ("line", r"(?<=\n)"),
+    ("sentence", r"(?<=[.!?…。！？][\"'”“’»)\]]{0,3}\s)"),
+    ("clause", r"(?<=[,;:—–]\s)"),
+    ("word", r"(?<=\s)"),
+    ("character", r"(?![\p{M}\x{200D}\x{FE0F}\x{1F3FB}-\x{1F3FF}])(?<!\x{200D})"),
+)
+
+
+def _ends(with_messages: bool) -> list[tuple[str, str]]:
+    marks = [(name, f"(?<={mark})") for name, mark in zip((*HINTS, "message"), MARKS)] if with_messages else []
+    return [*marks, *ENDS]
+
+
+def pattern(step: int, reach: int, with_messages: bool = False) -> str:
+    """Alternatives by falling boundary strength, each taking as much as fits and at least `reach`; at last any characters."""
+    tries = [rf".{{1,{step}}}\z", *(f".{{{reach},{step}}}{end}" for _, end in _ends(with_messages)), f".{{1,{step}}}"]
+    return "(?s)" + "|".join(tries)
+
+
+def tokens_of(text: Column) -> Column:
+    return F.ceil(F.length(text) / F.lit(CHARS_PER_TOKEN)).cast("int")
+
+
+def _pieces(text: Column, limit: int, overlap: int, with_messages: bool) -> Column:
+    """array<struct<piece_no, start_pos, end_pos, boundary, text>> of a text; positions in characters from 0, the overlap included."""
+    size, back = limit * CHARS_PER_TOKEN, overlap * CHARS_PER_TOKEN
+    step = size - back
+    cuts = F.when(F.length(text) <= size, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(pattern(step, step // 2, with_messages)), F.lit(0)))
+    starts = F.aggregate(cuts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
+    ends = _ends(with_messages)
+
+    def piece(p: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.right(F.get(cuts, i - 1), F.lit(back))).otherwise(F.lit(""))
+        kind = F.when(i == F.size(cuts) - 1, F.lit("end"))
+        for name, end in ends[:-1]:
+            kind = kind.when(p.rlike(f"(?s){end}\\z"), F.lit(name))
+        return F.struct(
+            i.alias("piece_no"), (F.get(starts, i) - F.length(before)).alias("start_pos"), F.get(starts, i + 1).alias("end_pos"),
+            kind.otherwise(F.lit("character")).alias("boundary"), F.concat(before, p).alias("text"),
+        )
+
+    return F.transform(cuts, piece)
+
+
+def split_texts(df: DataFrame, keep: list[str], text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """`keep`, n_pieces, piece_no, start_pos, end_pos, boundary, n_tokens and text: every text in pieces of at most `limit` tokens.
+
+    tokens = ceil(characters / 4), whatever any stored count says. A text within the limit is one piece. A larger one is
+    read by one regular expression whose alternatives, strongest boundary first (blank line, line, sentence, clause,
+    word, character), take as much as fits and at least half of it; a run without any boundary is cut at the limit, not inside a
+    combined character if that can be helped. Each piece but the first begins with the last `overlap` tokens
+    (4 * overlap characters) before it. Null texts give no piece, an empty text one empty piece. Rows are taken one by
+    one, repeated ones too; there is no shuffle.
+    """
+    cut = df.select(*keep, _pieces(F.col(text), limit, overlap, False).alias("__pieces")).where("__pieces is not null")
+    rows = cut.select(*keep, F.size("__pieces").alias("n_pieces"), F.inline("__pieces"))
+    return rows.select(*keep, "n_pieces", "piece_no", "start_pos", "end_pos", "boundary", tokens_of(F.col("text")).alias("n_tokens"), "text")
+
+
+def hint_mark(hint: Column) -> Column:
+    """The mark of the strongest hint named in a boundary_hint, a word or a list of words written in any way."""
+    found = F.lit(None).cast("string")
+    for name, mark in reversed(list(zip(HINTS, MARKS))):
+        found = F.when(F.lower(hint).rlike(rf"(?<![a-z]){name}(?![a-z])"), F.lit(mark)).otherwise(found)
+    return F.coalesce(found, F.lit(MARKS[-1]))
+
+
+def split_runs(messages: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, block_pieces: int = 64) -> DataFrame:
+    """chat_id, start_pos, end_pos, first_index, boundary, n_tokens and text: every chat above the limit as ordered pieces of its run of messages.
+
+    The messages of a chat in the order of message_index, each ended by a line end, are read as one text, by the same
+    rule as `split_texts` with the ends of messages before all others: those hinted as chapter, scene, time, location, then any.
+    Of several rows with the same (chat_id, message_index) the last ingested counts (ties: the largest message_id). Rows without
+    chat, index or text are left out, chats within the limit too. start_pos counts characters of the chat's text.
+
+    A chat may hold a third of all rows, so no task reads a whole chat: a two-level running sum places every message, and the
+    chat is cut at ends of messages into blocks of about `block_pieces` pieces, each split by itself; the overlap
+    into a block is the tail of the block before, found by an equi-join on its end.
+    """
+    size, back = limit * CHARS_PER_TOKEN, overlap * CHARS_PER_TOKEN
+    width = block_pieces * (size - back)
+    usable = messages.where("chat_id is not null and message_index is not null and text is not null")
+    newest = F.max_by(F.struct(F.col("text"), F.col("boundary_hint")), F.struct(F.coalesce("ingested_at", F.lit("0001-01-01").cast("timestamp_ntz").cast(dict(messages.dtypes)["ingested_at"])), F.col("message_id")))
+    unique = usable.groupBy("chat_id", "message_index").agg(newest.alias("m")).select("chat_id", "message_index", F.concat("m.text", hint_mark(F.col("m.boundary_hint"))).alias("t"))
+    sized = unique.withColumn("n", F.length("t").cast("long"))
+    placed = running_sum(sized, ["chat_id"], "message_index", "n", "at")
+    rows = F.array_sort(F.collect_list(F.struct("at", "message_index", "t")))
+    blocks = (
+        placed.groupBy("chat_id", F.floor(F.col("at") / width).alias("block"))
+        .agg(rows.alias("rows"))
+        .select("chat_id", F.element_at("rows", 1)["at"].alias("first_at"), F.element_at("rows", 1)["message_index"].alias("first_index"), F.array_join(F.transform("rows", lambda r: r["t"]), "").alias("t"))
+        .withColumn("next_at", F.col("first_at") + F.length("t"))
+    )
+    tails = blocks.select("chat_id", F.col("next_at").alias("first_at"), F.right("t", F.lit(back)).alias("tail"))
+    lasts = placed.groupBy("chat_id").agg(F.max(F.col("at") + F.col("n")).alias("chars")).where(F.col("chars") > size)
+    lined = blocks.join(tails, ["chat_id", "first_at"], "left").join(lasts.select("chat_id"), "chat_id", "left_semi")
+    # room for the overlap from the block before is kept in a block's first piece: pieces of a block hold at most size - back fresh characters
+    step = size - back
+    cuts = F.regexp_extract_all("t", F.lit(pattern(step, step // 2, True)), F.lit(0))
+    names = [(name, mark) for name, mark in zip((*HINTS, "message"), MARKS)]
+
+    def piece(p: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.right(F.get(F.col("cuts"), i - 1), F.lit(back))).otherwise(F.coalesce("tail", F.lit("")))
+        kind = F.when(F.lit(False), F.lit(""))
+        for name, mark in names:
+            kind = kind.when(F.right(p, F.lit(1)) == mark, F.lit(name))
+        for name, end in ENDS[:-1]:
+            kind = kind.when(p.rlike(f"(?s){end}\\z"), F.lit(name))
+        start = F.col("first_at") + F.get(F.col("starts"), i)
+        return F.struct(
+            (start - F.length(before)).alias("start_pos"), (start + F.length(p)).alias("end_pos"), kind.otherwise(F.lit("character")).alias("boundary"),
+            F.translate(F.concat(before, p), "".join(MARKS), "\n" * len(MARKS)).alias("text"),
+        )
+
+    opened = lined.withColumn("cuts", cuts).withColumn("starts", F.aggregate("cuts", F.array(F.lit(0).cast("bigint")), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p)))))
+    out = opened.select("chat_id", "first_index", F.inline(F.transform("cuts", piece)))
+    return out.select("chat_id", "start_pos", "end_pos", "first_index", "boundary", tokens_of(F.col("text")).alias("n_tokens"), "text")
+
+
+def oversized(df: DataFrame, row_id: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
+    """The ids of the rows whose text is above the limit: those that `split_texts` gives in more than one piece."""
+    return split_texts(df, [row_id], text, limit).where("n_pieces > 1 and piece_no = 0").select(row_id)
+
