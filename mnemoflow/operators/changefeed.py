@@ -101,7 +101,6 @@ def apply_changes(changes: DataFrame, canonical_values: DataFrame, base: DataFra
     `latest_revisions`; a set with a null value leaves a leaf with null value. Blank paths count as null. Repeated rows count once.
     Extra columns are ignored. Empty feed: `base`, or no rows.
     """
-    spark = changes.sparkSession
     latest = latest_revisions(changes)
     removing = removing_spellings(canonical_values).withColumn("is_removal", F.lit(True))
     # at most the spellings of one list entry: a fixed vocabulary, far below any broadcast limit
@@ -142,7 +141,6 @@ def apply_changes(changes: DataFrame, canonical_values: DataFrame, base: DataFra
         old = base.select("chat_id", "subject", normal_path(F.col("path")).alias("path"), "value", F.lit(None).cast("long").alias("seq")).where("subject is not null and path is not null")
         kept = _unresolved(old, resolved.where("tomb").select("chat_id", "subject", "path", F.lit(None).cast("long").alias("tomb_seq")), resolved.where("not tomb"))
         resolved = resolved.unionByName(kept.select("chat_id", "subject", "path", "value", F.lit(False).alias("tomb")))
-    assert spark is not None
     return resolved.where("not tomb").select("chat_id", "subject", "path", "value")
 
 
