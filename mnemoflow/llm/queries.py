@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.runtime import cut
 from ..sources import table
 from .canonical import all_typed_values, map_values, unmatched_report
+from .language import fit_profiles, language_findings, read_languages
 from .mixing import mix_sources
 from .splitting import oversized, split_runs, split_texts
 from .tokens import count_tokens, encode_corpus
@@ -52,7 +55,22 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_run_pieces": p2_run_pieces, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+def _read(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return read_languages(documents, ["doc_id", "lang"], fit_profiles(documents))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    read = cut(_read(spark, d))  # read twice: once for the labels, once for the segments
+    return language_findings(read)
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    read = _read(spark, d)
+    return read.select("doc_id", "lang_found", F.col("confidence").alias("document_confidence"), F.posexplode_outer("segments").alias("segment_no", "s")).select("doc_id", "lang_found", "document_confidence", "segment_no", "s.*")
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_run_pieces": p2_run_pieces, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
 
 SQL: dict[str, str] = {
     "p2_found": "select message_id from messages where ceil(length(text) / 4) > 900",
