@@ -51,6 +51,14 @@ def edits(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
+def letter_set(word: str) -> int:
+    """The set of a word's letters and digits, as bits."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 127)
+    return bits
+
+
 def allowed(length: int) -> int:
     """Edits that still leave a word of this length recognisable."""
     return 0 if length < 3 else 1 if length < 6 else 2 if length < 12 else 3
@@ -70,6 +78,7 @@ class Matcher:
         self.automaton = ahocorasick.Automaton()
         for spelling, entry in self.spellings:
             self.automaton.add_word(f" {spelling} ", (len(spelling), entry))
+        self.shapes = [(s, e, [(w, letter_set(w), allowed(len(w))) for w in sorted(s.split(" "), key=len, reverse=True)], s.replace(" ", ""), letter_set(s.replace(" ", ""))) for s, e in self.spellings]
         if self.spellings:
             self.automaton.make_automaton()
 
@@ -107,9 +116,11 @@ class Matcher:
     def similar(self, words: str) -> str:
         """The entry whose spelling agrees best, token by token, in any order; empty below the threshold or on a tie of entries."""
         tokens = words.split(" ")
+        bits = [letter_set(t) for t in tokens]
+        runs = [("".join(tokens[i:j]), letter_set("".join(tokens[i:j]))) for i in range(len(tokens)) for j in range(i + 1, len(tokens) + 1)]
         best: dict[str, float] = {}
-        for spelling, entry in self.spellings:
-            score = max(self.token_set(tokens, spelling.split(" ")), self.joined(tokens, spelling))
+        for spelling, entry, wanted, target, target_bits in self.shapes:
+            score = max(self.token_set(tokens, bits, wanted), self.joined(runs, target, target_bits))
             if score > best.get(entry, 0):
                 best[entry] = score
         ranked = sorted(best.items(), key=lambda kv: -kv[1])
@@ -118,35 +129,35 @@ class Matcher:
         return ranked[0][0]
 
     @staticmethod
-    def token_set(tokens: list[str], wanted: list[str]) -> float:
+    def token_set(tokens: list[str], bits: list[int], wanted: list[tuple[str, int, int]]) -> float:
         """Share of the spelling's letters found among the tokens, each within its allowed edits; 0 if a word is missing."""
-        free, total, size = list(tokens), 0.0, sum(map(len, wanted))
-        for w in sorted(wanted, key=len, reverse=True):
-            near = [(edits(t, w, allowed(len(w))), t) for t in free]
-            d, t = min(near, default=(99, ""))
-            if d > allowed(len(w)) or (d and t[:1].isdigit()):
+        free, total, size = list(zip(tokens, bits)), 0, 0
+        for w, w_bits, most in wanted:
+            near, at = most + 1, -1
+            for i, (t, t_bits) in enumerate(free):
+                # a letter that only one of the words has costs an edit: too many, and they need not be compared
+                if (t_bits & ~w_bits).bit_count() <= most and (w_bits & ~t_bits).bit_count() <= most and (d := edits(t, w, most)) < near:
+                    near, at = d, i
+            if at < 0 or (near and free[at][0][0].isdigit()):
                 return 0.0
-            total += len(w) - d
-            free.remove(t)
+            total += len(w) - near
+            size += len(w)
+            del free[at]
         return total / size
 
     @staticmethod
-    def joined(tokens: list[str], spelling: str) -> float:
+    def joined(runs: list[tuple[str, int]], target: str, target_bits: int) -> float:
         """Agreement without blanks, of any run of tokens with the spelling or, if a value breaks off, with its beginning."""
-        target = spelling.replace(" ", "")
         most, best = allowed(len(target)), 0.0
-        n = len(tokens)
-        for i in range(n):
-            run = ""
-            for j in range(i, n):
-                run += tokens[j]
-                if len(run) > len(target) + most:
-                    break
-                d = edits(run, target, most)
-                if d <= most:
-                    best = max(best, 1 - d / len(target))
-                if len(run) >= 4 and len(run) < len(target):
-                    slack = 0 if len(run) < 6 else 1
+        for run, bits in runs:
+            strange = (bits & ~target_bits).bit_count()
+            if strange > most or len(run) > len(target) + most:
+                continue
+            if (target_bits & ~bits).bit_count() <= most and (d := edits(run, target, most)) <= most:
+                best = max(best, 1 - d / len(target))
+            if 4 <= len(run) < len(target):
+                slack = 0 if len(run) < 6 else 1
+                if strange <= slack:
                     d = min(edits(run, target[:k], slack) for k in range(max(1, len(run) - slack), min(len(target), len(run) + slack) + 1))
                     if d <= slack:
                         best = max(best, 0.6 + 0.2 * len(run) / len(target) - 0.1 * d)
