@@ -11,6 +11,7 @@ from .canonical import all_typed_values, map_values, unmatched_report
 from .language import fit_profiles, language_findings, read_languages
 from .mixing import mix_sources
 from .splitting import oversized, split_runs, split_texts
+from .truncation import judge_texts, truncation_rates
 from .tokens import count_tokens, encode_corpus
 
 
@@ -39,6 +40,18 @@ def p2_run_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_runs(table(spark, d, "messages"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return judge_texts(table(spark, d, "segments")).where("is_cut").select("segment_row_id", "field_name")
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation_rates(judge_texts(table(spark, d, "segments")))
+
+
+def p5_judged(spark: SparkSession, d: str) -> DataFrame:
+    return judge_texts(table(spark, d, "segments"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), ["doc_id"])
 
@@ -70,7 +83,7 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return read.select("doc_id", "lang_found", F.col("confidence").alias("document_confidence"), F.posexplode_outer("segments").alias("segment_no", "s")).select("doc_id", "lang_found", "document_confidence", "segment_no", "s.*")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_run_pieces": p2_run_pieces, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_run_pieces": p2_run_pieces, "p5_found": p5_found, "p5_rates": p5_rates, "p5_judged": p5_judged, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
 
 SQL: dict[str, str] = {
     "p2_found": "select message_id from messages where ceil(length(text) / 4) > 900",

@@ -1,0 +1,341 @@
+"""Finding texts that were cut off, and how often each source cuts."""
+
+from __future__ import annotations
+
+import json
+import math
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.runtime import cut, spread
+
+#: What is put behind a text after a cut, or left there by a reader: taken off before its end is judged.
+APPENDED = re.compile(r"(?:\s*(?:```|\[(?:\.{3}|…)\]|\((?:\.{3}|…)\)|…|\.{3,}|\(?(?:continued|truncated|cont\.|more)\b[^()\n]{0,20}\)?)|\s+)\Z", re.IGNORECASE)
+#: Those that are put behind cut texts only.
+CUT_SIGN = re.compile(r"(?:\[(?:\.{3}|…)\]|\((?:\.{3}|…)\)|\((?:continued|truncated|cont\.|more)\b[^()\n]{0,20}\)?)\s*\Z", re.IGNORECASE)
+#: Words that close a text.
+CLOSING = {"END", "FIN", "ENDE", "FINE", "FIM", "EINDE", "FINIS", "КОНЕЦ", "THE END"}
+TERMINAL = re.compile(r"[.!?。！？][\"'”“’»)\]*_]*\Z")
+CLOSED_QUOTE = re.compile(r"[^\W_][”»\"]\Z")
+TAG = re.compile(r"^\s*\[([A-Z][A-Z _]*)\]\s*$")
+FIELD = re.compile(r"(?:^\s*-\s*|\|\s*)([A-Za-z_]+)\s*=")
+
+#: Log-odds for "cut" that endings carry.
+LLR = {
+    "json_open": 12.0, "keys_missing": 9.0, "whole_structure": -12.0, "terminal": -7.0, "closing_sign": -6.0, "mid_clause": 6.0, "word": 0.0,
+}
+CUT_SIGN_LLR = 4.0
+#: White space left behind an unfinished word.
+TRAIL_LLR = 2.0
+SHARE_OF_TYPICAL = 0.5
+#: Share of a source's texts that may be longer than its limit (edited later, or with something put behind).
+MOST_BEYOND = 0.05
+WINDOWS = {"chars": (0, 12), "bytes": (3,)}
+
+
+def without_appended(text: str) -> str:
+    """The text without signs and white space put behind it."""
+    while (shorter := APPENDED.sub("", text)) != text:
+        text = shorter
+    return text
+
+
+def _unmarked(text: str) -> str:
+    """The text without one sign of a cut behind it, white space before the sign kept: what a length limit left over."""
+    return re.sub(r"(?: ?\[(?:\.{3}|…)\]|…|\.{3})\Z", "", text)
+
+
+def json_state(text: str) -> tuple[str, list[str]]:
+    """open, whole, or none (no object in it), and the names at the top of a whole object that can be read."""
+    start = text.find("{")
+    if start < 0:
+        return "none", []
+    depth, quoted, escaped = 0, False, False
+    for at in range(start, len(text)):
+        c = text[at]
+        if quoted:
+            if escaped:
+                escaped = False
+            elif c == "\\":
+                escaped = True
+            elif c == '"':
+                quoted = False
+        elif c == '"':
+            quoted = True
+        elif c in "{[":
+            depth += 1
+        elif c in "}]":
+            depth -= 1
+            if depth == 0:
+                body = text[start : at + 1]
+                try:
+                    found = json.loads(body)
+                    return "whole", sorted(found) if isinstance(found, dict) else []
+                except (ValueError, RecursionError):
+                    return "whole", sorted(set(re.findall(r"^[ ]?[\"'](\w+)[\"']\s*:", body, re.M)) | {"?"})
+    return "open", []
+
+
+def tagged_state(text: str) -> tuple[list[str], list[str]]:
+    """Names that the sections and their first items hold, and those of the last section with its last item."""
+    section, first, seen = "", {}, []
+    last: list[str] = []
+    for line in text.split("\n"):
+        if m := TAG.match(line):
+            section = m.group(1)
+            seen.append(section)
+            last = []
+        elif line.strip() and section:
+            last = FIELD.findall(line)
+            first.setdefault(section, last)
+    names = [*seen, *(f"{s}:{f}" for s, fields in first.items() for f in fields)]
+    return sorted(set(names)), sorted({*seen, *(f"{s}:{f}" for s, fields in first.items() if s != section for f in fields), *(f"{section}:{f}" for f in last)})
+
+
+def _tokens(text: str) -> list[str]:
+    return re.findall(r"[^\s|]+", text)
+
+
+def _bare(token: str) -> str:
+    return token.strip("\"'“”„«»’()[]*_,.;:!?…—-")
+
+
+def _class(word: str) -> str:
+    """A word as context: capitalised words and numbers as such, others themselves."""
+    return "<0>" if any(c.isdigit() for c in word) else "<A>" if word[:1].isupper() else word
+
+
+def word_keys(before: str, last: str, kind: str) -> list[str]:
+    """Keys under which the corpus knows a word: itself, behind the word before, any capitalised word there, and as a beginning of longer words there."""
+    behind = _class(before)
+    return [f"{kind}u {last}", f"{kind}b {behind} {last}", f"{kind}c {behind}" if last[:1].isupper() else "", f"{kind}x {behind} {last}"]
+
+
+def count_words(text: str, kind: str, into: Counter) -> None:
+    """Adds, for the words of a text, how often their keys end a sentence (`True`) and how often they go on.
+
+    The last word counts only if a full stop or the like follows it; `text` has nothing put behind it any more.
+    """
+    lines = text.split("\n")
+    for n, line in enumerate(lines):
+        tokens = _tokens(line)
+        for i, token in enumerate(tokens):
+            ends = bool(TERMINAL.search(token))
+            if i == len(tokens) - 1 and n == len(lines) - 1 and not ends:
+                continue
+            if kind == "t" and i == len(tokens) - 1:
+                ends = True
+            word, before = _bare(token), _bare(tokens[i - 1]) if i else ""
+            keys = word_keys(before, word, kind)
+            for key in keys[:3]:
+                if key:
+                    into[key, ends] += 1
+            for k in range(1, min(len(word), 24)):
+                into[f"{kind}x {_class(before)} {word[:k]}", False] += 1
+
+
+def ending(text: str, mode: str | None) -> dict:
+    """What the end of a text says by itself: class, keys of its last words to be looked up, names to be held against the typical ones."""
+    core = without_appended(text)
+    out = {"kind": "word", "keys": [], "names": [], "typical": "", "sign": bool(CUT_SIGN.search(text)), "trail": text[-1:].isspace()}
+    if mode == "structured" or core.lstrip().startswith("{"):
+        state, names = json_state(core)
+        if state != "none":
+            out |= {"kind": "json_open" if state == "open" else "whole_structure", "typical": "j" if names and "?" not in names else "", "names": names}
+            return out
+    if mode == "fallback" or TAG.match(core.split("\n", 1)[0]):
+        _, names = tagged_state(core)
+        out |= {"typical": "t", "names": names}
+        tokens = _tokens(core.rsplit("\n", 1)[-1])
+        if tokens:
+            out["keys"] = word_keys(_bare(tokens[-2]) if len(tokens) > 1 else "", _bare(tokens[-1]), "t")
+        return out
+    if not core.strip():
+        return out | {"kind": "whole_structure"}
+    end, words = core.rstrip(), _tokens(core)
+    # a row of full stops put behind a text may have followed one of its own
+    if TERMINAL.search(end):
+        return out | {"kind": "terminal"}
+    if unicodedata.category(end[-1]) in ("So", "Sk", "Mn", "Cf") or " ".join(words[-2:]) in CLOSING or words[-1] in CLOSING:
+        return out | {"kind": "closing_sign"}
+    if end[-1] in ",;:—–-“„«([/" or not _bare(words[-1]):
+        return out | {"kind": "mid_clause"}
+    return out | {"keys": word_keys(_bare(words[-2]) if len(words) > 1 else "", _bare(words[-1]), "p"), "kind": "word" if not CLOSED_QUOTE.search(end) else "quoted_word"}
+
+
+FEATURES = "segment_row_id bigint, source_model string, field_name string, chars int, bytes int, kind string, keys array<string>, names array<string>, typical string, sign boolean, trail boolean"
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for text, mode in zip(b.column("text").to_pylist(), b.column("mode").to_pylist()):
+            left = _unmarked(text)
+            rows.append(ending(text, mode) | {"chars": len(left), "bytes": len(left.encode())})
+        made = [pa.array([r[k] for r in rows], t) for k, t in (("chars", pa.int32()), ("bytes", pa.int32()), ("kind", pa.string()), ("keys", pa.list_(pa.string())), ("names", pa.list_(pa.string())), ("typical", pa.string()), ("sign", pa.bool_()), ("trail", pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([b.column("segment_row_id"), b.column("source_model"), b.column("field_name"), *made], [f.split()[0] for f in FEATURES.split(", ")])
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        counts: Counter = Counter()
+        for text, mode in zip(b.column("text").to_pylist(), b.column("mode").to_pylist()):
+            core = without_appended(text).lstrip()
+            if mode == "fallback" or TAG.match(core.split("\n", 1)[0]):
+                count_words(core, "t", counts)
+            elif not core.startswith(("{", "```")) and mode != "structured":
+                count_words(core, "p", counts)
+        keys = sorted({k for k, _ in counts})
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[k, True] for k in keys], pa.int64()), pa.array([counts[k, False] for k in keys], pa.int64())], ["key", "ends", "goes_on"])
+
+
+def fit_censored(lengths: np.ndarray, n: np.ndarray, limit: float) -> tuple[float, float]:
+    """Maximum likelihood (mean, deviation) of log-normal lengths of which those at or above `limit` are only known to reach it.
+
+    EM: the missing part of a censored log-length is replaced by its expectations under the current normal.
+    """
+    x, open_ = np.log(np.maximum(lengths, 1)), lengths >= limit
+    c = math.log(limit) if math.isfinite(limit) and limit > 0 else math.inf
+    w_open, w_seen = float(n[open_].sum()), n[~open_]
+    mu = float((x * n).sum() / n.sum())
+    sigma = max(0.05, math.sqrt(float((n * (x - mu) ** 2).sum() / n.sum())))
+    for _ in range(60):
+        first = second = 0.0
+        if w_open:
+            a = (c - mu) / sigma
+            tail = max(0.5 * math.erfc(a / math.sqrt(2)), 1e-12)
+            hazard = math.exp(-a * a / 2) / math.sqrt(2 * math.pi) / tail
+            first = mu + sigma * hazard
+            second = mu * mu + sigma * sigma + sigma * hazard * (c + mu)
+        total = float(w_seen.sum()) + w_open
+        mu = (float((x[~open_] * w_seen).sum()) + w_open * first) / total
+        variance = (float((x[~open_] ** 2 * w_seen).sum()) + w_open * second) / total - mu * mu
+        sigma = math.sqrt(max(variance, 0.0025))
+    return mu, sigma
+
+
+def _tail(mu: float, sigma: float, x: float) -> float:
+    return 0.5 * math.erfc((math.log(max(x, 1e-9)) - mu) / sigma / math.sqrt(2))
+
+
+LIMITS = "source_model string, field_name string, unit string, low int, high int, at_limit bigint, prior double"
+
+
+def find_limits(histogram: pd.DataFrame) -> pd.DataFrame:
+    """Candidate limits of one source and field: lengths, in characters or bytes, at which far more texts end unfinished than around them.
+
+    `histogram`: unit, length, n, unfinished. A limit may be kept exactly, or fall short by a split character (bytes) or a dropped
+    word (characters). Its posterior of censoring compares the fitted tail beyond the limit with the fitted chance of ending there by itself.
+    """
+    out = []
+    for unit, h in histogram.groupby("unit"):
+        h = h.sort_values("length")
+        lengths, n, unfinished = h["length"].to_numpy(float), h["n"].to_numpy(float), h["unfinished"].to_numpy(float)
+        for width in WINDOWS[str(unit)]:
+            total = np.array([unfinished[(lengths > v - width - 1) & (lengths <= v)].sum() for v in lengths])
+            around = np.array([unfinished[(lengths > v - width - 81) & (lengths <= v + 60)].sum() for v in lengths]) - total
+            room = 140 / (width + 1)
+            usual = np.maximum(around / room, 0.2)
+            beyond_n = n.sum() - np.cumsum(n)  # a limit lets hardly anything pass
+            strong = (total > usual * 4 + 4 * np.sqrt(usual) + 3) & (unfinished > 0) & (beyond_n <= MOST_BEYOND * n.sum())
+            while strong.any():
+                at = int(np.argmax(np.where(strong, (total - usual) / np.sqrt(usual), -1)))
+                v, low = lengths[at], lengths[at] - width
+                mu, sigma = fit_censored(lengths, n, low)
+                beyond, here = _tail(mu, sigma, v), max(_tail(mu, sigma, low - 0.5) - _tail(mu, sigma, v + 0.5), 1e-9)
+                # by itself ends here: the fitted chance, and the unfinished texts usual around it
+                share_usual = min(0.9, usual[at] / max(total[at], 1))
+                odds = beyond / here * (1 - share_usual) if width else beyond / here
+                out.append((unit, int(low), int(v), int(total[at]), float(odds / (1 + odds))))
+                strong &= np.abs(lengths - v) > 40
+    key = (histogram["source_model"].iloc[0], histogram["field_name"].iloc[0])
+    return pd.DataFrame([(*key, *row) for row in out], columns=[c.split()[0] for c in LIMITS.split(", ")])
+
+
+def stored_texts(segments: DataFrame) -> DataFrame:
+    """(segment_row_id, source_model, field_name, text, mode): the two stored texts of every row, without null and blank ones."""
+    trace = F.col("structured_trace")
+    entries = F.array(
+        F.struct(F.lit("synopsis").alias("field_name"), F.col("synopsis").alias("text"), F.lit(None).cast("string").alias("mode")),
+        F.struct(F.lit("structured_trace.content").alias("field_name"), trace["content"].alias("text"), trace["mode"].alias("mode")),
+    )
+    return segments.select("segment_row_id", "source_model", F.inline(entries)).where(F.col("text").rlike(r"\S"))
+
+
+def _logit(p: Column) -> Column:
+    q = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+    return F.log(q / (1 - q))
+
+
+def judge_texts(segments: DataFrame) -> DataFrame:
+    """segment_row_id, source_model, field_name, chars, ending, at_limit, log_odds, is_cut: for every stored text whether it was cut.
+
+    Three kinds of evidence are added as log-odds. The prior: at a candidate limit of its source and field the
+    censoring posterior of a right-censored log-normal fitted by maximum likelihood (`find_limits`), else the rate at which
+    the source's texts break off inside a word. The ending: an object or list left open, names missing that most
+    outputs have, a finished sentence, a closing sign, a clause left open. For texts that end in a word: how often the whole
+    corpus ends a sentence after it, behind the word before; for a name, after any capitalised word there. A word never seen there, but with which longer words begin there, is taken as half of one.
+
+    Null and blank texts are left out. A null source is a source of its own. Repeated rows are judged each by itself.
+    """
+    texts = spread(stored_texts(segments))
+    found = cut(texts.mapInArrow(_features, FEATURES))
+    counts = texts.mapInArrow(_word_counts, "key string, ends bigint, goes_on bigint").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+
+    # names that most outputs of a kind have: a handful, whatever the input's size
+    kinds = found.where("typical <> ''").groupBy("typical").agg(F.count("*").alias("n"))
+    named = found.where("typical <> ''").select("typical", F.explode("names").alias("name")).groupBy("typical", "name").agg(F.count("*").alias("n_name"))
+    usual = named.join(kinds, "typical").where(F.col("n_name") > SHARE_OF_TYPICAL * F.col("n")).groupBy("typical").agg(F.collect_set("name").alias("usual"))
+    checked = found.join(usual, "typical", "left").withColumn("lacks", (F.size("names") > 0) & F.col("usual").isNotNull() & (F.size(F.array_except("usual", "names")) > 0))
+
+    id_ = ["segment_row_id", "field_name"]
+    asked = found.where(F.size("keys") > 0).select(*id_, F.posexplode("keys").alias("pos", "key"))
+    seen = asked.join(counts, "key", "left").groupBy(*id_).agg(*(F.sum(F.when(F.col("pos") == i, F.col(c))).alias(f"{c}{i}") for i in range(4) for c in ("ends", "goes_on")))
+    at = lambda c, i: F.coalesce(F.col(f"{c}{i}"), F.lit(0))
+    with_words = checked.join(seen, id_, "left")
+    known, pair, beginning = (at("ends", i) + at("goes_on", i) for i in (0, 1, 3))
+    capital = F.element_at("keys", 3) != ""
+    # share of sentence ends after the word: that after the pair, drawn towards that of the word (of capitalised words there) where pairs are few
+    alone = (at("ends", 0) + 0.3) / (known + 1.0)
+    capitals = (at("ends", 2) + 0.3) / (at("ends", 2) + at("goes_on", 2) + 1.0)
+    share = (at("ends", 1) + 2.0 * F.when(capital, capitals).otherwise(alone)) / (pair + 2.0)
+    by_share = F.least(F.greatest(-2.0 * F.log(share / 0.3), F.lit(-4.0)), F.lit(5.0))  # a third of sentence ends leaves it open
+    half_word = (pair == 0) & (beginning > 0)
+    unheard = (pair == 0) & (known == 0) & ~(capital & (at("ends", 2) + at("goes_on", 2) > 0))
+    word_llr = F.when(half_word, 7.0).when(unheard, 0.5).otherwise(by_share)
+    llr = F.when(F.col("lacks"), LLR["keys_missing"])
+    for kind in ("json_open", "whole_structure", "terminal", "closing_sign", "mid_clause"):
+        llr = llr.when(F.col("kind") == kind, LLR[kind])
+    llr = llr.when(F.col("kind") == "quoted_word", word_llr - 3.0).otherwise(word_llr) + F.when(F.col("sign"), CUT_SIGN_LLR).otherwise(0.0) + F.when(F.col("trail") & (F.col("kind") == "word"), TRAIL_LLR).otherwise(0.0)
+    broken = (F.col("kind") == "json_open") | F.col("lacks") | ((F.col("kind") == "word") & half_word)
+    judged = cut(with_words.withColumn("llr", llr).withColumn("broken", broken).select(*id_, "source_model", "chars", "bytes", "kind", "llr", "broken"))
+
+    units = F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))
+    histogram = judged.select("source_model", "field_name", (F.col("llr") > 0).cast("int").alias("unfinished"), F.inline(units)).groupBy("source_model", "field_name", "unit", "length").agg(F.count("*").alias("n"), F.sum("unfinished").alias("unfinished"))
+    limits = histogram.groupBy("source_model", "field_name").applyInPandas(find_limits, LIMITS)  # rows: lengths that occur, not texts
+    rates = judged.groupBy("source_model", "field_name").agg(((F.sum(F.col("broken").cast("int")) + 0.5) / (F.count("*") + 2)).alias("rate"))
+    per_source = limits.groupBy("source_model", "field_name").agg(F.collect_list(F.struct("unit", "low", "high", "prior")).alias("limits"))
+    s = rates.alias("r").join(per_source.alias("l"), _same("r", "l"), "left").select("r.source_model", "r.field_name", "rate", "limits")
+    placed = judged.alias("j").join(s.alias("s"), _same("j", "s"), "left").select("j.*", "rate", "limits")
+    inside = F.filter("limits", lambda x: (F.when(x["unit"] == "chars", F.col("chars")).otherwise(F.col("bytes")) >= x["low"]) & (F.when(x["unit"] == "chars", F.col("chars")).otherwise(F.col("bytes")) <= x["high"]))
+    prior = F.array_max(F.transform(inside, lambda x: x["prior"]))
+    out = placed.withColumn("at_limit", prior.isNotNull()).withColumn("log_odds", F.greatest(_logit(F.col("rate")), F.coalesce(_logit(prior), F.lit(-99.0))) + F.col("llr"))
+    return out.select("segment_row_id", "source_model", "field_name", "chars", F.col("kind").alias("ending"), "at_limit", "log_odds", (F.col("log_odds") > 0).alias("is_cut"))
+
+
+def _same(a: str, b: str) -> Column:
+    return reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in ("source_model", "field_name")))
+
+
+def truncation_rates(judged: DataFrame) -> DataFrame:
+    """source_model, field_name, n_texts, n_cut, share_cut: how often each source truncates."""
+    return judged.groupBy("source_model", "field_name").agg(F.count("*").alias("n_texts"), F.sum(F.col("is_cut").cast("int")).alias("n_cut"), F.avg(F.col("is_cut").cast("double")).alias("share_cut"))
