@@ -10,7 +10,7 @@ from ..sources import table
 from .canonical import all_typed_values, map_values, unmatched_report
 from .language import fit_profiles, language_findings, read_languages
 from .mixing import mix_sources
-from .splitting import oversized, split_runs, split_texts
+from .splitting import oversized, split_oversized, split_runs
 from .truncation import judge_texts, truncation_rates
 from .tokens import count_tokens, encode_corpus
 
@@ -33,7 +33,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split_texts(table(spark, d, "messages"), ["message_id"]).where("n_pieces > 1")
+    return split_oversized(table(spark, d, "messages"), ["message_id"])
 
 
 def p2_run_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -79,6 +79,11 @@ def split_texts(df: DataFrame, keep: list[str], text: str = "text", limit: int =
     return rows.select(*keep, "n_pieces", "piece_no", "start_pos", "end_pos", "boundary", tokens_of(F.col("text")).alias("n_tokens"), "text")
 
 
+def split_oversized(df: DataFrame, keep: list[str], text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """`split_texts` of the texts above the limit only; the others are left out before any cutting."""
+    return split_texts(df.where(tokens_of(F.col(text)) > limit), keep, text, limit, overlap)
+
+
 def hint_mark(hint: Column) -> Column:
     """The mark of the strongest hint named in a boundary_hint, a word or a list of words written in any way."""
     found = F.lit(None).cast("string")
@@ -141,5 +146,5 @@ def split_runs(messages: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP,
 
 def oversized(df: DataFrame, row_id: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
     """The ids of the rows whose text is above the limit: those that `split_texts` gives in more than one piece."""
-    return split_texts(df, [row_id], text, limit).where("n_pieces > 1 and piece_no = 0").select(row_id)
+    return split_oversized(df, [row_id], text, limit).where("piece_no = 0").select(row_id)
 
