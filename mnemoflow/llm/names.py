@@ -1,0 +1,311 @@
+"""Linking the spellings under which one character, organisation or place of a chat appears."""
+
+from __future__ import annotations
+
+import math
+import re
+import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.runtime import cut, spread
+from .canonical import LOOKALIKES, edits
+
+#: Short forms of given names.
+NICKNAMES = {
+    "alexander": "alex sandy lex al xander", "anneliese": "anna ann liesl annie", "arabella": "ara bella belle", "benjamin": "ben benny benji", "catherine": "cathy kate kitty cat",
+    "charles": "charlie chuck chas", "charlotte": "charlie lottie", "cornelius": "corny neil con", "daniel": "dan danny", "david": "dave davy", "desmond": "des dez", "dorothea": "dot dottie thea dory",
+    "edward": "ed eddie ted ned teddy", "eleanor": "nell ellie nora", "elizabeth": "liz beth betty lizzie eliza bess libby", "ferdinand": "ferdy ferd nando", "frederick": "fred freddie freddy fritz", "george": "georgie",
+    "gregory": "greg gregor", "gwendolyn": "gwen wendy gwennie", "harriet": "hattie harry etta", "henry": "harry hank hal", "hezekiah": "hez hezzie", "ignatius": "iggy nate", "isabella": "bella izzy isa belle",
+    "james": "jim jimmy jamie", "john": "jack johnny", "josephine": "jo josie josey posy", "joseph": "joe joey", "katherine": "kate kat kitty kathy katie", "leonard": "len lenny leo", "margaret": "maggie peg meg peggy marge",
+    "mary": "molly polly", "matthias": "matt matty matthew", "michael": "mike mick", "nathaniel": "nat nate nathan", "nicholas": "nick", "ottoline": "otta ottie", "patricia": "pat patty trish", "philippa": "pip pippa",
+    "quentin": "quen quent", "rebecca": "becca becky", "richard": "dick rick richie", "robert": "bob rob bobby robbie bert", "rosalind": "roz ros rose", "samuel": "sam sammy", "sarah": "sally sadie", "susannah": "sue susie susan suki",
+    "theodore": "ted theo teddy", "thomas": "tom tommy", "tobias": "toby tobe", "ursula": "ursa ursie", "veronica": "ronnie vera", "victoria": "vicky tori vic", "wilhelmina": "mina willa minnie billie", "william": "bill will billy willy liam",
+    "yolanda": "yoli yola", "zachary": "zack zac zach",
+}
+
+#: Forms of address, left off before a name; words that are no part of a name's core; mentions that name nobody.
+TITLES = set("mr mrs ms miss dr doctor prof professor captain capt judge sister brother steward sir lady lord madam master mistress father mother king queen prince princess saint sergeant sgt lieutenant lt colonel col general gen major".split())
+FILLERS = {"the", "of", "and", "a", "an", "de", "la"}
+UNNAMED = set("nobody someone somebody anyone anybody everyone everybody stranger strangers narrator crowd people person man woman boy girl voice others other they them he she it him her we us you unknown none null nil na unnamed anonymous particular in a an the some any no one of old young another character figure".split())
+
+#: Similarity from which spellings must be brought together, and the chance with which they must be.
+SIMILARITY, RECALL, ROWS = 0.4, 0.985, 2
+LINK = 0.84
+SEED = 20_011
+
+
+def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> int:
+    """Bands that bring a pair of this similarity together with at least this chance: 1 - (1 - s^rows)^bands >= recall."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
+
+
+BANDS = bands_for()
+_SALTS = np.random.default_rng(SEED).integers(1, 2**61 - 1, (2, BANDS * ROWS), dtype=np.int64)
+_PRIME = (1 << 61) - 1
+
+
+def words(text: str) -> list[str]:
+    """A name's words in lower case: camel case, accents, look-alikes, remarks in brackets, possessives and signs undone; an abbreviation keeps its full stop."""
+    s = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf").translate(LOOKALIKES)
+    s = re.sub(r"\([^()]*\)", " ", s)
+    s = re.sub(r"(?<=[a-zà-ÿ])(?=[A-Z][a-z])", " ", s)
+    s = "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c))
+    s = re.sub(r"[’'`]s\b", "", s).replace("&", " and ")
+    return re.findall(r"[^\W_]+\.?", re.sub(r"(?<=\b[a-z])\.(?=[a-z]\b)", "", s))
+
+
+def core(text: str) -> list[str]:
+    """The words that tell a name apart; empty for a mention that names nobody."""
+    found = words(text)
+    bare = [w.rstrip(".") for w in found]
+    if not bare or all(w in UNNAMED for w in bare):
+        return []
+    kept = [w for w, b in zip(found, bare) if not (b in FILLERS and not w.endswith("."))]
+    untitled = [w for w in kept if w.rstrip(".") not in TITLES]
+    return untitled or kept
+
+
+def is_full(name: list[str]) -> bool:
+    """Whether a name stands by itself: two words of three letters or more, none of them abbreviated or a nickname."""
+    return sum(len(w) >= 3 and not w.endswith(".") and w not in _SHORT for w in name) >= 2
+
+
+_SHORT = {n for v in NICKNAMES.values() for n in v.split()}
+_LONG: dict[str, set[str]] = {}
+for _full, _shorts in NICKNAMES.items():
+    for _n in _shorts.split():
+        _LONG.setdefault(_n, set()).add(_full)
+
+
+@lru_cache(maxsize=200_000)
+def token_similarity(a: str, b: str) -> float:
+    """1 for the same word, less for a typing error, an initial, an abbreviation or a nickname, 0 for different words."""
+    x, y = a.rstrip("."), b.rstrip(".")
+    if x == y:
+        return 1.0
+    if len(x) > len(y):
+        x, y, a, b = y, x, b, a
+    if len(x) == 1:
+        return 0.9 if y.startswith(x) else 0.0
+    longs = _LONG.get(x, set())
+    if longs and (y in longs or longs & _LONG.get(y, set()) or any(edits(f, y, 2 if len(f) > 6 else 1) <= (2 if len(f) > 6 else 1) for f in longs)):
+        return 0.95
+    most = 0 if len(y) < 4 else 1 if len(y) < 7 else 2
+    d = edits(x, y, most)
+    if d <= most:
+        return 1 - d / len(y)
+    if len(x) <= 4 and y[0] == x[0] and (y.startswith(x) or (a.endswith(".") or len(x) <= 4 and x in ("stn", "hse", "brdg", "bros", "mkt", "bldg", "soc", "inst", "auth")) and _within(x, y)):
+        return 0.9
+    if y.startswith(x) and len(x) >= 3:
+        return 0.88
+    shared = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), len(x))
+    if shared >= 3 and len(x) >= 5 and len(x) - shared <= 3 and len(y) - shared <= 3 and x[-1] != y[-1] and shared / len(y) >= 0.5:
+        return 0.7  # another ending of the same stem
+    return 0.0
+
+
+def _within(short: str, long: str) -> bool:
+    at = iter(long)
+    return all(c in at for c in short)
+
+
+def monge_elkan(a: list[str], b: list[str]) -> float:
+    """Mean over the words of the shorter name, weighted by letters, of their best similarity to words of the other, each used once.
+
+    0 if both names keep a word the other lacks, apart from middle initials.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    pairs = sorted(((token_similarity(x, y), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
+    of_a: dict[int, float] = {}
+    used: set[int] = set()
+    for s, i, j in pairs:
+        if s > 0 and i not in of_a and j not in used:
+            of_a[i] = s
+            used.add(j)
+    weight = total = 0.0
+    strong = False
+    for i, x in enumerate(a):
+        size = len(x.rstrip("."))
+        s = of_a.get(i, 0.0)
+        if s == 0 and size == 1 and len(a) > 2:
+            continue  # a middle initial
+        if s < 0.6:
+            return 0.0
+        strong = strong or (size >= 3 and s >= 0.7)
+        weight += size
+        total += size * s
+    return total / weight if weight and strong else 0.0
+
+
+def is_acronym(short: str, name: list[str], with_fillers: list[str]) -> bool:
+    """Whether letters are the initials of a name, its small words counted or not."""
+    letters = short.replace(".", "")
+    return len(letters) >= 2 and letters in ("".join(w[0] for w in name), "".join(w[0] for w in with_fillers))
+
+
+def similarity(a: str, b: str) -> float:
+    """Similarity of two normal forms: Monge-Elkan over their words, in any order; within a name two or three initials may stand for as many words."""
+    x, y = a.split(" "), b.split(" ")
+    best = monge_elkan(x, y)
+    if best < LINK:
+        for short, long in ((x, y), (y, x)):
+            for i, w in enumerate(short):
+                letters = w.rstrip(".")
+                if 2 <= len(letters) <= 4 and len(short) > 1:
+                    for j in range(len(long) - len(letters) + 1):
+                        if "".join(v[0] for v in long[j : j + len(letters)]) == letters:
+                            best = max(best, 0.95 * monge_elkan(short[:i] + short[i + 1 :], long[:j] + long[j + len(letters) :]))
+    return best
+
+
+def resolve(mention: str | None, aliases: list[str | None] | None, candidate: str | None) -> tuple[str, bool]:
+    """The normal form of a mention and whether it is a full name; empty for none.
+
+    A full name stands for itself. A short one (initials, a nickname, a part, a title with a surname) takes the first of the
+    candidate and the aliases that is full and agrees with it; hints that don't agree are not believed.
+    """
+    own = core(mention) if mention else []
+    if not own:
+        return "", False
+    if is_full(own):
+        return " ".join(own), True
+    for hint in [candidate, *(aliases or [])]:
+        other = core(hint) if hint else []
+        if other and is_full(other):
+            fits = similarity(" ".join(own), " ".join(other)) >= 0.75
+            if not fits and len(own) == 1:
+                with_fillers = [w for w in words(hint) if w not in ("the", "a", "an")]
+                initials = "".join(w[0] for w in other)
+                letters = own[0].replace(".", "")
+                fits = is_acronym(own[0], other, with_fillers) or (len(letters) >= 2 and sorted(letters) == sorted(initials)) or _nearly(letters, [initials, "".join(w[0] for w in with_fillers)])
+            if fits:
+                return " ".join(other), True
+    return " ".join(own), False
+
+
+def _nearly(letters: str, initials: list[str]) -> bool:
+    return len(letters) >= 3 and any(edits(letters, i, 1) <= 1 for i in initials)
+
+
+def qgrams(name: str) -> set[str]:
+    """Two-letter windows of every word, padded at both ends, so the order of words doesn't matter."""
+    return {p[i : i + 2] for w in name.split(" ") for p in (f"${w.rstrip('.')}$",) for i in range(len(p) - 1)}
+
+
+@lru_cache(maxsize=100_000)
+def _gram_hashes(gram: str) -> tuple[int, ...]:
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(gram, seed=SEED) % _PRIME
+    return tuple((int(a) * h + int(b)) % _PRIME for a, b in zip(_SALTS[0], _SALTS[1]))
+
+
+def band_keys(name: str) -> list[int]:
+    """One key for each band of the name's MinHash signature."""
+    import xxhash
+
+    rows = np.array([_gram_hashes(g) for g in sorted(qgrams(name))], dtype=np.int64).min(axis=0)
+    return [xxhash.xxh64_intdigest(rows[k * ROWS : (k + 1) * ROWS].tobytes(), seed=k) - (1 << 63) for k in range(BANDS)]
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got = [resolve(m, a, c) for m, a, c in zip(*(b.column(k).to_pylist() for k in ("mention", "aliases", "canonical_name_candidate")))]
+        yield pa.RecordBatch.from_arrays([b.column("mention_id"), b.column("chat_id"), b.column("mention"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.bool_())], ["mention_id", "chat_id", "mention", "name", "is_full"])
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        names = b.column("name").to_pylist()
+        keys = pa.array([band_keys(n) for n in names], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column("chat_id"), b.column("name"), keys], ["chat_id", "name", "keys"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        s = np.array([similarity(x, y) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())])
+        good = pa.array(s >= LINK)
+        yield pa.RecordBatch.from_arrays([*(b.column(k).filter(good) for k in ("chat_id", "a", "b")), pa.array(s, pa.float64()).filter(good)], ["chat_id", "a", "b", "s"])
+
+
+def resolved_mentions(mentions: DataFrame) -> DataFrame:
+    """mention_id, chat_id, mention, name (normal form), is_full; rows without chat, and mentions that name nobody, are left out."""
+    rows = spread(mentions.select("mention_id", "chat_id", "mention", "aliases", "canonical_name_candidate").where("chat_id is not null and mention is not null"))
+    kind = dict(mentions.dtypes)["mention_id"]
+    return rows.mapInArrow(_named, f"mention_id {kind}, chat_id string, mention string, name string, is_full boolean").where("name <> ''")
+
+
+def link_edges(names: DataFrame) -> DataFrame:
+    """chat_id, a, b, s (both directions): the pairs of names of one chat that band together and are similar enough.
+
+    `names`: one row for each distinct name of a chat. Pairs come from equal band keys within a chat only.
+    """
+    kind = dict(names.dtypes)["chat_id"]
+    banded = spread(names.select("chat_id", "name")).mapInArrow(_banded, f"chat_id {kind}, name string, keys array<bigint>")
+    keyed = cut(banded.select("chat_id", "name", F.posexplode("keys").alias("band", "key")))
+    pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.chat_id") == F.col("y.chat_id")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.name") < F.col("y.name")))
+    distinct = pairs.select("x.chat_id", F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
+    good = cut(distinct.mapInArrow(_verified, f"chat_id {kind}, a string, b string, s double"))
+    return good.unionByName(good.select("chat_id", F.col("b").alias("a"), F.col("a").alias("b"), "s"))
+
+
+def star_clusters(names: DataFrame, edges: DataFrame) -> DataFrame:
+    """chat_id, name, centre: star clustering of the similarity graph.
+
+    Names are ranked: full names first, then by the rows their neighbourhood stands for. A name without a better-ranked free neighbour
+    becomes a centre and takes its free neighbours; again until none is free. A name next to several centres goes to the most similar one; a short name as near to two stays by itself.
+    All names of a round decide at once: each round is two joins, whatever the size of chats or clusters.
+    """
+    weight = edges.join(names.select("chat_id", F.col("name").alias("b"), F.col("n").alias("n_b")), ["chat_id", "b"]).groupBy("chat_id", F.col("a").alias("name")).agg(F.sum("n_b").alias("around"))
+    ranked = names.join(weight, ["chat_id", "name"], "left").select("chat_id", "name", "is_full", F.struct(F.col("is_full").cast("int").alias("f"), (F.col("n") * 2 + F.coalesce("around", F.lit(0))).alias("w"), F.length("name").alias("l"), F.col("name").alias("t")).alias("rank"))
+    free = cut(ranked.join(edges.select("chat_id", F.col("a").alias("name")).distinct(), ["chat_id", "name"], "left_semi"))
+    lone = ranked.join(free.select("chat_id", "name"), ["chat_id", "name"], "left_anti")
+    centres = lone.select("chat_id", "name")
+    links = edges
+    while True:
+        other = free.select("chat_id", F.col("name").alias("b"), F.col("rank").alias("rank_b"))
+        near = links.join(other, ["chat_id", "b"]).groupBy("chat_id", F.col("a").alias("name")).agg(F.max("rank_b").alias("best"))
+        state = free.join(near, ["chat_id", "name"], "left")
+        made = cut(state.where("best is null or rank > best").select("chat_id", "name"))
+        centres = centres.unionByName(made)
+        taken = made.join(links.select("chat_id", F.col("a").alias("name"), "b"), ["chat_id", "name"]).select("chat_id", F.col("b").alias("name")).distinct()
+        free = cut(free.join(made, ["chat_id", "name"], "left_anti").join(taken, ["chat_id", "name"], "left_anti"))
+        if free.isEmpty():
+            break
+    centres = cut(centres)
+    own = centres.select("chat_id", "name", F.col("name").alias("centre"))
+    rest = ranked.join(centres, ["chat_id", "name"], "left_anti")
+    offers = rest.join(edges.select("chat_id", F.col("a").alias("name"), F.col("b").alias("centre"), "s"), ["chat_id", "name"]).join(centres.select("chat_id", F.col("name").alias("centre")), ["chat_id", "centre"], "left_semi")
+    best = offers.groupBy("chat_id", "name", "is_full").agg(F.max(F.struct("s", "centre")).alias("top"), F.collect_list("s").alias("all_s"))
+    tied = F.size(F.filter("all_s", lambda s: s >= F.col("top.s") - 1e-9)) > 1
+    placed = best.select("chat_id", "name", F.when(tied & ~F.col("is_full"), F.col("name")).otherwise(F.col("top.centre")).alias("centre"))
+    return own.unionByName(placed)
+
+
+def cluster_mentions(mentions: DataFrame) -> DataFrame:
+    """mention_id, chat_id, mention, name, entity: every named mention with the centre of its cluster of spellings.
+
+    Mentions are brought to a normal form, short ones by way of a candidate or alias that agrees with them (`resolve`). The distinct names of
+    a chat are banded by MinHash over padded two-letter windows of their words, with as many bands as the collision curve asks for at the least similarity wanted,
+    pairs are verified by Monge-Elkan similarity and names are clustered by star clustering.
+
+    Null, blank and unnamed mentions, and rows without chat, have no row. Repeated rows have one each. Aliases and candidates may be null or wrong.
+    """
+    rows = cut(resolved_mentions(mentions))
+    names = cut(rows.groupBy("chat_id", "name").agg(F.count("*").alias("n"), F.max("is_full").alias("is_full")))
+    clusters = star_clusters(names, link_edges(names))
+    return rows.join(clusters, ["chat_id", "name"]).select("mention_id", "chat_id", "mention", "name", F.col("centre").alias("entity"))
+
+
+def mention_pairs(clustered: DataFrame) -> DataFrame:
+    """(mention_id_a, mention_id_b), a < b: the rows of one chat and entity whose mentions are spelt differently."""
+    a, b = clustered.alias("a"), clustered.alias("b")
+    same = (F.col("a.chat_id") == F.col("b.chat_id")) & (F.col("a.entity") == F.col("b.entity")) & (F.col("a.mention_id") < F.col("b.mention_id")) & (F.col("a.mention") != F.col("b.mention"))
+    return a.join(b, same).select(F.col("a.mention_id").alias("mention_id_a"), F.col("b.mention_id").alias("mention_id_b"))

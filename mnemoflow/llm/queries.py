@@ -10,6 +10,7 @@ from ..sources import table
 from .canonical import all_typed_values, map_values, unmatched_report
 from .language import fit_profiles, language_findings, read_languages
 from .mixing import mix_sources
+from .names import cluster_mentions, mention_pairs
 from .splitting import oversized, split_oversized, split_runs
 from .truncation import judge_texts, truncation_rates
 from .tokens import count_tokens, encode_corpus
@@ -40,6 +41,14 @@ def p2_run_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_runs(table(spark, d, "messages"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return mention_pairs(cluster_mentions(table(spark, d, "entity_mentions")))
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return cluster_mentions(table(spark, d, "entity_mentions"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return judge_texts(table(spark, d, "segments")).where("is_cut").select("segment_row_id", "field_name")
 
@@ -83,7 +92,7 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return read.select("doc_id", "lang_found", F.col("confidence").alias("document_confidence"), F.posexplode_outer("segments").alias("segment_no", "s")).select("doc_id", "lang_found", "document_confidence", "segment_no", "s.*")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_run_pieces": p2_run_pieces, "p5_found": p5_found, "p5_rates": p5_rates, "p5_judged": p5_judged, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_run_pieces": p2_run_pieces, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p5_rates": p5_rates, "p5_judged": p5_judged, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
 
 SQL: dict[str, str] = {
     "p2_found": "select message_id from messages where ceil(length(text) / 4) > 900",
