@@ -31,11 +31,11 @@ NICKNAMES = {
 
 #: Forms of address, left off before a name; words that are no part of a name's core; mentions that name nobody.
 TITLES = set("mr mrs ms miss dr doctor prof professor captain capt judge sister brother steward sir lady lord madam master mistress father mother king queen prince princess saint sergeant sgt lieutenant lt colonel col general gen major".split())
-FILLERS = {"the", "of", "and", "a", "an", "de", "la"}
+FILLERS = {"the", "of", "and", "de", "la"}
 UNNAMED = set("nobody someone somebody anyone anybody everyone everybody stranger strangers narrator crowd people person man woman boy girl voice others other they them he she it him her we us you unknown none null nil na unnamed anonymous particular in a an the some any no one of old young another character figure".split())
 
 #: Similarity from which spellings must be brought together, and the chance with which they must be.
-SIMILARITY, RECALL, ROWS = 0.4, 0.985, 2
+SIMILARITY, RECALL, ROWS = 0.35, 0.985, 2
 LINK = 0.84
 SEED = 20_011
 
@@ -93,6 +93,8 @@ def token_similarity(a: str, b: str) -> float:
         x, y, a, b = y, x, b, a
     if len(x) == 1:
         return 0.9 if y.startswith(x) else 0.0
+    if x in NICKNAMES and y in NICKNAMES:
+        return 0.0  # two given names, however near
     longs = _LONG.get(x, set())
     if longs and (y in longs or longs & _LONG.get(y, set()) or any(edits(f, y, 2 if len(f) > 6 else 1) <= (2 if len(f) > 6 else 1) for f in longs)):
         return 0.95
@@ -106,7 +108,7 @@ def token_similarity(a: str, b: str) -> float:
         return 0.88
     shared = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), len(x))
     if shared >= 3 and len(x) >= 5 and len(x) - shared <= 3 and len(y) - shared <= 3 and x[-1] != y[-1] and shared / len(y) >= 0.5:
-        return 0.7  # another ending of the same stem
+        return 0.8  # another ending of the same stem
     return 0.0
 
 
@@ -124,10 +126,11 @@ def monge_elkan(a: list[str], b: list[str]) -> float:
         a, b = b, a
     pairs = sorted(((token_similarity(x, y), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
     of_a: dict[int, float] = {}
+    partner: dict[int, str] = {}
     used: set[int] = set()
     for s, i, j in pairs:
         if s > 0 and i not in of_a and j not in used:
-            of_a[i] = s
+            of_a[i], partner[i] = s, b[j]
             used.add(j)
     weight = total = 0.0
     strong = False
@@ -138,7 +141,8 @@ def monge_elkan(a: list[str], b: list[str]) -> float:
             continue  # a middle initial
         if s < 0.6:
             return 0.0
-        strong = strong or (size >= 3 and s >= 0.7)
+        # an initial alone is no agreement; a nickname is
+        strong = strong or (s >= 0.7 and (s == 0.95 or min(size, len(partner[i].rstrip("."))) >= 3 or s == 1.0 and size == 2)) if i in partner else strong
         weight += size
         total += size * s
     return total / weight if weight and strong else 0.0
@@ -282,10 +286,14 @@ def star_clusters(names: DataFrame, edges: DataFrame) -> DataFrame:
     centres = cut(centres)
     own = centres.select("chat_id", "name", F.col("name").alias("centre"))
     rest = ranked.join(centres, ["chat_id", "name"], "left_anti")
-    offers = rest.join(edges.select("chat_id", F.col("a").alias("name"), F.col("b").alias("centre"), "s"), ["chat_id", "name"]).join(centres.select("chat_id", F.col("name").alias("centre")), ["chat_id", "centre"], "left_semi")
-    best = offers.groupBy("chat_id", "name", "is_full").agg(F.max(F.struct("s", "centre")).alias("top"), F.collect_list("s").alias("all_s"))
-    tied = F.size(F.filter("all_s", lambda s: s >= F.col("top.s") - 1e-9)) > 1
-    placed = best.select("chat_id", "name", F.when(tied & ~F.col("is_full"), F.col("name")).otherwise(F.col("top.centre")).alias("centre"))
+    full_centres = centres.join(names, ["chat_id", "name"]).select("chat_id", F.col("name").alias("centre"), F.col("is_full").alias("to_full"))
+    offers = rest.join(edges.select("chat_id", F.col("a").alias("name"), F.col("b").alias("centre"), "s"), ["chat_id", "name"]).join(full_centres, ["chat_id", "centre"])
+    # of the centres beside a name its best two tell whether there is a tie: full ones first, then by similarity
+    offer = F.struct("to_full", "s", "centre")
+    best = offers.groupBy("chat_id", "name", "is_full").agg(F.max(offer).alias("top"), F.max_by(F.struct("to_full", "s"), F.struct("to_full", "s")).alias("level"))
+    level = F.struct("to_full", "s")
+    ties = offers.join(best.select("chat_id", "name", "level"), ["chat_id", "name"]).where(level == F.col("level")).groupBy("chat_id", "name").agg(F.count("*").alias("ties"))
+    placed = best.join(ties, ["chat_id", "name"]).select("chat_id", "name", F.when((F.col("ties") > 1) & ~F.col("is_full"), F.col("name")).otherwise(F.col("top.centre")).alias("centre"))
     return own.unionByName(placed)
 
 
