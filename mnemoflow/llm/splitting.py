@@ -43,25 +43,23 @@ def tokens_of(text: Column) -> Column:
     return F.ceil(F.length(text) / F.lit(CHARS_PER_TOKEN)).cast("int")
 
 
-def _pieces(text: Column, limit: int, overlap: int, with_messages: bool) -> Column:
-    """array<struct<piece_no, start_pos, end_pos, boundary, text>> of a text; positions in characters from 0, the overlap included."""
-    size, back = limit * CHARS_PER_TOKEN, overlap * CHARS_PER_TOKEN
-    step = size - back
-    cuts = F.when(F.length(text) <= size, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(pattern(step, step // 2, with_messages)), F.lit(0)))
-    starts = F.aggregate(cuts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
-    ends = _ends(with_messages)
+def _cuts(text: Column, limit: int, overlap: int) -> Column:
+    """The text in consecutive parts without overlap; the text itself if it is within the limit."""
+    size, step = limit * CHARS_PER_TOKEN, (limit - overlap) * CHARS_PER_TOKEN
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(pattern(step, step // 2)), F.lit(0)))
 
-    def piece(p: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.right(F.get(cuts, i - 1), F.lit(back))).otherwise(F.lit(""))
-        kind = F.when(i == F.size(cuts) - 1, F.lit("end"))
-        for name, end in ends[:-1]:
-            kind = kind.when(p.rlike(f"(?s){end}\\z"), F.lit(name))
-        return F.struct(
-            i.alias("piece_no"), (F.get(starts, i) - F.length(before)).alias("start_pos"), F.get(starts, i + 1).alias("end_pos"),
-            kind.otherwise(F.lit("character")).alias("boundary"), F.concat(before, p).alias("text"),
-        )
 
-    return F.transform(cuts, piece)
+def _starts(cuts: Column) -> Column:
+    """Where the parts start, and the end of the last, in characters."""
+    return F.aggregate(cuts, F.array(F.lit(0).cast("bigint")), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
+
+
+def _boundary(part: Column, with_messages: bool) -> Column:
+    """The strongest boundary that a part ends on, by its last characters."""
+    kind, tail = F.when(F.lit(False), F.lit("")), F.right(part, F.lit(16))
+    for name, end in _ends(with_messages)[:-1]:
+        kind = kind.when(tail.rlike(f"(?s){end}\\z"), F.lit(name))
+    return kind.otherwise(F.lit("character"))
 
 
 def split_texts(df: DataFrame, keep: list[str], text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -74,8 +72,16 @@ def split_texts(df: DataFrame, keep: list[str], text: str = "text", limit: int =
     (4 * overlap characters) before it. Null texts give no piece, an empty text one empty piece. Rows are taken one by
     one, repeated ones too; there is no shuffle.
     """
-    cut = df.select(*keep, _pieces(F.col(text), limit, overlap, False).alias("__pieces")).where("__pieces is not null")
-    rows = cut.select(*keep, F.size("__pieces").alias("n_pieces"), F.inline("__pieces"))
+    # a column of its own for what the lambda below refers to again and again, else it would be computed at every piece
+    parts = df.select(*keep, _cuts(F.col(text), limit, overlap).alias("__cuts")).where("__cuts is not null").withColumn("__starts", _starts(F.col("__cuts")))
+    n, back = F.size("__cuts"), overlap * CHARS_PER_TOKEN
+
+    def piece(p: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.right(F.get(F.col("__cuts"), i - 1), F.lit(back))).otherwise(F.lit(""))
+        boundary = F.when(i == n - 1, F.lit("end")).otherwise(_boundary(p, False))
+        return F.struct(i.alias("piece_no"), (F.get("__starts", i) - F.length(before)).alias("start_pos"), F.get("__starts", i + 1).alias("end_pos"), boundary.alias("boundary"), F.concat(before, p).alias("text"))
+
+    rows = parts.select(*keep, n.alias("n_pieces"), F.inline(F.transform("__cuts", piece)))
     return rows.select(*keep, "n_pieces", "piece_no", "start_pos", "end_pos", "boundary", tokens_of(F.col("text")).alias("n_tokens"), "text")
 
 
@@ -124,22 +130,14 @@ def split_runs(messages: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP,
     # room for the overlap from the block before is kept in a block's first piece: pieces of a block hold at most size - back fresh characters
     step = size - back
     cuts = F.regexp_extract_all("t", F.lit(pattern(step, step // 2, True)), F.lit(0))
-    names = [(name, mark) for name, mark in zip((*HINTS, "message"), MARKS)]
 
     def piece(p: Column, i: Column) -> Column:
         before = F.when(i > 0, F.right(F.get(F.col("cuts"), i - 1), F.lit(back))).otherwise(F.coalesce("tail", F.lit("")))
-        kind = F.when(F.lit(False), F.lit(""))
-        for name, mark in names:
-            kind = kind.when(F.right(p, F.lit(1)) == mark, F.lit(name))
-        for name, end in ENDS[:-1]:
-            kind = kind.when(p.rlike(f"(?s){end}\\z"), F.lit(name))
         start = F.col("first_at") + F.get(F.col("starts"), i)
-        return F.struct(
-            (start - F.length(before)).alias("start_pos"), (start + F.length(p)).alias("end_pos"), kind.otherwise(F.lit("character")).alias("boundary"),
-            F.translate(F.concat(before, p), "".join(MARKS), "\n" * len(MARKS)).alias("text"),
-        )
+        shown = F.translate(F.concat(before, p), "".join(MARKS), "\n" * len(MARKS))
+        return F.struct((start - F.length(before)).alias("start_pos"), (start + F.length(p)).alias("end_pos"), _boundary(p, True).alias("boundary"), shown.alias("text"))
 
-    opened = lined.withColumn("cuts", cuts).withColumn("starts", F.aggregate("cuts", F.array(F.lit(0).cast("bigint")), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p)))))
+    opened = lined.withColumn("cuts", cuts).withColumn("starts", _starts(F.col("cuts")))
     out = opened.select("chat_id", "first_index", F.inline(F.transform("cuts", piece)))
     return out.select("chat_id", "start_pos", "end_pos", "first_index", "boundary", tokens_of(F.col("text")).alias("n_tokens"), "text")
 
