@@ -13,7 +13,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="mnemoflow-checkpoint-"))
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="recallgrid-checkpoint-"))
     elif named is not None and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
