@@ -34,24 +34,31 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str, block: int = 1 << 12) -> DataFrame:
-    """Add `out`: the sum of `value` over the rows of the same keys with a smaller `order` (an integer, unique per key).
+def running(df: DataFrame, keys: list[str], order: str, specs: list[tuple[str, str, str]], inclusive: bool = False, block: int = 1 << 12) -> DataFrame:
+    """Running aggregates over the rows of the same keys with a smaller `order` (an integer, unique per key; with `inclusive` the row itself too).
 
-    Works in two levels, so that no task holds all rows of a hot key: sums per block of `block` consecutive order
-    values, a running sum over those blocks, and a running sum inside each block. Null `order` rows get null.
+    specs: (sum, max or min; value column; name of the result). Works in two levels, so that no task holds all rows of a hot key:
+    aggregates per block of `block` consecutive order values, running aggregates over those blocks, and running
+    aggregates inside each block. Sums start at 0, the others at null. Rows with null keys or order are left out.
     """
+    of = {"sum": F.sum, "max": F.max, "min": F.min}
+    merge = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}
     b = "__block"
     with_block = df.withColumn(b, F.floor(F.col(order) / F.lit(block)))
-    totals = with_block.groupBy(*keys, b).agg(F.sum(value).alias("__total"))
+    totals = with_block.groupBy(*keys, b).agg(*(of[how](value).alias(f"__t{i}") for i, (how, value, _) in enumerate(specs)))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, b, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(*keys, b).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        with_block.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(starts, [*keys, b], "left")
-        .withColumn(out, F.col("__start") + F.col("__in"))
-        .drop(b, "__start", "__in")
-    )
+    starts = totals.select(*keys, b, *(of[how](f"__t{i}").over(before).alias(f"__s{i}") for i, (how, _, _) in enumerate(specs)))
+    inside = Window.partitionBy(*keys, b).orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = with_block.select("*", *(of[how](value).over(inside).alias(f"__i{i}") for i, (how, value, _) in enumerate(specs)))
+    joined = local.join(starts, [*keys, b])
+    for i, (how, _, out) in enumerate(specs):
+        joined = joined.withColumn(out, merge[how](F.col(f"__s{i}"), F.col(f"__i{i}")))
+    return joined.drop(b, *(f"__{x}{i}" for x in "si" for i in range(len(specs))))
+
+
+def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str, block: int = 1 << 12) -> DataFrame:
+    """Add `out`: the sum of `value` over the rows of the same keys with a smaller `order`; see `running`."""
+    return running(df, keys, order, [("sum", value, out)], block=block)
 
 
 def null_if_blank(c: Column) -> Column:

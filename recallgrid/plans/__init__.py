@@ -1 +1,4 @@
 """Named queries over the test tables and the SQL they are checked against."""
+from . import history, training
+
+CORE = (training, history)
