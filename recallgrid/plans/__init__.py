@@ -1,4 +1,4 @@
 """Named queries over the test tables and the SQL they are checked against."""
-from . import history, training
+from . import history, planning, training
 
-CORE = (training, history)
+CORE = (training, history, planning)
