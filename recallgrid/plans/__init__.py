@@ -1,4 +1,4 @@
 """Named queries over the test tables and the SQL they are checked against."""
-from . import history, planning, state, training
+from . import history, planning, retrieval, state, training
 
-CORE = (training, history, planning, state)
+CORE = (training, history, planning, state, retrieval)

@@ -180,7 +180,7 @@ SQL = {
     "commitment_ageout": sql(SQL_SEGMENTS, _ORDINALS, _PROVENANCE, _COMMITMENTS, _AGED, select="select chat_id, commitment_id, status, age_segments, aged_out from aged"),
     "state_projection": sql(
         SQL_SEGMENTS, _ORDINALS, _PROVENANCE, _COMMITMENTS, _AGED, _RELATIONS, _CHANGES, _THREADS, _FACTS,
-        select="""select chat_id, kind, key, text, priority, place from (
+        select="""select chat_id, kind, key, text, priority, place::int as place from (
           select i.*, row_number() over (partition by i.chat_id order by priority desc, coalesce(p.last_index, -1) desc, coalesce(p.ordinal, -1) desc, 'state:' || i.kind || ':' || i.key) as place from (
             select chat_id, 'commitment' as kind, commitment_id as key, 'Commitment (' || status || '): ' || actor || coalesce(' to ' || toward, '') || ' — ' || content as text, 140 as priority from aged where status in ('active', 'made', 'unknown') and not aged_out
             union all select chat_id, 'relationship', pair, 'Relationship ' || replace(pair, '|', ' ↔ ') || ': ' || string_agg(dimension || '=' || value_list, '; ' order by dimension || '=' || value_list), 130 from rels group by chat_id, pair
