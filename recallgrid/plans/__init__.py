@@ -1,4 +1,4 @@
 """Named queries over the test tables and the SQL they are checked against."""
-from . import history, planning, retrieval, state, training, upkeep
+from . import history, parsing, planning, retrieval, state, training, upkeep
 
-CORE = (training, history, planning, state, retrieval, upkeep)
+CORE = (training, history, planning, state, retrieval, upkeep, parsing)
