@@ -79,6 +79,7 @@ class Matcher:
         for spelling, entry in self.spellings:
             self.automaton.add_word(f" {spelling} ", (len(spelling), entry))
         self.shapes = [(s, e, [(w, letter_set(w), allowed(len(w))) for w in sorted(s.split(" "), key=len, reverse=True)], s.replace(" ", ""), letter_set(s.replace(" ", ""))) for s, e in self.spellings]
+        self.longest = max((len(s.replace(" ", "")) for s, _ in self.spellings), default=0)
         if self.spellings:
             self.automaton.make_automaton()
 
@@ -117,7 +118,7 @@ class Matcher:
         """The entry whose spelling agrees best, token by token, in any order; empty below the threshold or on a tie of entries."""
         tokens = words.split(" ")
         bits = [letter_set(t) for t in tokens]
-        runs = [("".join(tokens[i:j]), letter_set("".join(tokens[i:j]))) for i in range(len(tokens)) for j in range(i + 1, len(tokens) + 1)]
+        runs = self.runs(tokens)
         best: dict[str, float] = {}
         for spelling, entry, wanted, target, target_bits in self.shapes:
             score = max(self.token_set(tokens, bits, wanted), self.joined(runs, target, target_bits))
@@ -128,6 +129,18 @@ class Matcher:
             return ""
         return ranked[0][0]
 
+    def runs(self, tokens: list[str]) -> list[tuple[str, int]]:
+        """Neighbouring tokens without blanks, as far as they may still match the longest spelling."""
+        out = []
+        for i in range(len(tokens)):
+            run = ""
+            for token in tokens[i:]:
+                run += token
+                if len(run) > self.longest + 3:
+                    break
+                out.append((run, letter_set(run)))
+        return out
+
     @staticmethod
     def token_set(tokens: list[str], bits: list[int], wanted: list[tuple[str, int, int]]) -> float:
         """Share of the spelling's letters found among the tokens, each within its allowed edits; 0 if a word is missing."""

@@ -37,6 +37,8 @@ UNNAMED = set("nobody someone somebody anyone anybody everyone everybody strange
 #: Similarity from which spellings must be brought together, and the chance with which they must be.
 SIMILARITY, RECALL, ROWS = 0.35, 0.985, 2
 LINK = 0.84
+#: Words from which on a mention is compared as a text.
+LONG_NAME = 24
 SEED = 20_011
 
 
@@ -157,6 +159,9 @@ def is_acronym(short: str, name: list[str], with_fillers: list[str]) -> bool:
 def similarity(a: str, b: str) -> float:
     """Similarity of two normal forms: Monge-Elkan over their words, in any order; within a name two or three initials may stand for as many words."""
     x, y = a.split(" "), b.split(" ")
+    if max(len(x), len(y)) > LONG_NAME:  # no name any more but a text: the share of the shorter one's words found in the other
+        small, large = sorted((set(x), set(y)), key=len)
+        return len(small & large) / len(small) if 2 * len(small) >= len(large) else 0.0
     best = monge_elkan(x, y)
     if best < LINK:
         for short, long in ((x, y), (y, x)):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.runtime import cut, spread
 
 #: What is put behind a text after a cut, or left there by a reader: taken off before its end is judged.
-APPENDED = re.compile(r"(?:\s*(?:```|\[(?:\.{3}|…)\]|\((?:\.{3}|…)\)|…|\.{3,}|\(?(?:continued|truncated|cont\.|more)\b[^()\n]{0,20}\)?)|\s+)\Z", re.IGNORECASE)
+APPENDED = re.compile(r"(?:(?:```|\[(?:\.{3}|…)\]|\((?:\.{3}|…)\)|…|\.{3,}|\((?:continued|truncated|cont\.|more)\b[^()\n]{0,20}\)?))\Z", re.IGNORECASE)
 #: Those that are put behind cut texts only.
 CUT_SIGN = re.compile(r"(?:\[(?:\.{3}|…)\]|\((?:\.{3}|…)\)|\((?:continued|truncated|cont\.|more)\b[^()\n]{0,20}\)?)\s*\Z", re.IGNORECASE)
 #: Words that close a text.
@@ -44,9 +44,12 @@ WINDOWS = {"chars": (0, 12), "bytes": (3,)}
 
 def without_appended(text: str) -> str:
     """The text without signs and white space put behind it."""
-    while (shorter := APPENDED.sub("", text)) != text:
-        text = shorter
-    return text
+    while True:
+        text = text.rstrip()
+        sign = APPENDED.search(text[-48:])
+        if not sign:
+            return text
+        text = text[: len(text) - len(sign.group().lstrip())]
 
 
 def _unmarked(text: str) -> str:
@@ -146,7 +149,7 @@ def count_words(text: str, kind: str, into: Counter) -> None:
 def ending(text: str, mode: str | None) -> dict:
     """What the end of a text says by itself: class, keys of its last words to be looked up, names to be held against the typical ones."""
     core = without_appended(text)
-    out = {"kind": "word", "keys": [], "names": [], "typical": "", "sign": bool(CUT_SIGN.search(text)), "trail": text[-1:].isspace()}
+    out = {"kind": "word", "keys": [], "names": [], "typical": "", "sign": bool(CUT_SIGN.search(text.rstrip()[-64:])), "trail": text[-1:].isspace()}
     if mode == "structured" or core.lstrip().startswith("{"):
         state, names = json_state(core)
         if state != "none":
