@@ -126,7 +126,7 @@ def commitment_ageout(state: DataFrame, origin: DataFrame, ordinals: DataFrame,
     """state with age_segments and aged_out: open commitments last touched `max_segments` segments ago or more; 0 turns it off, no provenance keeps."""
     newest = ordinals.groupBy("chat_id").agg(F.max("ordinal").alias("newest"))
     touched = origin.where("kind = 'commitment'").select("chat_id", F.col("key").alias("commitment_id"), "ordinal")
-    aged = state.join(touched, ["chat_id", "commitment_id"], "left").join(newest, "chat_id", "left").withColumn("age_segments", F.greatest(F.lit(0).cast("bigint"), F.col("newest") - F.col("ordinal")))
+    aged = state.join(touched, ["chat_id", "commitment_id"], "left").join(newest, "chat_id", "left").withColumn("age_segments", F.when(F.col("ordinal").isNotNull(), F.greatest(F.lit(0).cast("bigint"), F.col("newest") - F.col("ordinal"))))
     out = F.col("status").isin(*OPEN_COMMITMENTS) & F.coalesce(F.col("age_segments") >= max_segments, F.lit(False)) & F.lit(max_segments > 0)
     return aged.withColumn("aged_out", out).drop("ordinal", "newest")
 

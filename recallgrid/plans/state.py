@@ -137,7 +137,7 @@ _PROVENANCE = f"""
 prov as (select chat_id, 'commitment' as kind, {_ID} as key, arg_max(segment_id, ordinal) as segment_id, max(ordinal) as ordinal, arg_max(last_index, ordinal) as last_index
          from commitments join ords using (chat_id, segment_id) where {_IN} group by all)"""
 _AGED = """
-aged as (select c.*, greatest(0, n.newest - p.ordinal) as age_segments, c.status in ('active', 'made', 'unknown') and coalesce(greatest(0, n.newest - p.ordinal) >= 8, false) and p.ordinal is not null as aged_out
+aged as (select c.*, case when p.ordinal is not null then greatest(0, n.newest - p.ordinal) end as age_segments, c.status in ('active', 'made', 'unknown') and coalesce(greatest(0, n.newest - p.ordinal) >= 8, false) and p.ordinal is not null as aged_out
   from cm c left join prov p on p.chat_id = c.chat_id and p.key = c.commitment_id left join (select chat_id, max(ordinal) as newest from ords group by all) n on n.chat_id = c.chat_id)"""
 _RELATIONS = """
 rel as (select chat_id, array_to_string(list_sort(participants), '|') as pair, dimension, rel_change_id as seq, operation as op, value from relationship_changes where participants is not null and dimension is not null),

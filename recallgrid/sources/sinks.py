@@ -24,12 +24,12 @@ def publish(df: DataFrame, root: str, partition_by: list[str] | None = None) ->
     target = f"{root}/{name}"
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(target)
-    staged = Path(f"{root}/_current.{name}")
+    staged = Path(f"{root}/CURRENT.{name}")
     out = fs.create(staged, True)
     out.writeBytes(name)
     out.close()
-    fs.delete(Path(f"{root}/_current"), False)
-    if not fs.rename(staged, Path(f"{root}/_current")):
+    fs.delete(Path(f"{root}/CURRENT"), False)
+    if not fs.rename(staged, Path(f"{root}/CURRENT")):
         raise OSError(f"could not publish {target}")
     return target
 
@@ -37,7 +37,7 @@ def publish(df: DataFrame, root: str, partition_by: list[str] | None = None) ->
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The version of a table that its pointer names; where a crash left none, the last complete one."""
     fs, Path = _fs(spark, root)
-    pointer = Path(f"{root}/_current")
+    pointer = Path(f"{root}/CURRENT")
     if fs.exists(pointer):
         name = spark.read.text(pointer.toString()).first()[0]
     else:
