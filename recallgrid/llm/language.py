@@ -37,6 +37,7 @@ CODE = re.compile(r"```.*?(?:```|\Z)|<[^<>\n]{1,200}>|https?://\S+|\bwww\.\S+|\S
 SPEAKER = re.compile(r"(?m)^[ \t]*[^\W\d_][^\n:]{0,40}:(?=\s|$)")
 QUOTE = re.compile(r"[“„«”\"]\s*([^“”„«»\"\n]{12,}?)\s*[”“»\"]")
 SENTENCE = re.compile(r"[^.!?…\n]+[.!?…]*[”“»\"’')\]]*")
+MARKS = re.compile(r"[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 WORD = re.compile(r"[^\W\d_]+")
 
 #: A part has a say in the language of a text from this many words and letters on.
@@ -51,8 +52,7 @@ for _i, _c in enumerate(LETTERS):
 
 def letters(text: str) -> str:
     """Lower-case letters without accents, all else as single blanks, a blank at either end."""
-    s = unicodedata.normalize("NFKD", text).lower()
-    s = "".join(c for c in s if not unicodedata.combining(c))
+    s = text.lower() if text.isascii() else MARKS.sub("", unicodedata.normalize("NFKD", text).lower())
     return " " + " ".join(WORD.findall(s)) + " "
 
 
@@ -111,12 +111,12 @@ class Scorer:
 
     def cosines(self, parts: list[str]) -> np.ndarray:
         """parts x languages; 0 for a part without letters. n-gram vectors being nearly orthogonal, a bundle's squared length is taken as the sum of its squared counts times DIMENSIONS."""
-        grams = [trigrams(p) for p in parts]
-        sizes = np.array([len(g) for g in grams])
         out = np.zeros((len(parts), len(self.languages)))
-        if not sizes.sum():
+        numbers, part = trigrams("".join(parts)), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        if not len(numbers):
             return out
-        numbers, part = np.concatenate(grams), np.repeat(np.arange(len(parts)), sizes)
+        inside = part[:-2] == part[2:]  # windows over the end of a part are none of its own
+        numbers, part = numbers[inside], part[:-2][inside]
         keys, n = np.unique(part * np.int64(K**3) + numbers, return_counts=True)
         gram, part = keys % K**3, keys // K**3
         new = np.unique(gram)
