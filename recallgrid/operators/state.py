@@ -93,10 +93,10 @@ def salient_negatives(rows: DataFrame, pattern: str = r"(?i)\b(nobody|never|not|
 def conflicts(claims: DataFrame) -> DataFrame:
     """chat_id, subject, property, seq, earlier, later: the last claim of each property that contradicts the claim before it.
 
-    claims: chat_id, seq, subject, property, value, superseding. Values are compared as text.
+    claims: chat_id, seq, subject, property, value, superseding; seq distinct within a property. Values are compared as text. Rows without chat, subject, property or seq are left out.
     """
-    order = Window.partitionBy("chat_id", "subject", "property").orderBy("seq")
-    before = claims.withColumn("earlier", F.lag("value").over(order))
+    told = claims.where("chat_id is not null and subject is not null and property is not null and seq is not null").withColumn("__v", F.struct("seq", "value"))
+    before = running(told, ["chat_id", "subject", "property"], "seq", [("max", "__v", "__before")]).withColumn("earlier", F.col("__before.value"))
     clash = before.where("earlier is not null and value is not null and earlier <> value and not superseding")
     last = clash.groupBy("chat_id", "subject", "property").agg(F.max(F.struct("seq", "earlier", F.col("value").alias("later"))).alias("m"))
     return last.select("chat_id", "subject", "property", "m.seq", "m.earlier", "m.later")
