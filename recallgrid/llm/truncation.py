@@ -25,6 +25,7 @@ CUT_SIGN = re.compile(r"(?:\[(?:\.{3}|…)\]|\((?:\.{3}|…)\)|\((?:continued|tr
 #: Words that close a text.
 CLOSING = {"END", "FIN", "ENDE", "FINE", "FIM", "EINDE", "FINIS", "КОНЕЦ", "THE END"}
 TERMINAL = re.compile(r"[.!?。！？][\"'”“’»)\]*_]*\Z")
+ENDINGS = frozenset(".!?。！？\"'”“’»)]*_")
 CLOSED_QUOTE = re.compile(r"[^\W_][”»\"]\Z")
 TAG = re.compile(r"^\s*\[([A-Z][A-Z _]*)\]\s*$")
 FIELD = re.compile(r"(?:^\s*-\s*|\|\s*)([A-Za-z_]+)\s*=")
@@ -124,26 +125,35 @@ def word_keys(before: str, last: str, kind: str) -> list[str]:
 
 
 def count_words(text: str, kind: str, into: Counter) -> None:
-    """Adds, for the words of a text, how often their keys end a sentence (`True`) and how often they go on.
+    """Adds, for each word of a text behind the class of the word before, how often it ends a sentence (`True`) and how often the text goes on.
 
     The last word counts only if a full stop or the like follows it; `text` has nothing put behind it any more.
     """
     lines = text.split("\n")
     for n, line in enumerate(lines):
-        tokens = _tokens(line)
+        tokens, before = _tokens(line), ""
+        last = len(tokens) - 1
         for i, token in enumerate(tokens):
-            ends = bool(TERMINAL.search(token))
-            if i == len(tokens) - 1 and n == len(lines) - 1 and not ends:
-                continue
-            if kind == "t" and i == len(tokens) - 1:
-                ends = True
-            word, before = _bare(token), _bare(tokens[i - 1]) if i else ""
-            keys = word_keys(before, word, kind)
-            for key in keys[:3]:
-                if key:
-                    into[key, ends] += 1
-            for k in range(1, min(len(word), 24)):
-                into[f"{kind}x {_class(before)} {word[:k]}", False] += 1
+            word = _bare(token)
+            ends = token[-1:] in ENDINGS and bool(TERMINAL.search(token))
+            if i == last and not ends:
+                if n == len(lines) - 1:
+                    continue
+                ends = kind == "t"
+            into[kind, _class(before), word, ends] += 1
+            before = word
+
+
+def keys_of_words(words: DataFrame) -> DataFrame:
+    """key, ends, goes_on: the keys of `word_keys` that counted words (kind, behind, word, ends, goes_on) add to, those of all beginnings of a word included."""
+    kind, behind, word = F.col("kind"), F.col("behind"), F.col("word")
+    first = F.left(word, F.lit(1))
+    capital = (F.upper(first) == first) & (F.lower(first) != first)
+    own = F.array(F.concat(kind, F.lit("u "), word), F.concat(kind, F.lit("b "), behind, F.lit(" "), word))
+    size = F.least(F.length(word), F.lit(24))
+    beginnings = F.when(size > 1, F.transform(F.sequence(F.lit(1), size - 1), lambda k: F.concat(kind, F.lit("x "), behind, F.lit(" "), F.left(word, k)))).otherwise(F.array().cast("array<string>"))
+    whole = words.select(F.explode(F.when(capital, F.array_append(own, F.concat(kind, F.lit("c "), behind))).otherwise(own)).alias("key"), "ends", "goes_on")
+    return whole.unionByName(words.select(F.explode(beginnings).alias("key"), F.lit(0).cast("bigint").alias("ends"), (F.col("ends") + F.col("goes_on")).alias("goes_on")))
 
 
 def ending(text: str, mode: str | None) -> dict:
@@ -188,6 +198,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("segment_row_id"), b.column("source_model"), b.column("field_name"), *made], [f.split()[0] for f in FEATURES.split(", ")])
 
 
+WORDS = "kind string, behind string, word string, ends bigint, goes_on bigint"
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         counts: Counter = Counter()
@@ -197,8 +210,9 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 count_words(core, "t", counts)
             elif not core.startswith(("{", "```")) and mode != "structured":
                 count_words(core, "p", counts)
-        keys = sorted({k for k, _ in counts})
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[k, True] for k in keys], pa.int64()), pa.array([counts[k, False] for k in keys], pa.int64())], ["key", "ends", "goes_on"])
+        keys = sorted({k[:3] for k in counts})
+        columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([counts[(*k, ends)] for k in keys], pa.int64()) for ends in (True, False)]
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in WORDS.split(", ")])
 
 
 def fit_censored(lengths: np.ndarray, n: np.ndarray, limit: float) -> tuple[float, float]:
@@ -292,7 +306,9 @@ def judge_texts(segments: DataFrame) -> DataFrame:
     """
     texts = spread(stored_texts(segments))
     found = cut(texts.mapInArrow(_features, FEATURES))
-    counts = texts.mapInArrow(_word_counts, "key string, ends bigint, goes_on bigint").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+    words = texts.mapInArrow(_word_counts, WORDS).groupBy("kind", "behind", "word").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+    wanted = found.where(F.size("keys") > 0).select(F.explode("keys").alias("key")).where("key <> ''").distinct()
+    counts = keys_of_words(words).join(wanted, "key", "left_semi").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
 
     # names that most outputs of a kind have: a handful, whatever the input's size
     kinds = found.where("typical <> ''").groupBy("typical").agg(F.count("*").alias("n"))
