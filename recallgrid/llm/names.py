@@ -258,10 +258,13 @@ def link_edges(names: DataFrame) -> DataFrame:
     """
     kind = dict(names.dtypes)["chat_id"]
     banded = spread(names.select("chat_id", "name")).mapInArrow(_banded, f"chat_id {kind}, name string, keys array<bigint>")
-    keyed = cut(banded.select("chat_id", "name", F.posexplode("keys").alias("band", "key")))
-    pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.chat_id") == F.col("y.chat_id")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.name") < F.col("y.name")))
-    distinct = pairs.select("x.chat_id", F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
-    good = cut(distinct.mapInArrow(_verified, f"chat_id {kind}, a string, b string, s double"))
+    # 64-bit stand-ins for chat and name, and for chat, band and key: two numbers a row are shuffled. Stand-ins that happen to be equal cost a comparison, no more
+    marked = banded.select(F.xxhash64("chat_id", "name").alias("id"), F.xxhash64("chat_id").alias("chat"), F.posexplode("keys").alias("band", "key"))
+    keyed = cut(marked.select("id", F.xxhash64("chat", "band", "key").alias("bucket")))
+    meet = keyed.alias("x").join(keyed.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b")).distinct()
+    told = names.select(F.xxhash64("chat_id", "name").alias("id"), "chat_id", "name")
+    pairs = meet.join(told.select(F.col("id").alias("id_a"), "chat_id", F.col("name").alias("a")), "id_a").join(told.select(F.col("id").alias("id_b"), F.col("chat_id").alias("chat_b"), F.col("name").alias("b")), "id_b").where("chat_id = chat_b")
+    good = cut(pairs.select("chat_id", "a", "b").mapInArrow(_verified, f"chat_id {kind}, a string, b string, s double"))
     return good.unionByName(good.select("chat_id", F.col("b").alias("a"), F.col("a").alias("b"), "s"))
 
 
