@@ -182,7 +182,8 @@ def ending(text: str, mode: str | None) -> dict:
         return out | {"kind": "closing_sign"}
     if end[-1] in ",;:—–-“„«([/" or not _bare(words[-1]):
         return out | {"kind": "mid_clause"}
-    return out | {"keys": word_keys(_bare(words[-2]) if len(words) > 1 else "", _bare(words[-1]), "p"), "kind": "word" if not CLOSED_QUOTE.search(end) else "quoted_word"}
+    # a word by itself has nothing before it that could tell
+    return out | {"keys": word_keys(_bare(words[-2]), _bare(words[-1]), "p") if len(words) > 1 else [], "kind": "word" if not CLOSED_QUOTE.search(end) else "quoted_word"}
 
 
 FEATURES = "segment_row_id bigint, source_model string, field_name string, chars int, bytes int, kind string, keys array<string>, names array<string>, typical string, sign boolean, trail boolean"
@@ -322,7 +323,7 @@ def judge_texts(segments: DataFrame) -> DataFrame:
     at = lambda c, i: F.coalesce(F.col(f"{c}{i}"), F.lit(0))
     with_words = checked.join(seen, id_, "left")
     known, pair, beginning = (at("ends", i) + at("goes_on", i) for i in (0, 1, 3))
-    capital = F.element_at("keys", 3) != ""
+    capital = F.coalesce(F.get("keys", 2) != "", F.lit(False))
     # share of sentence ends after the word: that after the pair, drawn towards that of the word (of capitalised words there) where pairs are few
     alone = (at("ends", 0) + 0.3) / (known + 1.0)
     capitals = (at("ends", 2) + 0.3) / (at("ends", 2) + at("goes_on", 2) + 1.0)
