@@ -258,7 +258,7 @@ def fit_profiles(documents: DataFrame, per_language: int = 400, most_chars: int
     sentences = [(r["code"], p.text) for r in sorted(rows) for p in parts(r["t"]) if p.words >= MIN_WORDS]
     kept = sentences
     profiles = None
-    for _ in range(3):
+    for _ in range(2):
         counts: dict[str, Counter] = {}
         for code, text in kept:
             counts.setdefault(code, Counter()).update(trigrams(text).tolist())
