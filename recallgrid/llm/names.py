@@ -100,11 +100,11 @@ def token_similarity(a: str, b: str) -> float:
     longs = _LONG.get(x, set())
     if longs and (y in longs or longs & _LONG.get(y, set()) or any(edits(f, y, 2 if len(f) > 6 else 1) <= (2 if len(f) > 6 else 1) for f in longs)):
         return 0.95
-    most = 0 if len(y) < 4 else 1 if len(y) < 7 else 2
+    most = (1 if len(x) == 3 and x[0] == y[0] and not {x, y} & _SHORT else 0) if len(y) < 4 else 1 if len(y) < 7 else 2
     d = edits(x, y, most)
     if d <= most:
         return 1 - d / len(y)
-    if len(x) <= 4 and y[0] == x[0] and (y.startswith(x) or (a.endswith(".") or len(x) <= 4 and x in ("stn", "hse", "brdg", "bros", "mkt", "bldg", "soc", "inst", "auth")) and _within(x, y)):
+    if len(x) <= 4 and y[0] == x[0] and (y.startswith(x) or (a.endswith(".") or x in ("hse", "bros", "soc", "inst", "auth") or not set("aeiou") & set(x)) and _within(x, y)):
         return 0.9
     if y.startswith(x) and len(x) >= 3:
         return 0.88
@@ -134,6 +134,9 @@ def monge_elkan(a: list[str], b: list[str]) -> float:
         if s > 0 and i not in of_a and j not in used:
             of_a[i], partner[i] = s, b[j]
             used.add(j)
+    left = any(len(y.rstrip(".")) >= 3 for j, y in enumerate(b) if j not in used)
+    if left and any(len(partner[i].rstrip(".")) == 1 < len(a[i].rstrip(".")) for i in of_a):
+        return 0.0  # a middle initial beside a given name of its own stands for no other given name
     weight = total = 0.0
     strong = False
     for i, x in enumerate(a):
