@@ -12,19 +12,21 @@ from ..functions.runtime import running
 DEFAULT_POLICY = ("user", "assistant")
 
 
-def latest_messages(messages: DataFrame) -> DataFrame:
+def latest_messages(messages: DataFrame, *columns: str) -> DataFrame:
     """One row per (chat_id, message_index): of several arrived copies the last ingested (ties: the largest message_id).
 
-    Roles are user, assistant or system; system rows count as hidden. Null texts and names are empty, a null hidden flag is false.
+    Columns: message_id, role, name, text, hidden, swipe_id, boundary_hint, send_date, n_tokens, or those of them named, so that texts aren't moved where only their
+    counts matter. Roles are user, assistant or system; system rows count as hidden. Null texts and names are empty, a null hidden flag is false.
     `n_tokens` is counted from the text, whatever the stored count says. Rows without chat or index are left out.
     """
-    usable = messages.where("chat_id is not null and message_index is not null")
-    row = F.struct("ingested_at", "message_id", "role", "name", "text", "hidden", "swipe_id", "boundary_hint", "send_date")
-    best = usable.groupBy("chat_id", "message_index").agg(F.max(row).alias("m")).select("chat_id", "message_index", "m.*")
-    return best.select(
-        "chat_id", "message_index", "message_id", F.coalesce("role", F.lit("assistant")).alias("role"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text"),
-        (F.coalesce("hidden", F.lit(False)) | F.coalesce(F.col("role") == "system", F.lit(False))).alias("hidden"), F.coalesce("swipe_id", F.lit(0)).alias("swipe_id"), "boundary_hint", "send_date", tokens(F.col("text")).alias("n_tokens"),
-    )
+    made = {
+        "role": F.coalesce("role", F.lit("assistant")), "name": F.coalesce("name", F.lit("")), "text": F.coalesce("text", F.lit("")),
+        "hidden": F.coalesce("hidden", F.lit(False)) | F.coalesce(F.col("role") == "system", F.lit(False)), "swipe_id": F.coalesce("swipe_id", F.lit(0)), "boundary_hint": F.col("boundary_hint"), "send_date": F.col("send_date"), "n_tokens": tokens(F.col("text")),
+    }
+    wanted = [c for c in made if not columns or c in columns]
+    usable = messages.where("chat_id is not null and message_index is not null").select("chat_id", "message_index", "ingested_at", "message_id", *(made[c].alias(c) for c in wanted))
+    best = F.max(F.struct("ingested_at", "message_id", *wanted)).alias("m")
+    return usable.groupBy("chat_id", "message_index").agg(best).select("chat_id", "message_index", "m.message_id", *(F.col(f"m.{c}").alias(c) for c in wanted))
 
 
 def policy_filter(messages: DataFrame, include_hidden: bool = False, include_system: bool = False, include_user: bool = True, include_assistant: bool = True) -> DataFrame:
@@ -61,15 +63,16 @@ def turn_bundles(messages: DataFrame) -> DataFrame:
 def bundle_hashes(messages: DataFrame) -> DataFrame:
     """chat_id, bundle_no, first_index, last_index, exact_hash, narrative_hash of every bundle.
 
-    The exact hash covers index, role, name, text, hidden flag and swipe of its messages in order; the narrative hash their `narrative_form`.
-    A digest of each message is made first, so that what a bundle gathers is small.
+    The exact hash covers index, role, name, text, hidden flag and swipe of its messages; the narrative hash their `narrative_form`. A
+    digest of each message, which holds its index, is cut in two numbers of 52 bits; their sums over the bundle make its hash, so that a bundle of any length is never gathered.
     """
     sep = F.lit("\x1f")
     index = F.col("message_index").cast("string")
     exact = F.md5(F.concat_ws("\x1f", index, "role", "name", "text", F.col("hidden").cast("string"), F.col("swipe_id").cast("string")))
     story = F.md5(F.concat(index, sep, F.col("role"), sep, narrative_form(F.col("name")), sep, narrative_form(F.col("text"))))
     rows = with_bundles(messages.withColumn("__e", exact).withColumn("__n", story).select("chat_id", "message_index", "role", "__e", "__n"))
-    digest = lambda c: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("message_index", c))), lambda s: s[c]), ""))
+    half = lambda c, at: F.sum(F.conv(F.substring(c, at, 13), 16, 10).cast("decimal(20,0)")).cast("string")
+    digest = lambda c: F.md5(F.concat_ws("-", half(c, 1), half(c, 14)))
     return rows.groupBy("chat_id", "bundle_no").agg(F.min("message_index").alias("first_index"), F.max("message_index").alias("last_index"), digest("__e").alias("exact_hash"), digest("__n").alias("narrative_hash"))
 
 

@@ -124,6 +124,15 @@ def hybrid_top_k(artifacts: DataFrame, lexical: DataFrame, semantic: DataFrame |
     return top_k(scored.select(*keys, zero(F.col("lexical")).alias("lexical"), zero(F.col("semantic")).alias("semantic"), zero(F.col("boost")).alias("boost"), "recency", "score"), k)
 
 
+def keys_of_documents(documents: DataFrame, families: dict[str, DataFrame]) -> DataFrame:
+    """doc_id, kind, key: the distinct keys a document is found by besides its words. documents: doc_id, segment_id; families, by kind: segment_id, key."""
+    rows = None
+    for kind, df in families.items():
+        part = df.where("key is not null").select("segment_id", F.lit(kind).alias("kind"), "key")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.distinct().join(documents.select("doc_id", "segment_id"), "segment_id").select("doc_id", "kind", "key")
+
+
 def key_boosts(document_keys: DataFrame, query_keys: DataFrame, exact_boost: float = 2.0) -> DataFrame:
     """query_id, doc_id, boost: matches of keys. *_keys: doc_id or query_id, kind, key; distinct.
 

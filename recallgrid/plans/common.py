@@ -9,8 +9,8 @@ from ..operators import bundles
 from ..sources import table
 
 
-def messages(spark: SparkSession, d: str) -> DataFrame:
-    return bundles.latest_messages(table(spark, d, "messages"))
+def messages(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return bundles.latest_messages(table(spark, d, "messages"), *columns)
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:

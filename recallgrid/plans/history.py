@@ -14,7 +14,7 @@ RAW_BUDGET = 1200
 
 
 def message_policy(spark: SparkSession, d: str) -> DataFrame:
-    return B.policy_filter(messages(spark, d)).select("chat_id", "message_index", "role", "n_tokens")
+    return B.policy_filter(messages(spark, d, "role", "hidden", "n_tokens")).select("chat_id", "message_index", "role", "n_tokens")
 
 
 def token_audit(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +22,7 @@ def token_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def turn_bundles(spark: SparkSession, d: str) -> DataFrame:
-    return B.turn_bundles(messages(spark, d))
+    return B.turn_bundles(messages(spark, d, "role", "n_tokens"))
 
 
 def bundle_hashes(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +36,7 @@ def bundle_integrity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def raw_foreground(spark: SparkSession, d: str) -> DataFrame:
-    return B.raw_foreground(B.policy_filter(messages(spark, d)), RAW_BUDGET)
+    return B.raw_foreground(B.policy_filter(messages(spark, d, "role", "hidden", "n_tokens")), RAW_BUDGET)
 
 
 def foreground_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -44,15 +44,15 @@ def foreground_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def compaction_frontier(spark: SparkSession, d: str) -> DataFrame:
-    return B.compaction_frontier(B.policy_filter(messages(spark, d)), foreground_summary(spark, d), RAW_BUDGET)
+    return B.compaction_frontier(B.policy_filter(messages(spark, d, "role", "hidden", "n_tokens")), foreground_summary(spark, d), RAW_BUDGET)
 
 
 def segment_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return B.segment_coverage(segments(spark, d), messages(spark, d))
+    return B.segment_coverage(segments(spark, d), messages(spark, d, "role"))
 
 
 def uncovered_islands(spark: SparkSession, d: str) -> DataFrame:
-    return B.uncovered_islands(messages(spark, d), segments(spark, d).where("status = 'valid'"))
+    return B.uncovered_islands(messages(spark, d, "n_tokens"), segments(spark, d).where("status = 'valid'"))
 
 
 def timeline_page(spark: SparkSession, d: str) -> DataFrame:
@@ -74,10 +74,12 @@ _STORY = r"regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), '
 def _hashes(source: str, out: str) -> str:
     bundled = SQL_BUNDLED.replace("from lm", f"from {source}").replace("b0", f"{out}_b0").replace("bundled", f"{out}_b")
     return bundled + f""",
+{out}_d as (select chat_id, bundle_no, message_index, md5(concat_ws(chr(31), message_index::varchar, role, name, text, hidden::varchar, swipe_id::varchar)) as e,
+  md5(message_index::varchar || chr(31) || role || chr(31) || {_STORY.format('name')} || chr(31) || {_STORY.format('text')}) as n from {out}_b),
 {out} as (select chat_id, bundle_no, min(message_index) as first_index, max(message_index) as last_index,
-  md5(string_agg(md5(concat_ws(chr(31), message_index::varchar, role, name, text, hidden::varchar, swipe_id::varchar)), '' order by message_index)) as exact_hash,
-  md5(string_agg(md5(message_index::varchar || chr(31) || role || chr(31) || {_STORY.format('name')} || chr(31) || {_STORY.format('text')}), '' order by message_index)) as narrative_hash
-  from {out}_b group by all)"""
+  md5(sum(('0x' || left(e, 13))::hugeint)::varchar || '-' || sum(('0x' || substr(e, 14, 13))::hugeint)::varchar) as exact_hash,
+  md5(sum(('0x' || left(n, 13))::hugeint)::varchar || '-' || sum(('0x' || substr(n, 14, 13))::hugeint)::varchar) as narrative_hash
+  from {out}_d group by all)"""
 
 
 _COVERED = "cov as (select chat_id, unnest(range(first_index, last_index + 1))::int as message_index from {0})"

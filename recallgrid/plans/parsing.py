@@ -94,7 +94,7 @@ def injectable_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_matches(spark: SparkSession, d: str) -> DataFrame:
-    return V.source_matches(segments(spark, d), messages(spark, d))
+    return V.source_matches(segments(spark, d), messages(spark, d, "role"))
 
 
 def before_raw(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +110,7 @@ def sensitive_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def message_health(spark: SparkSession, d: str) -> DataFrame:
-    return V.message_health(messages(spark, d), _eligible(spark, d), omitted_indices(spark, d))
+    return V.message_health(messages(spark, d, "role"), _eligible(spark, d), omitted_indices(spark, d))
 
 
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
@@ -147,11 +147,11 @@ def entity_propose(spark: SparkSession, d: str) -> DataFrame:
 
 
 def group_participants(spark: SparkSession, d: str) -> DataFrame:
-    return E.group_participants(messages(spark, d))
+    return E.group_participants(messages(spark, d, "role", "hidden", "name"))
 
 
 def speakers(spark: SparkSession, d: str) -> DataFrame:
-    return E.speakers(messages(spark, d), alias_registry(spark, d))
+    return E.speakers(messages(spark, d, "name"), alias_registry(spark, d))
 
 
 def segment_upsert(spark: SparkSession, d: str) -> DataFrame:

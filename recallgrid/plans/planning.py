@@ -17,12 +17,12 @@ TARGET, SOFT, HARD = 500, 700, 900
 
 
 def _bundle_units(spark: SparkSession, d: str) -> DataFrame:
-    m = messages(spark, d)
+    m = messages(spark, d, "role", "n_tokens", "boundary_hint")
     return P.bundle_units(B.turn_bundles(m), m)
 
 
 def segment_plan_messages(spark: SparkSession, d: str) -> DataFrame:
-    return P.plan_segments(P.message_units(messages(spark, d)), TARGET, SOFT, HARD)
+    return P.plan_segments(P.message_units(messages(spark, d, "role", "n_tokens", "boundary_hint")), TARGET, SOFT, HARD)
 
 
 def segment_plan_turns(spark: SparkSession, d: str) -> DataFrame:

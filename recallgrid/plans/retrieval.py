@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import STOP_WORDS
 from ..operators import registers as G
 from ..operators import retrieval as R
+from ..operators.state import commitment_id
 from ..sources import table
 from .common import SQL_SEGMENTS, segments, sql
 
@@ -114,8 +115,15 @@ def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Lookup by entity: how many documents hold each."""
-    return _entity_keys(spark, d).groupBy("kind", "key").agg(F.count("*").alias("n_documents"))
+    """Lookup by entity, commitment, relationship, thread and time: how many documents hold each key."""
+    families = {
+        "entity": table(spark, d, "entity_mentions").select("segment_id", F.col("proposed_entity_id").alias("key")),
+        "commitment": table(spark, d, "commitments").select("segment_id", commitment_id(F.col("actor"), F.col("toward"), F.col("content")).alias("key")),
+        "relationship": table(spark, d, "relationship_changes").where("participants is not null").select("segment_id", F.array_join(F.array_sort("participants"), "|").alias("key")),
+        "thread": table(spark, d, "state_changes").where(F.col("path").startswith("localThreads.")).select("segment_id", F.element_at(F.split("path", r"\."), 2).alias("key")),
+        "temporal": table(spark, d, "temporal_marks").select("segment_id", F.lower("description").alias("key")),
+    }
+    return R.keys_of_documents(_corpus(spark, d), families).groupBy("kind", "key").agg(F.count("*").alias("n_documents"))
 
 
 _RESULTS = """
@@ -173,5 +181,8 @@ SQL = {
     "retrieval_quality": sql(_COSINE, select=f"""select {TOP} as k, count(*) as n_queries, round(avg(case when expected > 0 then hits / expected else 1 end), 6) as recall_at_k, round(avg(case when returned > 0 then hits / returned else 0 end), 6) as precision_at_k, round(avg(coalesce(1 / first, 0)), 6) as mrr from (
         select q.vec_id, (select count(*) from embeddings e where e.label = q.label and e.vec_id <> q.vec_id) as expected, count(cs.doc_id) as returned, count(cs.doc_id) filter (e.label = q.label) as hits, min(place) filter (e.label = q.label) as first
         from embeddings q left join cs on cs.query_id = q.vec_id left join embeddings e on e.vec_id = cs.doc_id where q.vec_id % 50 = 0 group by q.vec_id, q.label)"""),
-    "document_keys": sql(SQL_SEGMENTS, _CORPUS, _KEYS, select="select kind, key, count(*) as n_documents from ek group by all"),
+    "document_keys": sql(SQL_SEGMENTS, _CORPUS, select="""select kind, key, count(*) as n_documents from (
+        select segment_id, 'entity' as kind, proposed_entity_id as key from entity_mentions union select segment_id, 'commitment', 'commit_' || left(md5(concat_ws('|', coalesce(actor, ''), coalesce(toward, ''), coalesce(content, ''))), 16) from commitments
+        union select segment_id, 'relationship', array_to_string(list_sort(participants), '|') from relationship_changes where participants is not null union select segment_id, 'thread', split_part(path, '.', 2) from state_changes where path like 'localThreads.%'
+        union select segment_id, 'temporal', lower(description) from temporal_marks) join co using (segment_id) where key is not null group by all"""),
 }

@@ -108,6 +108,14 @@ def checkpoints(spark: SparkSession, d: str) -> DataFrame:
     return S.checkpoints(rows.withColumn("row_hash", F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint")), 5)
 
 
+def resume_points(spark: SparkSession, d: str) -> DataFrame:
+    """Where replay may resume if every chat is to be replayed from its segment 12 on, with chats of odd length changed at their first segment."""
+    now = checkpoints(spark, d)
+    lasts = now.groupBy("chat_id").agg(F.max("frontier").alias("n"))
+    kept = now.join(lasts, "chat_id").withColumn("prefix_fingerprint", F.col("prefix_fingerprint") + F.col("n") % 2).drop("n")
+    return S.resume_point(kept, now, lasts.select("chat_id", F.lit(12).alias("start_ordinal")))
+
+
 def delta_counts(spark: SparkSession, d: str) -> DataFrame:
     """Per chat and family, the records of valid segments."""
     valid = segments(spark, d).where("status = 'valid'").select("segment_id")
@@ -154,7 +162,13 @@ th as (select chat_id, key, arg_max(v, change_seq) as description, case arg_max(
   where lower(key) not in ('love', 'life', 'drama', 'tension') group by all)"""
 _FACTS = "wf as (select chat_id, description as fact, arg_max_null(kind, (coalesce(stated_at, timestamp '0001-01-01'), mark_id)) as value from temporal_marks where description is not null group by all)"
 
-QUERIES = {f.__name__: f for f in (preference_gate, world_facts, knowledge, relationships, commitments, threads, salient_negatives, conflicts, segment_ordinals, provenance, commitment_ageout, state_projection, checkpoints, delta_counts)}
+_CHECKPOINTS = """select chat_id, ordinal as frontier, segment_id, (s % 2305843009213693951)::bigint as prefix_fingerprint from (
+        select *, sum((h * 8191 + ordinal * 131071) % 1099511627689) over (partition by chat_id order by ordinal) as s, max(ordinal) over (partition by chat_id) as last from (
+          select chat_id, segment_id, row_number() over (partition by chat_id order by first_index, segment_id) as ordinal,
+            ('0x' || left(md5(concat_ws('|', segment_id, status, coalesce(strftime(updated_at, '%Y%m%d%H%M%S%f'), ''))), 12))::bigint as h
+          from sg where status = 'valid' and synopsis is not null)) where ordinal % 5 = 0 or ordinal = last"""
+
+QUERIES = {f.__name__: f for f in (preference_gate, world_facts, knowledge, relationships, commitments, threads, salient_negatives, conflicts, segment_ordinals, provenance, commitment_ageout, state_projection, checkpoints, resume_points, delta_counts)}
 
 SQL = {
     "preference_gate": sql(_CHANGES, select="""select chat_id, change_seq, subject, path, repeated, case split_part(path, '.', 1)
@@ -188,11 +202,8 @@ SQL = {
             union all select chat_id, 'world_fact', fact, 'World fact: ' || fact, 100 from wf) i
           left join prov p on p.chat_id = i.chat_id and p.kind = i.kind and p.key = i.key) where place <= 40""",
     ),
-    "checkpoints": sql(SQL_SEGMENTS, select="""select chat_id, ordinal as frontier, segment_id, (s % 2305843009213693951)::bigint as prefix_fingerprint from (
-        select *, sum((h * 8191 + ordinal * 131071) % 1099511627689) over (partition by chat_id order by ordinal) as s, max(ordinal) over (partition by chat_id) as last from (
-          select chat_id, segment_id, row_number() over (partition by chat_id order by first_index, segment_id) as ordinal,
-            ('0x' || left(md5(concat_ws('|', segment_id, status, coalesce(strftime(updated_at, '%Y%m%d%H%M%S%f'), ''))), 12))::bigint as h
-          from sg where status = 'valid' and synopsis is not null)) where ordinal % 5 = 0 or ordinal = last"""),
+    "checkpoints": sql(SQL_SEGMENTS, select=_CHECKPOINTS),
+    "resume_points": sql(SQL_SEGMENTS, select=f"select chat_id, max(frontier) as frontier from (select *, max(frontier) over (partition by chat_id) as n from ({_CHECKPOINTS})) where n % 2 = 0 and frontier <= 12 group by all"),
     "delta_counts": sql(SQL_SEGMENTS, select="""select chat_id, family, count(*) as n from (
         select chat_id, segment_id, 'commitments' as family from commitments union all select chat_id, segment_id, 'relationship_changes' from relationship_changes union all select chat_id, segment_id, 'temporal_marks' from temporal_marks
         union all select chat_id, segment_id, 'episode_events' from episode_events union all select chat_id, segment_id, 'state_changes' from state_changes union all select chat_id, segment_id, 'entity_mentions' from entity_mentions)

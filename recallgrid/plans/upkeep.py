@@ -29,7 +29,7 @@ def context_budgets(spark: SparkSession, d: str) -> DataFrame:
 def _raw(spark: SparkSession, d: str) -> DataFrame:
     """Characters of each chat's raw part, a message a line, with who says it."""
     kept = raw_foreground(spark, d).select("chat_id", "message_index")
-    m = messages(spark, d).join(kept, ["chat_id", "message_index"], "left_semi")
+    m = messages(spark, d, "role", "name", "text").join(kept, ["chat_id", "message_index"], "left_semi")
     line = F.length("role") + F.length("name") + F.length("text") + 6
     return m.groupBy("chat_id").agg(F.sum(line).alias("raw_chars"))
 
@@ -70,7 +70,7 @@ def omitted_indices(spark: SparkSession, d: str) -> DataFrame:
 
 def virtualized(spark: SparkSession, d: str) -> DataFrame:
     first = foreground_summary(spark, d).select("chat_id", F.col("first_index").alias("raw_first"))
-    return C.virtualize(messages(spark, d), omitted_indices(spark, d), first)
+    return C.virtualize(messages(spark, d, "role"), omitted_indices(spark, d), first)
 
 
 def external_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -79,10 +79,11 @@ def external_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompt_audit(spark: SparkSession, d: str) -> DataFrame:
-    """The longest synopsis of each chat looked up among all of the chat's synopses, joined."""
-    s = segments(spark, d).where("status = 'valid' and length(synopsis) > 0 and chat_id is not null")
-    prompts = s.groupBy("chat_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_index", "segment_id", "synopsis"))), lambda x: x["synopsis"]), "\n").alias("prompt"))
-    blocks = s.groupBy("chat_id").agg(F.max(F.struct(F.length("synopsis"), "synopsis")).alias("m")).select("chat_id", F.col("m.synopsis").alias("block"))
+    """The longest message of each chat's raw part looked up in that part, which a budget bounds."""
+    kept = raw_foreground(spark, d).select("chat_id", "message_index")
+    m = messages(spark, d, "text").join(kept, ["chat_id", "message_index"], "left_semi")
+    prompts = m.groupBy("chat_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("message_index", "text"))), lambda x: x["text"]), "\n").alias("prompt"))
+    blocks = m.groupBy("chat_id").agg(F.max(F.struct(F.length("text"), "text")).alias("m")).select("chat_id", F.col("m.text").alias("block"))
     return C.prompt_audit(prompts, blocks)
 
 
@@ -95,7 +96,7 @@ def extraction_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edits(spark: SparkSession, d: str) -> DataFrame:
-    return messages(spark, d).groupBy("chat_id").agg(F.floor(F.max("message_index") * 2 / 3).cast("int").alias("edit_index"))
+    return messages(spark, d, "role").groupBy("chat_id").agg(F.floor(F.max("message_index") * 2 / 3).cast("int").alias("edit_index"))
 
 
 def invalidated(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +110,7 @@ def shifted_ranges(spark: SparkSession, d: str) -> DataFrame:
 def branch_select(spark: SparkSession, d: str) -> DataFrame:
     fp = F.md5(F.concat_ws("|", F.col("swipe_id").cast("string"), F.coalesce("text", F.lit(""))))
     raw = table(spark, d, "messages").select("chat_id", "message_index", "message_id", fp.alias("fingerprint"))
-    latest = messages(spark, d).select("message_id")
+    latest = messages(spark, d, "role").select("message_id")
     return M.select_branch(raw.join(latest, "message_id", "left_semi"), raw.join(latest, "message_id", "left_anti"))
 
 
@@ -263,9 +264,9 @@ SQL = {
     "external_budget": """select *, least(measured_tokens, 2048) as reserve from (select chat_id, count(*) filter (not coalesce(lang = 'xx', false) and length(text) > 0) as n_entries,
           coalesce(sum(ceil(length(text) / 4)) filter (not coalesce(lang = 'xx', false) and length(text) > 0), 0)::bigint as measured_tokens
         from documents where source in ('lorebook', 'author_note', 'character_card') and chat_id is not null group by all)""",
-    "prompt_audit": sql(SQL_SEGMENTS, select="""select chat_id, n as occurrences, case when n = 1 then 'verified' when n > 1 then 'mismatch' else 'missing' end as outcome from (
-        select chat_id, ((length(prompt) - length(replace(prompt, block, ''))) // length(block))::bigint as n from (
-          select chat_id, string_agg(synopsis, chr(10) order by first_index, segment_id) as prompt, arg_max(synopsis, (length(synopsis), synopsis)) as block from sg where status = 'valid' and length(synopsis) > 0 and chat_id is not null group by all))"""),
+    "prompt_audit": sql(SQL_MESSAGES, SQL_POLICY, _FOREGROUND, select="""select chat_id, n as occurrences, case when n = 1 then 'verified' when n > 1 then 'mismatch' else 'missing' end as outcome from (
+        select chat_id, case when length(block) > 0 then ((length(prompt) - length(replace(prompt, block, ''))) // length(block))::bigint else 0 end as n from (
+          select chat_id, string_agg(text, chr(10) order by message_index) as prompt, arg_max(text, (length(text), text)) as block from lm join (select chat_id, message_index from fg) using (chat_id, message_index) group by all))"""),
     "extraction_history": sql(
         SQL_SEGMENTS,
         """eh as (select chat_id, segment_id as item, ceil(length(coalesce(synopsis, '')) / 4)::bigint as t, row_number() over (partition by chat_id order by last_index desc, first_index desc, segment_id) as place from sg where status = 'valid' and chat_id is not null),
@@ -296,6 +297,14 @@ SQL = {
         select="""select chat_id, first_index, last_index, 'kept' as origin from cu where protected or not exists (select 1 from pl where pl.chat_id = cu.chat_id and pl.first_index <= cu.last_index and pl.last_index >= cu.first_index)
           union all select chat_id, first_index, last_index, 'promoted' from pl where not exists (select 1 from cu where protected and pl.chat_id = cu.chat_id and pl.first_index <= cu.last_index and pl.last_index >= cu.first_index)""",
     ),
+    "reusable_segments": sql(
+        """rk as (select chat_id, segment_row_id as segment_id, first_index as f, last_index as l, row_number() over (partition by chat_id order by coalesce(manually_edited, false) desc, first_index, updated_at desc nulls last, segment_row_id desc) as i
+          from segments where status = 'valid' and prompt_version = 3 and chat_id is not null and first_index <= last_index)""",
+        """wk as (select distinct chat_id, 0::bigint as i, []::struct(f int, l int)[] as taken, null::bigint as segment_id from rk
+          union all select chat_id, i, case when ok then list_append(taken, {'f': f, 'l': l}) else taken end, case when ok then segment_id end
+          from (select r.chat_id, r.i, r.f, r.l, r.segment_id, w.taken, len(list_filter(w.taken, lambda x: r.f <= x.l and r.l >= x.f)) = 0 as ok from wk w join rk r on r.chat_id = w.chat_id and r.i = w.i + 1))""",
+        select="select chat_id, segment_id from wk where segment_id is not null",
+    ),
     "rebuild_merge": sql(SQL_SEGMENTS, "o as (select chat_id, first_index, last_index, synopsis, manually_edited as manual from sg where chat_id is not null)", select="""
         select chat_id, first_index, last_index, coalesce(h.s, n.synopsis) as synopsis, h.s is not null as manual from (select chat_id, first_index, last_index, upper(synopsis) as synopsis from o where not manual or first_index % 2 = 0) n
         full join (select chat_id, first_index, last_index, max(synopsis) as s from o where manual group by all) h using (chat_id, first_index, last_index)"""),
@@ -308,6 +317,16 @@ SQL = {
         round(coalesce(sum(c) filter (mode <> 'replay'), 0)::double, 4) as credits, round(coalesce(sum(c) filter (mode = 'replay'), 0)::double, 4) as replayed_credits, count(*) filter (mode <> 'replay') as n_live, count(*) filter (mode = 'replay') as n_replay
         from (select *, case when nominal is not null then coalesce(uncached, greatest(0, nominal - coalesce(cached, 0))) * 0.5::double + coalesce(cached, 0) * 0.1::double + coalesce(output, 0) * 0.7::double end as c from us) group by all"""),
     "daily_spend": sql(SQL_ATTEMPTS, _USAGE, select="select day::varchar as day, count(*) as n_requests, sum(coalesce(nominal, 0) + coalesce(output, 0))::bigint as total_tokens from us where mode = 'live' group by all"),
+    "token_guard": sql(
+        SQL_ATTEMPTS,
+        """rq as (select session, attempt_id, day, source_tokens + 100 as projected, source_tokens + output_tokens as actual, row_number() over (partition by session order by ts, attempt_id) as i from attempts where mode = 'live')""",
+        """gd as (select distinct session, 0::bigint as i, null::bigint as attempt_id, null::date as day, 0::bigint as projected, ''::varchar as decision, 0::bigint as spent_before, 0::bigint as spent, 0::bigint as today from rq
+          union all select session, i, attempt_id, day, projected, d, spent, spent + case when d = 'sent' then actual else 0 end, today + case when d = 'sent' then actual else 0 end from (
+            select r.session, r.i, r.attempt_id, r.day, r.projected, r.actual, g.spent, case when g.day = r.day then g.today else 0 end as today,
+              case when g.spent + r.projected > 200000 then 'session_cap' when (case when g.day = r.day then g.today else 0 end) + r.projected > 30000 then 'daily_cap' else 'sent' end as d
+            from gd g join rq r on r.session = g.session and r.i = g.i + 1))""",
+        select="select session, attempt_id, day::varchar as day, projected, decision, spent_before from gd where i > 0",
+    ),
     "percentiles": """select event_type, count(*) as n, round(avg(cents), 6) as average, list_sort(list(cents))[greatest(1, ceil(count(*) * 0.5::double))::int] as p50, list_sort(list(cents))[greatest(1, ceil(count(*) * 0.95::double))::int] as p95
         from (select event_type, floor(value * 100)::bigint as cents from events) group by all""",
     "profile_resolve": """select * from (select 'chat' || c_custkey as chat_id, 'temperature' as key, case when c_nationkey / 10 <= 2 then c_nationkey / 10 else 0.7::double end as value, case when c_nationkey / 10 <= 2 then 'character' else 'base' end as source from customer

@@ -19,7 +19,7 @@ from .state import _ORDINALS, commitments, conflicts, segment_ordinals
 
 
 def segment_sources(spark: SparkSession, d: str) -> DataFrame:
-    return W.source_of(segments(spark, d), messages(spark, d)).groupBy("chat_id", "segment_id").agg(F.count("*").alias("n_messages"), F.sum("n_tokens").alias("n_tokens"))
+    return W.source_of(segments(spark, d), messages(spark, d, "role", "n_tokens")).groupBy("chat_id", "segment_id").agg(F.count("*").alias("n_messages"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def combined_plans(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +28,7 @@ def combined_plans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def qualification(spark: SparkSession, d: str) -> DataFrame:
-    return W.qualification(messages(spark, d).where("not hidden"))
+    return W.qualification(messages(spark, d, "role", "hidden", "n_tokens").where("not hidden"))
 
 
 def repaired_domains(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +62,7 @@ def semantic_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def stale_suffix(spark: SparkSession, d: str) -> DataFrame:
     s = segment_ordinals(spark, d).join(segments(spark, d).select("segment_id", "status"), "segment_id")
-    return W.stale_suffix(s, validation.source_matches(segments(spark, d), messages(spark, d)))
+    return W.stale_suffix(s, validation.source_matches(segments(spark, d), messages(spark, d, "role")))
 
 
 def replay_status(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +72,7 @@ def replay_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def status_view(spark: SparkSession, d: str) -> DataFrame:
-    return W.status_view(messages(spark, d), segments(spark, d), materialized_entities(spark, d), commitments(spark, d))
+    return W.status_view(messages(spark, d, "role"), segments(spark, d), materialized_entities(spark, d), commitments(spark, d))
 
 
 _DOMAINS = ", ".join(f"'{x}'" for x in DOMAINS)

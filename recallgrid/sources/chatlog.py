@@ -29,9 +29,12 @@ def read_chat_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def read_kv_log(spark: SparkSession, path: str) -> DataFrame:
-    """store, key, value, deleted, line_no of a log-structured key-value file; see `store.last_writes`."""
-    raw = spark.read.schema(KV_SCHEMA).json(path)
-    return raw.withColumn("line_no", F.monotonically_increasing_id())
+    """store, key, value, deleted, line_no of a log-structured key-value file or a folder of them; see `store.last_writes`.
+
+    line_no orders lines by file (last change, then name), place of the split in it, and line, however splits are spread over tasks.
+    """
+    raw = spark.read.schema(KV_SCHEMA).json(path).select("*", F.struct("_metadata.file_modification_time", "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("line_no"))
+    return raw
 
 
 def write_kv_log(df: DataFrame, path: str) -> None:
@@ -42,11 +45,15 @@ def write_kv_log(df: DataFrame, path: str) -> None:
 ENVELOPE_VERSION = 2
 
 
-def to_envelopes(segments: DataFrame) -> DataFrame:
-    """chat_id, envelope: the stored segments of each chat as one JSON text."""
+def to_envelopes(segments: DataFrame, part_size: int = 10_000) -> DataFrame:
+    """chat_id, part, envelope: the stored segments of each chat as JSON texts of at most `part_size` segments each, in order."""
+    from ..operators.state import segment_ordinals
+
     fields = ["segment_id", "first_index", "last_index", "status", "synopsis", "pinned", "manually_edited"]
-    rows = F.array_sort(F.collect_list(F.struct(*fields)))
-    return segments.where("chat_id is not null").groupBy("chat_id").agg(rows.alias("segments")).select("chat_id", F.to_json(F.struct(F.lit(ENVELOPE_VERSION).alias("version"), "chat_id", "segments"), {"ignoreNullFields": "false"}).alias("envelope"))
+    placed = segments.select("chat_id", *fields).join(segment_ordinals(segments).select("segment_id", "ordinal"), "segment_id")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", *fields))), lambda x: x.dropFields("ordinal"))
+    parts = placed.groupBy("chat_id", F.floor((F.col("ordinal") - 1) / part_size).cast("int").alias("part")).agg(rows.alias("segments"))
+    return parts.select("chat_id", "part", F.to_json(F.struct(F.lit(ENVELOPE_VERSION).alias("version"), "chat_id", "segments"), {"ignoreNullFields": "false"}).alias("envelope"))
 
 
 ENVELOPE = "version int, chat_id string, segments array<struct<segment_id:string,first_index:int,last_index:int,status:string,synopsis:string,pinned:boolean,manually_edited:boolean>>, summaries array<struct<segment_id:string,first_index:int,last_index:int,status:string,synopsis:string,pinned:boolean,manually_edited:boolean>>"

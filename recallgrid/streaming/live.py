@@ -60,7 +60,10 @@ def due_chats(progress: DataFrame, batch: DataFrame, every: int = 5) -> tuple[Da
 
 
 def upsert_batch(path: str, key: str, order: list[str]):
-    """A function for foreachBatch that keeps the newest row of each key in the table published below `path`."""
+    """A function for foreachBatch that keeps the newest row of each key in the table published below `path`.
+
+    Each batch writes a new version of the table; for tables too large for that, give every partition of keys a path of its own.
+    """
     from ..sources.sinks import current, publish
 
     def handle(batch: DataFrame, batch_id: int) -> None:

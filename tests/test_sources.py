@@ -21,8 +21,10 @@ def test_chat_log(spark, tmp_path, as_rows):
 
 def test_envelopes_round_trip(spark, as_rows):
     seg = spark.createDataFrame([("c", "s1", 0, 3, "valid", "a \"b\"", True, False), ("c", "s2", 4, 5, "stale", None, None, None)], "chat_id string, segment_id string, first_index int, last_index int, status string, synopsis string, pinned boolean, manually_edited boolean")
-    good, bad = chatlog.from_envelopes(chatlog.to_envelopes(seg))
-    assert as_rows(good) == as_rows(seg) and bad.count() == 0
+    for size, parts in ((10, 1), (1, 2)):
+        envelopes = chatlog.to_envelopes(seg, size)
+        good, bad = chatlog.from_envelopes(envelopes)
+        assert as_rows(good) == as_rows(seg) and bad.count() == 0 and envelopes.count() == parts
     odd = spark.createDataFrame([("c", "{"), ("c", '{"version": 9, "chat_id": "c"}'), ("c", '{"version": 2, "chat_id": "d", "segments": []}'), ("c", '{"version": 1, "chat_id": "c", "summaries": [{"segment_id": "s9"}]}')], "chat_id string, envelope string")
     good, bad = chatlog.from_envelopes(odd)
     assert as_rows(good, "segment_id") == [("s9",)] and as_rows(bad, "error") == [("not JSON",), ("other chat",), ("unknown version",)]
