@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -136,27 +138,53 @@ def adaptive_candidates(units: DataFrame, hard_max: int, max_bundles: int = 5, i
     )
 
 
-METRICS = ("total", "wall", "most", "requests")
 OBJECTIVES = ("economic", "fast", "safe", "balanced")
+#: Places in a path: total tokens, wall time, largest input, requests, boundary score, sum and sum of squares of inputs, segments.
+TOTAL, WALL, MOST, REQUESTS, BOUNDARY, SUM, SUM2, N = range(8)
+START = (0.0, 0.0, 0, 0.0, 0, 0.0, 0.0, 0)
+
 
+def _frontier(paths: list[tuple], limit: int) -> list[tuple]:
+    """The first `limit` paths, by total and wall time, that no other is at least as good as in total, wall time, largest input and requests and better in one.
 
-def _frontier(paths: list[dict], limit: int) -> list[dict]:
-    """Paths that no other is at least as good as in all metrics and better in one."""
-    kept: list[dict] = []
-    for p in sorted(paths, key=lambda p: tuple(p[m] for m in METRICS)):
-        mine = tuple(p[m] for m in METRICS)
-        if not any(all(q[m] <= v for m, v in zip(METRICS, mine)) and any(q[m] < v for m, v in zip(METRICS, mine)) for q in kept):
-            kept.append(p)
-    return sorted(kept, key=lambda p: (p["total"], p["wall"]))[:limit]
+    Taken by rising total, a path is beaten if one taken before has no more wall time and no larger input. Those are kept as stairs (wall time rising, largest input falling), so one search
+    decides; where requests don't rise with wall time, all taken are compared.
+    """
+    ordered = sorted(paths)
+    by_wall = sorted({(p[WALL], p[REQUESTS]) for p in ordered})
+    stairs_do = all(x[1] <= y[1] and x[0] < y[0] for x, y in zip(by_wall, by_wall[1:]))
+    kept: list[tuple] = []
+    walls: list[float] = []
+    steps: list[tuple] = []
+    for p in ordered:
+        if stairs_do:
+            at = bisect_right(walls, p[WALL]) - 1
+            best = steps[at] if at >= 0 else None
+            if best and best[MOST] <= p[MOST] and best[:4] != p[:4]:
+                continue
+            if not best or p[MOST] < best[MOST]:
+                if best and walls[at] == p[WALL]:
+                    steps[at] = p
+                else:
+                    at += 1
+                    walls.insert(at, p[WALL])
+                    steps.insert(at, p)
+                while at + 1 < len(steps) and steps[at + 1][MOST] >= p[MOST]:
+                    del walls[at + 1], steps[at + 1]
+        elif any(q[WALL] <= p[WALL] and q[MOST] <= p[MOST] and q[REQUESTS] <= p[REQUESTS] and q[:4] != p[:4] for q in kept):
+            continue
+        kept.append(p)
+        if len(kept) == limit:
+            break
+    return kept
 
 
 def _pareto(limit: int, near: float, safe_over: float):
-    def variance(p: dict) -> float:
-        n = p["n"]
-        return 0.0 if n < 2 else max(0.0, p["sum2"] / n - (p["sum"] / n) ** 2)
+    def variance(p: tuple) -> float:
+        return 0.0 if p[N] < 2 else max(0.0, p[SUM2] / p[N] - (p[SUM] / p[N]) ** 2)
 
-    def order(p: dict, metric: str) -> tuple:
-        return (round(p[metric], 6), round(p["total"], 6), round(p["requests"], 6), -p["boundary"], p["most"], round(variance(p), 6), p["n"])
+    def order(p: tuple, metric: int) -> tuple:
+        return (round(p[metric], 6), round(p[TOTAL], 6), round(p[REQUESTS], 6), -p[BOUNDARY], p[MOST], round(variance(p), 6), p[N])
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows[rows["safe"]]
@@ -165,24 +193,22 @@ def _pareto(limit: int, near: float, safe_over: float):
         for r in zip(*(rows[c].tolist() for c in columns)):
             by_start.setdefault(r[0], []).append(r)
         n = (max(r[1] for rs in by_start.values() for r in rs) + 1) if by_start else 0
-        states: list[list[dict]] = [[] for _ in range(n + 1)]
-        if n:
-            states[0] = [{"total": 0.0, "wall": 0.0, "most": 0, "requests": 0.0, "boundary": 0, "sum": 0.0, "sum2": 0.0, "n": 0}]
+        states: list[list[tuple]] = [[] for _ in range(n + 1)]
+        states[0] = [START] if n else []
         for at in range(n):
-            here = _frontier(states[at], limit)
-            states[at] = []
-            for p in here:
-                for _, end, tokens, attempts, total, wall, boundary in by_start.get(at, ()):
-                    states[end + 1].append({"total": p["total"] + total, "wall": p["wall"] + wall, "most": max(p["most"], tokens), "requests": p["requests"] + attempts, "boundary": p["boundary"] + boundary, "sum": p["sum"] + tokens, "sum2": p["sum2"] + tokens * tokens, "n": p["n"] + 1})
+            here, states[at] = _frontier(states[at], limit), []
+            for _, end, tokens, attempts, total, wall, boundary in by_start.get(at, ()):
+                square = tokens * tokens
+                states[end + 1] += [(p[0] + total, p[1] + wall, p[2] if p[2] > tokens else tokens, p[3] + attempts, p[4] + boundary, p[5] + tokens, p[6] + square, p[7] + 1) for p in here]
         paths = _frontier(states[n], limit) if n else []
         if not paths:
             return pd.DataFrame(columns=["chat_id", "objective", "n_segments", "total_tokens", "wall_ms", "max_input"])
         best = lambda some, metric: min(some, key=lambda p: order(p, metric))
-        economic = best(paths, "total")
-        cheap = [p for p in paths if p["total"] <= economic["total"] * near]
-        within = [p for p in paths if p["total"] <= economic["total"] * safe_over]
-        chosen = (economic, best(paths, "wall"), best(within, "most"), best(cheap or paths, "wall"))
-        return pd.DataFrame({"chat_id": key[0], "objective": OBJECTIVES, "n_segments": [p["n"] for p in chosen], "total_tokens": [p["total"] for p in chosen], "wall_ms": [p["wall"] for p in chosen], "max_input": [p["most"] for p in chosen]})
+        economic = best(paths, TOTAL)
+        cheap = [p for p in paths if p[TOTAL] <= economic[TOTAL] * near]
+        within = [p for p in paths if p[TOTAL] <= economic[TOTAL] * safe_over]
+        chosen = (economic, best(paths, WALL), best(within, MOST), best(cheap or paths, WALL))
+        return pd.DataFrame({"chat_id": key[0], "objective": OBJECTIVES, "n_segments": [p[N] for p in chosen], "total_tokens": [p[TOTAL] for p in chosen], "wall_ms": [p[WALL] for p in chosen], "max_input": [p[MOST] for p in chosen]})
 
     return run
 

@@ -72,6 +72,18 @@ def test_pareto_finds_the_optimum(spark):
     assert plans["safe"]["max_input"] <= plans["economic"]["max_input"] and plans["safe"]["total_tokens"] <= 1.2 * plans["economic"]["total_tokens"]
 
 
+@pytest.mark.parametrize("tied", [True, False])
+def test_frontier_equals_all_pairs(tied):
+    r = random.Random(3)
+    for _ in range(200):
+        paths = []
+        for _ in range(r.randint(0, 40)):
+            n = r.randint(1, 6)
+            paths.append((float(r.randint(1, 9)), n * 2.0, r.randint(1, 6), n * 1.5 if tied else float(r.randint(1, 6)), 0, 0.0, 0.0, n))
+        beats = lambda q, p: all(a <= b for a, b in zip(q[:4], p[:4])) and q[:4] != p[:4]
+        assert P._frontier(paths, 999) == [p for p in sorted(paths) if not any(beats(q, p) for q in paths)]
+
+
 def test_empty_history(spark):
     empty = chat(spark, [("u", 1)]).limit(0)
     assert P.plan_segments(P.message_units(empty), 5, 7, 9).count() == 0
