@@ -33,11 +33,12 @@ def materialize_entities(mentions: DataFrame) -> DataFrame:
 
 
 def propose(queries: DataFrame, registry: DataFrame) -> DataFrame:
-    """mention_id, proposed_entity_id, confidence, best_score, requires_confirmation for mentions against the entities of their chat.
+    """mention_id, proposed_entity_id, confidence, best_score, requires_confirmation for mentions against all entities of their chat.
 
     queries: mention_id, chat_id, name, sender_id; registry: chat_id, entity_id, alias, sender_id. Score of an entity: 1 for the same
     form, else 0.7 of the words shared (over the longer form), best over its forms; 0.2 for the same chat; 0.5 for the same sender. Proposed if at least 0.8, or 0.5 in the same chat, and 0.15 ahead of the next.
-    Pairs come from shared words within a chat, so an entity of the chat without a common word isn't compared (it would score 0.2 or, from the same sender, 0.7, in every chat alike).
+    Only entities with a shared word are paired, by an equi-join. The others score 0.7 (same sender) or 0.2, so their numbers suffice: one count per chat and
+    sender and one per chat. Which of several equal ones is best makes no difference, as such a mention is ambiguous.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda x: x != ""))
     q = queries.where("name <> ''").select("mention_id", "chat_id", "name", F.col("sender_id").alias("q_sender"), words(F.col("name")).alias("q_words"))
@@ -47,13 +48,27 @@ def propose(queries: DataFrame, registry: DataFrame) -> DataFrame:
     exact = F.col("name") == F.col("alias")
     per = pairs.groupBy("mention_id", "entity_id").agg(F.max(F.when(exact, 1.0).otherwise(overlap * 0.7)).alias("s"), F.max(exact).alias("exact"), F.max(F.coalesce(F.col("q_sender") == F.col("r_sender"), F.lit(False))).alias("sender"))
     scored = per.withColumn("score", F.round(F.col("s") + 0.2 + F.when(F.col("sender"), 0.5).otherwise(0.0), 9))
-    order = Window.partitionBy("mention_id").orderBy(F.col("score").desc(), "entity_id")
-    ranked = scored.withColumn("n", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).where("n = 1")
-    best = q.select("mention_id").join(ranked, "mention_id", "left")
-    ambiguous = F.coalesce(F.col("score") - F.col("next") < 0.15, F.lit(False))
-    return best.select(
-        "mention_id", F.when(~ambiguous & (F.col("score") >= 0.5), F.col("entity_id")).alias("proposed_entity_id"), F.when(F.col("exact") & ~ambiguous, "high").when(F.col("entity_id").isNotNull(), "uncertain").otherwise("new").alias("confidence"),
-        F.col("score").alias("best_score"), (F.col("entity_id").isNull() | ~F.coalesce("exact", F.lit(False)) | ambiguous).alias("requires_confirmation"),
+    whole = Window.partitionBy("mention_id")
+    order = whole.orderBy(F.col("score").desc(), "entity_id")
+    met = scored.select(
+        "mention_id", "entity_id", "exact", "score", F.row_number().over(order).alias("n"), F.lead("score").over(order).alias("next"),
+        F.count("*").over(whole).alias("n_met"), F.sum(F.col("sender").cast("bigint")).over(whole).alias("n_met_sender"),
+    ).where("n = 1")
+    in_chat = r.groupBy("chat_id").agg(F.count_distinct("entity_id").alias("n_chat"), F.min("entity_id").alias("any_chat"))
+    of_sender = r.groupBy("chat_id", F.col("r_sender").alias("q_sender")).agg(F.count_distinct("entity_id").alias("n_sender"), F.min("entity_id").alias("any_sender"))
+    all_ = q.select("mention_id", "chat_id", "q_sender").join(met, "mention_id", "left").join(in_chat, "chat_id", "left").join(of_sender, ["chat_id", "q_sender"], "left")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
+    with_sender = count("n_sender") - count("n_met_sender")
+    without = count("n_chat") - count("n_met") - with_sender
+    top = F.array_sort(F.filter(F.array("score", "next", *(F.when(n > k, v) for n, v in ((with_sender, 0.7), (without, 0.2)) for k in (0, 1))), lambda x: x.isNotNull()))
+    ranked = all_.withColumn("top", F.reverse(top)).withColumn("best", F.get("top", F.lit(0))).withColumn("second", F.get("top", F.lit(1)))
+    # a sender's entity without a shared word is best, and alone at that, only if no other of that sender has one
+    ranked = ranked.withColumn("found", F.when(F.col("score") == F.col("best"), F.col("entity_id")).when(F.col("best") > 0.5, F.col("any_sender")).when(F.col("best").isNotNull(), F.col("any_chat")))
+    same = F.coalesce((F.col("score") == F.col("best")) & F.col("exact"), F.lit(False))
+    ambiguous = F.coalesce(F.col("best") - F.col("second") < 0.15, F.lit(False))
+    return ranked.select(
+        "mention_id", F.when(~ambiguous & (F.col("best") >= 0.5), F.col("found")).alias("proposed_entity_id"), F.when(same & ~ambiguous, "high").when(F.col("found").isNotNull(), "uncertain").otherwise("new").alias("confidence"),
+        F.col("best").alias("best_score"), (F.col("found").isNull() | ~same | ambiguous).alias("requires_confirmation"),
     )
 
 
