@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import tokens
+from ..functions.greedy import fold_with_skip
 
 #: Regions of a context in the order they are packed, with the heading each opens with.
 REGIONS = {"state": "[STATE]", "registers": "[REGISTERS]", "chronological": "[RECENT HISTORY]", "associative": "[OLDER MEMORY]"}
@@ -49,7 +50,7 @@ def region_candidates(segments: DataFrame, scored: DataFrame, raw_first: DataFra
 def pack(items: DataFrame, raw: DataFrame, budgets: dict[str, int], hard: int) -> DataFrame:
     """chat_id, region, item, place, kept: which items enter each context. Greedy with skip: an item is kept if its region and the whole stay within budget.
 
-    items: chat_id, region, item, place (order of packing over all regions), n_chars; ranked lists, of a bounded number of items a chat. raw: chat_id, raw_chars.
+    items: chat_id, region, item, place (order of packing over all regions), n_chars; ranked lists of any length, folded in blocks. raw: chat_id, raw_chars.
     Tokens are those of the joined text: a region's heading and its items, one a line; regions two line ends apart inside a frame; so characters are
     summed along the fold and divided at the end.
     """
@@ -60,22 +61,21 @@ def pack(items: DataFrame, raw: DataFrame, budgets: dict[str, int], hard: int) -
     heads = F.array(*(F.lit(len(h)) for h in REGIONS.values()))
     limits = F.array(*(F.lit(budgets.get(n, 0)) for n in names))
     rows = items.withColumn("region_no", region_no).where("region_no is not null and n_chars > 0")
-    lists = rows.groupBy("chat_id").agg(F.array_sort(F.collect_list(F.struct("place", "region_no", F.col("n_chars").cast("int").alias("n_chars"), "region", "item"))).alias("items")).join(raw, "chat_id", "left")
     raw_tokens = F.ceil(F.coalesce("raw_chars", F.lit(0)) / 4)
-    start = F.struct(F.transform(heads, lambda h: F.lit(0)).alias("chars"), F.array().cast("array<boolean>").alias("kept"))
+    starts = rows.select("chat_id").distinct().join(raw, "chat_id", "left").select("chat_id", F.struct(F.transform(heads, lambda h: F.lit(0)).alias("chars"), raw_tokens.alias("raw")).alias("state"))
 
-    def step(state: Column, item: Column) -> Column:
+    def step(state: Column, item: Column) -> tuple[Column, Column]:
         r = item["region_no"]
         now = F.get(state["chars"], r)
         grown = F.when(now == 0, F.get(heads, r)).otherwise(now) + 1 + item["n_chars"]
         after = F.transform(state["chars"], lambda c, i: F.when(i == r, grown).otherwise(c))
         open_ = F.filter(after, lambda c: c > 0)
         block = F.aggregate(open_, F.lit(0), lambda s, c: s + c) + 2 * (F.size(open_) - 1) + FRAME_CHARS
-        fits = (F.ceil(grown / 4) <= F.get(limits, r)) & (F.ceil(block / 4) + raw_tokens <= hard)
-        return F.struct(F.when(fits, after).otherwise(state["chars"]).alias("chars"), F.concat(state["kept"], F.array(fits)).alias("kept"))
+        fits = (F.ceil(grown / 4) <= F.get(limits, r)) & (F.ceil(block / 4) + state["raw"] <= hard)
+        return fits, F.struct(after.alias("chars"), state["raw"].alias("raw"))
 
-    packed = lists.select("chat_id", "items", F.aggregate("items", start, step).alias("s")).select("chat_id", F.inline(F.zip_with("items", F.col("s.kept"), lambda i, k: F.struct(i["region"].alias("region"), i["item"].alias("item"), i["place"].alias("place"), k.alias("kept")))))
-    return packed
+    ranked = rows.select("chat_id", "place", "region_no", F.col("n_chars").cast("int").alias("n_chars"), "region", "item")
+    return fold_with_skip(ranked, starts, "chat_id", step).select("chat_id", "region", "item", "place", "kept")
 
 
 def context_accounting(packed: DataFrame, items: DataFrame, raw: DataFrame, hard: int) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import state as S
-from ..operators.changefeed import normal_path, operation_key
+from ..operators.changefeed import apply_changes, normal_path, operation_key
 from ..sources import table
 from .common import SQL_SEGMENTS, segments, sql
 
@@ -88,17 +88,64 @@ def commitment_ageout(spark: SparkSession, d: str) -> DataFrame:
     return _aged(spark, d).select("chat_id", "commitment_id", "status", "age_segments", "aged_out")
 
 
+def _origins(spark: SparkSession, d: str, negatives: DataFrame) -> DataFrame:
+    """Provenance of the state items of all kinds."""
+    bonds = table(spark, d, "relationship_changes").where("participants is not null and dimension is not null")
+    told = table(spark, d, "commitments").where(F.col("transition").isin(*TRANSITIONS))
+    moves = table(spark, d, "state_changes").where("subject is not null").withColumn("path", normal_path(F.col("path"))).where("path is not null")
+    thread = F.col("path").rlike(r"^localThreads\.[^.]+$") & F.col("value").isNotNull() & ~F.col("value").startswith("{")
+    touches = _touches(spark, d)
+    for kind, rows, key in (
+        ("relationship", bonds, F.array_join(F.array_sort("participants"), "|")), ("character", bonds, F.explode("participants")), ("character", moves, F.col("subject")), ("character", told, F.col("actor")), ("character", told, F.col("toward")),
+        ("thread", moves.where(thread), F.element_at(F.split("path", r"\."), 2)), ("world_fact", table(spark, d, "temporal_marks").where("description is not null"), F.col("description")), ("salient_negative", negatives, F.col("key")),
+    ):
+        touches = touches.unionByName(rows.select("chat_id", "segment_id", F.lit(kind).alias("kind"), key.alias("key")))
+    return S.provenance(touches.where("key is not null"), segment_ordinals(spark, d))
+
+
+def _characters(spark: SparkSession, d: str, aged: DataFrame) -> DataFrame:
+    """chat_id, key, text: each character's live attributes, knowledge and commitments by path."""
+    raw = table(spark, d, "state_changes")
+    refused = S.preference_gate(changes(spark, d)).where("not accepted").select("chat_id", "change_seq")
+    leaves = apply_changes(raw.join(refused, ["chat_id", "change_seq"], "left_anti"), table(spark, d, "canonical_values"))
+    plain = F.regexp_replace("value", '^"(.*)"$', "$1")
+    rows = leaves.where(plain.isNotNull() & (plain != "")).select("chat_id", F.col("subject").alias("key"), F.concat_ws("=", "path", plain).alias("detail"))
+    at = F.concat(F.lit("knowledge."), "dimension")
+    known = table(spark, d, "relationship_changes").where("dimension is not null").select(
+        "chat_id", "rel_change_id", F.element_at("participants", 1).alias("holder"), F.col("dimension").alias("proposition"), F.col("operation").alias("op"),
+        F.concat_ws("; ", F.concat(at, F.lit(".kind="), F.regexp_replace("value", '^"(.*)"$', "$1")), F.concat(at, F.lit(".evidence="), "evidence")).alias("kind"),
+    )
+    known = S.knowledge(known, ["rel_change_id"]).where("kind <> ''")
+    promises = aged.where("not aged_out").select("chat_id", F.col("actor").alias("key"), F.concat(F.lit("commitments."), "commitment_id", F.lit("="), "status").alias("detail"))
+    rows = rows.unionByName(known.select("chat_id", F.col("holder").alias("key"), F.col("kind").alias("detail"))).unionByName(promises).where("key is not null")
+    details = rows.groupBy("chat_id", "key").agg(F.array_join(F.array_sort(F.collect_list("detail")), "; ").alias("details"))
+    return details.select("chat_id", "key", F.concat(F.lit("Character "), "key", F.lit(": "), "details").alias("text"))
+
+
+def _negatives(spark: SparkSession, d: str, last: int = 6) -> DataFrame:
+    """chat_id, key, text, segment_id: the last told of what did not happen."""
+    order = Window.partitionBy("chat_id").orderBy(F.col("seq").desc())
+    newest = salient_negatives(spark, d).withColumn("n", F.row_number().over(order)).where(F.col("n") <= last)
+    found = newest.join(table(spark, d, "episode_events").select(F.col("event_row_id").alias("seq"), "segment_id"), "seq")
+    return found.select("chat_id", F.lower(F.trim(F.regexp_replace("proposition", r"\s+", " "))).alias("key"), F.concat(F.lit("Did not happen: "), "proposition").alias("text"), "segment_id")
+
+
 def state_projection(spark: SparkSession, d: str) -> DataFrame:
-    open_ones = _aged(spark, d).where(F.col("status").isin(*S.OPEN_COMMITMENTS) & ~F.col("aged_out"))
+    """All state items of a chat, ranked. The tables hold no observations told by the narrator only, so of the kinds of `PRIORITY` narrator_fact has no rows."""
+    aged = _aged(spark, d)
+    open_ones = aged.where(F.col("status").isin(*S.OPEN_COMMITMENTS) & ~F.col("aged_out"))
     text = F.concat(F.lit("Commitment ("), "status", F.lit("): "), "actor", F.coalesce(F.concat(F.lit(" to "), "toward"), F.lit("")), F.lit(" — "), "content")
     bonds = relationships(spark, d).groupBy("chat_id", F.col("pair").alias("key")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "dimension", "value_list"))), "; ").alias("dims"))
+    negatives = _negatives(spark, d)
     parts = {
         "commitment": open_ones.select("chat_id", F.col("commitment_id").alias("key"), text.alias("text")),
         "relationship": bonds.select("chat_id", "key", F.concat(F.lit("Relationship "), F.regexp_replace("key", r"\|", " ↔ "), F.lit(": "), "dims").alias("text")),
+        "character": _characters(spark, d, aged),
         "thread": threads(spark, d).where("status not in ('resolved', 'abandoned')").select("chat_id", "key", F.concat(F.lit("Open thread ("), "status", F.lit("): "), "description").alias("text")),
         "world_fact": world_facts(spark, d).select("chat_id", F.col("fact").alias("key"), F.concat(F.lit("World fact: "), "fact").alias("text")),
+        "salient_negative": negatives.select("chat_id", "key", "text"),
     }
-    return S.state_items(parts, provenance(spark, d), limit=40).select("chat_id", "kind", "key", "text", "priority", "place")
+    return S.state_items(parts, _origins(spark, d, negatives)).select("chat_id", "kind", "key", "text", "priority", "place")
 
 
 def checkpoints(spark: SparkSession, d: str) -> DataFrame:

@@ -46,11 +46,11 @@ def context_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    """The first 40 state items and the first 24 of each memory region of a chat, in packing order."""
+    """All state items and all of each memory region of a chat, in packing order."""
     state = state_projection(spark, d).select("chat_id", F.lit("state").alias("region"), F.concat_ws(":", "kind", "key").alias("item"), F.length("text").alias("n_chars"), F.col("place"))
     order = Window.partitionBy("chat_id", "region").orderBy(F.col("priority").desc(), F.col("last_index").desc(), "item")
-    memory = _candidates(spark, d).withColumn("n", F.row_number().over(order)).where("n <= 24")
-    base = F.when(F.col("region") == "chronological", 1000).otherwise(2000)
+    memory = _candidates(spark, d).withColumn("n", F.row_number().over(order))
+    base = F.when(F.col("region") == "chronological", 10**9).otherwise(2 * 10**9).cast("bigint")
     return state.unionByName(memory.select("chat_id", "region", "item", F.length("text").alias("n_chars"), (F.col("n") + base).alias("place")))
 
 

@@ -1,9 +1,18 @@
 """Planted cases and brute force where a query once did less than the whole job."""
 
+import os
 import random
+from pathlib import Path
 
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from recallgrid.functions.greedy import fold_with_skip
 from recallgrid.operators import entities as E
 
+DATA = os.environ.get("TEST_DATA", "/root/testdata/sf0.001")
+
 
 def propose_by_brute_force(mentions, registry):
     """As in the reference: every entity of the chat is scored."""
@@ -41,3 +50,32 @@ def test_proposals_over_all_entities_of_a_chat(spark):
     ).collect()
     assert {r["mention_id"]: (r["proposed_entity_id"], r["confidence"], r["best_score"], r["requires_confirmation"]) for r in got} == (want := propose_by_brute_force(mentions, registry))
     assert want[200] == ("e1", "uncertain", 0.7, True) and want[201] == (None, "uncertain", 0.7, True)
+
+
+def test_a_list_folded_in_blocks_is_folded_as_a_whole(spark, as_rows):
+    rng = random.Random(6)
+    items = [(chat, i, rng.randint(0, 9)) for chat, n in (("a", 17), ("b", 3), ("c", 6)) for i in range(n)]
+    want = []
+    for chat in "abc":
+        total = 0
+        for _, place, n in (x for x in items if x[0] == chat):
+            want.append((chat, place, fits := total + n <= 20))
+            total += n if fits else 0
+    df = spark.createDataFrame(items, "chat_id string, place int, n bigint")
+    starts = df.select("chat_id").distinct().withColumn("state", F.lit(0).cast("bigint"))
+    for block in (1, 4, 100):
+        got = fold_with_skip(df, starts, "chat_id", lambda s, i: (s + i["n"] <= 20, s + i["n"]), block=block)
+        assert as_rows(got, "chat_id", "place", "kept") == sorted(want, key=str)
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+def test_state_projection_holds_all_items(spark):
+    q = entry.queries()
+    got = q["state_projection"](spark, DATA).groupBy("kind").count().collect()
+    n = {r["kind"]: r["count"] for r in got}
+    assert n["relationship"] == q["relationships"](spark, DATA).select("chat_id", "pair").distinct().count()
+    assert n["world_fact"] == q["world_facts"](spark, DATA).count()
+    assert n["thread"] == q["threads"](spark, DATA).where("status not in ('resolved', 'abandoned')").count()
+    assert n["character"] > 0
+    per_chat = {r["chat_id"]: r["count"] for r in q["salient_negatives"](spark, DATA).groupBy("chat_id").count().collect()}
+    assert n.get("salient_negative", 0) == sum(min(6, k) for k in per_chat.values()) > 0
