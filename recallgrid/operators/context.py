@@ -138,14 +138,8 @@ def prompt_audit(prompts: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def pack_recent(items: DataFrame, budget: int, newest_first: bool = True) -> DataFrame:
-    """chat_id, item, kept: greedy with skip over each chat's items, newest first, on summed tokens. items: chat_id, item, place (1 = newest), n_tokens; a bounded number a chat."""
-    lists = items.groupBy("chat_id").agg(F.array_sort(F.collect_list(F.struct("place", "item", F.col("n_tokens").cast("bigint").alias("n_tokens")))).alias("items"))
-    ordered = F.col("items") if newest_first else F.reverse("items")
-    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<boolean>").alias("kept"))
-
-    def step(s: Column, i: Column) -> Column:
-        fits = s["total"] + i["n_tokens"] <= budget
-        return F.struct((s["total"] + F.when(fits, i["n_tokens"]).otherwise(0)).alias("total"), F.concat(s["kept"], F.array(fits)).alias("kept"))
-
-    done = lists.withColumn("o", ordered).select("chat_id", "o", F.aggregate("o", start, step).alias("s"))
-    return done.select("chat_id", F.inline(F.zip_with("o", F.col("s.kept"), lambda i, k: F.struct(i["item"].alias("item"), k.alias("kept")))))
+    """chat_id, item, kept: greedy with skip over all of each chat's items, newest first, on summed tokens. items: chat_id, item, place (1 = newest), n_tokens."""
+    place = F.col("place") if newest_first else -F.col("place")
+    ranked = items.select("chat_id", place.alias("place"), "item", F.col("n_tokens").cast("bigint").alias("n_tokens"))
+    starts = ranked.select("chat_id").distinct().withColumn("state", F.lit(0).cast("bigint"))
+    return fold_with_skip(ranked, starts, "chat_id", lambda s, i: (s + i["n_tokens"] <= budget, s + i["n_tokens"])).select("chat_id", "item", "kept")

@@ -88,10 +88,10 @@ def prompt_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extraction_history(spark: SparkSession, d: str) -> DataFrame:
-    """Each chat's last valid segments packed, newest first, into a history budget for extracting what follows."""
+    """Each chat's valid segments packed, newest first, into a history budget for extracting what follows."""
     s = segments(spark, d).where("status = 'valid' and chat_id is not null")
     order = Window.partitionBy("chat_id").orderBy(F.col("last_index").desc(), F.col("first_index").desc(), "segment_id")
-    items = s.withColumn("place", F.row_number().over(order)).where("place <= 30")
+    items = s.withColumn("place", F.row_number().over(order))
     return C.pack_recent(items.select("chat_id", F.col("segment_id").alias("item"), "place", F.ceil(F.length(F.coalesce("synopsis", F.lit(""))) / 4).alias("n_tokens")), 300)
 
 

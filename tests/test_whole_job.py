@@ -79,3 +79,10 @@ def test_state_projection_holds_all_items(spark):
     assert n["character"] > 0
     per_chat = {r["chat_id"]: r["count"] for r in q["salient_negatives"](spark, DATA).groupBy("chat_id").count().collect()}
     assert n.get("salient_negative", 0) == sum(min(6, k) for k in per_chat.values()) > 0
+
+
+def test_extraction_history_takes_all_segments(spark, as_rows, tmp_path):
+    rows = [(i, f"s{i:02}", "c", i, i, "valid", "x" * 40 if i >= 10 else "") for i in range(50)]
+    spark.createDataFrame(rows, "segment_row_id bigint, segment_id string, chat_id string, first_index int, last_index int, status string, synopsis string").withColumn("updated_at", F.lit(None).cast("timestamp")).write.parquet(f"{tmp_path}/segments.parquet")
+    got = dict(as_rows(entry.queries()["extraction_history"](spark, str(tmp_path)), "item", "kept"))
+    assert got == {f"s{i:02}": i >= 20 or i < 10 for i in range(50)}
