@@ -86,3 +86,11 @@ def test_extraction_history_takes_all_segments(spark, as_rows, tmp_path):
     spark.createDataFrame(rows, "segment_row_id bigint, segment_id string, chat_id string, first_index int, last_index int, status string, synopsis string").withColumn("updated_at", F.lit(None).cast("timestamp")).write.parquet(f"{tmp_path}/segments.parquet")
     got = dict(as_rows(entry.queries()["extraction_history"](spark, str(tmp_path)), "item", "kept"))
     assert got == {f"s{i:02}": i >= 20 or i < 10 for i in range(50)}
+
+
+def test_loosely_spelt_removals_remove(spark, as_rows, tmp_path):
+    ops = ["set", "remove", " REMOVE ", "Delete", "drop", None]
+    rows = [("c", "s", f"p{i}", i, op, "v") for i, op in enumerate(ops)]
+    spark.createDataFrame(rows, "chat_id string, subject string, path string, change_id bigint, operation string, value string").write.parquet(f"{tmp_path}/state_changes.parquet")
+    spark.createDataFrame([("state_operation", "remove", 0, ["delete", "drop"])], "field_name string, canonical string, list_position int, known_spellings array<string>").write.parquet(f"{tmp_path}/canonical_values.parquet")
+    assert as_rows(entry.queries()["kv_last_writes"](spark, str(tmp_path)), "path", "value") == [("p0", "v"), ("p5", "v")]
