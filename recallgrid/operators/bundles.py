@@ -151,6 +151,13 @@ def uncovered_islands(messages: DataFrame, segments: DataFrame) -> DataFrame:
     return open_rows.groupBy("chat_id", "__island").agg(F.min("message_index").alias("first_index"), F.max("message_index").alias("last_index"), F.count("*").alias("n_messages"), F.sum("n_tokens").alias("n_tokens")).drop("__island")
 
 
+def uncovered_messages(messages: DataFrame, segments: DataFrame) -> DataFrame:
+    """The messages that no segment covers, with the `island` they are in; see `uncovered_islands`."""
+    taken = covered_indices(segments).distinct().withColumn("taken", F.lit(1))
+    marked = messages.join(taken, ["chat_id", "message_index"], "left").withColumn("__c", F.coalesce("taken", F.lit(0)))
+    return running(marked, ["chat_id"], "message_index", [("sum", "__c", "island")]).where("taken is null").drop("taken", "__c")
+
+
 def timeline_page(segments: DataFrame, page: int, size: int = 10) -> DataFrame:
     """A page (from 1, clamped to those there are) of every chat's segments by first index and id: chat_id, page, pages, segment_id, first_index."""
     order = Window.partitionBy("chat_id").orderBy("first_index", "segment_id")

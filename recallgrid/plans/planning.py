@@ -29,6 +29,14 @@ def segment_plan_turns(spark: SparkSession, d: str) -> DataFrame:
     return P.plan_segments(_bundle_units(spark, d), TARGET, SOFT, HARD, atomic_turns=True)
 
 
+def uncovered_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The plan of turns for what no valid segment covers: every island planned by itself."""
+    m = B.uncovered_messages(messages(spark, d, "role", "n_tokens", "boundary_hint"), segments(spark, d).where("status = 'valid' and chat_id is not null"))
+    m = m.withColumn("chat_id", F.concat_ws("#", F.col("island").cast("string"), "chat_id")).drop("island")
+    plan = P.plan_segments(P.bundle_units(B.turn_bundles(m), m), TARGET, SOFT, HARD, atomic_turns=True)
+    return plan.withColumn("chat_id", F.regexp_replace("chat_id", "^[0-9]+#", ""))
+
+
 def adaptive_candidates(spark: SparkSession, d: str) -> DataFrame:
     return P.adaptive_candidates(_bundle_units(spark, d), HARD, input_budget=1000)
 

@@ -128,7 +128,7 @@ def session_archive(spark: SparkSession, d: str) -> DataFrame:
 
 def promoted(spark: SparkSession, d: str) -> DataFrame:
     current = segments(spark, d).where("chat_id is not null").select("chat_id", "segment_id", "first_index", "last_index", F.col("manually_edited").alias("manual"), "status")
-    return M.promote(current, segment_plan_turns(spark, d).where("last_index % 2 = 0").select("chat_id", "first_index", "last_index"))
+    return M.promote(current, segment_plan_turns(spark, d).select("chat_id", "first_index", "last_index"))
 
 
 def reusable_segments(spark: SparkSession, d: str) -> DataFrame:

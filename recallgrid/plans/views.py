@@ -13,7 +13,7 @@ from .common import SQL_MESSAGES, SQL_SEGMENTS, messages, segments, sql
 from .parsing import _FNV, _HEX, _REGISTRY, DOMAINS, alias_registry, materialized_entities
 from .parsing import SQL as PARSE_SQL
 from .planning import SQL as PLAN_SQL
-from .planning import segment_plan_turns
+from .planning import uncovered_plan
 from .state import SQL as STATE_SQL
 from .state import _ORDINALS, commitments, conflicts, segment_ordinals
 
@@ -24,7 +24,7 @@ def segment_sources(spark: SparkSession, d: str) -> DataFrame:
 
 def combined_plans(spark: SparkSession, d: str) -> DataFrame:
     reused = segments(spark, d).where("status = 'valid' and chat_id is not null").select("chat_id", F.col("source_token_count").alias("n_tokens"))
-    return W.combine_plans(segment_plan_turns(spark, d).where("last_index % 3 = 0"), reused)
+    return W.combine_plans(uncovered_plan(spark, d), reused)
 
 
 def qualification(spark: SparkSession, d: str) -> DataFrame:

@@ -94,3 +94,11 @@ def test_loosely_spelt_removals_remove(spark, as_rows, tmp_path):
     spark.createDataFrame(rows, "chat_id string, subject string, path string, change_id bigint, operation string, value string").write.parquet(f"{tmp_path}/state_changes.parquet")
     spark.createDataFrame([("state_operation", "remove", 0, ["delete", "drop"])], "field_name string, canonical string, list_position int, known_spellings array<string>").write.parquet(f"{tmp_path}/canonical_values.parquet")
     assert as_rows(entry.queries()["kv_last_writes"](spark, str(tmp_path)), "path", "value") == [("p0", "v"), ("p5", "v")]
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+def test_plans_hold_every_uncovered_message(spark):
+    q = entry.queries()
+    planned = q["combined_plans"](spark, DATA).agg(F.sum("planned_tokens")).first()[0]
+    assert planned == q["uncovered_islands"](spark, DATA).where("chat_id is not null").agg(F.sum("n_tokens")).first()[0]
+    assert q["promoted"](spark, DATA).where("origin = 'promoted' and last_index % 2 = 1").count() > 0
