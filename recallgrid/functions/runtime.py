@@ -8,14 +8,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, as in tests: masters `local`, `local[n]` and the like."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only where the cluster names none (tests, one machine), a local one is set."""
+    """The session's checkpoint folder: that of `spark.checkpoint.dir`, shared by all executors.
+
+    A folder of this machine is set only where none is named and everything runs in one process; a cluster without a shared folder is an error.
+    """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="recallgrid-checkpoint-"))
-    elif named is not None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named)
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not on_one_machine(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="recallgrid-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -26,14 +35,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a table stored in fewer splits than there are cores, for steps bound by Python time.
+    """Redistribute a table stored in fewer splits than there are cores, for steps bound by Python time. For scans only: no exchange is run to count the splits.
 
-    A table large enough to fill the cluster has more splits than cores and passes unchanged, without a shuffle.
+    A table large enough to fill the cluster has more splits than cores and passes unchanged, without a shuffle. Rows are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def small(df: DataFrame, most: int, what: str) -> DataFrame:
+    """`df` marked for broadcast after its rows were counted: an error beyond `most`, the bound that `what` is known to keep."""
+    found = df.limit(most + 1).count()
+    if found > most:
+        raise ValueError(f"{what}: more than {most} rows, too many to broadcast")
+    return F.broadcast(df)
+
+
 def running(df: DataFrame, keys: list[str], order: str, specs: list[tuple[str, str, str]], inclusive: bool = False, block: int = 1 << 12) -> DataFrame:
     """Running aggregates over the rows of the same keys with a smaller `order` (an integer, unique per key; with `inclusive` the row itself too).
 

@@ -11,26 +11,36 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def put_file(spark: SparkSession, path: str, content: bytes) -> str:
+    """Writes a file, in whatever file system its path names, and gives the path."""
+    fs, Path = _fs(spark, path)
+    out = fs.create(Path(path), True)
+    out.write(bytearray(content))
+    out.close()
+    return path
+
+
 def publish(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
     """Writes a new version of a table below `root` and then points to it; gives the version's path.
 
-    The rows go to a folder of their own; only when that is complete is the pointer, a file written beside and renamed, moved. Readers of the old version aren't disturbed.
+    The rows go to a folder of their own; only when that is complete is the pointer, a file written beside, renamed over the old one: a single step, so that
+    a reader finds the old pointer or the new one, never none. Readers of the old version aren't disturbed.
     """
     spark = df.sparkSession
     fs, Path = _fs(spark, root)
     fs.mkdirs(Path(root))
+    jvm = spark.sparkContext._jvm
     versions = [int(s.getPath().getName()[1:]) for s in fs.listStatus(Path(root)) if s.getPath().getName()[:1] == "v" and s.getPath().getName()[1:].isdigit()]
     name = f"v{max(versions, default=0) + 1}"
     target = f"{root}/{name}"
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(target)
-    staged = Path(f"{root}/CURRENT.{name}")
-    out = fs.create(staged, True)
-    out.writeBytes(name)
-    out.close()
-    fs.delete(Path(f"{root}/CURRENT"), False)
-    if not fs.rename(staged, Path(f"{root}/CURRENT")):
-        raise OSError(f"could not publish {target}")
+    staged, pointer = f"{root}/CURRENT.{name}", f"{root}/CURRENT"
+    put_file(spark, staged, name.encode())
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(Path(root).toUri() if Path(root).toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(Path(staged)), fs.makeQualified(Path(pointer)), options)
     return target
 
 
