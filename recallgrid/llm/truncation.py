@@ -58,8 +58,23 @@ def _unmarked(text: str) -> str:
     return re.sub(r"(?: ?\[(?:\.{3}|…)\]|…|\.{3})\Z", "", text)
 
 
+def _names_of(node: object) -> list[str]:
+    """Names at the top of an object, and `name.` for each name at any depth whose last text of several words is a finished sentence."""
+    last: dict[str, bool] = {}
+    stack: list[tuple[str, object]] = [("", node)]
+    while stack:
+        name, value = stack.pop()
+        if isinstance(value, dict):
+            stack.extend(reversed(list(value.items())))
+        elif isinstance(value, list):
+            stack.extend((name, x) for x in reversed(value))
+        elif isinstance(value, str) and " " in value.strip():
+            last[name] = bool(TERMINAL.search(value.rstrip()))
+    return sorted({*(node if isinstance(node, dict) else ()), *(f"{name}." for name, finished in last.items() if finished)})
+
+
 def json_state(text: str) -> tuple[str, list[str]]:
-    """open, whole, or none (no object in it), and the names at the top of a whole object that can be read."""
+    """open, whole, or none (no object in it), and the names in a whole object that can be read; see `_names_of`."""
     start = text.find("{")
     if start < 0:
         return "none", []
@@ -82,8 +97,7 @@ def json_state(text: str) -> tuple[str, list[str]]:
             if depth == 0:
                 body = text[start : at + 1]
                 try:
-                    found = json.loads(body)
-                    return "whole", sorted(found) if isinstance(found, dict) else []
+                    return "whole", _names_of(json.loads(body))
                 except (ValueError, RecursionError):
                     return "whole", sorted(set(re.findall(r"^[ ]?[\"'](\w+)[\"']\s*:", body, re.M)) | {"?"})
     return "open", []
@@ -144,18 +158,32 @@ def count_words(text: str, kind: str, into: Counter) -> None:
             before = word
 
 
+#: Beginnings up to this length are keys of their own; longer ones are found by their first so many letters and compared whole.
+STEM = 24
+
+
 def keys_of_words(words: DataFrame) -> DataFrame:
-    """key, ends, goes_on: the keys of `word_keys` that counted words (kind, behind, word, ends, goes_on) add to, those of all beginnings of a word included."""
+    """key, ends, goes_on: the keys of `word_keys` that counted words (kind, behind, word, ends, goes_on) add to, those of beginnings of up to STEM letters included."""
     kind, behind, word = F.col("kind"), F.col("behind"), F.col("word")
     first = F.left(word, F.lit(1))
     capital = (F.upper(first) == first) & (F.lower(first) != first)
     own = F.array(F.concat(kind, F.lit("u "), word), F.concat(kind, F.lit("b "), behind, F.lit(" "), word))
-    size = F.least(F.length(word), F.lit(24))
-    beginnings = F.when(size > 1, F.transform(F.sequence(F.lit(1), size - 1), lambda k: F.concat(kind, F.lit("x "), behind, F.lit(" "), F.left(word, k)))).otherwise(F.array().cast("array<string>"))
+    size = F.least(F.length(word) - 1, F.lit(STEM))
+    beginnings = F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda k: F.concat(kind, F.lit("x "), behind, F.lit(" "), F.left(word, k)))).otherwise(F.array().cast("array<string>"))
     whole = words.select(F.explode(F.when(capital, F.array_append(own, F.concat(kind, F.lit("c "), behind))).otherwise(own)).alias("key"), "ends", "goes_on")
     return whole.unionByName(words.select(F.explode(beginnings).alias("key"), F.lit(0).cast("bigint").alias("ends"), (F.col("ends") + F.col("goes_on")).alias("goes_on")))
 
 
+def long_beginnings(words: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, ends, goes_on for wanted beginnings of more than STEM letters: words that share the first STEM are compared whole."""
+    stem = lambda c: F.left(F.element_at(F.split(c, " "), -1), F.lit(STEM))
+    asked = wanted.where(F.substring("key", 2, 1) == "x").withColumn("open", F.element_at(F.split("key", " "), -1)).where(F.length("open") > STEM)
+    asked = asked.select("key", "open", F.concat(F.substring_index("key", " ", 2), F.lit(" "), stem("key")).alias("stem"))
+    long_words = words.where(F.length("word") > STEM).select("word", (F.col("ends") + F.col("goes_on")).alias("n"), F.concat("kind", F.lit("x "), "behind", F.lit(" "), F.left("word", F.lit(STEM))).alias("stem"))
+    met = asked.join(long_words, "stem").where((F.length("word") > F.length("open")) & F.startswith("word", F.col("open")))
+    return met.groupBy("key").agg(F.lit(0).cast("bigint").alias("ends"), F.sum("n").alias("goes_on"))
+
+
 def ending(text: str, mode: str | None) -> dict:
     """What the end of a text says by itself: class, keys of its last words to be looked up, names to be held against the typical ones."""
     core = without_appended(text)
@@ -178,42 +206,37 @@ def ending(text: str, mode: str | None) -> dict:
     # a row of full stops put behind a text may have followed one of its own
     if TERMINAL.search(end):
         return out | {"kind": "terminal"}
-    if unicodedata.category(end[-1]) in ("So", "Sk", "Mn", "Cf") or " ".join(words[-2:]) in CLOSING or words[-1] in CLOSING:
+    if end[-1] != "\ufffd" and unicodedata.category(end[-1]) in ("So", "Sk", "Mn", "Cf") or " ".join(words[-2:]) in CLOSING or words[-1] in CLOSING:
         return out | {"kind": "closing_sign"}
-    if end[-1] in ",;:—–-“„«([/" or not _bare(words[-1]):
+    if end[-1] in ",;:—–-“„«([/\ufffd" or not _bare(words[-1]):  # U+FFFD: half a character
         return out | {"kind": "mid_clause"}
     # a word by itself has nothing before it that could tell
     return out | {"keys": word_keys(_bare(words[-2]), _bare(words[-1]), "p") if len(words) > 1 else [], "kind": "word" if not CLOSED_QUOTE.search(end) else "quoted_word"}
 
 
 FEATURES = "segment_row_id bigint, source_model string, field_name string, chars int, bytes int, kind string, keys array<string>, names array<string>, typical string, sign boolean, trail boolean"
-
-
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for text, mode in zip(b.column("text").to_pylist(), b.column("mode").to_pylist()):
-            left = _unmarked(text)
-            rows.append(ending(text, mode) | {"chars": len(left), "bytes": len(left.encode())})
-        made = [pa.array([r[k] for r in rows], t) for k, t in (("chars", pa.int32()), ("bytes", pa.int32()), ("kind", pa.string()), ("keys", pa.list_(pa.string())), ("names", pa.list_(pa.string())), ("typical", pa.string()), ("sign", pa.bool_()), ("trail", pa.bool_()))]
-        yield pa.RecordBatch.from_arrays([b.column("segment_row_id"), b.column("source_model"), b.column("field_name"), *made], [f.split()[0] for f in FEATURES.split(", ")])
-
-
 WORDS = "kind string, behind string, word string, ends bigint, goes_on bigint"
+#: Rows of the one pass over the texts: features of a text, or counts of a word in a batch of texts, the other fields null.
+PASSED = f"feature struct<{FEATURES}>, counted struct<{WORDS}>"
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    feature, counted = (pa.struct([pa.field(n, _ARROW[t]) for n, t in (f.split() for f in spec.split(", "))]) for spec in (FEATURES, WORDS))
     for b in batches:
-        counts: Counter = Counter()
-        for text, mode in zip(b.column("text").to_pylist(), b.column("mode").to_pylist()):
+        rows, counts = [], Counter()
+        for id_, source, field, text, mode in zip(*(b.column(k).to_pylist() for k in ("segment_row_id", "source_model", "field_name", "text", "mode"))):
+            left = _unmarked(text)
+            rows.append({"segment_row_id": id_, "source_model": source, "field_name": field} | ending(text, mode) | {"chars": len(left), "bytes": len(left.encode())})
             core = without_appended(text).lstrip()
             if mode == "fallback" or TAG.match(core.split("\n", 1)[0]):
                 count_words(core, "t", counts)
             elif not core.startswith(("{", "```")) and mode != "structured":
                 count_words(core, "p", counts)
-        keys = sorted({k[:3] for k in counts})
-        columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([counts[(*k, ends)] for k in keys], pa.int64()) for ends in (True, False)]
-        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in WORDS.split(", ")])
+        words = [dict(zip(("kind", "behind", "word"), k), ends=counts[(*k, True)], goes_on=counts[(*k, False)]) for k in sorted({k[:3] for k in counts})]
+        yield pa.RecordBatch.from_arrays([pa.array(rows + [None] * len(words), feature), pa.array([None] * len(rows) + words, counted)], ["feature", "counted"])
+
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
 
 def fit_censored(lengths: np.ndarray, n: np.ndarray, limit: float) -> tuple[float, float]:
@@ -252,19 +275,23 @@ def find_limits(histogram: pd.DataFrame) -> pd.DataFrame:
     """Candidate limits of one source and field: lengths, in characters or bytes, at which far more texts end unfinished than around them.
 
     `histogram`: unit, length, n, unfinished. A limit may be kept exactly, or fall short by a split character (bytes) or a dropped
-    word (characters). Its posterior of censoring compares the fitted tail beyond the limit with the fitted chance of ending there by itself.
+    word (characters); texts at a limit that is kept exactly don't make a wider one. The posterior of censoring compares the fitted tail beyond
+    the limit with the fitted chance of ending there by itself. Sums over windows are differences of running sums, so the work grows with the number of lengths.
     """
     out = []
     for unit, h in histogram.groupby("unit"):
         h = h.sort_values("length")
         lengths, n, unfinished = h["length"].to_numpy(float), h["n"].to_numpy(float), h["unfinished"].to_numpy(float)
         for width in WINDOWS[str(unit)]:
-            total = np.array([unfinished[(lengths > v - width - 1) & (lengths <= v)].sum() for v in lengths])
-            around = np.array([unfinished[(lengths > v - width - 81) & (lengths <= v + 60)].sum() for v in lengths]) - total
+            upto = np.concatenate([[0.0], np.cumsum(unfinished)])
+            within = lambda low, high: upto[np.searchsorted(lengths, high, "right")] - upto[np.searchsorted(lengths, low, "right")]  # noqa: B023, E731
+            total = within(lengths - width - 1, lengths)
+            around = within(lengths - width - 81, lengths + 60) - total
             room = 140 / (width + 1)
             usual = np.maximum(around / room, 0.2)
             beyond_n = n.sum() - np.cumsum(n)  # a limit lets hardly anything pass
             strong = (total > usual * 4 + 4 * np.sqrt(usual) + 3) & (unfinished > 0) & (beyond_n <= MOST_BEYOND * n.sum())
+            found = []
             while strong.any():
                 at = int(np.argmax(np.where(strong, (total - usual) / np.sqrt(usual), -1)))
                 v, low = lengths[at], lengths[at] - width
@@ -274,7 +301,9 @@ def find_limits(histogram: pd.DataFrame) -> pd.DataFrame:
                 share_usual = min(0.9, usual[at] / max(total[at], 1))
                 odds = beyond / here * (1 - share_usual) if width else beyond / here
                 out.append((unit, int(low), int(v), int(total[at]), float(odds / (1 + odds))))
+                found.append(v)
                 strong &= np.abs(lengths - v) > 40
+            unfinished = np.where(np.isin(lengths, found), 0.0, unfinished) if width == 0 else unfinished
     key = (histogram["source_model"].iloc[0], histogram["field_name"].iloc[0])
     return pd.DataFrame([(*key, *row) for row in out], columns=[c.split()[0] for c in LIMITS.split(", ")])
 
@@ -294,22 +323,38 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def judge_texts(segments: DataFrame) -> DataFrame:
-    """segment_row_id, source_model, field_name, chars, ending, at_limit, log_odds, is_cut: for every stored text whether it was cut.
+#: Texts that the guessed weight of an ending is worth beside those the limits show.
+GUESS_ROWS = 50.0
+
+
+def ending_weights(table: list[tuple[str, float, float, float]]) -> dict[str, float]:
+    """Log-odds of every ending, from rows (ending, expected cut texts at limits, expected whole texts elsewhere, guessed log-odds).
+
+    The share of an ending among cut texts is taken where the censoring posterior says that texts were cut, its share among whole ones elsewhere. The guess counts as GUESS_ROWS cut texts, so that
+    an ending no limit has shown keeps its place among them.
+    """
+    whole = sum(w for _, _, w, _ in table) + len(table)
+    guess = {e: (w + 1) / whole * math.exp(g) for e, _, w, g in table}
+    cut_, all_guess = sum(c for _, c, _, _ in table), sum(guess.values())
+    return {e: math.log((c + GUESS_ROWS * guess[e] / all_guess) / (cut_ + GUESS_ROWS)) - math.log((w + 1) / whole) for e, c, w, _ in table}
+
+
+def judge_texts(segments: DataFrame, with_limits: bool = True, with_learning: bool = True) -> DataFrame:
+    """segment_row_id, source_model, field_name, chars, ending, at_limit, prior, log_odds, is_cut: for every stored text whether it was cut.
 
-    Three kinds of evidence are added as log-odds. The prior: at a candidate limit of its source and field the
-    censoring posterior of a right-censored log-normal fitted by maximum likelihood (`find_limits`), else the rate at which
-    the source's texts break off inside a word. The ending: an object or list left open, names missing that most
-    outputs have, a finished sentence, a closing sign, a clause left open. For texts that end in a word: how often the whole
-    corpus ends a sentence after it, behind the word before; for a name, after any capitalised word there. A word never seen there, but with which longer words begin there, is taken as half of one.
+    Two kinds of evidence are combined, as log-odds. The prior of a text is the chance that it was cut anywhere (the rate at which texts of its source and field break off away from limits) or
+    at one of its source's limits: there the censoring posterior of a right-censored log-normal fitted by maximum likelihood (`find_limits`). The ending: an object or list left open, names or full stops
+    missing that most outputs have, a finished sentence, a closing sign, a clause left open. For texts that end in a word: how often the whole corpus ends a sentence after it, behind the word
+    before; for a name, after any capitalised word there. A word never seen there, but with which longer words begin there, is half of one. What an ending weighs is learned at the limits
+    (`ending_weights`), where the posterior tells cut texts without looking at their ends; structures left open, and signs put behind a text, keep weights of their own.
 
-    Null and blank texts are left out. A null source is a source of its own. Repeated rows are judged each by itself.
+    Null and blank texts are left out. A null source is a source of its own. Repeated rows are judged each by itself. One pass over the texts; `with_limits` and `with_learning` are for ablations.
     """
-    texts = spread(stored_texts(segments))
-    found = cut(texts.mapInArrow(_features, FEATURES))
-    words = texts.mapInArrow(_word_counts, WORDS).groupBy("kind", "behind", "word").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+    passed = cut(spread(stored_texts(segments)).mapInArrow(_passed, PASSED))
+    found = passed.where("feature is not null").select("feature.*")
+    words = passed.where("counted is not null").select("counted.*").groupBy("kind", "behind", "word").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
     wanted = found.where(F.size("keys") > 0).select(F.explode("keys").alias("key")).where("key <> ''").distinct()
-    counts = keys_of_words(words).join(wanted, "key", "left_semi").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+    counts = keys_of_words(words).join(wanted, "key", "left_semi").unionByName(long_beginnings(words, wanted)).groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
 
     # names that most outputs of a kind have: a handful, whatever the input's size
     kinds = found.where("typical <> ''").groupBy("typical").agg(F.count("*").alias("n"))
@@ -332,24 +377,38 @@ def judge_texts(segments: DataFrame) -> DataFrame:
     half_word = (pair == 0) & (beginning > 0)
     unheard = (pair == 0) & (known == 0) & ~(capital & (at("ends", 2) + at("goes_on", 2) > 0))
     word_llr = F.when(half_word, 7.0).when(unheard, 0.5).otherwise(by_share)
+    word_kind = F.when(half_word, "half").when(unheard, "unheard").otherwise(F.round(by_share).cast("int").cast("string"))
+    is_word, proved = F.col("kind").isin("word", "quoted_word"), F.col("lacks") | F.col("kind").isin("json_open", "whole_structure")
+    core = F.when(~proved, F.concat_ws(" ", "typical", "kind", F.when(is_word, word_kind)))
     llr = F.when(F.col("lacks"), LLR["keys_missing"])
     for kind in ("json_open", "whole_structure", "terminal", "closing_sign", "mid_clause"):
         llr = llr.when(F.col("kind") == kind, LLR[kind])
-    llr = llr.when(F.col("kind") == "quoted_word", word_llr - 3.0).otherwise(word_llr) + F.when(F.col("sign"), CUT_SIGN_LLR).otherwise(0.0) + F.when(F.col("trail") & (F.col("kind") == "word"), TRAIL_LLR).otherwise(0.0)
+    llr = llr.when(F.col("kind") == "quoted_word", word_llr - 3.0).otherwise(word_llr)
+    behind = F.when(F.col("sign"), CUT_SIGN_LLR).otherwise(0.0) + F.when(F.col("trail") & (F.col("kind") == "word"), TRAIL_LLR).otherwise(0.0)
     broken = (F.col("kind") == "json_open") | F.col("lacks") | ((F.col("kind") == "word") & half_word)
-    judged = cut(with_words.withColumn("llr", llr).withColumn("broken", broken).select(*id_, "source_model", "chars", "bytes", "kind", "llr", "broken"))
+    judged = cut(with_words.withColumn("core", core).withColumn("llr", llr).withColumn("behind", behind).withColumn("broken", broken).select(*id_, "source_model", "chars", "bytes", "kind", "core", "llr", "behind", "broken"))
 
     units = F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))
-    histogram = judged.select("source_model", "field_name", (F.col("llr") > 0).cast("int").alias("unfinished"), F.inline(units)).groupBy("source_model", "field_name", "unit", "length").agg(F.count("*").alias("n"), F.sum("unfinished").alias("unfinished"))
+    unfinished = (F.col("llr") + F.col("behind") > 0).cast("int").alias("unfinished")
+    histogram = judged.select("source_model", "field_name", unfinished, F.inline(units)).groupBy("source_model", "field_name", "unit", "length").agg(F.count("*").alias("n"), F.sum("unfinished").alias("unfinished"))
     limits = histogram.groupBy("source_model", "field_name").applyInPandas(find_limits, LIMITS)  # rows: lengths that occur, not texts
-    rates = judged.groupBy("source_model", "field_name").agg(((F.sum(F.col("broken").cast("int")) + 0.5) / (F.count("*") + 2)).alias("rate"))
-    per_source = limits.groupBy("source_model", "field_name").agg(F.collect_list(F.struct("unit", "low", "high", "prior")).alias("limits"))
-    s = rates.alias("r").join(per_source.alias("l"), _same("r", "l"), "left").select("r.source_model", "r.field_name", "rate", "limits")
-    placed = judged.alias("j").join(s.alias("s"), _same("j", "s"), "left").select("j.*", "rate", "limits")
-    inside = F.filter("limits", lambda x: (F.when(x["unit"] == "chars", F.col("chars")).otherwise(F.col("bytes")) >= x["low"]) & (F.when(x["unit"] == "chars", F.col("chars")).otherwise(F.col("bytes")) <= x["high"]))
-    prior = F.array_max(F.transform(inside, lambda x: x["prior"]))
-    out = placed.withColumn("at_limit", prior.isNotNull()).withColumn("log_odds", F.greatest(_logit(F.col("rate")), F.coalesce(_logit(prior), F.lit(-99.0))) + F.col("llr"))
-    return out.select("segment_row_id", "source_model", "field_name", "chars", F.col("kind").alias("ending"), "at_limit", "log_odds", (F.col("log_odds") > 0).alias("is_cut"))
+    per_source = limits.where(F.lit(with_limits)).groupBy("source_model", "field_name").agg(F.collect_list(F.struct("unit", "low", "high", "prior")).alias("limits"))
+    length = lambda x: F.when(x["unit"] == "chars", F.col("chars")).otherwise(F.col("bytes"))
+    inside = F.filter("limits", lambda x: (length(x) >= x["low"]) & (length(x) <= x["high"]))
+    placed = cut(judged.alias("j").join(per_source.alias("l"), _same("j", "l"), "left").select("j.*", F.array_max(F.transform(inside, lambda x: x["prior"])).alias("posterior")))
+    away = F.col("posterior").isNull()
+    rates = placed.groupBy("source_model", "field_name").agg(((F.sum((F.col("broken") & away).cast("int")) + 0.5) / (F.sum(away.cast("int")) + 2)).alias("rate"))
+    prior = F.lit(1.0) - (F.lit(1.0) - F.col("rate")) * (F.lit(1.0) - F.coalesce("posterior", F.lit(0.0)))
+    rated = placed.alias("j").join(rates.alias("r"), _same("j", "r")).select("j.*", prior.alias("prior"))
+    weight = F.col("llr")
+    if with_learning:
+        is_cut = F.lit(1.0) / (F.lit(1.0) + F.exp(-(_logit(F.col("prior")) + F.col("llr") + F.col("behind"))))
+        expected = rated.where("core is not null").groupBy("core").agg(F.sum(F.when(away, 0.0).otherwise(is_cut)).alias("c"), F.sum(F.when(away, 1.0 - is_cut).otherwise(0.0)).alias("w"), F.avg("llr").alias("g"))
+        learned = ending_weights([tuple(r) for r in expected.collect()])  # kinds of endings: some dozens at most
+        for core_, value in learned.items():
+            weight = F.when(F.col("core") == core_, F.lit(value)).otherwise(weight)
+    out = rated.withColumn("log_odds", _logit(F.col("prior")) + weight + F.col("behind"))
+    return out.select("segment_row_id", "source_model", "field_name", "chars", F.col("kind").alias("ending"), (~away).alias("at_limit"), "prior", "log_odds", (F.col("log_odds") > 0).alias("is_cut"))
 
 
 def _same(a: str, b: str) -> Column:

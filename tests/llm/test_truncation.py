@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from recallgrid.llm.truncation import ending, fit_censored, json_state, judge_texts, tagged_state, truncation_rates, without_appended
+from recallgrid.llm.truncation import ending, ending_weights, fit_censored, json_state, judge_texts, keys_of_words, long_beginnings, tagged_state, truncation_rates, without_appended
 
 SCHEMA = "segment_row_id bigint, source_model string, synopsis string, structured_trace struct<mode:string,protocol:string,finish_reason:string,content:string>, keys int, kind string"
 
@@ -97,3 +97,30 @@ def test_nulls_blanks_repeats_and_empty_tables(spark):
     assert sorted((r["segment_row_id"], r["field_name"]) for r in judged) == [(3, "synopsis"), (4, "synopsis"), (5, "synopsis")]
     assert not any(r["is_cut"] for r in judged if r["segment_row_id"] < 5)
     assert judge_texts(table(spark, rows).limit(0)).count() == 0
+
+
+def test_names_with_unfinished_sentences_inside_a_closed_object():
+    assert json_state('{"a": [{"d": "It was over."}, {"d": "It was ov"}], "e": "one two."}') == ("whole", ["a", "e", "e."])
+    assert ending("It was over the cl�", None)["kind"] == "mid_clause"
+
+
+def test_an_object_closed_after_a_cut_inside_a_sentence(spark):
+    whole = [("m", None, ("structured", "p", "stop", json.dumps({"events": [{"description": f"They met at gate {i}."}], "threads": []}))) for i in range(40)]
+    cut_ = ("m", None, ("structured", "p", "stop", json.dumps({"events": [{"description": "They met at ga"}], "threads": []})))
+    got = {r["segment_row_id"] for r in judge_texts(table(spark, [*whole, cut_])).where("is_cut").collect()}
+    assert got == {40}
+
+
+def test_weights_are_learned_from_texts_at_limits():
+    table_ = [("terminal", 1.0, 900.0, -7.0), ("word 3", 99.0, 10.0, 2.5), ("word -1", 30.0, 90.0, -1.0)]
+    w = ending_weights(table_)
+    assert w["terminal"] < -4 and w["word 3"] > 2.5 and w["word -1"] > -1.0
+    assert ending_weights([(e, c / 100, n, g) for e, c, n, g in table_]) == {"terminal": -7.0, "word 3": 2.5, "word -1": -1.0}
+
+
+def test_long_words_cut_anywhere_are_known_as_half(spark):
+    long_word = "Donaudampfschifffahrtsgesellschaftskapitänskajütenschlüssel"
+    words = spark.createDataFrame([("p", "der", long_word, 0, 5), ("p", "der", "Donau", 2, 1)], "kind string, behind string, word string, ends bigint, goes_on bigint")
+    wanted = spark.createDataFrame([(f"px der {long_word[:k]}",) for k in (3, 24, 25, 40, len(long_word))], "key string")
+    counts = keys_of_words(words).join(wanted, "key", "left_semi").unionByName(long_beginnings(words, wanted))
+    assert {r["key"].split()[-1]: r["n"] for r in counts.groupBy("key").agg({"goes_on": "sum"}).withColumnRenamed("sum(goes_on)", "n").collect()} == {long_word[:3]: 8, long_word[:24]: 5, long_word[:25]: 5, long_word[:40]: 5}
