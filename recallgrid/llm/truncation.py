@@ -73,33 +73,29 @@ def _names_of(node: object) -> list[str]:
     return sorted({*(node if isinstance(node, dict) else ()), *(f"{name}." for name, finished in last.items() if finished)})
 
 
+_DECODER = json.JSONDecoder()
+#: Strings, the last one perhaps left open, and brackets outside them.
+_BRACKETS = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\\?\Z)|[{}\[\]]', re.DOTALL)
+
+
 def json_state(text: str) -> tuple[str, list[str]]:
     """open, whole, or none (no object in it), and the names in a whole object that can be read; see `_names_of`."""
     start = text.find("{")
     if start < 0:
         return "none", []
-    depth, quoted, escaped = 0, False, False
-    for at in range(start, len(text)):
-        c = text[at]
-        if quoted:
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = True
-            elif c == '"':
-                quoted = False
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
+    try:
+        return "whole", _names_of(_DECODER.raw_decode(text, start)[0])
+    except (ValueError, RecursionError):
+        pass
+    depth = 0
+    for part in _BRACKETS.finditer(text, start):
+        c = part.group()
+        if c in "{[":
             depth += 1
         elif c in "}]":
             depth -= 1
             if depth == 0:
-                body = text[start : at + 1]
-                try:
-                    return "whole", _names_of(json.loads(body))
-                except (ValueError, RecursionError):
-                    return "whole", sorted(set(re.findall(r"^[ ]?[\"'](\w+)[\"']\s*:", body, re.M)) | {"?"})
+                return "whole", sorted(set(re.findall(r"^[ ]?[\"'](\w+)[\"']\s*:", text[start : part.end()], re.M)) | {"?"})
     return "open", []
 
 
@@ -330,13 +326,16 @@ GUESS_ROWS = 50.0
 def ending_weights(table: list[tuple[str, float, float, float]]) -> dict[str, float]:
     """Log-odds of every ending, from rows (ending, expected cut texts at limits, expected whole texts elsewhere, guessed log-odds).
 
-    The share of an ending among cut texts is taken where the censoring posterior says that texts were cut, its share among whole ones elsewhere. The guess counts as GUESS_ROWS cut texts, so that
-    an ending no limit has shown keeps its place among them.
+    The share of an ending among cut texts is taken where the censoring posterior says that texts were cut, its share among whole ones elsewhere. The guess counts as GUESS_ROWS cut
+    texts, so that an ending no limit has shown keeps its place among them; with fewer texts than that at limits the guesses stand.
     """
+    shown = sum(c for _, c, _, _ in table)
+    if shown < GUESS_ROWS:
+        return {e: g for e, _, _, g in table}
     whole = sum(w for _, _, w, _ in table) + len(table)
     guess = {e: (w + 1) / whole * math.exp(g) for e, _, w, g in table}
-    cut_, all_guess = sum(c for _, c, _, _ in table), sum(guess.values())
-    return {e: math.log((c + GUESS_ROWS * guess[e] / all_guess) / (cut_ + GUESS_ROWS)) - math.log((w + 1) / whole) for e, c, w, _ in table}
+    unit = GUESS_ROWS / sum(guess.values())
+    return {e: math.log((c + unit * guess[e]) / (shown + GUESS_ROWS)) - math.log((w + 1) / whole) for e, c, w, _ in table}
 
 
 def judge_texts(segments: DataFrame, with_limits: bool = True, with_learning: bool = True) -> DataFrame:
