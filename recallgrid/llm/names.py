@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +35,15 @@ TITLES = set("mr mrs ms miss dr doctor prof professor captain capt judge sister
 FILLERS = {"the", "of", "and", "de", "la"}
 UNNAMED = set("nobody someone somebody anyone anybody everyone everybody stranger strangers narrator crowd people person man woman boy girl voice others other they them he she it him her we us you unknown none null nil na unnamed anonymous particular in a an the some any no one of old young another character figure".split())
 
-#: Similarity from which spellings must be brought together, and the chance with which they must be.
-SIMILARITY, RECALL, ROWS = 0.35, 0.985, 2
+#: Similarity of windows from which spellings must be brought together, and the chance with which they must be.
+SIMILARITY, RECALL, ROWS = 0.5, 0.985, 3
 LINK = 0.84
-#: Words from which on a mention is compared as a text.
-LONG_NAME = 24
+#: Members of a bucket, or rows of an entity, that one side of a join holds at most for one key; larger ones are split by salt.
+SPLIT = 512
+#: Links of a chat that one task clusters; a chat with more is clustered in rounds over all tasks, with the same result.
+TASK_LINKS = 100_000
+#: Short forms that keep a vowel and yet are abbreviations.
+VOWEL_ABBREVIATIONS = ("hse", "bros", "soc", "inst", "auth")
 SEED = 20_011
 
 
@@ -48,8 +53,7 @@ def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, rows: int
 
 
 BANDS = bands_for()
-_SALTS = np.random.default_rng(SEED).integers(1, 2**61 - 1, (2, BANDS * ROWS), dtype=np.int64)
-_PRIME = (1 << 61) - 1
+_SALTS = np.random.default_rng(SEED).integers(1, 2**63 - 1, (2, BANDS * ROWS), dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
 
 def words(text: str) -> list[str]:
@@ -104,7 +108,7 @@ def token_similarity(a: str, b: str) -> float:
     d = edits(x, y, most)
     if d <= most:
         return 1 - d / len(y)
-    if len(x) <= 4 and y[0] == x[0] and (y.startswith(x) or (a.endswith(".") or x in ("hse", "bros", "soc", "inst", "auth") or not set("aeiou") & set(x)) and _within(x, y)):
+    if len(x) <= 4 and y[0] == x[0] and (y.startswith(x) or (a.endswith(".") or x in VOWEL_ABBREVIATIONS or not set("aeiou") & set(x)) and _within(x, y)):
         return 0.9
     if y.startswith(x) and len(x) >= 3:
         return 0.88
@@ -126,12 +130,27 @@ def monge_elkan(a: list[str], b: list[str]) -> float:
     """
     if len(a) > len(b):
         a, b = b, a
-    pairs = sorted(((token_similarity(x, y), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
     of_a: dict[int, float] = {}
     partner: dict[int, str] = {}
     used: set[int] = set()
-    for s, i, j in pairs:
-        if s > 0 and i not in of_a and j not in used:
+    same: dict[str, list[int]] = {}
+    for j, y in enumerate(b):
+        same.setdefault(y.rstrip("."), []).append(j)
+    for i in range(len(a) - 1, -1, -1):  # equal words find each other first, so that long texts need not compare every word with every other
+        if same.get(a[i].rstrip(".")):
+            j = same[a[i].rstrip(".")].pop()
+            of_a[i], partner[i] = 1.0, b[j]
+            used.add(j)
+    open_ = [j for j in range(len(b)) if j not in used]
+    found = []
+    for i, x in enumerate(a):
+        if i not in of_a:
+            near = [(s, i, j) for j in open_ if (s := token_similarity(x, b[j])) > 0]
+            if max(near, default=(0.0,))[0] < 0.6 and not (not near and len(x.rstrip(".")) == 1 and len(a) > 2):
+                return 0.0  # a word of its own: the rest need not be looked at
+            found += near
+    for s, i, j in sorted(found, reverse=True):
+        if i not in of_a and j not in used:
             of_a[i], partner[i] = s, b[j]
             used.add(j)
     left = any(len(y.rstrip(".")) >= 3 for j, y in enumerate(b) if j not in used)
@@ -162,9 +181,6 @@ def is_acronym(short: str, name: list[str], with_fillers: list[str]) -> bool:
 def similarity(a: str, b: str) -> float:
     """Similarity of two normal forms: Monge-Elkan over their words, in any order; within a name two or three initials may stand for as many words."""
     x, y = a.split(" "), b.split(" ")
-    if max(len(x), len(y)) > LONG_NAME:  # no name any more but a text: the share of the shorter one's words found in the other
-        small, large = sorted((set(x), set(y)), key=len)
-        return len(small & large) / len(small) if 2 * len(small) >= len(large) else 0.0
     best = monge_elkan(x, y)
     if best < LINK:
         for short, long in ((x, y), (y, x)):
@@ -207,24 +223,50 @@ def _nearly(letters: str, initials: list[str]) -> bool:
 
 
 def qgrams(name: str) -> set[str]:
-    """Two-letter windows of every word, padded at both ends, so the order of words doesn't matter."""
-    return {p[i : i + 2] for w in name.split(" ") for p in (f"${w.rstrip('.')}$",) for i in range(len(p) - 1)}
-
-
-@lru_cache(maxsize=100_000)
-def _gram_hashes(gram: str) -> tuple[int, ...]:
-    import xxhash
-
-    h = xxhash.xxh64_intdigest(gram, seed=SEED) % _PRIME
-    return tuple((int(a) * h + int(b)) % _PRIME for a, b in zip(_SALTS[0], _SALTS[1]))
+    """Two-letter windows of every word, padded at both ends, so the order of words doesn't matter; a nickname has those of the names it is short for."""
+    bare = (w.rstrip(".") for w in name.split(" "))
+    return {p[i : i + 2] for w in bare for v in _LONG.get(w, (w,)) for p in (f"${v}$",) for i in range(len(p) - 1)}
+
+
+class Signer:
+    """MinHash signatures of names: the hashes of a window are computed once a process, minima over a name's windows for a batch at a time."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.hashes = np.empty((0, BANDS * ROWS), np.uint64)
+
+    def _places(self, grams: list[str]) -> np.ndarray:
+        import xxhash
+
+        new = [g for g in dict.fromkeys(grams) if g not in self.place]
+        if new:
+            h = np.array([xxhash.xxh64_intdigest(g, seed=SEED) for g in new], np.uint64)[:, None]
+            with np.errstate(over="ignore"):
+                x = h * _SALTS[0] + _SALTS[1]  # modulo 2^64, mixed below
+                x ^= x >> np.uint64(29)
+                x *= np.uint64(0x9E3779B97F4A7C15)
+                x ^= x >> np.uint64(32)
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            self.hashes = np.concatenate([self.hashes, x])
+        return np.array([self.place[g] for g in grams], np.int64)
+
+    def keys(self, names: list[str]) -> np.ndarray:
+        """names x BANDS: one key for each band of a name's signature."""
+        sets = [sorted(qgrams(n)) for n in names]
+        starts = np.cumsum([0, *(len(x) for x in sets[:-1])])
+        places = self._places([g for x in sets for g in x])
+        rows = np.minimum.reduceat(self.hashes[places], starts, axis=0).reshape(len(names), BANDS, ROWS)
+        key = np.zeros((len(names), BANDS), np.uint64)
+        with np.errstate(over="ignore"):
+            for r in range(ROWS):
+                key = (key ^ rows[:, :, r]) * np.uint64(0xBF58476D1CE4E5B9)
+                key ^= key >> np.uint64(31)
+        return key.view(np.int64)
 
 
 def band_keys(name: str) -> list[int]:
     """One key for each band of the name's MinHash signature."""
-    import xxhash
-
-    rows = np.array([_gram_hashes(g) for g in sorted(qgrams(name))], dtype=np.int64).min(axis=0)
-    return [xxhash.xxh64_intdigest(rows[k * ROWS : (k + 1) * ROWS].tobytes(), seed=k) - (1 << 63) for k in range(BANDS)]
+    return Signer().keys([name])[0].tolist()
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,17 +276,20 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    signer = Signer()
     for b in batches:
-        names = b.column("name").to_pylist()
-        keys = pa.array([band_keys(n) for n in names], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column("chat_id"), b.column("name"), keys], ["chat_id", "name", "keys"])
+        for at in range(0, b.num_rows, 4096):
+            part = b.slice(at, 4096)
+            keys = signer.keys(part.column("name").to_pylist())
+            offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("chat"), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))], ["id", "chat", "keys"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         s = np.array([similarity(x, y) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())])
         good = pa.array(s >= LINK)
-        yield pa.RecordBatch.from_arrays([*(b.column(k).filter(good) for k in ("chat_id", "a", "b")), pa.array(s, pa.float64()).filter(good)], ["chat_id", "a", "b", "s"])
+        yield pa.RecordBatch.from_arrays([*(c.filter(good) for c in b.columns), pa.array(s, pa.float64()).filter(good)], [*b.schema.names, "s"])
 
 
 def resolved_mentions(mentions: DataFrame) -> DataFrame:
@@ -254,58 +299,106 @@ def resolved_mentions(mentions: DataFrame) -> DataFrame:
     return rows.mapInArrow(_named, f"mention_id {kind}, chat_id string, mention string, name string, is_full boolean").where("name <> ''")
 
 
-def link_edges(names: DataFrame) -> DataFrame:
-    """chat_id, a, b, s (both directions): the pairs of names of one chat that band together and are similar enough.
+def candidate_pairs(names: DataFrame) -> DataFrame:
+    """id_a < id_b: stand-ins (xxhash64 of chat and name) of the names of one chat that share a band of their signatures.
 
-    `names`: one row for each distinct name of a chat. Pairs come from equal band keys within a chat only.
+    `names`: one row for each distinct name of a chat. A bucket of two gives its pair while it is counted; larger ones are joined with themselves, those of more than SPLIT members in as many
+    parts as that takes, so that no task pairs a whole hot bucket. Two numbers a row are shuffled. Stand-ins that happen to be equal cost a comparison, no more.
     """
-    kind = dict(names.dtypes)["chat_id"]
-    banded = spread(names.select("chat_id", "name")).mapInArrow(_banded, f"chat_id {kind}, name string, keys array<bigint>")
-    # 64-bit stand-ins for chat and name, and for chat, band and key: two numbers a row are shuffled. Stand-ins that happen to be equal cost a comparison, no more
-    marked = banded.select(F.xxhash64("chat_id", "name").alias("id"), F.xxhash64("chat_id").alias("chat"), F.posexplode("keys").alias("band", "key"))
-    keyed = cut(marked.select("id", F.xxhash64("chat", "band", "key").alias("bucket")))
-    meet = keyed.alias("x").join(keyed.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b")).distinct()
-    told = names.select(F.xxhash64("chat_id", "name").alias("id"), "chat_id", "name")
-    pairs = meet.join(told.select(F.col("id").alias("id_a"), "chat_id", F.col("name").alias("a")), "id_a").join(told.select(F.col("id").alias("id_b"), F.col("chat_id").alias("chat_b"), F.col("name").alias("b")), "id_b").where("chat_id = chat_b")
-    good = cut(pairs.select("chat_id", "a", "b").mapInArrow(_verified, f"chat_id {kind}, a string, b string, s double"))
-    return good.unionByName(good.select("chat_id", F.col("b").alias("a"), F.col("a").alias("b"), "s"))
+    marked = spread(names.select(F.xxhash64("chat_id", "name").alias("id"), F.xxhash64("chat_id").alias("chat"), "name"))
+    opened = marked.mapInArrow(_banded, "id bigint, chat bigint, keys array<bigint>").select("id", "chat", F.posexplode("keys").alias("band", "key"))
+    keyed = cut(opened.select("id", F.xxhash64("chat", "band", "key").alias("bucket")))
+    buckets = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("id_a"), F.max("id").alias("id_b")).where("n > 1 and id_a < id_b")
+    buckets = cut(buckets)
+    parts = F.ceil(F.col("n") / SPLIT).cast("bigint")
+    members = keyed.join(buckets.where("n > 2").select("bucket", parts.alias("parts")), "bucket")
+    left = members.select("bucket", F.col("id").alias("id_a"), F.pmod("id", "parts").alias("part"))
+    right = members.select("bucket", F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    met = left.join(right, ["bucket", "part"]).where("id_a < id_b").select("id_a", "id_b")
+    return buckets.where("n = 2").select("id_a", "id_b").unionByName(met).distinct()
 
 
-def star_clusters(names: DataFrame, edges: DataFrame) -> DataFrame:
-    """chat_id, name, centre: star clustering of the similarity graph.
+def link_edges(names: DataFrame) -> DataFrame:
+    """chat_id, a, b, s and of both names n and is_full: the pairs of names of one chat that band together and are similar enough, in both directions.
+
+    `names`: one row for each distinct name of a chat (chat_id, name, n, is_full).
+    """
+    kind = dict(names.dtypes)["chat_id"]
+    told = lambda x: names.select(F.xxhash64("chat_id", "name").alias(f"id_{x}"), F.col("chat_id").alias(f"chat_{x}"), F.col("name").alias(x), F.col("n").alias(f"n_{x}"), F.col("is_full").alias(f"full_{x}"))
+    pairs = candidate_pairs(names).join(told("a"), "id_a").join(told("b"), "id_b").where("chat_a = chat_b").select(F.col("chat_a").alias("chat_id"), "a", "b", "n_a", "full_a", "n_b", "full_b")
+    # pairs come in the order of their keys: spread anew, so that the comparing is shared among all cores
+    good = cut(pairs.repartition(F.col("chat_id"), F.col("a"), F.col("b")).mapInArrow(_verified, f"chat_id {kind}, a string, b string, n_a bigint, full_a boolean, n_b bigint, full_b boolean, s double"))
+    other = good.select("chat_id", F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_b").alias("n_a"), F.col("full_b").alias("full_a"), F.col("n_a").alias("n_b"), F.col("full_a").alias("full_b"), "s")
+    return good.unionByName(other)
+
+
+def star_of(edges: pd.DataFrame) -> dict[str, str]:
+    """The centre of every name of one chat's links; see `star_clusters`."""
+    near: dict[str, dict[str, float]] = {}
+    rank: dict[str, list] = {}
+    for a, b, s, n_a, full_a, n_b in zip(edges["a"], edges["b"], edges["s"], edges["n_a"], edges["full_a"], edges["n_b"]):
+        near.setdefault(a, {})[b] = s
+        rank.setdefault(a, [int(full_a), 2 * n_a, len(a), a])[1] += n_b
+    centres: set[str] = set()
+    out: dict[str, str] = {}
+    for name in sorted(rank, key=rank.__getitem__, reverse=True):
+        if not centres & near[name].keys():
+            centres.add(name)
+            out[name] = name
+    for name in rank:
+        if name not in centres:
+            offers = sorted(((bool(rank[c][0]), near[name][c], c) for c in near[name].keys() & centres), reverse=True)
+            tied = len(offers) > 1 and offers[0][:2] == offers[1][:2]
+            out[name] = name if tied and not rank[name][0] else offers[0][2]
+    return out
+
+
+def star_clusters(edges: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+    """chat_id, name, entity: star clustering of the similarity graph; names without a link are left out.
 
     Names are ranked: full names first, then by the rows their neighbourhood stands for. A name without a better-ranked free neighbour
     becomes a centre and takes its free neighbours; again until none is free. A name next to several centres goes to the most similar one; a short name as near to two stays by itself.
-    All names of a round decide at once: each round is two joins, whatever the size of chats or clusters.
+    Links are within chats: those of a chat with at most `task_links` of them are clustered in one task. Larger chats go in rounds in which all names
+    decide at once, each two joins, whatever the size of chats or clusters. Both ways give the same clusters.
     """
-    weight = edges.join(names.select("chat_id", F.col("name").alias("b"), F.col("n").alias("n_b")), ["chat_id", "b"]).groupBy("chat_id", F.col("a").alias("name")).agg(F.sum("n_b").alias("around"))
-    ranked = names.join(weight, ["chat_id", "name"], "left").select("chat_id", "name", "is_full", F.struct(F.col("is_full").cast("int").alias("f"), (F.col("n") * 2 + F.coalesce("around", F.lit(0))).alias("w"), F.length("name").alias("l"), F.col("name").alias("t")).alias("rank"))
-    free = cut(ranked.join(edges.select("chat_id", F.col("a").alias("name")).distinct(), ["chat_id", "name"], "left_semi"))
-    lone = ranked.join(free.select("chat_id", "name"), ["chat_id", "name"], "left_anti")
-    centres = lone.select("chat_id", "name")
-    links = edges
+    kind = dict(edges.dtypes)["chat_id"]
+    sizes = edges.groupBy("chat_id").agg(F.count("*").alias("n_links"))
+    large = cut(sizes.where(F.col("n_links") > task_links).select("chat_id"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = star_of(rows)
+        return pd.DataFrame({"chat_id": key[0], "name": list(found), "entity": list(found.values())})
+
+    spec = f"chat_id {kind}, name string, entity string"
+    if large.isEmpty():
+        return edges.groupBy("chat_id").applyInPandas(run, spec)
+    return edges.join(large, "chat_id", "left_anti").groupBy("chat_id").applyInPandas(run, spec).unionByName(_star_rounds(cut(edges.join(large, "chat_id", "left_semi"))))
+
+
+def _star_rounds(edges: DataFrame) -> DataFrame:
+    """`star_clusters` of chats of any size."""
+    rank = F.struct(F.first("full_a").cast("int").alias("f"), (F.first("n_a") * 2 + F.sum("n_b")).alias("w"), F.length("a").alias("l"), F.col("a").alias("t"))
+    ranked = cut(edges.groupBy("chat_id", "a").agg(rank.alias("rank"), F.first("full_a").alias("is_full")).withColumnRenamed("a", "name"))
+    links = edges.select("chat_id", "a", "b", "s")
+    free, centres = ranked.select("chat_id", "name", "rank"), None
     while True:
         other = free.select("chat_id", F.col("name").alias("b"), F.col("rank").alias("rank_b"))
-        near = links.join(other, ["chat_id", "b"]).groupBy("chat_id", F.col("a").alias("name")).agg(F.max("rank_b").alias("best"))
-        state = free.join(near, ["chat_id", "name"], "left")
-        made = cut(state.where("best is null or rank > best").select("chat_id", "name"))
-        centres = centres.unionByName(made)
+        best = links.join(other, ["chat_id", "b"]).groupBy("chat_id", F.col("a").alias("name")).agg(F.max("rank_b").alias("best"))
+        made = cut(free.join(best, ["chat_id", "name"], "left").where("best is null or rank > best").select("chat_id", "name"))
+        centres = made if centres is None else centres.unionByName(made)
         taken = made.join(links.select("chat_id", F.col("a").alias("name"), "b"), ["chat_id", "name"]).select("chat_id", F.col("b").alias("name")).distinct()
         free = cut(free.join(made, ["chat_id", "name"], "left_anti").join(taken, ["chat_id", "name"], "left_anti"))
         if free.isEmpty():
             break
     centres = cut(centres)
-    own = centres.select("chat_id", "name", F.col("name").alias("centre"))
-    rest = ranked.join(centres, ["chat_id", "name"], "left_anti")
-    full_centres = centres.join(names, ["chat_id", "name"]).select("chat_id", F.col("name").alias("centre"), F.col("is_full").alias("to_full"))
-    offers = rest.join(edges.select("chat_id", F.col("a").alias("name"), F.col("b").alias("centre"), "s"), ["chat_id", "name"]).join(full_centres, ["chat_id", "centre"])
-    # of the centres beside a name its best two tell whether there is a tie: full ones first, then by similarity
-    offer = F.struct("to_full", "s", "centre")
-    best = offers.groupBy("chat_id", "name", "is_full").agg(F.max(offer).alias("top"), F.max_by(F.struct("to_full", "s"), F.struct("to_full", "s")).alias("level"))
+    rest = ranked.join(centres, ["chat_id", "name"], "left_anti").select("chat_id", "name", "is_full")
+    full = ranked.join(centres, ["chat_id", "name"], "left_semi").select("chat_id", F.col("name").alias("centre"), F.col("is_full").alias("to_full"))
+    offers = rest.join(links.select("chat_id", F.col("a").alias("name"), F.col("b").alias("centre"), "s"), ["chat_id", "name"]).join(full, ["chat_id", "centre"])
     level = F.struct("to_full", "s")
+    best = offers.groupBy("chat_id", "name", "is_full").agg(F.max(F.struct("to_full", "s", "centre")).alias("top"), F.max(level).alias("level"))
     ties = offers.join(best.select("chat_id", "name", "level"), ["chat_id", "name"]).where(level == F.col("level")).groupBy("chat_id", "name").agg(F.count("*").alias("ties"))
-    placed = best.join(ties, ["chat_id", "name"]).select("chat_id", "name", F.when((F.col("ties") > 1) & ~F.col("is_full"), F.col("name")).otherwise(F.col("top.centre")).alias("centre"))
-    return own.unionByName(placed)
+    placed = best.join(ties, ["chat_id", "name"]).select("chat_id", "name", F.when((F.col("ties") > 1) & ~F.col("is_full"), F.col("name")).otherwise(F.col("top.centre")).alias("entity"))
+    return centres.select("chat_id", "name", F.col("name").alias("entity")).unionByName(placed)
 
 
 def cluster_mentions(mentions: DataFrame) -> DataFrame:
@@ -319,12 +412,18 @@ def cluster_mentions(mentions: DataFrame) -> DataFrame:
     """
     rows = cut(resolved_mentions(mentions))
     names = cut(rows.groupBy("chat_id", "name").agg(F.count("*").alias("n"), F.max("is_full").alias("is_full")))
-    clusters = star_clusters(names, link_edges(names))
-    return rows.join(clusters, ["chat_id", "name"]).select("mention_id", "chat_id", "mention", "name", F.col("centre").alias("entity"))
+    clusters = star_clusters(link_edges(names))
+    return rows.join(clusters, ["chat_id", "name"], "left").select("mention_id", "chat_id", "mention", "name", F.coalesce("entity", "name").alias("entity"))
 
 
 def mention_pairs(clustered: DataFrame) -> DataFrame:
-    """(mention_id_a, mention_id_b), a < b: the rows of one chat and entity whose mentions are spelt differently."""
-    a, b = clustered.alias("a"), clustered.alias("b")
-    same = (F.col("a.chat_id") == F.col("b.chat_id")) & (F.col("a.entity") == F.col("b.entity")) & (F.col("a.mention_id") < F.col("b.mention_id")) & (F.col("a.mention") != F.col("b.mention"))
-    return a.join(b, same).select(F.col("a.mention_id").alias("mention_id_a"), F.col("b.mention_id").alias("mention_id_b"))
+    """(mention_id_a, mention_id_b), a < b: the rows of one chat and entity whose mentions are spelt differently.
+
+    The list is as long as there are such pairs. An entity of more than SPLIT rows is joined in as many parts as that takes, so that no task pairs a whole hot entity.
+    """
+    rows = cut(clustered.select("mention_id", "chat_id", "entity", "mention"))
+    sizes = rows.groupBy("chat_id", "entity").agg(F.count("*").alias("n"), F.min("mention").alias("first"), F.max("mention").alias("last")).where("first < last")
+    sized = rows.join(sizes.select("chat_id", "entity", F.ceil(F.col("n") / SPLIT).cast("bigint").alias("parts")), ["chat_id", "entity"])
+    a = sized.select("chat_id", "entity", F.col("mention_id").alias("mention_id_a"), F.col("mention").alias("mention_a"), F.pmod(F.xxhash64("mention_id"), "parts").alias("part"))
+    b = sized.select("chat_id", "entity", F.col("mention_id").alias("mention_id_b"), F.col("mention").alias("mention_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["chat_id", "entity", "part"]).where("mention_id_a < mention_id_b and mention_a <> mention_b").select("mention_id_a", "mention_id_b")

@@ -1,10 +1,14 @@
 import itertools
+import os
 import random
+from pathlib import Path
 
 import pytest
 
-from recallgrid.llm.names import BANDS, ROWS, band_keys, bands_for, cluster_mentions, core, is_full, mention_pairs, monge_elkan, qgrams, resolve, similarity
+from recallgrid.llm import names as N
+from recallgrid.llm.names import BANDS, LINK, SIMILARITY, band_keys, bands_for, candidate_pairs, cluster_mentions, core, is_full, mention_pairs, monge_elkan, qgrams, resolve, similarity
 
+DATA = os.environ.get("TEST_DATA_LARGE", "/root/testdata/sf0.1")
 SCHEMA = "mention_id bigint, chat_id string, mention string, aliases array<string>, canonical_name_candidate string, name string, entity int"
 
 
@@ -53,15 +57,55 @@ def test_short_names_take_hints_that_agree():
 def test_collision_curve():
     assert bands_for(0.5, 0.9, 2) == 9
     r, hits, n = random.Random(1), 0, 0
-    for _ in range(400):
+    while n < 400:
         word = "".join(r.choice("abcdefghijklmnop") for _ in range(12))
-        other = word[:5] + "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+        other = word[:9] + "".join(r.choice("abcdefghijklmnop") for _ in range(3))
         a, b = qgrams(word), qgrams(other)
-        if len(a & b) / len(a | b) >= 0.35:
+        if len(a & b) / len(a | b) >= SIMILARITY:
             n += 1
             hits += bool(set(band_keys(word)) & set(band_keys(other)))
-    assert n and hits / n >= 0.93
-    assert len(band_keys("benjamin ivlow")) == BANDS and ROWS == 2
+    assert hits / n >= 0.98
+    assert len(band_keys("benjamin ivlow")) == BANDS
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+def test_bands_select_in_the_largest_chat_and_lose_hardly_a_link(spark):
+    """All pairs of the largest chats' names compared, as the measure of what the bands bring together."""
+    resolved = N.resolved_mentions(spark.read.parquet(f"{DATA}/entity_mentions.parquet")).select("chat_id", "name").distinct().toPandas()
+    by_chat = {c: sorted(g["name"]) for c, g in resolved.groupby("chat_id")}
+    largest = sorted(by_chat, key=lambda c: -len(by_chat[c]))[:40]
+    signer, links, met = N.Signer(), 0, 0
+    for k, chat in enumerate(largest):
+        keys = [set(x) for x in signer.keys(by_chat[chat]).tolist()]
+        close = [(bool(keys[i] & keys[j]), similarity(by_chat[chat][i], by_chat[chat][j]) >= LINK) for i, j in itertools.combinations(range(len(keys)), 2)]
+        links += sum(s for _, s in close)
+        met += sum(m and s for m, s in close)
+        if k == 0:
+            assert sum(m for m, _ in close) <= sum(s for _, s in close) + 0.05 * len(close)
+    assert links > 500 and met >= 0.985 * links
+
+
+def test_hot_buckets_are_split_without_losing_pairs(spark, monkeypatch):
+    rows = [("c", f"ivlowlow {chr(97 + i // 26)}{chr(97 + i % 26)}", 1, True) for i in range(60)]
+    names = spark.createDataFrame(rows, "chat_id string, name string, n bigint, is_full boolean")
+    whole = {tuple(r) for r in candidate_pairs(names).collect()}
+    monkeypatch.setattr(N, "SPLIT", 7)
+    assert {tuple(r) for r in candidate_pairs(names).collect()} == whole and len(whole) > 500
+    clustered = spark.createDataFrame([(i, "c", f"m{i % 5}", "e") for i in range(50)], "mention_id bigint, chat_id string, mention string, entity string")
+    assert mention_pairs(clustered).count() == mention_pairs(clustered).distinct().count() == 50 * 49 // 2 - 5 * 45
+
+
+def test_rounds_and_one_task_cluster_alike(spark, as_rows):
+    r = random.Random(4)
+    nodes = {(c, f"n{i:02}"): (r.randint(1, 5), r.random() < 0.6) for c in "xy" for i in range(40)}
+    rows = []
+    for (c, a), (d, b) in itertools.combinations(nodes, 2):
+        if c == d and r.random() < 0.06:
+            s = r.choice([0.85, 0.9, 1.0])
+            rows += [(c, p, q, s, *nodes[c, p], *nodes[c, q]) for p, q in ((a, b), (b, a))]
+    edges = spark.createDataFrame(rows, "chat_id string, a string, b string, s double, n_a bigint, full_a boolean, n_b bigint, full_b boolean")
+    one, rounds = (as_rows(N.star_clusters(edges, task_links=k), "chat_id", "name", "entity") for k in (10_000, 0))
+    assert one == rounds and len({x[2] for x in one}) > 5
 
 
 def test_clusters(spark):
