@@ -9,7 +9,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -332,11 +331,11 @@ def link_edges(names: DataFrame) -> DataFrame:
     return good.unionByName(other)
 
 
-def star_of(edges: pd.DataFrame) -> dict[str, str]:
-    """The centre of every name of one chat's links; see `star_clusters`."""
+def star_of(edges: list[tuple]) -> dict[str, str]:
+    """The centre of every name of one chat's links (a, b, s, n_a, full_a, n_b); see `star_clusters`."""
     near: dict[str, dict[str, float]] = {}
     rank: dict[str, list] = {}
-    for a, b, s, n_a, full_a, n_b in zip(edges["a"], edges["b"], edges["s"], edges["n_a"], edges["full_a"], edges["n_b"]):
+    for a, b, s, n_a, full_a, n_b in edges:
         near.setdefault(a, {})[b] = s
         rank.setdefault(a, [int(full_a), 2 * n_a, len(a), a])[1] += n_b
     centres: set[str] = set()
@@ -353,6 +352,25 @@ def star_of(edges: pd.DataFrame) -> dict[str, str]:
     return out
 
 
+def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Clusters of chats whose links come one chat after the other."""
+    chat, rows = None, []
+
+    def done() -> pa.RecordBatch:
+        found = star_of(rows)
+        return pa.RecordBatch.from_arrays([pa.array([chat] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.string())], ["chat_id", "name", "entity"])
+
+    for b in batches:
+        for c, *row in zip(*(b.column(k).to_pylist() for k in ("chat_id", "a", "b", "s", "n_a", "full_a", "n_b"))):
+            if c != chat and rows:
+                yield done()
+                rows = []
+            chat = c
+            rows.append(row)
+    if rows:
+        yield done()
+
+
 def star_clusters(edges: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     """chat_id, name, entity: star clustering of the similarity graph; names without a link are left out.
 
@@ -365,14 +383,12 @@ def star_clusters(edges: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     sizes = edges.groupBy("chat_id").agg(F.count("*").alias("n_links"))
     large = cut(sizes.where(F.col("n_links") > task_links).select("chat_id"))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = star_of(rows)
-        return pd.DataFrame({"chat_id": key[0], "name": list(found), "entity": list(found.values())})
+    def in_tasks(links: DataFrame) -> DataFrame:
+        return links.repartition("chat_id").sortWithinPartitions("chat_id").mapInArrow(_starred, f"chat_id {kind}, name string, entity string")
 
-    spec = f"chat_id {kind}, name string, entity string"
     if large.isEmpty():
-        return edges.groupBy("chat_id").applyInPandas(run, spec)
-    return edges.join(large, "chat_id", "left_anti").groupBy("chat_id").applyInPandas(run, spec).unionByName(_star_rounds(cut(edges.join(large, "chat_id", "left_semi"))))
+        return in_tasks(edges)
+    return in_tasks(edges.join(large, "chat_id", "left_anti")).unionByName(_star_rounds(cut(edges.join(large, "chat_id", "left_semi"))))
 
 
 def _star_rounds(edges: DataFrame) -> DataFrame:
