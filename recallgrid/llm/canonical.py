@@ -202,8 +202,12 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | ~c.rlike(r"[^\s\p{Z}\p{Cf}\p{Cc}]")
 
 
-def map_values(values: DataFrame, canonical_values: DataFrame) -> DataFrame:
-    """(field_name, row_id, pos, canonical): the entry each typed value means, the empty string if none.
+#: Rows that the reference lists may have: they are read by the driver and travel with the tasks.
+MOST_ENTRIES = 100_000
+
+
+def map_values(values: DataFrame, canonical_values: DataFrame, with_value: bool = False) -> DataFrame:
+    """(field_name, row_id, pos, canonical), on request with the value: the entry each typed value means, the empty string if none.
 
     `values` has field_name, row_id, pos and value. Values that are null, blank or already an entry of their list are
     left out. An automaton over entries and known spellings finds embedded mentions, the longest non-overlapping one
@@ -211,9 +215,11 @@ def map_values(values: DataFrame, canonical_values: DataFrame) -> DataFrame:
     or as near to two entries, means none. Values of a field without a list mean none. Every row counts, repeated ones too.
 
     Narrow: no shuffle. The reference lists travel with the tasks; they are a vocabulary kept by hand (here 48 rows),
-    read once by the driver.
+    read once by the driver, and an error beyond MOST_ENTRIES rows.
     """
-    rows = [(r["field_name"], r["canonical"], r["known_spellings"]) for r in canonical_values.select("field_name", "canonical", "known_spellings").collect()]
+    rows = [(r["field_name"], r["canonical"], r["known_spellings"]) for r in canonical_values.select("field_name", "canonical", "known_spellings").limit(MOST_ENTRIES + 1).collect()]
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} entries in the reference lists")
     exact: dict[str, list[str]] = {}
     for name, entry, _ in rows:
         if name is not None and entry is not None:
@@ -222,6 +228,7 @@ def map_values(values: DataFrame, canonical_values: DataFrame) -> DataFrame:
     for name, entries in exact.items():
         is_entry = is_entry | ((F.col("field_name") == name) & F.col("value").isin(entries))
     open_values = values.select("field_name", "row_id", "pos", "value").where(~is_blank(F.col("value")) & ~is_entry)
+    names_out = ["field_name", "row_id", "pos", *(["value"] if with_value else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = matchers(rows)
@@ -229,16 +236,15 @@ def map_values(values: DataFrame, canonical_values: DataFrame) -> DataFrame:
         for b in batches:
             names, typed = b.column("field_name").to_pylist(), b.column("value").to_pylist()
             found = [known.get(n, none)(v) for n, v in zip(names, typed)]
-            yield pa.RecordBatch.from_arrays([b.column("field_name"), b.column("row_id"), b.column("pos"), pa.array(found, pa.string())], ["field_name", "row_id", "pos", "canonical"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names_out), pa.array(found, pa.string())], [*names_out, "canonical"])
 
-    row_type = dict(values.dtypes)["row_id"]
-    return open_values.mapInArrow(run, f"field_name string, row_id {row_type}, pos int, canonical string")
+    types = dict(values.dtypes) | {"pos": "int"}
+    return open_values.mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in names_out), "canonical string"]))
 
 
-def unmatched_report(values: DataFrame, mapped: DataFrame) -> DataFrame:
-    """(field_name, value, n): the typed values that mean no entry, with how often they occur."""
-    missed = mapped.where("canonical = ''").select("field_name", "row_id", "pos")
-    return values.join(missed, ["field_name", "row_id", "pos"], "left_semi").groupBy("field_name", "value").agg(F.count("*").alias("n"))
+def unmatched_report(mapped: DataFrame) -> DataFrame:
+    """(field_name, value, n): the typed values that mean no entry, with how often they occur. `mapped`: of `map_values` with the values."""
+    return mapped.where("canonical = ''").groupBy("field_name", "value").agg(F.count("*").alias("n"))
 
 
 def all_typed_values(tables: dict[str, DataFrame]) -> DataFrame:

@@ -241,7 +241,8 @@ def sample_rows(documents: DataFrame, per_language: int = 400, text: str = "text
     """About `per_language` labelled rows of each language (code, text), drawn by hash: the classifier's bounded sample."""
     coded = documents.select(label_language(F.col(lang)).alias("code"), F.col(text).alias("t"), F.xxhash64("doc_id").alias("h"))
     have = coded.where("code is not null and t is not null")
-    sizes = {r["code"]: r["n"] for r in have.groupBy("code").agg(F.count("*").alias("n")).collect()}  # one row a language
+    # counted without reading the texts; one row a language
+    sizes = {r["code"]: r["n"] for r in documents.select(label_language(F.col(lang)).alias("code")).where("code is not null").groupBy("code").agg(F.count("*").alias("n")).collect()}
     rate = F.lit(0.0)
     for code, n in sizes.items():
         rate = F.when(F.col("code") == code, F.lit(min(1.0, per_language / n))).otherwise(rate)
@@ -316,8 +317,10 @@ def language_findings(read: DataFrame) -> DataFrame:
     `mixed`, once for each language of a document with sentences in several. `read` holds doc_id, lang and what `read_languages` adds.
     """
     named = label_language(F.col("lang"))
-    known = read.where("lang_found is not null")
-    label = known.where(named.isNull() | (named != F.col("lang_found"))).select("doc_id", F.lit("label").alias("finding"), F.col("lang_found").alias("lang"))
     languages = F.array_distinct(F.transform("segments", lambda s: s["lang"]))
-    mixed = known.where(F.size(languages) > 1).select("doc_id", F.lit("mixed").alias("finding"), F.explode(languages).alias("lang"))
-    return label.unionByName(mixed)
+    row = lambda finding, lang: F.struct(F.lit(finding).alias("finding"), lang.alias("lang"))
+    none = F.array().cast("array<struct<finding:string,lang:string>>")
+    label = F.when(named.isNull() | (named != F.col("lang_found")), F.array(row("label", F.col("lang_found")))).otherwise(none)
+    mixed = F.when(F.size(languages) > 1, F.transform(languages, lambda x: row("mixed", x))).otherwise(none)
+    # both kinds of rows from one reading of the texts
+    return read.where("lang_found is not null").select("doc_id", F.inline(F.concat(label, mixed)))

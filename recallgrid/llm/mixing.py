@@ -7,11 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.runtime import cut
+from ..functions.runtime import cut, small, spread
 from .tokens import RANKS, count_tokens
 
 #: Documents of a source are spread by hash over so many buckets; only one bucket a source is ordered row by row.
 BUCKETS = 1 << 16
+#: Sources that a mixture may list: their rules are broadcast.
+MOST_SOURCES = 10_000
 
 
 def water_fill(shares: list[float], room: list[float], total: float) -> list[float]:
@@ -60,7 +62,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 20240, ran
     """
     spark = documents.sparkSession
     listed = targets.where("source is not null").groupBy("source").agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.min(F.coalesce("max_repeats", F.lit(0))).alias("max_repeats"))
-    chosen = documents.select("doc_id", "source", "text").join(listed.select("source"), "source", "left_semi")
+    sources = small(listed.select("source"), MOST_SOURCES, "mix targets")
+    chosen = spread(documents.select("doc_id", "source", "text")).join(sources, "source", "left_semi")
     sized = cut(
         count_tokens(chosen, ["doc_id", "source"], ranks_path=ranks_path)
         .withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id")))
@@ -82,7 +85,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 20240, ran
     starts = per_bucket.withColumn("start", F.coalesce(F.sum("tokens").over(upto), F.lit(0))).join(planned.select("source", "rest"), "source")
     edges = starts.where("start <= rest and start + tokens > rest").groupBy("source").agg(F.min_by(F.struct("bucket", "start"), "bucket").alias("e")).select("source", F.col("e.bucket").alias("edge"), F.col("e.start").alias("edge_start"))
     rules = planned.select("source", "whole", "rest").join(edges, "source", "left")  # one row a listed source
-    ruled = sized.join(F.broadcast(rules), "source")
+    ruled = sized.join(F.broadcast(rules), "source")  # as many rows as `sources`, which were counted
     surely = ruled.where("edge is null or bucket <> edge").withColumn("extra", (F.col("rest") > 0) & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))))
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     at_edge = ruled.where("bucket = edge").withColumn("__before", F.col("edge_start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))

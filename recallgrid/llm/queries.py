@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.runtime import cut
+from ..functions.runtime import spread
 from ..sources import table
 from .canonical import all_typed_values, map_values, unmatched_report
 from .language import fit_profiles, language_findings, read_languages
@@ -25,8 +25,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
-    values = _typed(spark, d)
-    return unmatched_report(values, map_values(values, table(spark, d, "canonical_values")))
+    return unmatched_report(map_values(_typed(spark, d), table(spark, d, "canonical_values"), with_value=True))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,11 +61,11 @@ def p5_judged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode_corpus(table(spark, d, "documents"), ["doc_id"])
+    return encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")), ["doc_id"])
 
 
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
-    return count_tokens(table(spark, d, "documents"), ["doc_id", "source"])
+    return count_tokens(spread(table(spark, d, "documents").select("doc_id", "source", "text")), ["doc_id", "source"])
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -83,8 +82,7 @@ def _read(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    read = cut(_read(spark, d))  # read twice: once for the labels, once for the segments
-    return language_findings(read)
+    return language_findings(_read(spark, d))
 
 
 def p8_segments(spark: SparkSession, d: str) -> DataFrame:

@@ -104,11 +104,12 @@ def split_runs(messages: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP,
     The messages of a chat in the order of message_index, each ended by a line end, are read as one text, by the same
     rule as `split_texts` with the ends of messages before all others: those hinted as chapter, scene, time, location, then any.
     Of several rows with the same (chat_id, message_index) the last ingested counts (ties: the largest message_id). Rows without
-    chat, index or text are left out, chats within the limit too. start_pos counts characters of the chat's text.
+    chat, index or text are left out, chats within the limit too. start_pos counts characters of the chat's text. Every piece but a chat's first begins with the
+    4 * overlap characters before it.
 
-    A chat may hold a third of all rows, so no task reads a whole chat: a two-level running sum places every message, and the
-    chat is cut at ends of messages into blocks of about `block_pieces` pieces, each split by itself; the overlap
-    into a block is the tail of the block before, found by an equi-join on its end.
+    A chat may hold a third of all rows, so no task reads a whole chat: a two-level running sum places every message, and in each window of about `block_pieces` pieces
+    the chat is cut behind the message with the strongest hint (of equally strong ones the last). Blocks between such ends are split by themselves; a block's last piece ends where the block does, on a
+    natural boundary, and may be short. The overlap into a block comes from as many messages before it as it takes, found by an equi-join on their place.
     """
     size, back = limit * CHARS_PER_TOKEN, overlap * CHARS_PER_TOKEN
     width = block_pieces * (size - back)
@@ -116,33 +117,45 @@ def split_runs(messages: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP,
     newest = F.max_by(F.struct(F.col("text"), F.col("boundary_hint")), F.struct(F.coalesce("ingested_at", F.lit("0001-01-01").cast("timestamp_ntz").cast(dict(messages.dtypes)["ingested_at"])), F.col("message_id")))
     unique = usable.groupBy("chat_id", "message_index").agg(newest.alias("m")).select("chat_id", "message_index", F.concat("m.text", hint_mark(F.col("m.boundary_hint"))).alias("t"))
     sized = unique.withColumn("n", F.length("t").cast("long"))
-    placed = running_sum(sized, ["chat_id"], "message_index", "n", "at")
+    placed = running_sum(sized, ["chat_id"], "message_index", "n", "at").withColumn("window", F.floor(F.col("at") / width))
+    strength = F.struct(-F.array_position(F.array(*(F.lit(m) for m in MARKS)), F.right("t", F.lit(1))), F.col("at"))
+    # one end a window: a block begins behind it; up to the first end, and behind the last, blocks of their own
+    ends = placed.groupBy("chat_id", "window").agg(F.max_by(F.col("at") + F.col("n"), strength).alias("end"))
+    with_end = placed.join(ends, ["chat_id", "window"]).withColumn("block", F.col("window") * 2 + (F.col("at") >= F.col("end")).cast("long"))
+    # behind a window's end and before the next one's lies one block: 2w + 1 and 2(w + 1) are the same
+    numbered = with_end.withColumn("block", F.floor((F.col("block") + 1) / 2))
     rows = F.array_sort(F.collect_list(F.struct("at", "message_index", "t")))
     blocks = (
-        placed.groupBy("chat_id", F.floor(F.col("at") / width).alias("block"))
+        numbered.groupBy("chat_id", "block")
         .agg(rows.alias("rows"))
         .select("chat_id", F.element_at("rows", 1)["at"].alias("first_at"), F.element_at("rows", 1)["message_index"].alias("first_index"), F.array_join(F.transform("rows", lambda r: r["t"]), "").alias("t"))
-        .withColumn("next_at", F.col("first_at") + F.length("t"))
     )
-    tails = blocks.select("chat_id", F.col("next_at").alias("first_at"), F.right("t", F.lit(back)).alias("tail"))
+    # messages that reach into the `back` characters before a block: each holds a character at least, so there are at most as many
+    ends_at = F.col("at") + F.col("n")
+    reach = F.array_distinct(F.array(F.floor((F.col("first_at") - 1) / back), F.floor((F.col("first_at") - back) / back)))
+    wanted = blocks.where("first_at > 0").select("chat_id", "first_at", F.explode(reach).alias("slot"))
+    offered = placed.select("chat_id", "at", F.right("t", F.lit(back)).alias("end_text"), ends_at.alias("ends_at"), F.floor((ends_at - 1) / back).alias("slot"))
+    near = wanted.join(offered, ["chat_id", "slot"]).where("ends_at <= first_at and ends_at > first_at - %d" % back)
+    tails = near.groupBy("chat_id", "first_at").agg(F.array_sort(F.collect_list(F.struct("at", "end_text"))).alias("near")).select("chat_id", "first_at", F.right(F.array_join(F.transform("near", lambda r: r["end_text"]), ""), F.lit(back)).alias("tail"))
     lasts = placed.groupBy("chat_id").agg(F.max(F.col("at") + F.col("n")).alias("chars")).where(F.col("chars") > size)
     lined = blocks.join(tails, ["chat_id", "first_at"], "left").join(lasts.select("chat_id"), "chat_id", "left_semi")
-    # room for the overlap from the block before is kept in a block's first piece: pieces of a block hold at most size - back fresh characters
+    # room for the overlap is kept: pieces hold at most size - back fresh characters
     step = size - back
     cuts = F.regexp_extract_all("t", F.lit(pattern(step, step // 2, True)), F.lit(0))
+    opened = lined.withColumn("cuts", cuts).withColumn("starts", _starts(F.col("cuts")))
 
     def piece(p: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.right(F.get(F.col("cuts"), i - 1), F.lit(back))).otherwise(F.coalesce("tail", F.lit("")))
-        start = F.col("first_at") + F.get(F.col("starts"), i)
+        # what lies before a piece in its block, and before that the tail of the blocks before
+        own = F.substring(F.col("t"), F.greatest(F.get("starts", i) - back, F.lit(0)).cast("int") + 1, F.least(F.get("starts", i), F.lit(back)).cast("int"))
+        before = F.right(F.concat(F.coalesce("tail", F.lit("")), own), F.lit(back))
+        start = F.col("first_at") + F.get("starts", i)
         shown = F.translate(F.concat(before, p), "".join(MARKS), "\n" * len(MARKS))
         return F.struct((start - F.length(before)).alias("start_pos"), (start + F.length(p)).alias("end_pos"), _boundary(p, True).alias("boundary"), shown.alias("text"))
 
-    opened = lined.withColumn("cuts", cuts).withColumn("starts", _starts(F.col("cuts")))
     out = opened.select("chat_id", "first_index", F.inline(F.transform("cuts", piece)))
     return out.select("chat_id", "start_pos", "end_pos", "first_index", "boundary", tokens_of(F.col("text")).alias("n_tokens"), "text")
 
 
 def oversized(df: DataFrame, row_id: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """The ids of the rows whose text is above the limit: those that `split_texts` gives in more than one piece."""
-    return split_oversized(df, [row_id], text, limit).where("piece_no = 0").select(row_id)
-
+    """The ids of the rows that `split_texts` gives in more than one piece."""
+    return split_texts(df, [row_id], text, limit).where("n_pieces > 1 and piece_no = 0").select(row_id)

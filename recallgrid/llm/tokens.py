@@ -9,25 +9,51 @@ from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from ..functions.runtime import spread
-
 #: Fixed value: the pre-tokenizer's pattern that belongs to the public rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-LEAF_CHARS = 4096
+#: Most bytes of a rank file: it is read by the driver and broadcast.
+MOST_RANK_BYTES = 64 << 20
+#: Characters that a leaf of the tree holds at most; a parameter of the operators.
+LEAF_CHARS = 512
+
+
+def _built(name: str, content: bytes):
+    import tiktoken
+
+    ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in content.splitlines() if line.strip())}
+    return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @lru_cache(maxsize=4)
 def encoding(ranks_path: str = RANKS):
     """The tokenizer of a rank file, once per process. Special tokens: none."""
-    import tiktoken
+    return _built(Path(ranks_path).stem, Path(ranks_path).read_bytes())
 
-    lines = (line.split() for line in Path(ranks_path).read_bytes().splitlines() if line.strip())
-    ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
-    return tiktoken.Encoding(Path(ranks_path).stem, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+_SHIPPED: dict = {}
+
+
+def _shipped_encoding(ranks: Broadcast):
+    """The tokenizer whose rank file the driver broadcast, built once per worker process."""
+    content = ranks.value
+    key = hash(content)
+    if key not in _SHIPPED:
+        _SHIPPED.clear()
+        _SHIPPED[key] = _built("shipped", content)
+    return _SHIPPED[key]
+
+
+def _ranks(df: DataFrame, ranks_path: str) -> Broadcast:
+    """The rank file, read by the driver, so that executors need no copy of it."""
+    content = Path(ranks_path).read_bytes()
+    if len(content) > MOST_RANK_BYTES:
+        raise ValueError(f"{ranks_path}: more than {MOST_RANK_BYTES} bytes, too many to broadcast")
+    return df.sparkSession.sparkContext.broadcast(content)
 
 
 def _kind(c: str) -> str:
@@ -86,8 +112,8 @@ def encode_tree(text: str, enc=None, leaf: int = LEAF_CHARS) -> list[int]:
     """The ids of a text: halves are encoded by themselves and joined, so no step sees more than a leaf and a window.
 
     Equal to encoding the text at once: outside a join's window the tokens end at hard boundaries (`is_hard`), which
-    no neighbour can move. A run without any such boundary (one class of characters throughout) lets the window grow
-    to the run.
+    no neighbour can move. A text is halved in its middle, or, where the middle lies in a run longer than a leaf without any such boundary (one class of characters throughout), at an end of
+    that run; such a run is encoded once, as a whole. Texts of up to `leaf` characters are leaves.
     """
     enc = enc or encoding()
 
@@ -95,6 +121,11 @@ def encode_tree(text: str, enc=None, leaf: int = LEAF_CHARS) -> list[int]:
         if hi - lo <= leaf:
             return enc.encode_ordinary(text[lo:hi])
         mid = (lo + hi) // 2
+        if _boundary(text, mid, max(lo, mid - leaf), -1) is None or _boundary(text, mid, min(hi, mid + leaf), 1) is None:
+            before, after = _boundary(text, mid, lo, -1), _boundary(text, mid, hi, 1)
+            if before is None and after is None:
+                return enc.encode_ordinary(text[lo:hi])
+            mid = before if after is None or (before is not None and mid - before <= after - mid) else after
         return _join(enc, text, lo, mid, hi, reduce(lo, mid), reduce(mid, hi))
 
     return reduce(0, len(text))
@@ -126,12 +157,12 @@ def _slices(texts: pa.Array, chars: int) -> Iterator[tuple[int, list[str | None]
         yield at, part
 
 
-def _encoder(ranks_path: str, keep: list[str], text: str, counts: bool) -> Callable:
+def _encoder(ranks: Broadcast, keep: list[str], text: str, counts: bool, leaf: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(ranks_path)
+        enc = _shipped_encoding(ranks)
         for batch in batches:
             for at, part in _slices(batch.column(text), 4_000_000):
-                found = [encode_tree(x, enc) if x else [] for x in part]
+                found = [encode_tree(x, enc, leaf) if x else [] for x in part]
                 if counts:
                     made = pa.array([len(x) for x in found], pa.int64())
                 else:
@@ -145,32 +176,35 @@ def _encoder(ranks_path: str, keep: list[str], text: str, counts: bool) -> Calla
     return run
 
 
-def _mapped(df: DataFrame, keep: list[str], text: str, out: str, kind: str, ranks_path: str) -> DataFrame:
+def _mapped(df: DataFrame, keep: list[str], text: str, out: str, kind: str, ranks_path: str, leaf: int) -> DataFrame:
     types = dict(df.dtypes)
     columns = df.select(*dict.fromkeys([*keep, text]))
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), f"made {kind}"])
-    return spread(columns).mapInArrow(_encoder(ranks_path, keep, text, kind == "bigint"), schema).withColumnRenamed("made", out)
+    return columns.mapInArrow(_encoder(_ranks(df, ranks_path), keep, text, kind == "bigint", leaf), schema).withColumnRenamed("made", out)
 
 
-def encode_corpus(df: DataFrame, keep: list[str], text: str = "text", ranks_path: str = RANKS) -> DataFrame:
+def encode_corpus(df: DataFrame, keep: list[str], text: str = "text", ranks_path: str = RANKS, leaf: int = LEAF_CHARS) -> DataFrame:
     """`keep` and ids (array<int>): the ids of every text, without special tokens; their markers are ordinary text.
 
     An empty and a null text give an empty list. Every row is kept, repeated rows too. Narrow: one pass, no shuffle;
-    texts of any length go through `encode_tree`. Other columns are ignored.
+    texts of any length go through `encode_tree` with leaves of `leaf` characters. The rank file is read by the driver and broadcast. Other columns are ignored. A table stored in few splits is best spread
+    by the caller (`functions.runtime.spread`).
     """
-    return _mapped(df, keep, text, "ids", "array<int>", ranks_path)
+    return _mapped(df, keep, text, "ids", "array<int>", ranks_path, leaf)
 
 
-def count_tokens(df: DataFrame, keep: list[str], text: str = "text", ranks_path: str = RANKS) -> DataFrame:
+def count_tokens(df: DataFrame, keep: list[str], text: str = "text", ranks_path: str = RANKS, leaf: int = LEAF_CHARS) -> DataFrame:
     """`keep` and n_tokens (bigint): the number of ids `encode_corpus` gives, 0 for empty and null texts."""
-    return _mapped(df, keep, text, "n_tokens", "bigint", ranks_path)
+    return _mapped(df, keep, text, "n_tokens", "bigint", ranks_path, leaf)
 
 
 def decode_corpus(df: DataFrame, keep: list[str], ids: str = "ids", ranks_path: str = RANKS) -> DataFrame:
     """`keep` and text: the texts of ids; a null list and an empty list give an empty text."""
 
+    shipped = _ranks(df, ranks_path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(ranks_path)
+        enc = _shipped_encoding(shipped)
         for batch in batches:
             texts = [decode_tree(x, enc) if x else "" for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string())], [*keep, "made"])

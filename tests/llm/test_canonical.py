@@ -61,7 +61,7 @@ def test_map_values_whole_table(spark, as_rows):
     values = typed_values(typed, "state", "id", "v")
     got = as_rows(map_values(values, table(spark)), "row_id", "pos", "canonical")
     assert got == sorted([(2, 0, "kept"), (2, 0, "kept"), (6, 0, ""), (None, 0, "active")], key=str)
-    assert as_rows(unmatched_report(values, map_values(values, table(spark)))) == [("state", "nonsense", 1)]
+    assert as_rows(unmatched_report(map_values(values, table(spark), with_value=True))) == [("state", "nonsense", 1)]
 
 
 def test_map_values_arrays_and_empties(spark, as_rows):

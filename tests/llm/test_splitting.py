@@ -75,3 +75,13 @@ def test_runs_cover_every_chat_above_the_limit(spark):
             assert p["text"] == whole[p["start_pos"] : p["end_pos"]] and p["n_tokens"] <= 900
         assert {p["boundary"] for p in pieces} & set(HINTS)
     assert split_runs(spark.createDataFrame([], MESSAGES)).count() == 0
+
+
+def test_overlap_over_short_messages_and_block_ends_at_the_strongest_hint(spark):
+    texts = ["g" * 15_000, "short", "s", "", "h" * 15_000, *(f"message {i} " + "w " * 60 for i in range(200))]
+    rows = [(i, "c", i, x, "chapter" if i == 100 else "scene" if i % 7 == 0 else None, None, 1) for i, x in enumerate(texts)]
+    pieces = split_runs(spark.createDataFrame(rows, MESSAGES), block_pieces=4).orderBy("start_pos").collect()
+    assert all(a["end_pos"] - b["start_pos"] == 240 for a, b in zip(pieces, pieces[1:]))
+    whole = "".join(x + "\n" for x in texts)
+    assert all(p["text"] == whole[p["start_pos"] : p["end_pos"]] for p in pieces)
+    assert len("".join(x + "\n" for x in texts[:101])) in {p["end_pos"] for p in pieces if p["boundary"] == "chapter"}

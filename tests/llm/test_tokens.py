@@ -41,3 +41,16 @@ def test_corpus(spark, as_rows):
     assert as_rows(count_tokens(df, ["doc_id"]).where("doc_id is not null")) == [(1, 0), (2, 0), (3, 2), (3, 2)]
     assert as_rows(decode_corpus(ids, ["doc_id"]).where("doc_id is not null")) == [(1, ""), (2, ""), (3, "hi there"), (3, "hi there")]
     assert encode_corpus(df.limit(0), ["doc_id"]).count() == 0
+
+
+@pytest.mark.parametrize("leaf", [5, 64])
+def test_long_runs_among_other_text(leaf):
+    enc, r = encoding(), random.Random(leaf + 100)
+    for _ in range(60):
+        text = "".join(r.choice(["a" * r.randint(1, 900), " " * r.randint(1, 400), "!?" * r.randint(1, 300), "word ", "1" * 300]) for _ in range(r.randint(1, 8)))
+        assert encode_tree(text, enc, leaf) == enc.encode_ordinary(text)
+
+
+def test_leaf_is_a_parameter_that_changes_no_ids(spark, as_rows):
+    df = spark.createDataFrame([(i, "It was the end of " + "a very long tale, " * i) for i in range(60)], "doc_id bigint, text string")
+    assert as_rows(encode_corpus(df, ["doc_id"], leaf=8)) == as_rows(encode_corpus(df, ["doc_id"], leaf=100_000))
