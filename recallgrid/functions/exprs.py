@@ -20,12 +20,6 @@ def _accents() -> tuple[str, str]:
 
 ACCENTED, BASES = _accents()
 
-#: Words too common to search for.
-STOP_WORDS = (
-    "a an and are as at be but by do for from had has have he her him his i if in is it me my of on or our she so that the their them they this to was we were what when where who why with you your"
-).split()
-
-
 def tokens(text: Column) -> Column:
     """The nominal token count of a text: a quarter of its characters, rounded up; 0 for null."""
     return F.coalesce(F.ceil(F.length(text) / F.lit(4)).cast("bigint"), F.lit(0).cast("bigint"))

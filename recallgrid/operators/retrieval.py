@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import STOP_WORDS, search_tokens
+from ..functions.exprs import search_tokens
+from ..functions.vocabulary import STOP_WORDS
 
 K1, B = 1.2, 0.75
 #: Vectors of the queries that one task compares at once.

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import fnv1a64
 from ..functions.runtime import running
 
 OPEN_COMMITMENTS = ("active", "made", "unknown")
@@ -60,34 +62,59 @@ def relationships(rows: DataFrame) -> DataFrame:
     return values.select("chat_id", "pair", "dimension", F.when(F.col("has_adds") == 1, adds).otherwise(one).alias("values"))
 
 
-def commitment_id(actor: Column, toward: Column, content: Column) -> Column:
-    return F.concat(F.lit("commit_"), F.left(F.md5(F.concat_ws("|", F.coalesce(actor, F.lit("")), F.coalesce(toward, F.lit("")), F.coalesce(content, F.lit("")))), F.lit(16)))
+def commitment_id(actor: Column, toward: Column, content: Column, own: Column | None = None) -> Column:
+    """The id of a commitment: its own, else by the hash of who promised what to whom."""
+    empty = F.lit("")
+    made = F.concat(F.lit("commit_"), fnv1a64(F.concat(F.coalesce(actor, empty), F.lit("|"), F.coalesce(toward, empty), F.lit("|"), F.coalesce(content, empty))))
+    return made if own is None else F.coalesce(own, made)
 
 
 def commitments(rows: DataFrame) -> DataFrame:
     """chat_id, commitment_id, actor, toward, content, status, evidence, touches: each commitment with its first wording and last status.
 
-    rows: chat_id, seq, actor, toward, content, transition, evidence. `made` counts as active.
+    rows: chat_id, seq, actor, toward, content, transition, evidence, and `id` where commitments may bring one. `made` counts as active.
     """
     status = F.when(F.col("transition") == "made", "active").otherwise(F.col("transition"))
-    keyed = rows.withColumn("commitment_id", commitment_id(F.col("actor"), F.col("toward"), F.col("content"))).withColumn("status", status)
+    own = F.col("id") if "id" in rows.columns else None
+    keyed = rows.withColumn("commitment_id", commitment_id(F.col("actor"), F.col("toward"), F.col("content"), own)).withColumn("status", status)
     first = F.min(F.struct("seq", "actor", "toward", "content")).alias("f")
     last = F.max(F.struct("seq", "status", "evidence")).alias("l")
     return keyed.groupBy("chat_id", "commitment_id").agg(first, last, F.count("*").alias("touches")).select("chat_id", "commitment_id", "f.actor", "f.toward", "f.content", "l.status", "l.evidence", "touches")
 
 
 def threads(rows: DataFrame) -> DataFrame:
-    """chat_id, key, description, status: open threads by last transition; advanced counts as active, vague keys are left out. rows: chat_id, seq, key, description, transition."""
+    """chat_id, key, description, status: threads by last transition; advanced counts as active. Rows whose key or description is too vague change nothing. rows: chat_id, seq, key, description, transition."""
     last = F.max(F.struct("seq", "description", "transition")).alias("l")
-    kept = rows.where(F.col("key").isNotNull() & ~F.lower("key").isin(*VAGUE_THREADS)).groupBy("chat_id", "key").agg(last)
+    vague = F.coalesce(F.lower("key").isin(*VAGUE_THREADS) | F.lower("description").isin(*VAGUE_THREADS), F.lower("key").isin(*VAGUE_THREADS))
+    kept = rows.where(F.col("key").isNotNull() & ~vague).groupBy("chat_id", "key").agg(last)
     return kept.select("chat_id", "key", "l.description", F.when(F.col("l.transition") == "advanced", "active").otherwise(F.col("l.transition")).alias("status"))
 
 
-def salient_negatives(rows: DataFrame, pattern: str = r"(?i)\b(nobody|never|not|niemand|personne|nadie|nessuno|ninguém)\b") -> DataFrame:
-    """chat_id, seq, proposition: what is told as not having happened, each proposition once per chat, the first telling. rows: chat_id, seq, proposition."""
-    key = F.lower(F.trim(F.regexp_replace("proposition", r"\s+", " ")))
-    found = rows.where(F.col("proposition").rlike(pattern)).withColumn("__k", key)
-    return found.groupBy("chat_id", "__k").agg(F.min(F.struct("seq", "proposition")).alias("m")).select("chat_id", "m.seq", "m.proposition")
+#: What a reason speaks of that sets a proposition against what might have been expected.
+CONTRASTIVE = r"(?i)(attempt|explicit|refus|reject|did not|not occur|disqualif|without)"
+
+
+@F.pandas_udf("string")
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.str.normalize("NFKC")
+
+
+def proposition_key(proposition: Column) -> Column:
+    """A proposition as compared: compatibility characters unified, lower case, one blank between words. Python sees only texts with other than ASCII characters."""
+    odd = proposition.rlike(r"[^\x00-\x7F]")
+    unified = F.when(odd, _nfkc(F.when(odd, proposition))).otherwise(proposition)
+    return F.trim(F.regexp_replace(F.lower(unified), r"\s+", " "))
+
+
+def salient_negatives(rows: DataFrame) -> DataFrame:
+    """chat_id, seq, proposition: what is worth remembering as not having happened, each proposition once per chat, the first telling.
+
+    rows: chat_id, seq, proposition, reason, and where known continuity_relevant and contrastive (booleans). A row counts unless it is marked as irrelevant to what follows, and if it is marked as contrastive or its reason says so.
+    """
+    flag = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in rows.columns else F.lit(default)
+    kept = rows.where(flag("continuity_relevant", True) & (flag("contrastive", False) | F.coalesce(F.col("reason").rlike(CONTRASTIVE), F.lit(False))) & F.col("proposition").isNotNull())
+    keyed = kept.withColumn("__k", proposition_key(F.col("proposition")))
+    return keyed.groupBy("chat_id", "__k").agg(F.min(F.struct("seq", "proposition")).alias("m")).select("chat_id", "m.seq", "m.proposition")
 
 
 def conflicts(claims: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import entity_id, half_up
 from ..functions.runtime import running
-from .extraction import vocabulary
+from .extraction import normalize_domain
 
 
 def source_of(segments: DataFrame, messages: DataFrame) -> DataFrame:
@@ -37,12 +37,9 @@ def qualification(messages: DataFrame, credit_rate: float = 0.5) -> DataFrame:
     return rows.withColumn("projected_tokens", projected).withColumn("projected_credits", F.col("projected_tokens") * F.lit(credit_rate))
 
 
-def repair_domains(domains: Column, allowed: tuple[str, ...]) -> Column:
-    """The known domains of a list: loosely used words mapped, unknown ones dropped, each once, in order of first use; `general` if none is left."""
-    words = vocabulary("domain")
-    mapped = F.transform(domains, lambda x: F.coalesce(*(F.when(F.lower(F.trim(x)) == k, F.lit(v)) for k, v in words.items()), F.lower(F.trim(x))))
-    known = F.array_distinct(F.filter(mapped, lambda x: F.coalesce(x.isin(*allowed), F.lit(False))))
-    return F.when(F.size(F.coalesce(known, F.array().cast("array<string>"))) > 0, known).otherwise(F.array(F.lit("general")))
+def repair_domains(domains: Column) -> Column:
+    """The domains of a list: each entry's term, `other` for what names none, each once, in order of first use. A null list stays null."""
+    return F.array_distinct(F.transform(domains, normalize_domain))
 
 
 def resolve_references(mentions: DataFrame, registry: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import fingerprint, normalize_alias
+from ..functions.vocabulary import DOMAINS, EVIDENCE, SALIENCE, TERMS
+from ..functions.vocabulary import COMMITMENT_TRANSITIONS as TRANSITIONS
+from ..functions.vocabulary import aliases as term_aliases
 from ..operators import entities as E
 from ..operators import extraction as X
 from ..operators import store as S
@@ -14,15 +17,10 @@ from ..operators.changefeed import operation_key, removing_spellings
 from ..sources import table
 from .common import SQL_MESSAGES, SQL_POLICY, SQL_SEGMENTS, messages, segments, sql
 from .history import _FOREGROUND, foreground_summary
-from .state import _COMMITMENTS, TRANSITIONS
+from .state import _COMMITMENTS
 from .state import commitments as commitment_state
 from .upkeep import _OMIT, omitted_indices
 
-EVIDENCE = ("explicit", "strong_inference", "weak_inference")
-SALIENCE = ("minor", "normal", "important", "critical")
-DOMAINS = ("general", "relationship", "romantic", "sexual", "family", "social", "physical", "career", "education", "competition", "world", "location", "temporal", "resource", "other")
-
-
 def _outputs(spark: SparkSession, d: str, mode: str) -> DataFrame:
     t = table(spark, d, "segments")
     return t.where(F.col("structured_trace.mode") == mode).select("segment_row_id", "segment_id", F.col("structured_trace.content").alias("content"), F.col("structured_trace.finish_reason").alias("finish_reason"), F.lit(mode).alias("mode"))
@@ -44,9 +42,25 @@ def extraction_outcome(spark: SparkSession, d: str) -> DataFrame:
     return X.extraction_outcome(rows.select("segment_id", F.col("segment_row_id").alias("attempt"), "reason", "finish_reason", "mode"))
 
 
+#: Free-typed columns by table, with the id of the row and the field whose terms they name.
+TYPED = (
+    ("commitments", "commitment_row_id", "transition", "commitment_transition"), ("commitments", "commitment_row_id", "transition", "thread_transition"), ("relationship_changes", "rel_change_id", "dimension", "relationship_dimension"),
+    ("relationship_changes", "rel_change_id", "operation", "relationship_operation"), ("temporal_marks", "mark_id", "kind", "temporal_kind"), ("temporal_marks", "mark_id", "kind", "location_kind"), ("episode_events", "event_row_id", "salience", "salience"),
+    ("state_changes", "change_id", "operation", "state_operation"), ("state_changes", "change_id", "operation", "knowledge_operation"), ("state_changes", "change_id", "persistence", "persistence"), ("relationship_changes", "rel_change_id", "value", "knowledge_kind"),
+)
+
+
 def vocab_normalize(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "commitments")
-    return t.select("commitment_row_id", X.normalize_term(F.col("transition"), "commitment_transition", F.array(*(F.lit(x) for x in TRANSITIONS))).alias("transition"), X.normalize_evidence(F.col("evidence"), inference=True).alias("evidence"))
+    """The term each typed value names, field by field."""
+    rows = None
+    for t, id_, column, field in TYPED:
+        part = table(spark, d, t).where(F.col(column).isNotNull()).select(F.col(id_).alias("row_id"), F.lit(field).alias("field"), X.normalize_term(F.col(column), field).alias("term"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def evidence_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "commitments").select("commitment_row_id", X.normalize_evidence(F.col("evidence")).alias("evidence"), X.normalize_evidence(F.col("evidence"), inference=True).alias("inferred"))
 
 
 def field_sanitize(spark: SparkSession, d: str) -> DataFrame:
@@ -196,8 +210,10 @@ def content_digest(spark: SparkSession, d: str) -> DataFrame:
     return S.content_digest(messages(spark, d))
 
 
-def _vocab_sql(field: str, column: str) -> str:
-    return f"case lower(trim({column})) " + " ".join(f"when '{k}' then '{v}'" for k, v in X.vocabulary(field).items()) + " end"
+def _vocab_sql(row_id: str, table_: str, column: str, field: str) -> str:
+    """The aliases as a list of values, joined: a way of its own beside the expressions checked."""
+    pairs = ", ".join(f"('{k}', '{v}')" for k, v in [*((t, t) for t in TERMS[field]), *((k, v) for k, v in term_aliases(field).items() if k not in TERMS[field])])
+    return f"select {row_id} as row_id, '{field}' as field, term from {table_} left join (values {pairs}) as v (word, term) on word = lower(trim({column})) where {column} is not null"
 
 
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -228,7 +244,7 @@ im as (select *, row_number() over (partition by segment_row_id, section order b
 QUERIES = {
     f.__name__: f
     for f in (
-        parse_structured, parse_tagged, extraction_outcome, vocab_normalize, field_sanitize, literal_types, provider_failures, bounded_regions, validate_segments, validate_commitments, validate_events, injectable_segments, source_matches,
+        parse_structured, parse_tagged, extraction_outcome, vocab_normalize, evidence_normalize, field_sanitize, literal_types, provider_failures, bounded_regions, validate_segments, validate_commitments, validate_events, injectable_segments, source_matches,
         before_raw, timeline_search, sensitive_segments, message_health, fingerprints, normalized_aliases, entity_ids, alias_registry, materialized_entities, entity_propose, group_participants, speakers, segment_upsert, segment_actions,
         commitment_retire, attempt_journal, kv_last_writes, session_pick, content_digest,
     )
@@ -254,8 +270,10 @@ SQL = {
         ['standard', 'compact', 'minimal_fallback', 'tight_fallback'][max(case when mode = 'fallback' and t then 3 when mode = 'fallback' then 2 when t or reason in ('invalid_json', 'schema_invalid', 'empty_object') then 1 else 0 end) + 1] as stage from (
           select segment_id, segment_row_id as a, reason, 'structured' as mode, coalesce(finish_reason = 'length' or reason = 'truncated', reason = 'truncated') as t from ps where segment_id is not null
           union all select segment_id, segment_row_id, 'ok', 'fallback', coalesce(structured_trace.finish_reason = 'length', false) from segments where structured_trace.mode = 'fallback' and segment_id is not null) group by all"""),
-    "vocab_normalize": f"""select commitment_row_id, case when lower(trim(transition)) in ({', '.join(f"'{x}'" for x in TRANSITIONS)}) then lower(trim(transition)) else {_vocab_sql('commitment_transition', 'transition')} end as transition,
-        case when evidence = 'explicit' then 'strong_inference' when evidence in ({_E}) then evidence when regexp_matches(lower(coalesce(evidence, '')), 'weak|speculat|possibly|perhaps|uncertain') then 'weak_inference' else 'strong_inference' end as evidence from commitments""",
+    "vocab_normalize": " union all ".join(_vocab_sql(id_, t, column, field) for t, id_, column, field in TYPED),
+    "evidence_normalize": f"""select commitment_row_id, case when evidence in ({_E}) then evidence when weak then 'weak_inference' when regexp_matches(low, 'infer|impli|suggest') then 'strong_inference' else 'explicit' end as evidence,
+        case when evidence = 'explicit' then 'strong_inference' when evidence in ({_E}) then evidence when weak then 'weak_inference' else 'strong_inference' end as inferred
+        from (select *, lower(coalesce(evidence, '')) as low, regexp_matches(lower(coalesce(evidence, '')), 'weak|speculat|possibly|perhaps|uncertain') as weak from commitments)""",
     "field_sanitize": f"select doc_id, md5({_SANITIZE.format('text')}) as sanitized, length({_SANITIZE.format('text')})::int as n from documents",
     "literal_types": f"""select case when regexp_matches(t, '(?i)^(true|false)$') then 'boolean' when regexp_matches(t, '^-?\\d+(\\.\\d+)?$') then 'number' when t like '{{%' and json_valid(t) then 'object' when t like '[%' and json_valid(t) then 'array' else 'string' end as literal, count(*) as n
         from (select {_SANITIZE.format("regexp_replace(value, '^\"(.*)\"$', '\\1')")} as t from state_changes where value is not null) group by all""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import STOP_WORDS
+from ..functions.vocabulary import STOP_WORDS
 from ..operators import registers as G
 from ..operators import retrieval as R
 from ..operators.state import commitment_id

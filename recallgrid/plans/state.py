@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.vocabulary import COMMITMENT_TRANSITIONS as TRANSITIONS
 from ..operators import state as S
 from ..operators.changefeed import apply_changes, normal_path, operation_key
 from ..sources import table
 from .common import SQL_SEGMENTS, segments, sql
 
-TRANSITIONS = ("made", "active", "kept", "broken", "released", "obsolete", "superseded", "unknown")
 
 
 def changes(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +59,9 @@ def threads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def salient_negatives(spark: SparkSession, d: str) -> DataFrame:
-    return S.salient_negatives(table(spark, d, "episode_events").select("chat_id", F.col("event_row_id").alias("seq"), F.col("description").alias("proposition")))
+    """Events as propositions that tell their reason themselves; minor ones don't matter to what follows."""
+    rows = table(spark, d, "episode_events").select("chat_id", F.col("event_row_id").alias("seq"), F.col("description").alias("proposition"), F.col("description").alias("reason"), (F.col("salience") != "minor").alias("continuity_relevant"))
+    return S.salient_negatives(rows)
 
 
 def conflicts(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +129,7 @@ def _negatives(spark: SparkSession, d: str, last: int = 6) -> DataFrame:
     order = Window.partitionBy("chat_id").orderBy(F.col("seq").desc())
     newest = salient_negatives(spark, d).withColumn("n", F.row_number().over(order)).where(F.col("n") <= last)
     found = newest.join(table(spark, d, "episode_events").select(F.col("event_row_id").alias("seq"), "segment_id"), "seq")
-    return found.select("chat_id", F.lower(F.trim(F.regexp_replace("proposition", r"\s+", " "))).alias("key"), F.concat(F.lit("Did not happen: "), "proposition").alias("text"), "segment_id")
+    return found.select("chat_id", S.proposition_key(F.col("proposition")).alias("key"), F.concat(F.lit("Did not happen: "), "proposition").alias("text"), "segment_id")
 
 
 def state_projection(spark: SparkSession, d: str) -> DataFrame:
@@ -180,17 +182,20 @@ ch as (select * from (select chat_id, change_seq, coalesce(revision, -1) as revi
          regexp_replace(regexp_replace(lower(coalesce(operation, '')), '[\s_\-]+', ' ', 'g'), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') as op, value, evidence, persistence from state_changes)
        where change_seq is not null and subject is not null and path is not null
        qualify row_number() over (partition by chat_id, change_seq order by revision desc, subject desc, path desc, op desc, value desc nulls last, evidence desc nulls last, persistence desc nulls last) = 1)"""
-_ID = "'commit_' || left(md5(concat_ws('|', coalesce(actor, ''), coalesce(toward, ''), coalesce(content, ''))), 16)"
-_IN = "transition in ('made', 'active', 'kept', 'broken', 'released', 'obsolete', 'superseded', 'unknown')"
-_COMMITMENTS = f"""
+_FNV = "list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(1, octet_length(encode({0})) + 1), lambda i: ('0x' || substr(hex(encode({0})), (2 * i - 1)::int, 2))::hugeint)), lambda h, b: (xor(h, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint)"
+_HEX = "lpad(lower(printf('%x', ({0} // 4294967296)::bigint)), 8, '0') || lpad(lower(printf('%x', ({0} % 4294967296)::bigint)), 8, '0')"
+_COMMITTED = f"""
+cd as (select *, 'commit_' || {_HEX.format('h')} as commitment_id from (
+  select *, {_FNV.format("(coalesce(actor, '') || '|' || coalesce(toward, '') || '|' || coalesce(content, ''))")} as h from commitments where transition in ('made', 'active', 'kept', 'broken', 'released', 'obsolete', 'superseded', 'unknown')))"""
+_COMMITMENTS = _COMMITTED + """,
 cm as (select chat_id, commitment_id, actor, toward, content, case when lt = 'made' then 'active' else lt end as status, evidence, touches from (
-  select chat_id, {_ID} as commitment_id, any_value(actor) as actor, any_value(toward) as toward, any_value(content) as content,
-    arg_max(transition, commitment_row_id) as lt, arg_max_null(evidence, commitment_row_id) as evidence, count(*) as touches from commitments where {_IN} group by chat_id, commitment_id))"""
+  select chat_id, commitment_id, any_value(actor) as actor, any_value(toward) as toward, any_value(content) as content,
+    arg_max(transition, commitment_row_id) as lt, arg_max_null(evidence, commitment_row_id) as evidence, count(*) as touches from cd group by chat_id, commitment_id))"""
 _ORDINALS = """
 ords as (select chat_id, segment_id, first_index, last_index, row_number() over (partition by chat_id order by first_index, segment_id) as ordinal from sg where chat_id is not null and first_index is not null)"""
-_PROVENANCE = f"""
-prov as (select chat_id, 'commitment' as kind, {_ID} as key, arg_max(segment_id, ordinal) as segment_id, max(ordinal) as ordinal, arg_max(last_index, ordinal) as last_index
-         from commitments join ords using (chat_id, segment_id) where {_IN} group by all)"""
+_PROVENANCE = """
+prov as (select chat_id, 'commitment' as kind, commitment_id as key, arg_max(segment_id, ordinal) as segment_id, max(ordinal) as ordinal, arg_max(last_index, ordinal) as last_index
+         from cd join ords using (chat_id, segment_id) group by all)"""
 _AGED = """
 aged as (select c.*, case when p.ordinal is not null then greatest(0, n.newest - p.ordinal) end as age_segments, c.status in ('active', 'made', 'unknown') and coalesce(greatest(0, n.newest - p.ordinal) >= 8, false) and p.ordinal is not null as aged_out
   from cm c left join prov p on p.chat_id = c.chat_id and p.key = c.commitment_id left join (select chat_id, max(ordinal) as newest from ords group by all) n on n.chat_id = c.chat_id)"""
@@ -206,7 +211,44 @@ th as (select chat_id, key, arg_max(v, change_seq) as description, case arg_max(
   select chat_id, change_seq, split_part(path, '.', 2) as key, replace(value, '"', '') as v,
     case replace(value, '"', '') when 'settled' then 'resolved' when 'disputed' then 'advanced' when 'rejected' then 'abandoned' else 'open' end as step
   from ch where regexp_matches(path, '^localThreads\\.[^.]+$') and value is not null and value not like '{%')
-  where lower(key) not in ('love', 'life', 'drama', 'tension') group by all)"""
+  where lower(key) not in ('love', 'life', 'drama', 'tension') and lower(v) not in ('love', 'life', 'drama', 'tension') group by all)"""
+_NEGATIVE = r"""select *, trim(regexp_replace(lower(description), '\s+', ' ', 'g')) as key from episode_events
+        where description is not null and coalesce(salience <> 'minor', true) and regexp_matches(description, '(?i)(attempt|explicit|refus|reject|did not|not occur|disqualif|without)')"""
+_NEGATIVES = f"""
+ngs as (select * from (select chat_id, key, min(event_row_id) as seq, arg_min(description, event_row_id) as proposition, arg_min(segment_id, event_row_id) as segment_id from ({_NEGATIVE}) group by all)
+        qualify row_number() over (partition by chat_id order by seq desc) <= 6)"""
+_CHARACTERS = rf"""
+removals as (select distinct regexp_replace(lower(w), '[\s_\-]+', ' ', 'g') as op from (select unnest(list_append(coalesce(known_spellings, []), canonical)) as w from canonical_values where field_name = 'state_operation' and canonical = 'remove')),
+gated as (select *, op in (select op from removals) as removal, coalesce(json_type(try_cast(value as json)) = 'OBJECT', false) as is_object from (
+  select *, change_seq > min(change_seq) over (partition by chat_id, subject, path, value) as again from ch)
+  where case split_part(path, '.', 1) when 'identity' then coalesce(evidence = 'explicit', false)
+          when 'preferences' then coalesce(persistence = 'durable', false) and (coalesce(evidence = 'explicit', false) or (coalesce(evidence = 'strong_inference', false) and again))
+          when 'possessions' then coalesce(persistence in ('durable', 'active'), false) and not coalesce(evidence = 'weak_inference', false) else true end),
+opened as (
+  select chat_id, subject, change_seq, path || '.' || k as path, value -> ('$."' || k || '"') as value from (select chat_id, subject, change_seq, path, value::json as value, unnest(json_keys(value::json)) as k from gated where is_object and not removal)
+  union all
+  select chat_id, subject, change_seq, path || '.' || k, value -> ('$."' || k || '"') from (select chat_id, subject, change_seq, path, value, unnest(json_keys(value)) as k from opened where json_type(value) = 'OBJECT')),
+put as (select chat_id, subject, path, max(change_seq) as seq, arg_max_null(value, change_seq) as value from (
+  select chat_id, subject, change_seq, path, value from gated where not is_object and not removal union all select chat_id, subject, change_seq, path, value::varchar from opened where json_type(value) <> 'OBJECT') group by all),
+cleared as (select chat_id, subject, path, max(change_seq) as seq from gated where is_object or removal group by all),
+leaves as (select chat_id, subject as key, path, regexp_replace(value, '^"(.*)"$', '\1', 's') as plain from put l where not exists (
+  select 1 from cleared r where r.chat_id = l.chat_id and r.subject = l.subject and r.seq > l.seq and (r.path = l.path or starts_with(l.path, r.path || '.')))),
+known as (select chat_id, participants[1] as key, arg_max_null(concat_ws('; ', 'knowledge.' || dimension || '.kind=' || regexp_replace(value, '^"(.*)"$', '\1'), 'knowledge.' || dimension || '.evidence=' || evidence), rel_change_id) as detail,
+    arg_max_null(operation, rel_change_id) as op from relationship_changes where dimension is not null group by chat_id, participants[1], dimension),
+details as (select chat_id, key, path || '=' || plain as detail from leaves where plain <> '' union all select chat_id, key, detail from known where op <> 'remove' and detail <> ''
+  union all select chat_id, actor, 'commitments.' || commitment_id || '=' || status from aged where not aged_out)"""
+_ITEM_ORIGINS = _NEGATIVES + r""",
+moved as (select *, nullif(array_to_string(list_filter(list_transform(string_split(path, '.'), lambda x: trim(x)), lambda x: x <> ''), '.'), '') as way from state_changes where subject is not null),
+touched as (
+  select chat_id, segment_id, 'commitment' as kind, commitment_id as key from cd
+  union all select chat_id, segment_id, 'relationship', array_to_string(list_sort(participants), '|') from relationship_changes where participants is not null and dimension is not null
+  union all select chat_id, segment_id, 'character', unnest(participants) from relationship_changes where participants is not null and dimension is not null
+  union all select chat_id, segment_id, 'character', subject from moved where way is not null
+  union all select chat_id, segment_id, 'character', actor from cd union all select chat_id, segment_id, 'character', toward from cd
+  union all select chat_id, segment_id, 'thread', split_part(way, '.', 2) from moved where regexp_matches(way, '^localThreads\.[^.]+$') and value is not null and value not like '{%'
+  union all select chat_id, segment_id, 'world_fact', description from temporal_marks where description is not null
+  union all select chat_id, segment_id, 'salient_negative', key from ngs),
+origins as (select chat_id, kind, key, arg_max(last_index, ordinal) as last_index, max(ordinal) as ordinal from touched join ords using (chat_id, segment_id) where key is not null group by all)"""
 _FACTS = "wf as (select chat_id, description as fact, arg_max_null(kind, (coalesce(stated_at, timestamp '0001-01-01'), mark_id)) as value from temporal_marks where description is not null group by all)"
 
 _CHECKPOINTS = """select chat_id, ordinal as frontier, segment_id, (s % 2305843009213693951)::bigint as prefix_fingerprint from (
@@ -230,24 +272,24 @@ SQL = {
     "relationships": sql(_RELATIONS, select="select * from rels"),
     "commitments": sql(_COMMITMENTS, select="select * from cm"),
     "threads": sql(_CHANGES, _THREADS, select="select * from th"),
-    "salient_negatives": r"""select chat_id, min(event_row_id) as seq, arg_min(description, event_row_id) as proposition from episode_events
-        where regexp_matches(description, '(?i)(^|[^\p{L}\p{N}_])(nobody|never|not|niemand|personne|nadie|nessuno|ninguém)([^\p{L}\p{N}_]|$)')
-        group by chat_id, lower(trim(regexp_replace(description, '\s+', ' ', 'g')))""",
+    "salient_negatives": f"select chat_id, min(event_row_id) as seq, arg_min(description, event_row_id) as proposition from ({_NEGATIVE}) group by chat_id, key",
     "conflicts": sql(_CHANGES, select="""select chat_id, subject, path as property, max(change_seq) as seq, arg_max(earlier, change_seq) as earlier, arg_max(value, change_seq) as later from (
         select *, lag(value) over (partition by chat_id, subject, path order by change_seq) as earlier from ch where evidence = 'explicit' and value is not null and value not like '{%')
         where earlier is not null and earlier <> value and op not in ('revise', 'update', 'amend') group by all"""),
     "segment_ordinals": sql(SQL_SEGMENTS, _ORDINALS, select="select * from ords"),
-    "provenance": sql(SQL_SEGMENTS, _ORDINALS, _PROVENANCE, select="select * from prov"),
-    "commitment_ageout": sql(SQL_SEGMENTS, _ORDINALS, _PROVENANCE, _COMMITMENTS, _AGED, select="select chat_id, commitment_id, status, age_segments, aged_out from aged"),
+    "provenance": sql(SQL_SEGMENTS, _ORDINALS, _COMMITTED, _PROVENANCE, select="select * from prov"),
+    "commitment_ageout": sql(SQL_SEGMENTS, _ORDINALS, _COMMITMENTS, _PROVENANCE, _AGED, select="select chat_id, commitment_id, status, age_segments, aged_out from aged"),
     "state_projection": sql(
-        SQL_SEGMENTS, _ORDINALS, _PROVENANCE, _COMMITMENTS, _AGED, _RELATIONS, _CHANGES, _THREADS, _FACTS,
+        SQL_SEGMENTS, _ORDINALS, _COMMITMENTS, _PROVENANCE, _AGED, _RELATIONS, _CHANGES, _THREADS, _FACTS, _CHARACTERS, _ITEM_ORIGINS,
         select="""select chat_id, kind, key, text, priority, place::int as place from (
           select i.*, row_number() over (partition by i.chat_id order by priority desc, coalesce(p.last_index, -1) desc, coalesce(p.ordinal, -1) desc, 'state:' || i.kind || ':' || i.key) as place from (
             select chat_id, 'commitment' as kind, commitment_id as key, 'Commitment (' || status || '): ' || actor || coalesce(' to ' || toward, '') || ' — ' || content as text, 140 as priority from aged where status in ('active', 'made', 'unknown') and not aged_out
             union all select chat_id, 'relationship', pair, 'Relationship ' || replace(pair, '|', ' ↔ ') || ': ' || string_agg(dimension || '=' || value_list, '; ' order by dimension || '=' || value_list), 130 from rels group by chat_id, pair
+            union all select chat_id, 'character', key, 'Character ' || key || ': ' || string_agg(detail, '; ' order by detail), 120 from details where key is not null group by chat_id, key
             union all select chat_id, 'thread', key, 'Open thread (' || status || '): ' || description, 110 from th where status not in ('resolved', 'abandoned')
-            union all select chat_id, 'world_fact', fact, 'World fact: ' || fact, 100 from wf) i
-          left join prov p on p.chat_id = i.chat_id and p.kind = i.kind and p.key = i.key) where place <= 40""",
+            union all select chat_id, 'world_fact', fact, 'World fact: ' || fact, 100 from wf
+            union all select chat_id, 'salient_negative', key, 'Did not happen: ' || proposition, 70 from ngs) i
+          left join origins p on p.chat_id = i.chat_id and p.kind = i.kind and p.key = i.key)""",
     ),
     "checkpoints": sql(SQL_SEGMENTS, select=_CHECKPOINTS),
     "resume_points": sql(SQL_SEGMENTS, select=f"select chat_id, max(frontier) as frontier from (select *, max(frontier) over (partition by chat_id) as n from ({_CHECKPOINTS})) where n % 2 = 0 and frontier <= 12 group by all"),

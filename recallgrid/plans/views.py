@@ -10,7 +10,8 @@ from ..operators import validation
 from ..operators import views as W
 from ..sources import table
 from .common import SQL_MESSAGES, SQL_SEGMENTS, messages, segments, sql
-from .parsing import _FNV, _HEX, _REGISTRY, DOMAINS, alias_registry, materialized_entities
+from ..functions.vocabulary import DOMAINS
+from .parsing import _FNV, _HEX, _REGISTRY, alias_registry, materialized_entities
 from .parsing import SQL as PARSE_SQL
 from .planning import SQL as PLAN_SQL
 from .planning import uncovered_plan
@@ -32,7 +33,7 @@ def qualification(spark: SparkSession, d: str) -> DataFrame:
 
 
 def repaired_domains(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "episode_events").select("event_row_id", F.array_join(W.repair_domains(F.col("domains"), DOMAINS), ",").alias("domain_list"))
+    return table(spark, d, "episode_events").select("event_row_id", F.array_join(W.repair_domains(F.col("domains")), ",").alias("domain_list"))
 
 
 def resolved_references(spark: SparkSession, d: str) -> DataFrame:
@@ -83,13 +84,12 @@ QUERIES = {f.__name__: f for f in (segment_sources, combined_plans, qualificatio
 SQL = {
     "segment_sources": sql(SQL_MESSAGES, SQL_SEGMENTS, select="select s.chat_id, segment_id, count(*) as n_messages, sum(n_tokens)::bigint as n_tokens from sg s join lm on lm.chat_id = s.chat_id and message_index between first_index and last_index group by all"),
     "combined_plans": sql(SQL_SEGMENTS, f"pl as ({PLAN_SQL['segment_plan_turns']})", select="""select chat_id, count(*) filter (r = 0) as n_planned, count(*) filter (r = 1) as n_reused, coalesce(sum(t) filter (r = 0), 0)::bigint as planned_tokens, coalesce(max(t), 0)::bigint as most_tokens from (
-        select chat_id, n_tokens as t, 0 as r from pl where last_index % 3 = 0 union all select chat_id, source_token_count, 1 from sg where status = 'valid' and chat_id is not null) group by all"""),
+        select chat_id, n_tokens as t, 0 as r from pl union all select chat_id, source_token_count, 1 from sg where status = 'valid' and chat_id is not null) group by all"""),
     "qualification": sql(SQL_MESSAGES, select="""select *, projected_tokens * 0.5::double as projected_credits from (select *, (source_tokens + greatest(600, floor(source_tokens * 0.45::double + 0.5)))::bigint as projected_tokens from (
         select chat_id, count(*) as n_messages, count(*) filter (role = 'user') as n_user, count(*) filter (role = 'user' and coalesce(nxt <> 'assistant', true)) as isolated_users, sum(n_tokens)::bigint as source_tokens
         from (select *, lead(role) over (partition by chat_id order by message_index) as nxt from lm where not hidden) group by all))"""),
-    "repaired_domains": f"""select event_row_id, case when coalesce(len(k), 0) > 0 then array_to_string(k, ',') else 'general' end as domain_list from (
-        select event_row_id, list_filter(m, lambda x, i: list_position(m, x) = i) as k from (
-          select event_row_id, list_filter(list_transform(domains, lambda x: case when lower(trim(x)) = 'boundary' then 'relationship' else lower(trim(x)) end), lambda x: x in ({_DOMAINS})) as m from episode_events))""",
+    "repaired_domains": f"""select event_row_id, array_to_string(list_filter(m, lambda x, i: list_position(m, x) = i), ',') as domain_list from (
+        select event_row_id, list_transform(list_transform(domains, lambda x: regexp_replace(lower(trim(coalesce(x, ''))), '[\\s-]+', '_', 'g')), lambda x: case when x in ({_DOMAINS}) then x when x = 'boundary' then 'relationship' else 'other' end) as m from episode_events)""",
     "resolved_references": sql(
         _REGISTRY, "so as (select chat_id, alias, min(entity_id) as found from ar group by all having count(distinct entity_id) = 1)",
         f"q as (select mention_id, chat_id, name, 'entity:v1:chat:' || chat_id || ':mention:' || name as j from em where entity_id is null and chat_id is not null and name <> '')", f"qh as (select *, {_FNV.format('j')} as h from q)",
