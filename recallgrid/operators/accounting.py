@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,28 +46,41 @@ def daily_spend(attempts: DataFrame) -> DataFrame:
     return attempts.where("mode = 'live'").groupBy("day").agg(F.count("*").alias("n_requests"), F.sum(F.coalesce("nominal", F.lit(0)) + F.coalesce("output", F.lit(0))).cast("bigint").alias("total_tokens"))
 
 
-def token_guard(requests: DataFrame, session_cap: int, daily_cap: int) -> DataFrame:
-    """session, attempt_id, day, projected, decision, spent_before: requests let through or blocked by caps (0: none), in order.
+_GUARDED = ("ledger", "session", "attempt_id", "day", "projected", "decision", "spent_before", "day_before")
 
-    requests: session, attempt_id, ts, day, projected, actual. A blocked request spends nothing, so each decision depends on those before it: a fold over a
-    session's requests, which receives numbers only.
-    """
-    kind = dict(requests.dtypes)["session"]
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "attempt_id"])
-        spent, by_day, out = 0, {}, []
-        for attempt, day, projected, actual in zip(rows["attempt_id"], rows["day"], rows["projected"], rows["actual"]):
-            today = by_day.get(day, 0)
-            decision = "session_cap" if session_cap and spent + projected > session_cap else "daily_cap" if daily_cap and today + projected > daily_cap else "sent"
-            out.append((key[0], attempt, day, projected, decision, spent))
-            if decision == "sent":
-                spent += actual
-                by_day[day] = today + actual
-        return pd.DataFrame(out, columns=["session", "attempt_id", "day", "projected", "decision", "spent_before"])
+def token_guard(requests: DataFrame, session_cap: int, daily_cap: int) -> DataFrame:
+    """ledger, session, attempt_id, day, projected, decision, spent_before, day_before: requests let through or blocked by caps (0: none), in order.
 
-    slim = requests.select("session", "attempt_id", "ts", F.col("day").cast("string").alias("day"), "projected", "actual")
-    return slim.groupBy("session").applyInPandas(run, f"session {kind}, attempt_id bigint, day string, projected bigint, decision string, spent_before bigint")
+    requests: ledger, session, attempt_id, ts, day, projected, actual, healthy. The session's cap counts what the session spent, the day's cap what all sessions of the ledger spent that day. A blocked
+    request spends nothing, so each decision depends on those before it: a walk over a ledger (one installation's requests) in the order of ts and attempt_id. With a daily cap a request is blocked while the ledger cannot
+    be written (healthy false; null counts as true), since what the day has spent is not known then. decision: sent, session_cap, daily_cap or ledger_unavailable.
+
+    Ledgers are walked side by side, each streaming through one task in sorted batches of numbers: of a ledger only its sessions' sums and its day's are held.
+    """
+    types = dict(requests.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ledger, today, spent, by_day = object(), None, {}, 0
+        for b in batches:
+            out = []
+            for own, session, _, day, projected, actual, healthy in zip(*(b.column(c).to_pylist() for c in ("ledger", "session", "attempt_id", "day", "projected", "actual", "healthy"))):
+                if own != ledger:
+                    ledger, today, spent, by_day = own, None, {}, 0
+                if day != today:
+                    today, by_day = day, 0
+                before = spent.get(session, 0)
+                blocked = "ledger_unavailable" if daily_cap and healthy is False else "session_cap" if session_cap and before + projected > session_cap else "daily_cap" if daily_cap and by_day + projected > daily_cap else ""
+                out.append((blocked or "sent", before, by_day))
+                if not blocked:
+                    spent[session] = before + actual
+                    by_day += actual
+            made = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in _GUARDED[:5]), *made], list(_GUARDED))
+
+    slim = requests.select("ledger", "session", "attempt_id", "ts", F.col("day").cast("string").alias("day"), F.col("projected").cast("bigint"), F.col("actual").cast("bigint"), F.col("healthy").cast("boolean") if "healthy" in types else F.lit(None).cast("boolean").alias("healthy"))
+    ordered = slim.repartition("ledger").sortWithinPartitions("ledger", "ts", "attempt_id")
+    return ordered.mapInArrow(run, f"ledger {types['ledger']}, session {types['session']}, attempt_id {types['attempt_id']}, day string, projected bigint, decision string, spent_before bigint, day_before bigint")
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
@@ -120,7 +134,13 @@ def redact_diagnostic(text: Column) -> Column:
     return F.left(F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', "[redacted]"), r"'(?:[^'\\]|\\.)*'", "[redacted]"), F.lit(160))
 
 
+#: How keys and tokens are written in error messages, what stands in for them, and how much of a message is kept.
+SECRET_NAMED = r"(?i)(api[_-]?key|authorization|bearer)\s*[:=]\s*\S+"
+SECRET_TOKEN = r"\bsk-[A-Za-z0-9._-]+\b"
+REDACTED, MESSAGE_CHARS = "[redacted]", 280
+
+
 def mask_secrets(text: Column) -> Column:
-    """Keys and bearer tokens in an error message masked, at most 280 characters."""
-    named = F.regexp_replace(text, r"(?i)(api[_-]?key|authorization|bearer)\s*[:=]\s*\S+", "$1: [redacted]")
-    return F.left(F.regexp_replace(named, r"\bsk-[A-Za-z0-9._-]+\b", "[redacted]"), F.lit(280))
+    """Keys and bearer tokens in an error message masked, at most MESSAGE_CHARS characters."""
+    named = F.regexp_replace(text, SECRET_NAMED, f"$1: {REDACTED}")
+    return F.left(F.regexp_replace(named, SECRET_TOKEN, REDACTED), F.lit(MESSAGE_CHARS))

@@ -30,7 +30,7 @@ def document_stats(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def query_terms(queries: DataFrame, text: str = "text", most: int = 32) -> DataFrame:
     """query_id, term, place: the words of a query by frequency, then alphabet, without stop words, the first `most`."""
-    words = queries.select("query_id", F.explode(search_tokens(F.coalesce(F.col(text), F.lit("")))).alias("term")).where(~F.col("term").isin(STOP_WORDS))
+    words = queries.select("query_id", F.explode(search_tokens(F.coalesce(F.col(text), F.lit("")))).alias("term")).where(~F.col("term").isin(*STOP_WORDS))
     counted = words.groupBy("query_id", "term").agg(F.count("*").alias("n"))
     order = Window.partitionBy("query_id").orderBy(F.col("n").desc(), "term")
     return counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("query_id", "term", "place")

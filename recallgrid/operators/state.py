@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.exprs import fnv1a64
 from ..functions.runtime import running
@@ -94,7 +95,7 @@ def threads(rows: DataFrame) -> DataFrame:
 CONTRASTIVE = r"(?i)(attempt|explicit|refus|reject|did not|not occur|disqualif|without)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKC")
 

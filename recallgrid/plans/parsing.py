@@ -17,7 +17,7 @@ from ..operators.changefeed import operation_key, removing_spellings
 from ..sources import table
 from .common import SQL_MESSAGES, SQL_POLICY, SQL_SEGMENTS, messages, segments, sql
 from .history import _FOREGROUND, foreground_summary
-from .state import _COMMITMENTS
+from .state import _COMMITMENTS, _FNV, _HEX
 from .state import commitments as commitment_state
 from .upkeep import _OMIT, omitted_indices
 
@@ -252,8 +252,6 @@ QUERIES = {
 
 _E = ", ".join(f"'{x}'" for x in EVIDENCE)
 _BAD = "case when not coalesce({1}, false) then '{0}' end"
-_FNV = "list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(1, octet_length(encode({0})) + 1), lambda i: ('0x' || substr(hex(encode({0})), (2 * i - 1)::int, 2))::hugeint)), lambda h, b: (xor(h, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint)"
-_HEX = "lpad(lower(printf('%x', ({0} // 4294967296)::bigint)), 8, '0') || lpad(lower(printf('%x', ({0} % 4294967296)::bigint)), 8, '0')"
 _REGISTRY = f"""
 em as (select *, proposed_entity_id as entity_id, {_ALIAS.format('mention')} as name from entity_mentions),
 ar as (select chat_id, entity_id, alias, count(distinct segment_id) as n_segments, bool_or(c) as confirmed from (
@@ -315,7 +313,7 @@ SQL = {
         pr as (select q.mention_id, r.entity_id, max(case when q.name = r.alias then 1 else len(list_intersect({_WORDS.format('q.name')}, {_WORDS.format('r.alias')})) / greatest(len({_WORDS.format('q.name')}), len({_WORDS.format('r.alias')})) * 0.7::double end)::double as s,
             bool_or(q.name = r.alias) as exact, bool_or(coalesce(q.sender_id = sn.sender_id, false)) as sender
           from em q join ar r on r.chat_id = q.chat_id join sn on sn.chat_id = r.chat_id and sn.entity_id = r.entity_id
-          where q.entity_id is null and q.mention is not null and q.name <> '' and len(list_intersect({_WORDS.format('q.name')}, {_WORDS.format('r.alias')})) > 0 group by all),
+          where q.entity_id is null and q.mention is not null and q.name <> '' group by all),
         rkd as (select *, lead(score) over w as nxt, row_number() over w as n from (select *, round(s + 0.2::double + case when sender then 0.5::double else 0 end, 9) as score from pr) window w as (partition by mention_id order by score desc, entity_id))""",
         select="""select q.mention_id, case when not amb and score >= 0.5 then entity_id end as proposed_entity_id, case when exact and not amb then 'high' when entity_id is not null then 'uncertain' else 'new' end as confidence, score as best_score,
           entity_id is null or not coalesce(exact, false) or amb as requires_confirmation from (select mention_id from em where entity_id is null and mention is not null and name <> '') q left join (select mention_id, entity_id, exact, score, coalesce(score - nxt < 0.15, false) as amb from rkd where n = 1) using (mention_id)""",
@@ -328,7 +326,9 @@ SQL = {
     "commitment_retire": sql(_COMMITMENTS, select="""select chat_id, commitment_id, case when status in ('made', 'active', 'unknown') and (place = 1 or commitment_id = last) then 'obsolete' else status end as status
         from (select *, row_number() over (partition by chat_id order by commitment_id) - 1 as place, max(commitment_id) over (partition by chat_id) as last from cm)"""),
     "attempt_journal": """select segment_id, payload, row_number() over (partition by segment_id order by f)::int as attempt from (select segment_id, md5(coalesce(structured_trace.content, '')) as payload, min(segment_row_id) as f from segments where segment_id is not null group by all)""",
-    "kv_last_writes": """select chat_id, subject, path, value from (select chat_id, subject, path, arg_max_null(value, change_id) as value, arg_max_null(operation = 'remove', change_id) as deleted from state_changes where subject is not null and path is not null group by all) where not coalesce(deleted, false)""",
+    "kv_last_writes": r"""select chat_id, subject, path, value from (select chat_id, subject, path, arg_max_null(value, change_id) as value, arg_max_null(regexp_replace(regexp_replace(lower(coalesce(operation, '')), '[\s_\-]+', ' ', 'g'), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') in (
+          select regexp_replace(lower(unnest(list_append(coalesce(known_spellings, []), canonical))), '[\s_\-]+', ' ', 'g') from canonical_values where field_name = 'state_operation' and canonical = 'remove'), change_id) as deleted
+        from state_changes where subject is not null and path is not null group by all) where not coalesce(deleted, false)""",
     "session_pick": """select customer, session, n_attempts from (select o_custkey as customer, o_orderkey as session, coalesce(n, 0) as n_attempts, row_number() over (partition by o_custkey order by coalesce(n, 0) desc, o_orderdate desc, o_orderkey) as r
         from orders left join (select l_orderkey, count(*) as n from lineitem group by all) on l_orderkey = o_orderkey) where r = 1""",
     "content_digest": sql(SQL_MESSAGES, select="select chat_id, count(*) as n_messages, sum(('0x' || left(sha256(concat_ws(chr(31), message_index::varchar, role, name, text)), 13))::hugeint)::varchar as digest from lm group by all"),

@@ -11,6 +11,7 @@ from ..operators import retrieval as R
 from ..operators.state import commitment_id
 from ..sources import table
 from .common import SQL_SEGMENTS, segments, sql
+from .state import _FNV, _HEX, _PROMISE
 
 TOP = 5
 
@@ -181,8 +182,8 @@ SQL = {
     "retrieval_quality": sql(_COSINE, select=f"""select {TOP} as k, count(*) as n_queries, round(avg(case when expected > 0 then hits / expected else 1 end), 6) as recall_at_k, round(avg(case when returned > 0 then hits / returned else 0 end), 6) as precision_at_k, round(avg(coalesce(1 / first, 0)), 6) as mrr from (
         select q.vec_id, (select count(*) from embeddings e where e.label = q.label and e.vec_id <> q.vec_id) as expected, count(cs.doc_id) as returned, count(cs.doc_id) filter (e.label = q.label) as hits, min(place) filter (e.label = q.label) as first
         from embeddings q left join cs on cs.query_id = q.vec_id left join embeddings e on e.vec_id = cs.doc_id where q.vec_id % 50 = 0 group by q.vec_id, q.label)"""),
-    "document_keys": sql(SQL_SEGMENTS, _CORPUS, select="""select kind, key, count(*) as n_documents from (
-        select segment_id, 'entity' as kind, proposed_entity_id as key from entity_mentions union select segment_id, 'commitment', 'commit_' || left(md5(concat_ws('|', coalesce(actor, ''), coalesce(toward, ''), coalesce(content, ''))), 16) from commitments
+    "document_keys": sql(SQL_SEGMENTS, _CORPUS, select=f"""select kind, key, count(*) as n_documents from (
+        select segment_id, 'entity' as kind, proposed_entity_id as key from entity_mentions union select segment_id, 'commitment', 'commit_' || {_HEX.format('h')} from (select *, {_FNV.format(_PROMISE)} as h from commitments)
         union select segment_id, 'relationship', array_to_string(list_sort(participants), '|') from relationship_changes where participants is not null union select segment_id, 'thread', split_part(path, '.', 2) from state_changes where path like 'localThreads.%'
         union select segment_id, 'temporal', lower(description) from temporal_marks) join co using (segment_id) where key is not null group by all"""),
 }

@@ -184,9 +184,10 @@ ch as (select * from (select chat_id, change_seq, coalesce(revision, -1) as revi
        qualify row_number() over (partition by chat_id, change_seq order by revision desc, subject desc, path desc, op desc, value desc nulls last, evidence desc nulls last, persistence desc nulls last) = 1)"""
 _FNV = "list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(1, octet_length(encode({0})) + 1), lambda i: ('0x' || substr(hex(encode({0})), (2 * i - 1)::int, 2))::hugeint)), lambda h, b: (xor(h, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint)"
 _HEX = "lpad(lower(printf('%x', ({0} // 4294967296)::bigint)), 8, '0') || lpad(lower(printf('%x', ({0} % 4294967296)::bigint)), 8, '0')"
+_PROMISE = "(coalesce(actor, '') || '|' || coalesce(toward, '') || '|' || coalesce(content, ''))"
 _COMMITTED = f"""
 cd as (select *, 'commit_' || {_HEX.format('h')} as commitment_id from (
-  select *, {_FNV.format("(coalesce(actor, '') || '|' || coalesce(toward, '') || '|' || coalesce(content, ''))")} as h from commitments where transition in ('made', 'active', 'kept', 'broken', 'released', 'obsolete', 'superseded', 'unknown')))"""
+  select *, {_FNV.format(_PROMISE)} as h from commitments where transition in ('made', 'active', 'kept', 'broken', 'released', 'obsolete', 'superseded', 'unknown')))"""
 _COMMITMENTS = _COMMITTED + """,
 cm as (select chat_id, commitment_id, actor, toward, content, case when lt = 'made' then 'active' else lt end as status, evidence, touches from (
   select chat_id, commitment_id, any_value(actor) as actor, any_value(toward) as toward, any_value(content) as content,

@@ -174,7 +174,8 @@ def daily_spend(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_guard(spark: SparkSession, d: str) -> DataFrame:
-    a = attempts(spark, d).where("mode = 'live'")
+    """Users are spread over 40 installations, each with a ledger of its own, which is out of order for attempts that failed on format."""
+    a = attempts(spark, d).where("mode = 'live'").withColumn("ledger", F.col("session") % 40).withColumn("healthy", F.coalesce(F.col("failure") != "format", F.lit(True)))
     return A.token_guard(a.withColumn("projected", F.col("source_tokens") + 100).withColumn("actual", F.col("source_tokens") + F.col("output_tokens")), 200_000, 30_000)
 
 
@@ -217,8 +218,8 @@ cand as (select chat_id, case when n <= 8 then 'chronological' else 'associative
 _PACK = f"""
 sp as ({STATE_SQL["state_projection"]}),
 it as (select chat_id, 'state' as region, kind || ':' || key as item, length(text) as n_chars, place from sp
-  union all select chat_id, region, item, length(text), n + case region when 'chronological' then 1000 else 2000 end
-  from (select *, row_number() over (partition by chat_id, region order by priority desc, last_index desc, item) as n from cand) where n <= 24),
+  union all select chat_id, region, item, length(text), n + case region when 'chronological' then 1000000000 else 2000000000 end
+  from (select *, row_number() over (partition by chat_id, region order by priority desc, last_index desc, item) as n from cand)),
 seq as (select *, row_number() over (partition by chat_id order by place) as i, case region when 'state' then 1 when 'chronological' then 2 else 3 end as r from it),
 fold as (
   select s.chat_id, 0::bigint as i, 0 as c1, 0 as c2, 0 as c3, ceil(coalesce(raw_chars, 0) / 4)::bigint as rt, null::varchar as region, null::varchar as item, 0::bigint as place, false as kept
@@ -231,7 +232,7 @@ fold as (
         (case q.r when 1 then (case when f.c1 = 0 then 7 else f.c1 end) when 2 then (case when f.c2 = 0 then 16 else f.c2 end) else (case when f.c3 = 0 then 14 else f.c3 end) end + 1 + q.n_chars)::int as g,
         case q.r when 1 then 400 when 2 then 500 else 200 end as lim
       from fold f join seq q on q.chat_id = f.chat_id and q.i = f.i + 1))),
-packed as (select chat_id, region, item, place::int as place, kept from fold where i > 0)"""
+packed as (select chat_id, region, item, place::bigint as place, kept from fold where i > 0)"""
 _PACK_PARTS = (SQL_MESSAGES, SQL_POLICY, _FOREGROUND, SQL_SEGMENTS, _RAWC, _CAND, _PACK)
 _OMIT = """
 om as (select distinct chat_id, message_index from (select *, unnest(range(first_index, last_index + 1))::int as message_index from sg where status = 'valid' and chat_id is not null) s
@@ -271,7 +272,7 @@ SQL = {
         SQL_SEGMENTS,
         """eh as (select chat_id, segment_id as item, ceil(length(coalesce(synopsis, '')) / 4)::bigint as t, row_number() over (partition by chat_id order by last_index desc, first_index desc, segment_id) as place from sg where status = 'valid' and chat_id is not null),
         ef as (select chat_id, 0::bigint as place, 0::bigint as total, ''::varchar as item, false as kept from eh group by all union all
-               select e.chat_id, e.place, f.total + case when f.total + e.t <= 300 then e.t else 0 end, e.item, f.total + e.t <= 300 from ef f join eh e on e.chat_id = f.chat_id and e.place = f.place + 1 where e.place <= 30)""",
+               select e.chat_id, e.place, f.total + case when f.total + e.t <= 300 then e.t else 0 end, e.item, f.total + e.t <= 300 from ef f join eh e on e.chat_id = f.chat_id and e.place = f.place + 1)""",
         select="select chat_id, item, kept from ef where place > 0",
     ),
     "invalidated": sql(
@@ -293,7 +294,7 @@ SQL = {
     "session_archive": sql(SQL_SEGMENTS, select="""select chat_id, segment_id, status, place::int as place, case when max((status in ('failed', 'stale'))::int) over (partition by chat_id order by place) = 1 and status = 'valid' then 'stale' else status end as archived_status
         from (select chat_id, segment_id, status, row_number() over (partition by chat_id order by first_index, segment_id) as place from sg where chat_id is not null)"""),
     "promoted": sql(
-        SQL_SEGMENTS, f"pl as (select chat_id, first_index, last_index from ({PLAN_SQL['segment_plan_turns']}) where last_index % 2 = 0)", "cu as (select *, coalesce(manually_edited, false) or status = 'excluded' as protected from sg where chat_id is not null)",
+        SQL_SEGMENTS, f"pl as (select chat_id, first_index, last_index from ({PLAN_SQL['segment_plan_turns']}))", "cu as (select *, coalesce(manually_edited, false) or status = 'excluded' as protected from sg where chat_id is not null)",
         select="""select chat_id, first_index, last_index, 'kept' as origin from cu where protected or not exists (select 1 from pl where pl.chat_id = cu.chat_id and pl.first_index <= cu.last_index and pl.last_index >= cu.first_index)
           union all select chat_id, first_index, last_index, 'promoted' from pl where not exists (select 1 from cu where protected and pl.chat_id = cu.chat_id and pl.first_index <= cu.last_index and pl.last_index >= cu.first_index)""",
     ),
@@ -319,13 +320,14 @@ SQL = {
     "daily_spend": sql(SQL_ATTEMPTS, _USAGE, select="select day::varchar as day, count(*) as n_requests, sum(coalesce(nominal, 0) + coalesce(output, 0))::bigint as total_tokens from us where mode = 'live' group by all"),
     "token_guard": sql(
         SQL_ATTEMPTS,
-        """rq as (select session, attempt_id, day, source_tokens + 100 as projected, source_tokens + output_tokens as actual, row_number() over (partition by session order by ts, attempt_id) as i from attempts where mode = 'live')""",
-        """gd as (select distinct session, 0::bigint as i, null::bigint as attempt_id, null::date as day, 0::bigint as projected, ''::varchar as decision, 0::bigint as spent_before, 0::bigint as spent, 0::bigint as today from rq
-          union all select session, i, attempt_id, day, projected, d, spent, spent + case when d = 'sent' then actual else 0 end, today + case when d = 'sent' then actual else 0 end from (
-            select r.session, r.i, r.attempt_id, r.day, r.projected, r.actual, g.spent, case when g.day = r.day then g.today else 0 end as today,
-              case when g.spent + r.projected > 200000 then 'session_cap' when (case when g.day = r.day then g.today else 0 end) + r.projected > 30000 then 'daily_cap' else 'sent' end as d
-            from gd g join rq r on r.session = g.session and r.i = g.i + 1))""",
-        select="select session, attempt_id, day::varchar as day, projected, decision, spent_before from gd where i > 0",
+        """rq as (select session % 40 as ledger, session, attempt_id, day, source_tokens + 100 as projected, source_tokens + output_tokens as actual, coalesce(failure <> 'format', true) as healthy,
+            row_number() over (partition by session % 40 order by ts, attempt_id) as i from attempts where mode = 'live')""",
+        """gd as (select distinct ledger, 0::bigint as i, null::bigint as session, null::bigint as attempt_id, null::date as day, 0::bigint as projected, ''::varchar as decision, 0::bigint as spent_before, 0::bigint as day_before, map([]::bigint[], []::bigint[]) as spent, 0::bigint as today from rq
+          union all select ledger, i, session, attempt_id, day, projected, d, own, today, case when d = 'sent' then map_concat(spent, map([session], [own + actual])) else spent end, today + case when d = 'sent' then actual else 0 end from (
+            select *, case when not healthy then 'ledger_unavailable' when own + projected > 200000 then 'session_cap' when today + projected > 30000 then 'daily_cap' else 'sent' end as d from (
+              select r.ledger, r.i, r.session, r.attempt_id, r.day, r.projected, r.actual, r.healthy, g.spent, coalesce(g.spent[r.session], 0) as own, case when g.day = r.day then g.today else 0 end as today
+              from gd g join rq r on r.ledger = g.ledger and r.i = g.i + 1)))""",
+        select="select ledger, session, attempt_id, day::varchar as day, projected, decision, spent_before, day_before from gd where i > 0",
     ),
     "percentiles": """select event_type, count(*) as n, round(avg(cents), 6) as average, list_sort(list(cents))[greatest(1, ceil(count(*) * 0.5::double))::int] as p50, list_sort(list(cents))[greatest(1, ceil(count(*) * 0.95::double))::int] as p95
         from (select event_type, floor(value * 100)::bigint as cents from events) group by all""",

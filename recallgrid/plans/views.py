@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import normalize_alias
+from ..functions.vocabulary import DOMAINS
 from ..operators import validation
 from ..operators import views as W
 from ..sources import table
-from .common import SQL_MESSAGES, SQL_SEGMENTS, messages, segments, sql
-from ..functions.vocabulary import DOMAINS
+from .common import SQL_BUNDLED, SQL_BUNDLES, SQL_MESSAGES, SQL_SEGMENTS, messages, segments, sql
 from .parsing import _FNV, _HEX, _REGISTRY, alias_registry, materialized_entities
 from .parsing import SQL as PARSE_SQL
-from .planning import SQL as PLAN_SQL
-from .planning import uncovered_plan
+from .planning import _BUNDLE_UNITS, _CHOICES, uncovered_plan
 from .state import SQL as STATE_SQL
 from .state import _ORDINALS, commitments, conflicts, segment_ordinals
 
@@ -81,9 +80,15 @@ _MATCHES = PARSE_SQL["source_matches"]
 
 QUERIES = {f.__name__: f for f in (segment_sources, combined_plans, qualification, repaired_domains, resolved_references, conflict_status, relationship_inspector, semantic_texts, stale_suffix, replay_status, status_view)}
 
+#: Messages that no valid segment covers; every run of them counts as a chat of its own.
+_OPEN_MESSAGES = """
+taken as (select distinct chat_id, unnest(range(first_index, last_index + 1))::int as message_index, 1 as t from sg where status = 'valid' and chat_id is not null),
+lm as (select * replace (island::varchar || '#' || chat_id as chat_id) from (
+  select every.*, t, coalesce(sum(coalesce(t, 0)) over (partition by every.chat_id order by message_index rows between unbounded preceding and 1 preceding), 0)::bigint as island from every left join taken using (chat_id, message_index)) where t is null)"""
+
 SQL = {
     "segment_sources": sql(SQL_MESSAGES, SQL_SEGMENTS, select="select s.chat_id, segment_id, count(*) as n_messages, sum(n_tokens)::bigint as n_tokens from sg s join lm on lm.chat_id = s.chat_id and message_index between first_index and last_index group by all"),
-    "combined_plans": sql(SQL_SEGMENTS, f"pl as ({PLAN_SQL['segment_plan_turns']})", select="""select chat_id, count(*) filter (r = 0) as n_planned, count(*) filter (r = 1) as n_reused, coalesce(sum(t) filter (r = 0), 0)::bigint as planned_tokens, coalesce(max(t), 0)::bigint as most_tokens from (
+    "combined_plans": sql(SQL_MESSAGES.replace("lm as", "every as"), SQL_SEGMENTS, _OPEN_MESSAGES, SQL_BUNDLED, SQL_BUNDLES, _BUNDLE_UNITS, _CHOICES, "pl as (select regexp_replace(chat_id, '^[0-9]+#', '') as chat_id, n_tokens from walk)", select="""select chat_id, count(*) filter (r = 0) as n_planned, count(*) filter (r = 1) as n_reused, coalesce(sum(t) filter (r = 0), 0)::bigint as planned_tokens, coalesce(max(t), 0)::bigint as most_tokens from (
         select chat_id, n_tokens as t, 0 as r from pl union all select chat_id, source_token_count, 1 from sg where status = 'valid' and chat_id is not null) group by all"""),
     "qualification": sql(SQL_MESSAGES, select="""select *, projected_tokens * 0.5::double as projected_credits from (select *, (source_tokens + greatest(600, floor(source_tokens * 0.45::double + 0.5)))::bigint as projected_tokens from (
         select chat_id, count(*) as n_messages, count(*) filter (role = 'user') as n_user, count(*) filter (role = 'user' and coalesce(nxt <> 'assistant', true)) as isolated_users, sum(n_tokens)::bigint as source_tokens

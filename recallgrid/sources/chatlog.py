@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.runtime import running
+
 LOG_SCHEMA = "user_name string, character_name string, chat_metadata string, is_user boolean, is_system boolean, name string, mes string, swipe_id int, send_date string, extra string"
 KV_SCHEMA = "store string, key string, value string, deleted boolean"
 
@@ -12,20 +14,22 @@ KV_SCHEMA = "store string, key string, value string, deleted boolean"
 def read_chat_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Headers (chat_id, metadata) and messages (chat_id, message_index, role, name, text, hidden, swipe_id, send_date) of chat logs.
 
-    One file a chat, its name the chat's; the first line is the header. Lines that are no JSON are kept as messages without text.
-    Line numbers come from positions in the file, by way of the offset that orders them.
+    One file a chat, its name the chat's. The first line that is not blank is the header, unless it is a message itself; a header that is no JSON has null metadata. Later lines that are no JSON are kept as messages of an
+    assistant without text; a line with neither message nor sender likewise. Blank lines don't count.
+    Lines are placed by their split's position in the file and their place in the split, so that a file is never sorted in one task.
     """
     raw = spark.read.format("text").load(path).select(F.col("value"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    chat = F.regexp_replace("file", r"\.[^.]*$", "")
-    rows = raw.where(F.trim("value") != "").select(chat.alias("chat_id"), "block", "n", F.from_json("value", LOG_SCHEMA).alias("m"))
-    is_header = F.col("m.is_user").isNull() & F.col("m.mes").isNull()
-    headers = rows.where(is_header).select("chat_id", F.col("m.chat_metadata").alias("metadata"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("chat_id").orderBy("block", "n")
+    # every line takes a byte at least: the split's start and the lines before in the split order all lines of a file
+    splits = raw.groupBy("file", "block").agg(F.min("n").alias("first"))
+    lines = raw.where(F.trim("value") != "").join(splits, ["file", "block"]).select(F.regexp_replace("file", r"\.[^.]*$", "").alias("chat_id"), (F.col("block") + F.col("n") - F.col("first")).alias("at"), "value")
+    parsed = lines.select("chat_id", "at", F.when(F.try_parse_json("value").isNotNull(), F.from_json("value", LOG_SCHEMA)).alias("m"))
+    tops = parsed.groupBy("chat_id").agg(F.min("at").alias("top"))
+    placed = parsed.join(tops, "chat_id").withColumn("is_header", (F.col("at") == F.col("top")) & F.col("m.is_user").isNull() & F.col("m.mes").isNull())
+    headers = placed.where("is_header").select("chat_id", F.col("m.chat_metadata").alias("metadata"))
     role = F.when(F.col("m.is_system"), "system").when(F.col("m.is_user"), "user").otherwise("assistant")
-    messages = rows.where(~is_header).withColumn("message_index", (F.row_number().over(order) - 1).cast("int"))
-    return headers, messages.select("chat_id", "message_index", role.alias("role"), F.coalesce("m.name", F.lit("")).alias("name"), F.coalesce("m.mes", F.lit("")).alias("text"), F.coalesce("m.is_system", F.lit(False)).alias("hidden"), F.coalesce("m.swipe_id", F.lit(0)).alias("swipe_id"), F.col("m.send_date").alias("send_date"))
+    numbered = running(placed.where("not is_header").withColumn("__one", F.lit(1)), ["chat_id"], "at", [("sum", "__one", "__i")])
+    messages = numbered.select("chat_id", F.col("__i").cast("int").alias("message_index"), role.alias("role"), F.coalesce("m.name", F.lit("")).alias("name"), F.coalesce("m.mes", F.lit("")).alias("text"), F.coalesce("m.is_system", F.lit(False)).alias("hidden"), F.coalesce("m.swipe_id", F.lit(0)).alias("swipe_id"), F.col("m.send_date").alias("send_date"))
+    return headers, messages
 
 
 def read_kv_log(spark: SparkSession, path: str) -> DataFrame:

@@ -44,6 +44,12 @@ def publish(df: DataFrame, root: str, partition_by: list[str] | None = None) ->
     return target
 
 
+def exists(spark: SparkSession, root: str) -> bool:
+    """Whether any version of a table was published below `root`."""
+    fs, Path = _fs(spark, root)
+    return fs.exists(Path(root)) and any(s.getPath().getName() == "CURRENT" or s.getPath().getName()[1:].isdigit() and fs.exists(Path(f"{s.getPath()}/_SUCCESS")) for s in fs.listStatus(Path(root)))
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The version of a table that its pointer names; where a crash left none, the last complete one."""
     fs, Path = _fs(spark, root)

@@ -11,11 +11,23 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MESSAGE = "chat_id string, message_index int, role string, n_tokens bigint, sent timestamp"
 BUNDLE = "chat_id string, kind string, first_index int, last_index int, n_messages int, n_tokens bigint"
+_COLUMNS = [c.split()[0] for c in BUNDLE.split(", ")]
+#: Milliseconds after which a chat without messages is taken as ended for now.
+IDLE_MS = 6 * 3600 * 1000
 STATE = "last int, first int, saw_user boolean, saw_assistant boolean, n_messages int, n_tokens bigint, kind string"
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Feeds a chat's new messages, in order, to its open bundle. Emits bundles as they close, and `edit` rows for messages at or before the last one seen."""
+    """Feeds a chat's new messages, in order, to its open bundle. Emits bundles as they close, and `edit` rows for messages at or before the last one seen.
+
+    A chat that stayed idle has its open bundle emitted and its state dropped.
+    """
+    if state.hasTimedOut:
+        last, first, user, assistant, n, tokens, _ = state.get
+        kind = "opening" if not user else "exchange" if assistant else "incomplete_user"
+        state.remove()
+        yield pd.DataFrame([(key[0], kind, first, last, n, tokens)] if n else [], columns=_COLUMNS)
+        return
     rows = pd.concat(list(batches)).sort_values("message_index")
     last, first, user, assistant, n, tokens, _ = state.get if state.exists else (-1, -1, False, False, 0, 0, "")
     out = []
@@ -32,16 +44,18 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         assistant = assistant or (role == "assistant" and user)
         last, n, tokens = index, n + 1, tokens + int(size or 0)
     state.update((last, first, user, assistant, n, tokens, ""))
-    yield pd.DataFrame(out, columns=["chat_id", "kind", "first_index", "last_index", "n_messages", "n_tokens"])
+    state.setTimeoutDuration(IDLE_MS)
+    yield pd.DataFrame(out, columns=_COLUMNS)
 
 
 def live_bundles(messages: DataFrame) -> DataFrame:
     """Closed turn bundles of a stream of messages, and `edit` rows for indices already seen, which are for invalidation.
 
-    State of a chat: where its open bundle began and what it has seen; seven values. messages: chat_id, message_index, role, n_tokens.
+    State of a chat: where its open bundle began and what it has seen; seven values, dropped, with the open bundle emitted, once the chat was idle for IDLE_MS. Messages after that open a new bundle, whatever their index.
+    messages: chat_id, message_index, role, n_tokens.
     """
     slim = messages.select("chat_id", "message_index", "role", F.col("n_tokens").cast("bigint").alias("n_tokens"))
-    return slim.groupBy("chat_id").applyInPandasWithState(_advance, BUNDLE, STATE, "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy("chat_id").applyInPandasWithState(_advance, BUNDLE, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def spend_by_window(ledger: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -64,15 +78,10 @@ def upsert_batch(path: str, key: str, order: list[str]):
 
     Each batch writes a new version of the table; for tables too large for that, give every partition of keys a path of its own.
     """
-    from ..sources.sinks import current, publish
+    from ..sources.sinks import current, exists, publish
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        try:
-            rows = current(batch.sparkSession, path).unionByName(batch)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "FileNotFound" not in str(e) and "max()" not in str(e):
-                raise
+        rows = current(batch.sparkSession, path).unionByName(batch) if exists(batch.sparkSession, path) else batch
         columns = [c for c in rows.columns if c != key]
         best = rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("m")).select(key, "m.*")
         publish(best, path)

@@ -171,18 +171,58 @@ def test_reuse_equals_the_greedy_walk(spark, seed):
     assert greedy_independent(empty, spark.createDataFrame([], "k string, a bigint, b bigint"), ["k"], "n", "rank").count() == 0
 
 
-REQUEST = "session bigint, attempt_id bigint, ts timestamp, day string, projected bigint, actual bigint"
+REQUEST = "ledger int, session bigint, attempt_id bigint, ts timestamp, day string, projected bigint, actual bigint"
 
 
 def test_token_guard(spark):
     import datetime as dt
 
     t = dt.datetime(2024, 1, 1)
-    rows = [(1, i, t + dt.timedelta(hours=i), "d1" if i < 3 else "d2", p, a) for i, (p, a) in enumerate([(15, 15), (990, 10), (10, 10), (5, 5)])]
+    rows = [(7, 1, i, t + dt.timedelta(hours=i), "d1" if i < 3 else "d2", p, a) for i, (p, a) in enumerate([(15, 15), (990, 10), (10, 10), (5, 5)])]
     got = [(r["decision"], r["spent_before"]) for r in A.token_guard(spark.createDataFrame(rows, REQUEST), 1000, 24).orderBy("attempt_id").collect()]
     assert got == [("sent", 0), ("session_cap", 15), ("daily_cap", 15), ("sent", 15)]
     assert [r["decision"] for r in A.token_guard(spark.createDataFrame(rows[:1], REQUEST), 8, 0).collect()] == ["session_cap"]
     assert A.token_guard(spark.createDataFrame([], REQUEST), 8, 0).count() == 0
+    # 10 in and 5 out of a cap of 1000 leave 985
+    one = [(7, 1, 0, t, "d", 15, 15), (7, 1, 1, t, "d", 985, 985), (7, 1, 2, t, "d", 1, 1)]
+    assert [r["decision"] for r in A.token_guard(spark.createDataFrame(one, REQUEST), 1000, 0).orderBy("attempt_id").collect()] == ["sent", "sent", "session_cap"]
+
+
+def test_a_day_is_shared_by_the_sessions_of_a_ledger(spark, as_rows):
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    rows = [(ledger, session, i, t + dt.timedelta(minutes=i), "d1" if i < 4 else "d2", 10, 10, healthy) for i, (ledger, session, healthy) in enumerate([(1, 1, True), (1, 2, None), (1, 3, True), (2, 1, True), (1, 3, True), (1, 1, False)])]
+    got = A.token_guard(spark.createDataFrame(rows, REQUEST + ", healthy boolean"), 0, 20)
+    assert as_rows(got, "attempt_id", "decision", "day_before") == [(0, "sent", 0), (1, "sent", 10), (2, "daily_cap", 20), (3, "sent", 0), (4, "sent", 0), (5, "ledger_unavailable", 10)]
+    assert as_rows(A.token_guard(spark.createDataFrame(rows, REQUEST + ", healthy boolean"), 0, 0).where("decision <> 'sent'")) == []
+
+
+def test_rules_of_the_reducer(spark, as_rows):
+    ids = spark.createDataFrame([("a", "b", "c", None), ("a", "b", "c", "mine"), ("a", None, "c", None)], "actor string, toward string, content string, own string").select(S.commitment_id(F.col("actor"), F.col("toward"), F.col("content"), F.col("own")).alias("id"))
+    got = [r["id"] for r in ids.collect()]
+    assert got[:2] == ["commit_e689323f6a5f21c7", "mine"] and got[2] != got[0]
+    rows = [("c", 1, "Love", "x", "open"), ("c", 2, "debt", "Drama", "open"), ("c", 3, "debt", "who pays", "advanced"), ("c", 4, "debt", "tension", "resolved"), ("c", 5, "key", None, "open")]
+    assert as_rows(S.threads(spark.createDataFrame(rows, "chat_id string, seq bigint, key string, description string, transition string"))) == [("c", "debt", "who pays", "active"), ("c", "key", None, "open")]
+    negatives = [
+        ("c", 1, "Ann  did it", "she refused", None, None), ("c", 2, "ann did IT", "explicitly denied", True, None), ("c", 3, "Bo came", "no reason", True, None), ("c", 4, "Cy won", "whatever", None, True), ("c", 5, "Dee left", "without a word", False, True),
+        ("c", 6, "ｆｕｌｌ width", "rejected", None, None), ("c", 7, "Full width", "rejected", None, None), ("c", 8, None, "rejected", None, None), ("c", 9, "Ed ran", None, None, None),
+    ]
+    got = S.salient_negatives(spark.createDataFrame(negatives, "chat_id string, seq bigint, proposition string, reason string, continuity_relevant boolean, contrastive boolean"))
+    assert as_rows(got) == [("c", 1, "Ann  did it"), ("c", 4, "Cy won"), ("c", 6, "ｆｕｌｌ width")]
+
+
+def test_terms_of_every_field(spark):
+    values = {
+        "relationship_dimension": {"mutual respect": "trust", "rapport": "emotional_closeness", "Trust ": "trust", "nothing": None}, "commitment_transition": {"fulfilled": "kept", "open": "active", "made": "made"}, "thread_transition": {"closed": "resolved", "still-open": "active"},
+        "state_operation": {"update": "revise", "maintain": "set", "persist": "set"}, "relationship_operation": {"confirm": "set", "established": "set"}, "knowledge_operation": {"set": "add", "maintain": "revise"}, "knowledge_kind": {"fact": "knows", "observation": "knows", "assessment": "believes"},
+        "temporal_kind": {"timer": "exact", "elapsed": "relative"}, "location_kind": {"present": "presence", "sublocation": "scene"}, "persistence": {"permanent": "durable", "ongoing": "active"}, "salience": {"high": "important", "Medium": "normal"}, "domain": {"boundary": "relationship"},
+    }
+    for field, pairs in values.items():
+        rows = spark.createDataFrame([(k,) for k in pairs], "v string").select("v", X.normalize_term(F.col("v"), field).alias("t")).collect()
+        assert {r["v"]: r["t"] for r in rows} == pairs, field
+    assert spark.range(1).select(X.normalize_term(F.lit("rapport"), "relationship_dimension", provider=False).alias("t")).first()["t"] is None
+    assert [r["d"] for r in spark.createDataFrame([("Social ",), ("physical",), ("what",), (None,), ("boundary",)], "v string").select(X.normalize_domain(F.col("v")).alias("d")).collect()] == ["social", "physical", "other", "other", "relationship"]
 
 
 def test_usage_and_privacy(spark, as_rows):
@@ -204,7 +244,7 @@ def test_proposals(spark):
     reg = spark.createDataFrame([("c", "e1", "peter parker", "p"), ("c", "e2", "mary jane watson", None), ("c", "e3", "alex stone", None), ("c", "e4", "alex rivers", None)], "chat_id string, entity_id string, alias string, sender_id string")
     q = spark.createDataFrame([(1, "c", "peter", None), (2, "c", "alex", None), (3, "c", "mary", None), (4, "c", "peter parker", "p"), (5, "c", "nobody", None), (6, "d", "peter", None), (7, "c", "", None)], "mention_id bigint, chat_id string, name string, sender_id string")
     got = {r["mention_id"]: (r["proposed_entity_id"], r["confidence"], r["requires_confirmation"]) for r in E.propose(q, reg).collect()}
-    assert got == {1: ("e1", "uncertain", True), 2: (None, "uncertain", True), 3: (None, "uncertain", True), 4: ("e1", "high", False), 5: (None, "new", True), 6: (None, "new", True)}
+    assert got == {1: ("e1", "uncertain", True), 2: (None, "uncertain", True), 3: (None, "uncertain", True), 4: ("e1", "high", False), 5: (None, "uncertain", True), 6: (None, "new", True)}
 
 
 def test_extraction_states(spark, as_rows):

@@ -19,6 +19,54 @@ def test_chat_log(spark, tmp_path, as_rows):
     assert before["n_messages"] == 3 and before["digest"] != after["digest"]
 
 
+def test_chat_log_with_broken_lines(spark, tmp_path, as_rows):
+    good = json.dumps({"is_user": True, "name": "U", "mes": "hi"})
+    (tmp_path / "a.jsonl").write_text("\n".join([json.dumps({"user_name": "U"}), good, "{broken", good, "{}"]))
+    (tmp_path / "b.jsonl").write_text("\n".join(["{broken header", "", good]))
+    (tmp_path / "c.jsonl").write_text("\n".join([good, good]))
+    headers, messages = chatlog.read_chat_log(spark, str(tmp_path))
+    assert as_rows(headers, "chat_id") == [("a",), ("b",)]
+    want = [("a", 0, "user", "hi"), ("a", 1, "assistant", ""), ("a", 2, "user", "hi"), ("a", 3, "assistant", ""), ("b", 0, "user", "hi"), ("c", 0, "user", "hi"), ("c", 1, "user", "hi")]
+    assert as_rows(messages, "chat_id", "message_index", "role", "text") == want
+
+
+def test_chat_log_in_many_splits(spark, tmp_path):
+    lines = [json.dumps({"user_name": "U"})] + [json.dumps({"is_user": i % 2 == 0, "mes": f"m{i}" + "x" * (i % 50)}) for i in range(400)]
+    (tmp_path / "long.jsonl").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        headers, messages = chatlog.read_chat_log(spark, str(tmp_path))
+        got = {r["message_index"]: r["text"].rstrip("x") for r in messages.collect()}
+        assert headers.count() == 1 and got == {i: f"m{i}" for i in range(400)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+class State:
+    def __init__(self, value=None, timed_out=False):
+        self.get, self.exists, self.hasTimedOut, self.wait = value, value is not None, timed_out, None
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+    def setTimeoutDuration(self, ms):
+        self.wait = ms
+
+
+def test_idle_chats_emit_their_open_bundle_and_lose_their_state():
+    import pandas as pd
+
+    state = State()
+    rows = pd.DataFrame({"message_index": [0, 1], "role": ["user", "assistant"], "n_tokens": [3, 4]})
+    assert sum(len(x) for x in live._advance(("c",), iter([rows]), state)) == 0 and state.wait == live.IDLE_MS
+    ended = State(state.get, timed_out=True)
+    assert pd.concat(live._advance(("c",), iter([]), ended)).values.tolist() == [["c", "exchange", 0, 1, 2, 7]] and not ended.exists
+    assert sum(len(x) for x in live._advance(("c",), iter([]), State((5, -1, False, False, 0, 0, ""), timed_out=True))) == 0
+
+
 def test_envelopes_round_trip(spark, as_rows):
     seg = spark.createDataFrame([("c", "s1", 0, 3, "valid", "a \"b\"", True, False), ("c", "s2", 4, 5, "stale", None, None, None)], "chat_id string, segment_id string, first_index int, last_index int, status string, synopsis string, pinned boolean, manually_edited boolean")
     for size, parts in ((10, 1), (1, 2)):
