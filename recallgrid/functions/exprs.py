@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: Of the 64-bit FNV-1a hash.
+FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
 def _accents() -> tuple[str, str]:
@@ -42,23 +48,43 @@ def narrative_form(text: Column) -> Column:
     return F.regexp_replace(unified, r"^\s+|\s+$", "")
 
 
+def fnv_of(texts: list[bytes | None]) -> list[str | None]:
+    """64-bit FNV-1a hashes as 16 hexadecimal digits: all texts of a batch one byte at a time, long ones by themselves."""
+    sizes = np.array([len(x) if x is not None and len(x) <= 4096 else 0 for x in texts], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    width = int(sizes.max(initial=0))
+    table = np.zeros((width, len(texts)), np.uint64)
+    for column, i in enumerate(order):
+        if sizes[i]:
+            table[: sizes[i], column] = np.frombuffer(texts[i], np.uint8)
+    h = np.full(len(texts), FNV_START, np.uint64)
+    active = np.searchsorted(-sizes[order], -np.arange(width), "left")  # texts longer than a place, at the front
+    with np.errstate(over="ignore"):
+        for at in range(width):
+            n = active[at]
+            h[:n] = (h[:n] ^ table[at, :n]) * np.uint64(FNV_PRIME)
+    out: list[str | None] = [None] * len(texts)
+    for column, i in enumerate(order):
+        text = texts[i]
+        if text is not None:
+            value = int(h[column])
+            if len(text) > 4096:
+                value = FNV_START
+                for byte in text:
+                    value = (value ^ byte) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
+            out[i] = f"{value:016x}"
+    return out
+
+
+@F.pandas_udf(StringType())
+def _fnv(texts: pd.Series) -> pd.Series:
+    values = [None if x is None else x.encode() for x in texts.tolist()]
+    return pd.Series([h for at in range(0, len(values), 2048) for h in fnv_of(values[at : at + 2048])], dtype=object)
+
+
 def fnv1a64(text: Column) -> Column:
-    """The 64-bit FNV-1a hash of the UTF-8 bytes as 16 hexadecimal digits, in two 32-bit limbs (a 64-bit product would overflow)."""
-    digits = F.hex(F.encode(text, "UTF-8"))
-    size = (F.length(digits) / 2).cast("int")
-    mask = F.lit(0xFFFFFFFF)
-    start = F.struct(F.lit(3421674724).alias("hi"), F.lit(2216829733).alias("lo"))
-
-    def step(state: Column, i: Column) -> Column:
-        byte = F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint")
-        x = state["lo"].bitwiseXOR(byte)
-        low = x * F.lit(435)
-        high = (state["hi"] * F.lit(435) + F.shiftright(low, 32) + F.shiftleft(x, 8)).bitwiseAND(mask)
-        return F.struct(high.alias("hi"), low.bitwiseAND(mask).alias("lo"))
-
-    finish = lambda s: F.lower(F.concat(F.lpad(F.hex(s["hi"]), 8, "0"), F.lpad(F.hex(s["lo"]), 8, "0")))
-    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    return F.when(text.isNotNull(), F.aggregate(places, start, step, finish))
+    """The 64-bit FNV-1a hash of the UTF-8 bytes as 16 hexadecimal digits; null for null. By Arrow batches: folding bytes with SQL functions is interpreted and some fifty times slower."""
+    return _fnv(text)
 
 
 def entity_id(seed: Column) -> Column:
