@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.runtime import cut
+from ..functions.runtime import cut, small
 
+#: Rows of the feed that one batch resolves.
+BATCH_ROWS = 50_000_000
+#: Spellings that the reference list may give for removal: they are broadcast.
+MOST_SPELLINGS = 10_000
 LEAVES = T.ArrayType(T.StructType([T.StructField("tail", T.StringType()), T.StructField("value", T.StringType())]))
 
 
@@ -87,7 +91,7 @@ def latest_revisions(changes: DataFrame) -> DataFrame:
     return usable.groupBy("chat_id", "change_seq").agg(best).select("chat_id", "change_seq", "r.*")
 
 
-def apply_changes(changes: DataFrame, canonical_values: DataFrame, base: DataFrame | None = None, batches: int = 3) -> DataFrame:
+def apply_changes(changes: DataFrame, canonical_values: DataFrame, base: DataFrame | None = None, batches: int | None = None) -> DataFrame:
     """The live leaves (chat_id, subject, path, value) after all changes, however their rows arrived.
 
     Newest-first resolution. The change log is brought to one row per (chat, sequence), opened into leaf images
@@ -95,16 +99,15 @@ def apply_changes(changes: DataFrame, canonical_values: DataFrame, base: DataFra
     implies), and pre-aggregated per path and batch, a batch being a range of change_seq. Then the batches are taken
     backwards: a batch's images whose path is already resolved, or lies at or below a newer tombstone, are
     anti-joined away; what is left is recorded with the batch's tombstones. Last come the rows of `base` (the state
-    before the feed, same columns) that nothing resolved.
+    before the feed, same columns) that nothing resolved. Unless told, there is a batch for every BATCH_ROWS rows, at least two.
 
     Paths are compared through their prefixes, exploded to an equi-join, so no task gathers a subject. Nulls: see
     `latest_revisions`; a set with a null value leaves a leaf with null value. Blank paths count as null. Repeated rows count once.
     Extra columns are ignored. Empty feed: `base`, or no rows.
     """
     latest = latest_revisions(changes)
-    removing = removing_spellings(canonical_values).withColumn("is_removal", F.lit(True))
-    # at most the spellings of one list entry: a fixed vocabulary, far below any broadcast limit
-    marked = latest.join(F.broadcast(removing), "op_key", "left").withColumn("is_removal", F.coalesce("is_removal", F.lit(False)))
+    removing = small(removing_spellings(canonical_values).withColumn("is_removal", F.lit(True)), MOST_SPELLINGS, "spellings of removals")
+    marked = latest.join(removing, "op_key", "left").withColumn("is_removal", F.coalesce("is_removal", F.lit(False)))
     holds_object = ~F.col("is_removal") & F.col("value").rlike(r"^\s*\{")
     opened = marked.withColumn("leaves", _flattened(F.when(holds_object, F.col("value"))))
     resets = F.col("is_removal") | F.col("leaves").isNotNull()
@@ -115,6 +118,8 @@ def apply_changes(changes: DataFrame, canonical_values: DataFrame, base: DataFra
     log = opened.select("chat_id", "subject", "change_seq", F.inline(entries))
 
     bounds: list[int] = []
+    if batches is None:
+        batches = max(2, -(-changes.count() // BATCH_ROWS))  # counted from the files' footers
     if batches > 1:  # a handful of split points, whatever the input's size
         found = changes.where("change_seq is not null").agg(F.percentile_approx("change_seq", [k / batches for k in range(1, batches)], 1000).alias("q")).first()
         bounds = sorted(set(found["q"] or []))
@@ -128,9 +133,11 @@ def apply_changes(changes: DataFrame, canonical_values: DataFrame, base: DataFra
         part = per_path.where(F.col("batch") == k)
         own_tombs = part.where("tomb_seq is not null").select("chat_id", "subject", "path", "tomb_seq")
         candidates = part.where("image is not null").select("chat_id", "subject", "path", F.col("image.change_seq").alias("seq"), F.col("image.value").alias("value"))
-        live = _unresolved(candidates, own_tombs, None)
-        if resolved is not None:
-            live = _unresolved(live, resolved.where("tomb").select("chat_id", "subject", "path", F.lit(None).cast("long").alias("tomb_seq")), resolved.where("not tomb"))
+        if resolved is None:
+            live = _unresolved(candidates, own_tombs, None)
+        else:  # tombstones of newer batches lie behind every change of this one
+            newer = resolved.where("tomb").select("chat_id", "subject", "path", F.lit(None).cast("long").alias("tomb_seq"))
+            live = _unresolved(candidates, own_tombs.unionByName(newer), resolved.where("not tomb"))
         seen = live.select("chat_id", "subject", "path", "value", F.lit(False).alias("tomb")).unionByName(
             own_tombs.select("chat_id", "subject", "path", F.lit(None).cast("string").alias("value"), F.lit(True).alias("tomb"))
         )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import fingerprint, normalize_alias
+from ..functions.runtime import small
 from ..functions.vocabulary import DOMAINS, EVIDENCE, SALIENCE, TERMS
 from ..functions.vocabulary import COMMITMENT_TRANSITIONS as TRANSITIONS
 from ..functions.vocabulary import aliases as term_aliases
@@ -13,7 +14,7 @@ from ..operators import entities as E
 from ..operators import extraction as X
 from ..operators import store as S
 from ..operators import validation as V
-from ..operators.changefeed import operation_key, removing_spellings
+from ..operators.changefeed import MOST_SPELLINGS, operation_key, removing_spellings
 from ..sources import table
 from .common import SQL_MESSAGES, SQL_POLICY, SQL_SEGMENTS, messages, segments, sql
 from .history import _FOREGROUND, foreground_summary
@@ -197,7 +198,7 @@ def attempt_journal(spark: SparkSession, d: str) -> DataFrame:
 def kv_last_writes(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "state_changes").where("subject is not null and path is not null")
     removing = removing_spellings(table(spark, d, "canonical_values")).withColumn("deleted", F.lit(True))
-    marked = t.withColumn("op_key", operation_key(F.coalesce("operation", F.lit("")))).join(F.broadcast(removing), "op_key", "left")
+    marked = t.withColumn("op_key", operation_key(F.coalesce("operation", F.lit("")))).join(small(removing, MOST_SPELLINGS, "spellings of removals"), "op_key", "left")
     return S.last_writes(marked.select("chat_id", "subject", "path", "change_id", "value", F.coalesce("deleted", F.lit(False)).alias("deleted")), ["chat_id", "subject", "path"], "change_id", "value", "deleted")
 
 

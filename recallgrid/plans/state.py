@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.runtime import cut
 from ..functions.vocabulary import COMMITMENT_TRANSITIONS as TRANSITIONS
 from ..operators import state as S
 from ..operators.changefeed import apply_changes, normal_path, operation_key
@@ -42,9 +43,14 @@ def relationships(spark: SparkSession, d: str) -> DataFrame:
     return S.relationships(rows).select("chat_id", "pair", "dimension", F.array_join("values", ";", "-").alias("value_list"))
 
 
-def _commitments(spark: SparkSession, d: str) -> DataFrame:
+def _told(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of commitments that name a transition, with the id of the commitment they are about."""
     rows = table(spark, d, "commitments").where(F.col("transition").isin(*TRANSITIONS))
-    return S.commitments(rows.select("chat_id", F.col("commitment_row_id").alias("seq"), "actor", "toward", "content", "transition", "evidence"))
+    return rows.select("chat_id", "segment_id", F.col("commitment_row_id").alias("seq"), "actor", "toward", "content", "transition", "evidence", S.commitment_id(F.col("actor"), F.col("toward"), F.col("content")).alias("id"))
+
+
+def _commitments(spark: SparkSession, d: str, told: DataFrame | None = None) -> DataFrame:
+    return S.commitments((_told(spark, d) if told is None else told).drop("segment_id"))
 
 
 def commitments(spark: SparkSession, d: str) -> DataFrame:
@@ -73,36 +79,36 @@ def segment_ordinals(spark: SparkSession, d: str) -> DataFrame:
     return S.segment_ordinals(segments(spark, d))
 
 
-def _touches(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "commitments").where(F.col("transition").isin(*TRANSITIONS))
-    return rows.select("chat_id", "segment_id", F.lit("commitment").alias("kind"), S.commitment_id(F.col("actor"), F.col("toward"), F.col("content")).alias("key"))
+def _touches(told: DataFrame) -> DataFrame:
+    return told.select("chat_id", "segment_id", F.lit("commitment").alias("kind"), F.col("id").alias("key"))
 
 
 def provenance(spark: SparkSession, d: str) -> DataFrame:
-    return S.provenance(_touches(spark, d), segment_ordinals(spark, d))
+    return S.provenance(_touches(_told(spark, d)), segment_ordinals(spark, d))
 
 
-def _aged(spark: SparkSession, d: str) -> DataFrame:
-    return S.commitment_ageout(_commitments(spark, d), provenance(spark, d), segment_ordinals(spark, d), 8)
+def _aged(spark: SparkSession, d: str, told: DataFrame | None = None, ordinals: DataFrame | None = None) -> DataFrame:
+    told = _told(spark, d) if told is None else told
+    ordinals = segment_ordinals(spark, d) if ordinals is None else ordinals
+    return S.commitment_ageout(_commitments(spark, d, told), S.provenance(_touches(told), ordinals), ordinals, 8)
 
 
 def commitment_ageout(spark: SparkSession, d: str) -> DataFrame:
     return _aged(spark, d).select("chat_id", "commitment_id", "status", "age_segments", "aged_out")
 
 
-def _origins(spark: SparkSession, d: str, negatives: DataFrame) -> DataFrame:
+def _origins(spark: SparkSession, d: str, negatives: DataFrame, told: DataFrame, ordinals: DataFrame) -> DataFrame:
     """Provenance of the state items of all kinds."""
     bonds = table(spark, d, "relationship_changes").where("participants is not null and dimension is not null")
-    told = table(spark, d, "commitments").where(F.col("transition").isin(*TRANSITIONS))
     moves = table(spark, d, "state_changes").where("subject is not null").withColumn("path", normal_path(F.col("path"))).where("path is not null")
     thread = F.col("path").rlike(r"^localThreads\.[^.]+$") & F.col("value").isNotNull() & ~F.col("value").startswith("{")
-    touches = _touches(spark, d)
+    touches = _touches(told)
     for kind, rows, key in (
         ("relationship", bonds, F.array_join(F.array_sort("participants"), "|")), ("character", bonds, F.explode("participants")), ("character", moves, F.col("subject")), ("character", told, F.col("actor")), ("character", told, F.col("toward")),
         ("thread", moves.where(thread), F.element_at(F.split("path", r"\."), 2)), ("world_fact", table(spark, d, "temporal_marks").where("description is not null"), F.col("description")), ("salient_negative", negatives, F.col("key")),
     ):
         touches = touches.unionByName(rows.select("chat_id", "segment_id", F.lit(kind).alias("kind"), key.alias("key")))
-    return S.provenance(touches.where("key is not null"), segment_ordinals(spark, d))
+    return S.provenance(touches.where("key is not null"), ordinals)
 
 
 def _characters(spark: SparkSession, d: str, aged: DataFrame) -> DataFrame:
@@ -134,11 +140,12 @@ def _negatives(spark: SparkSession, d: str, last: int = 6) -> DataFrame:
 
 def state_projection(spark: SparkSession, d: str) -> DataFrame:
     """All state items of a chat, ranked. The tables hold no observations told by the narrator only, so of the kinds of `PRIORITY` narrator_fact has no rows."""
-    aged = _aged(spark, d)
+    told, ordinals = cut(_told(spark, d)), cut(segment_ordinals(spark, d))  # each used several times
+    aged = cut(_aged(spark, d, told, ordinals))
     open_ones = aged.where(F.col("status").isin(*S.OPEN_COMMITMENTS) & ~F.col("aged_out"))
     text = F.concat(F.lit("Commitment ("), "status", F.lit("): "), "actor", F.coalesce(F.concat(F.lit(" to "), "toward"), F.lit("")), F.lit(" — "), "content")
     bonds = relationships(spark, d).groupBy("chat_id", F.col("pair").alias("key")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "dimension", "value_list"))), "; ").alias("dims"))
-    negatives = _negatives(spark, d)
+    negatives = cut(_negatives(spark, d))
     parts = {
         "commitment": open_ones.select("chat_id", F.col("commitment_id").alias("key"), text.alias("text")),
         "relationship": bonds.select("chat_id", "key", F.concat(F.lit("Relationship "), F.regexp_replace("key", r"\|", " ↔ "), F.lit(": "), "dims").alias("text")),
@@ -147,7 +154,7 @@ def state_projection(spark: SparkSession, d: str) -> DataFrame:
         "world_fact": world_facts(spark, d).select("chat_id", F.col("fact").alias("key"), F.concat(F.lit("World fact: "), "fact").alias("text")),
         "salient_negative": negatives.select("chat_id", "key", "text"),
     }
-    return S.state_items(parts, _origins(spark, d, negatives)).select("chat_id", "kind", "key", "text", "priority", "place")
+    return S.state_items(parts, _origins(spark, d, negatives, told, ordinals)).select("chat_id", "kind", "key", "text", "priority", "place")
 
 
 def checkpoints(spark: SparkSession, d: str) -> DataFrame:
