@@ -10,11 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import search_tokens
+from ..functions.runtime import spread
 from ..functions.vocabulary import STOP_WORDS
 
 K1, B = 1.2, 0.75
 #: Vectors of the queries that one task compares at once.
 QUERY_BLOCK = 512
+#: Numbers that a query set held by every task has at most (64 MB); larger sets meet the vectors block by block.
+MOST_QUERY_CELLS = 8_000_000
+#: Postings of a term that one join key holds at most.
+HOT_TERM = 1_000_000
 
 
 def postings(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -36,17 +41,23 @@ def query_terms(queries: DataFrame, text: str = "text", most: int = 32) -> DataF
     return counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("query_id", "term", "place")
 
 
-def bm25(index: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
+def bm25(index: DataFrame, stats: DataFrame, terms: DataFrame, within: str | None = None) -> DataFrame:
     """query_id, doc_id, score, matched: BM25 of every document that shares a term with a query. k1 = 1.2, b = 0.75.
 
-    Terms meet postings by the term. A term most documents hold is a long list; its postings are spread by document before the join, the terms repeated to them, where AQE finds it skewed.
+    With `within`, a column of the index and of the terms, only documents of the query's own group are met; the statistics stay those of all documents.
+    Terms meet postings by the term (and group). A term of more than HOT_TERM postings is spread: its postings by document over as many parts as that takes, its queries repeated to them.
     """
     totals = stats.agg(F.count("*").alias("n_docs"), F.greatest(F.lit(1.0), F.avg("length")).alias("avg_length"))
+    keys = ["term", *([within] if within else [])]
     df = index.groupBy("term").agg(F.count("*").alias("df"))
-    wanted = terms.select("query_id", "term").distinct().join(df, "term").crossJoin(F.broadcast(totals))  # totals: one row
+    wanted = terms.select("query_id", *keys).distinct().join(df, "term").crossJoin(F.broadcast(totals))  # totals: one row
     idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = wanted.select("query_id", "term", idf.alias("idf"), "avg_length")
-    hits = index.join(weighted, "term").join(stats, "doc_id")
+    parts = F.ceil(F.col("df") / HOT_TERM).cast("bigint")
+    weighted = wanted.select("query_id", *keys, idf.alias("idf"), "avg_length", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
+    # only terms that are asked for: the rest of the index isn't moved
+    asked = wanted.select("term", parts.alias("parts")).distinct()
+    spread_ = index.join(asked, "term").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts")).drop("parts")
+    hits = spread_.join(weighted, [*keys, "part"]).join(stats, "doc_id")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
 
@@ -79,50 +90,131 @@ def _unit(vectors: list[list[float]], width: int) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+class _Best:
+    """The k best vectors of every query seen so far in a task, ties at the end included."""
+
+    def __init__(self, ids: list, vectors: np.ndarray, k: int) -> None:
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.score = [np.empty(0)] * len(ids)
+        self.found: list[np.ndarray] = [np.empty(0, object)] * len(ids)
+        self.floor = np.zeros(len(ids))
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        scores = self.vectors @ vectors.T
+        for i in np.flatnonzero((scores > self.floor[:, None]).any(axis=1)):
+            s = np.concatenate([self.score[i], scores[i][scores[i] > self.floor[i]]])
+            d = np.concatenate([self.found[i], ids[scores[i] > self.floor[i]]])
+            keep = d != self.ids[i]
+            s, d = s[keep], d[keep]
+            if len(s) > self.k:
+                least = np.partition(s, -self.k)[-self.k] - 1e-8
+                s, d = s[s >= least], d[s >= least]
+                self.floor[i] = max(0.0, least - 1e-8)
+            self.score[i], self.found[i] = s, d
+
+
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, most_cells: int = MOST_QUERY_CELLS) -> DataFrame:
     """query_id, doc_id, score, place: the k vectors nearest each query by cosine, itself left out, those at or below 0 too.
 
-    vectors: doc_id, embedding; queries: query_id, embedding (an id of the same kind). Both are packed into rows of some hundred vectors; every block of the query set meets
-    every block of the vectors in one matrix product, which keeps the block's k best for each query, and those are ranked.
+    vectors: doc_id, embedding; queries: query_id, embedding (an id of the same kind). A query set of at most `most_cells` numbers, which are counted, is handed to all tasks; the vectors stream past it in one pass
+    without a shuffle and each task keeps its k best for each query. A larger set is packed into blocks, and so are the vectors; every block of one meets every block of the other in a matrix product. Both ways are exact.
     Null and empty vectors are near nothing, nor are vectors of another length.
     """
     kind = dict(vectors.dtypes)["doc_id"]
-    asked = _packed(queries, "query_id", QUERY_BLOCK).select(F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
+    schema = f"query_id {kind}, doc_id {kind}, score double"
+    asked = queries.where(F.size("embedding") > 0).select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    cells = asked.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("n")).first()["n"]
+    if cells <= most_cells:
+        by_width: dict[int, list] = {}
+        for r in asked.collect():  # as many numbers as were counted
+            by_width.setdefault(len(r["embedding"]), []).append((r["query_id"], r["embedding"]))
+        held = vectors.sparkSession.sparkContext.broadcast({w: ([r[0] for r in rows], _unit([r[1] for r in rows], w)) for w, rows in by_width.items()})
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = {w: _Best(ids, m, k) for w, (ids, m) in held.value.items()}
+            for batch in batches:
+                rows = [(i, v) for i, v in zip(batch.column("doc_id").to_pylist(), batch.column("embedding").to_pylist()) if v]
+                for w, b in best.items():
+                    own = [r for r in rows if len(r[1]) == w]
+                    for at in range(0, len(own), 4 * QUERY_BLOCK):
+                        part = own[at : at + 4 * QUERY_BLOCK]
+                        b.add(np.array([r[0] for r in part], object), _unit([r[1] for r in part], w))
+            for b in best.values():
+                for query, s, d in zip(b.ids, b.score, b.found):
+                    if len(s):
+                        yield pa.RecordBatch.from_pydict({"query_id": [query] * len(s), "doc_id": d.tolist(), "score": s.tolist()})
+
+        slim = spread(vectors.select("doc_id", "embedding"))
+        return top_k(slim.mapInArrow(stream, schema), k)
+    asked_blocks = _packed(queries, "query_id", QUERY_BLOCK).select(F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
     data = _packed(vectors, "doc_id", 4 * QUERY_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                width = len(row["q_vs"][0])
-                q, d = _unit(row["q_vs"], width), _unit(row["vs"], width)
-                scores, ids, out = q @ d.T, np.array(row["ids"], object), []
-                for i, query in enumerate(row["q_ids"]):
-                    s = scores[i]
-                    floor = np.partition(s, -(k + 1))[-(k + 1)] - 1e-8 if len(s) > k + 1 else -1.0
-                    out += [(query, ids[j], float(s[j])) for j in np.flatnonzero((s >= floor) & (s > 0)) if ids[j] != query]
-                yield pa.RecordBatch.from_pydict({"query_id": [o[0] for o in out], "doc_id": [o[1] for o in out], "score": [o[2] for o in out]})
+                widths = {len(v) for v in row["q_vs"]}
+                for w in widths:
+                    asked_ = [(i, v) for i, v in zip(row["q_ids"], row["q_vs"]) if len(v) == w]
+                    b = _Best([a[0] for a in asked_], _unit([a[1] for a in asked_], w), k)
+                    own = [(i, v) for i, v in zip(row["ids"], row["vs"]) if len(v) == w]
+                    if own:
+                        b.add(np.array([o[0] for o in own], object), _unit([o[1] for o in own], w))
+                    for query, s, d in zip(b.ids, b.score, b.found):
+                        if len(s):
+                            yield pa.RecordBatch.from_pydict({"query_id": [query] * len(s), "doc_id": d.tolist(), "score": s.tolist()})
+
+    return top_k(data.crossJoin(asked_blocks).mapInArrow(run, schema), k)
+
+
+def cosine_within(vectors: DataFrame, queries: DataFrame, group: str) -> DataFrame:
+    """query_id, doc_id, score: the cosine of each query with every vector of its group, those above 0. Blocks of a group's vectors meet blocks of its queries.
+
+    vectors: doc_id, `group`, embedding; queries: query_id, `group`, embedding.
+    """
+    kind = dict(vectors.dtypes)["doc_id"]
+
+    def packed(rows: DataFrame, id_: str, size: int) -> DataFrame:
+        counts = rows.groupBy(group).agg(F.ceil(F.count("*") / size).cast("bigint").alias("parts"))
+        pairs = F.collect_list(F.struct(F.col(id_).alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v")))
+        return rows.where(F.size("embedding") > 0).join(counts, group).groupBy(group, F.pmod(F.xxhash64(id_), "parts").alias("part")).agg(pairs.alias("pairs")).select(group, F.col("pairs.id").alias(f"{id_}s"), F.col("pairs.v").alias(f"{id_}_v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                width = len(row["query_id_v"][0])
+                scores = _unit(row["query_id_v"], width) @ _unit(row["doc_id_v"], width).T
+                at, to = np.nonzero(scores > 0)
+                yield pa.RecordBatch.from_pydict({"query_id": [row["query_ids"][i] for i in at], "doc_id": [row["doc_ids"][j] for j in to], "score": scores[at, to].tolist()})
 
-    best = data.crossJoin(asked).mapInArrow(run, f"query_id {kind}, doc_id {kind}, score double")
-    return top_k(best, k)
+    met = packed(vectors, "doc_id", 2 * QUERY_BLOCK).join(packed(queries, "query_id", QUERY_BLOCK), group)
+    return met.mapInArrow(run, f"query_id {kind}, doc_id {kind}, score double")
 
 
-def hybrid_top_k(artifacts: DataFrame, lexical: DataFrame, semantic: DataFrame | None, boosts: DataFrame | None, k: int, semantic_weight: float = 0.75, recency_weight: float = 0.15, half_life: int = 200) -> DataFrame:
+def hybrid_top_k(documents: DataFrame, queries: DataFrame, lexical: DataFrame, semantic: DataFrame | None, boosts: DataFrame | None, k: int, semantic_weight: float = 0.75, recency_weight: float = 0.15, half_life: int = 200, group: str = "chat_id") -> DataFrame:
     """query_id, doc_id, lexical, semantic, boost, recency, score, place: the k best candidates of each query.
 
-    artifacts: query_id, doc_id, last_index: the candidates. lexical, semantic: query_id, doc_id, score; boosts: query_id, doc_id, boost. A candidate
-    without any of these has no score. Recency counts the messages behind the newest candidate of the query.
+    documents: doc_id, `group`, last_index; queries: query_id, `group`. A query's candidates are the other documents of its group. lexical, semantic: query_id, doc_id, score; boosts: query_id, doc_id, boost. A
+    candidate without any of these has no score, so the ranking starts from what they found and never lists all candidates. Recency counts the messages behind the newest candidate of the query.
     """
     keys = ["query_id", "doc_id"]
-    rows = artifacts.join(lexical.select(*keys, F.col("score").alias("lexical")), keys, "left")
-    rows = rows.join(semantic.select(*keys, F.greatest(F.lit(0.0), "score").alias("semantic")), keys, "left") if semantic is not None else rows.withColumn("semantic", F.lit(0.0))
-    rows = rows.join(boosts.select(*keys, "boost"), keys, "left") if boosts is not None else rows.withColumn("boost", F.lit(0.0))
-    newest = artifacts.groupBy("query_id").agg(F.max("last_index").alias("newest"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    base = zero(F.col("lexical")) + zero(F.col("semantic")) * semantic_weight + zero(F.col("boost"))
+    zero = F.lit(0.0)
+    found = lexical.select(*keys, F.col("score").alias("lexical"), zero.alias("semantic"), zero.alias("boost"))
+    if semantic is not None:
+        found = found.unionByName(semantic.select(*keys, zero.alias("lexical"), F.greatest(zero, "score").alias("semantic"), zero.alias("boost")))
+    if boosts is not None:
+        found = found.unionByName(boosts.select(*keys, zero.alias("lexical"), zero.alias("semantic"), F.col("boost").cast("double").alias("boost")))
+    own = queries.select("query_id", group)
+    placed = found.where("query_id <> doc_id").join(own, "query_id").join(documents.select("doc_id", group, "last_index"), ["doc_id", group])
+    rows = placed.groupBy(*keys, group).agg(F.max("last_index").alias("last_index"), *(F.sum(c).alias(c) for c in ("lexical", "semantic", "boost")))
+    # the newest other document: the newest of the group, or the one before where that is the query itself
+    first = documents.groupBy(group).agg(F.max(F.struct("last_index", "doc_id")).alias("top"))
+    second = documents.join(first, group).where(F.col("doc_id") != F.col("top.doc_id")).groupBy(group).agg(F.max("last_index").alias("next"))
+    newest = own.join(first, group).join(second, group, "left").select("query_id", F.when(F.col("top.doc_id") == F.col("query_id"), F.col("next")).otherwise(F.col("top.last_index")).alias("newest"))
+    base = F.col("lexical") + F.col("semantic") * semantic_weight + F.col("boost")
     aged = rows.join(newest, "query_id").withColumn("base", base).where("base > 0")
     recency = F.lit(1.0) / (1 + (F.col("newest") - F.col("last_index")) / max(1, half_life))
-    scored = aged.withColumn("recency", F.coalesce(recency, F.lit(0.0))).withColumn("score", F.col("base") + F.col("recency") * recency_weight)
-    return top_k(scored.select(*keys, zero(F.col("lexical")).alias("lexical"), zero(F.col("semantic")).alias("semantic"), zero(F.col("boost")).alias("boost"), "recency", "score"), k)
+    scored = aged.withColumn("recency", F.coalesce(recency, zero)).withColumn("score", F.col("base") + F.col("recency") * recency_weight)
+    return top_k(scored.select(*keys, "lexical", "semantic", "boost", "recency", "score"), k)
 
 
 def keys_of_documents(documents: DataFrame, families: dict[str, DataFrame]) -> DataFrame:
@@ -134,8 +226,8 @@ def keys_of_documents(documents: DataFrame, families: dict[str, DataFrame]) -> D
     return rows.distinct().join(documents.select("doc_id", "segment_id"), "segment_id").select("doc_id", "kind", "key")
 
 
-def key_boosts(document_keys: DataFrame, query_keys: DataFrame, exact_boost: float = 2.0) -> DataFrame:
-    """query_id, doc_id, boost: matches of keys. *_keys: doc_id or query_id, kind, key; distinct.
+def key_boosts(document_keys: DataFrame, query_keys: DataFrame, exact_boost: float = 2.0, within: str | None = None) -> DataFrame:
+    """query_id, doc_id, boost: matches of keys. *_keys: doc_id or query_id, kind, key; distinct. With `within`, a column of both, only keys of the same group meet.
 
     Threads and commitments count `exact_boost` a match, entities and registers 0.75 of it, the active speaker 0.5, participants 0.25.
     """
@@ -144,8 +236,9 @@ def key_boosts(document_keys: DataFrame, query_keys: DataFrame, exact_boost: flo
     for kind, x in weight.items():
         w = F.when(F.col("kind") == kind, F.lit(exact_boost * x)).otherwise(w)
     of = F.when(F.col("kind").isin("speaker", "participant"), "entity").otherwise(F.col("kind"))
-    asked = query_keys.select("query_id", "kind", of.alias("doc_kind"), "key")
-    found = document_keys.select("doc_id", F.col("kind").alias("doc_kind"), "key").join(asked, ["doc_kind", "key"])
+    group = [within] if within else []
+    asked = query_keys.select("query_id", "kind", of.alias("doc_kind"), "key", *group)
+    found = document_keys.select("doc_id", F.col("kind").alias("doc_kind"), "key", *group).join(asked, ["doc_kind", "key", *group])
     return found.groupBy("query_id", "doc_id").agg(F.sum(w).alias("boost"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.runtime import cut
 from ..functions.vocabulary import STOP_WORDS
 from ..operators import registers as G
 from ..operators import retrieval as R
@@ -77,9 +78,14 @@ def query_terms(spark: SparkSession, d: str) -> DataFrame:
     return R.query_terms(_queries(spark, d))
 
 
-def _bm25(spark: SparkSession, d: str) -> DataFrame:
+def _bm25(spark: SparkSession, d: str, within: str | None = None) -> DataFrame:
+    """BM25 of the queries' words, over all documents or those of the query's group."""
     c = _corpus(spark, d)
-    return R.bm25(R.postings(c), R.document_stats(c), query_terms(spark, d))
+    index, terms = cut(R.postings(c)), query_terms(spark, d)  # the index is written once: counted, and met by the queries' terms
+    if within:
+        index = index.join(c.select("doc_id", within), "doc_id")
+        terms = terms.join(c.select(F.col("doc_id").alias("query_id"), within), "query_id")
+    return R.bm25(index, R.document_stats(c), terms, within)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -92,19 +98,33 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.cosine_top_k(e, q, TOP).select("query_id", "doc_id", F.round("score", 6).alias("score"), "place")
 
 
-def _entity_keys(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "entity_mentions").where("proposed_entity_id is not null").select("segment_id", F.col("proposed_entity_id").alias("key")).distinct()
-    return t.join(_corpus(spark, d).select("segment_id", "doc_id"), "segment_id").select("doc_id", F.lit("entity").alias("kind"), "key")
+def _found_by(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """What segments are found by besides their words, by kind: segment_id, key."""
+    return {
+        "entity": table(spark, d, "entity_mentions").select("segment_id", F.col("proposed_entity_id").alias("key")),
+        "commitment": table(spark, d, "commitments").select("segment_id", commitment_id(F.col("actor"), F.col("toward"), F.col("content")).alias("key")),
+        "relationship": table(spark, d, "relationship_changes").where("participants is not null").select("segment_id", F.array_join(F.array_sort("participants"), "|").alias("key")),
+        "thread": table(spark, d, "state_changes").where(F.col("path").startswith("localThreads.")).select("segment_id", F.element_at(F.split("path", r"\."), 2).alias("key")),
+        "temporal": table(spark, d, "temporal_marks").select("segment_id", F.lower("description").alias("key")),
+    }
 
 
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Older segments of the query's chat, by words and by the entities they share."""
-    keys = _entity_keys(spark, d)
-    q = _queries(spark, d)
-    candidates = q.select("query_id", "chat_id").join(_corpus(spark, d).select("doc_id", "chat_id", "last_index"), "chat_id").where("doc_id <> query_id").select("query_id", "doc_id", "last_index")
-    asked = keys.join(q.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "kind", "key")
-    out = R.hybrid_top_k(candidates, _bm25(spark, d), None, R.key_boosts(keys, asked), 8)
-    return out.select("query_id", "doc_id", F.round("lexical", 6).alias("lexical"), "boost", F.round("recency", 6).alias("recency"), F.round("score", 6).alias("score"), "place")
+    """The other segments of the query's chat, by words, vectors and what both are about.
+
+    Boosts: entities, threads and commitments of the query's segment, and those who took part in its events. A segment has the vector whose id is its row id, if there is one.
+    """
+    c, families = _corpus(spark, d), _found_by(spark, d)
+    keys = cut(R.keys_of_documents(c, {k: families[k] for k in ("entity", "thread", "commitment")}).join(c.select("doc_id", "chat_id"), "doc_id"))
+    q = _queries(spark, d).select("query_id", "chat_id")
+    asked = keys.join(q.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
+    took_part = table(spark, d, "episode_events").select("segment_id", F.explode("participants").alias("key"))
+    present = R.keys_of_documents(c, {"participant": took_part}).join(q.select(F.col("query_id").alias("doc_id"), "chat_id"), "doc_id").withColumnRenamed("doc_id", "query_id")
+    boosts = R.key_boosts(keys, asked.unionByName(present), within="chat_id")
+    vectors = c.select("doc_id", "chat_id").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    semantic = R.cosine_within(vectors, vectors.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), "chat_id")
+    out = R.hybrid_top_k(c.select("doc_id", "chat_id", "last_index"), q, _bm25(spark, d, "chat_id"), semantic, boosts, 8)
+    return out.select("query_id", "doc_id", F.round("lexical", 6).alias("lexical"), F.round("semantic", 6).alias("semantic"), "boost", F.round("recency", 6).alias("recency"), F.round("score", 6).alias("score"), "place")
 
 
 def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -117,14 +137,7 @@ def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
 
 def document_keys(spark: SparkSession, d: str) -> DataFrame:
     """Lookup by entity, commitment, relationship, thread and time: how many documents hold each key."""
-    families = {
-        "entity": table(spark, d, "entity_mentions").select("segment_id", F.col("proposed_entity_id").alias("key")),
-        "commitment": table(spark, d, "commitments").select("segment_id", commitment_id(F.col("actor"), F.col("toward"), F.col("content")).alias("key")),
-        "relationship": table(spark, d, "relationship_changes").where("participants is not null").select("segment_id", F.array_join(F.array_sort("participants"), "|").alias("key")),
-        "thread": table(spark, d, "state_changes").where(F.col("path").startswith("localThreads.")).select("segment_id", F.element_at(F.split("path", r"\."), 2).alias("key")),
-        "temporal": table(spark, d, "temporal_marks").select("segment_id", F.lower("description").alias("key")),
-    }
-    return R.keys_of_documents(_corpus(spark, d), families).groupBy("kind", "key").agg(F.count("*").alias("n_documents"))
+    return R.keys_of_documents(_corpus(spark, d), _found_by(spark, d)).groupBy("kind", "key").agg(F.count("*").alias("n_documents"))
 
 
 _RESULTS = """
@@ -169,15 +182,21 @@ SQL = {
     "bm25_topk": sql(SQL_SEGMENTS, _CORPUS, _TERMS, _BM25, select=f"select query_id, doc_id, round(score, 6) as score, matched, place::int as place from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as place from bm) where place <= {TOP}"),
     "cosine_topk": sql(_COSINE, select="select query_id, doc_id, score, place::int as place from cs"),
     "hybrid_topk": sql(
-        SQL_SEGMENTS, _CORPUS, _TERMS, _BM25, _KEYS,
-        select="""select query_id, doc_id, round(lexical, 6) as lexical, boost, round(recency, 6) as recency, round(score, 6) as score, place::int as place from (
+        SQL_SEGMENTS, _CORPUS, _TERMS, _BM25,
+        f"""dk as (select doc_id, kind, key from (
+          select segment_id, 'entity' as kind, proposed_entity_id as key from entity_mentions union select segment_id, 'commitment', 'commit_' || {_HEX.format('h')} from (select *, {_FNV.format(_PROMISE)} as h from commitments)
+          union select segment_id, 'thread', split_part(path, '.', 2) from state_changes where path like 'localThreads.%') join co using (segment_id) where key is not null),
+        pk as (select distinct doc_id, key from (select segment_id, unnest(participants) as key from episode_events) join co using (segment_id) where key is not null)""",
+        select="""select query_id, doc_id, round(lexical, 6) as lexical, round(semantic, 6) as semantic, boost, round(recency, 6) as recency, round(score, 6) as score, place::int as place from (
           select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as place from (
-            select *, lexical + boost + 0.15 * recency as score from (
-              select c.query_id, c.doc_id, coalesce(bm.score, 0) as lexical, coalesce(k.boost, 0)::double as boost, 1 / (1 + (max(c.last_index) over (partition by c.query_id) - c.last_index) / 200) as recency
+            select *, lexical + 0.75::double * semantic + boost + 0.15::double * recency as score from (
+              select c.query_id, c.doc_id, coalesce(bm.score, 0) as lexical, greatest(0, coalesce(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 0)) as semantic,
+                (coalesce(k.boost, 0) + coalesce(p.boost, 0))::double as boost, 1 / (1 + (max(c.last_index) over (partition by c.query_id) - c.last_index) / 200) as recency
               from (select q.doc_id as query_id, e.doc_id, e.last_index from co q join co e on e.chat_id = q.chat_id and e.doc_id <> q.doc_id where q.doc_id % 50 = 0) c
-              left join bm using (query_id, doc_id)
-              left join (select a.doc_id as query_id, b.doc_id, count(*) * 1.5::double as boost from ek a join ek b using (key) where a.doc_id % 50 = 0 group by all) k using (query_id, doc_id))
-            where lexical + boost > 0)) where place <= 8""",
+              left join bm using (query_id, doc_id) left join embeddings a on a.vec_id = c.query_id left join embeddings b on b.vec_id = c.doc_id
+              left join (select a.doc_id as query_id, b.doc_id, sum(case when kind = 'entity' then 1.5::double else 2 end) as boost from dk a join dk b using (kind, key) where a.doc_id % 50 = 0 group by all) k using (query_id, doc_id)
+              left join (select a.doc_id as query_id, b.doc_id, count(*) * 0.5::double as boost from pk a join dk b using (key) where b.kind = 'entity' and a.doc_id % 50 = 0 group by all) p using (query_id, doc_id))
+            where lexical + semantic + boost > 0)) where place <= 8""",
     ),
     "retrieval_quality": sql(_COSINE, select=f"""select {TOP} as k, count(*) as n_queries, round(avg(case when expected > 0 then hits / expected else 1 end), 6) as recall_at_k, round(avg(case when returned > 0 then hits / returned else 0 end), 6) as precision_at_k, round(avg(coalesce(1 / first, 0)), 6) as mrr from (
         select q.vec_id, (select count(*) from embeddings e where e.label = q.label and e.vec_id <> q.vec_id) as expected, count(cs.doc_id) as returned, count(cs.doc_id) filter (e.label = q.label) as hits, min(place) filter (e.label = q.label) as first

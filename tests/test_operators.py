@@ -102,9 +102,11 @@ def test_cosine_blocks_equal_brute_force(spark, monkeypatch):
     r = random.Random(1)
     v = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(60)] + [(60, None), (61, []), (62, [0.0] * 8), (63, [1.0])]
     df = spark.createDataFrame(v, "doc_id bigint, embedding array<double>")
-    got = {}
-    for row in R.cosine_top_k(df, df.where("doc_id % 5 = 0 and doc_id < 60").withColumnRenamed("doc_id", "query_id"), 4).collect():
+    asked, got = df.where("doc_id % 5 = 0 and doc_id < 60").withColumnRenamed("doc_id", "query_id"), {}
+    blocks = sorted(tuple(r) for r in R.cosine_top_k(df, asked, 4, most_cells=0).collect())
+    for row in R.cosine_top_k(df, asked, 4).collect():
         got.setdefault(row["query_id"], []).append((row["place"], row["doc_id"], row["score"]))
+    assert [(q, d, p) for q, d, _, p in blocks] == sorted((q, d, p) for q, rows in got.items() for p, d, _ in rows)
     cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5)
     for q in range(0, 60, 5):
         want = sorted(((-cos(v[q][1], v[d][1]), d) for d in range(60) if d != q))[:4]
@@ -113,6 +115,31 @@ def test_cosine_blocks_equal_brute_force(spark, monkeypatch):
     assert [round(x[0], 6) for x in pair.select(R.cosine(F.col("a"), F.col("b"))).collect()] == [0.707107, 0, 0, 0]
 
 
+def test_hybrid_ranking_prefers_an_exact_old_thread(spark):
+    docs = spark.createDataFrame([(1, "c", 10), (2, "c", 900), (3, "c", 1000), (4, "d", 5)], "doc_id bigint, chat_id string, last_index int")
+    queries = spark.createDataFrame([(3, "c")], "query_id bigint, chat_id string")
+    lexical = spark.createDataFrame([(3, 2, 0.3), (3, 3, 9.0), (3, 4, 9.0)], "query_id bigint, doc_id bigint, score double")
+    keys = spark.createDataFrame([(1, "thread", "t"), (2, "entity", "e"), (4, "thread", "t")], "doc_id bigint, kind string, key string")
+    boosts = R.key_boosts(keys, spark.createDataFrame([(3, "thread", "t"), (3, "speaker", "e"), (3, "participant", "e")], "query_id bigint, kind string, key string"))
+    assert {(r["doc_id"], r["boost"]) for r in boosts.collect()} == {(1, 2.0), (2, 1.5), (4, 2.0)}
+    got = R.hybrid_top_k(docs, queries, lexical, None, boosts.where("doc_id <> 2"), 5, recency_weight=0.5).orderBy("place").collect()
+    assert [r["doc_id"] for r in got] == [1, 2] and got[1]["recency"] == 1.0
+    vectors = spark.createDataFrame([(1, "c", [1.0, 0.0]), (2, "c", [0.0, 1.0]), (3, "c", [0.0, 2.0]), (4, "d", [0.0, 1.0])], "doc_id bigint, chat_id string, embedding array<double>")
+    near = R.cosine_within(vectors, vectors.where("doc_id = 3").withColumnRenamed("doc_id", "query_id"), "chat_id")
+    assert {(r["doc_id"], round(r["score"], 9)) for r in near.collect()} == {(2, 1.0), (3, 1.0)}
+    got = R.hybrid_top_k(docs, queries, lexical, near, None, 5).collect()
+    assert [(r["doc_id"], round(r["semantic"], 9)) for r in got] == [(2, 1.0)]
+
+
+def test_hot_terms_are_spread(spark, as_rows, monkeypatch):
+    docs = spark.createDataFrame([(i, "harbour " + "x" * (i % 7) + f" w{i % 3}") for i in range(50)], "doc_id bigint, text string")
+    terms = R.query_terms(spark.createDataFrame([(1, "harbour w1"), (2, "harbour")], "query_id bigint, text string"))
+    ask = lambda: sorted((r["query_id"], r["doc_id"], round(r["score"], 9), r["matched"]) for r in R.bm25(R.postings(docs), R.document_stats(docs), terms).collect())
+    whole = ask()
+    monkeypatch.setattr(R, "HOT_TERM", 4)
+    assert ask() == whole and len(whole) == 100
+
+
 def test_retrieval_quality(spark):
     res = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 20, 1), (2, 21, 2)], "query_id bigint, doc_id bigint, place int")
     rel = spark.createDataFrame([(1, 10), (2, 21)], "query_id bigint, doc_id bigint")
