@@ -35,6 +35,27 @@ def parse_tagged(spark: SparkSession, d: str) -> DataFrame:
     return X.parse_tagged(_outputs(spark, d, "fallback"), "segment_row_id", "content")
 
 
+def tagged_outcome(spark: SparkSession, d: str) -> DataFrame:
+    return X.tagged_outcome(_outputs(spark, d, "fallback"), "segment_row_id", "content")
+
+
+def tagged_families(spark: SparkSession, d: str) -> DataFrame:
+    """Typed rows written as lines of tagged output, one output a row, and read back: how many items of each section and its closed fields are usable."""
+    line = lambda section, **fields: F.concat(F.lit(f"[{section}]\n- "), F.concat_ws(" | ", *(F.concat(F.lit(f"{k}="), F.col(v)) for k, v in fields.items())))
+    r = table(spark, d, "relationship_changes").withColumn("all", F.array_join("participants", ", "))
+    outputs = (
+        table(spark, d, "commitments").select(F.col("commitment_row_id").alias("id"), line("COMMITMENTS", actor="actor", toward="toward", transition="transition", content="content", evidence="evidence").alias("content")),
+        r.select(F.col("rel_change_id").alias("id"), line("RELATIONSHIPS", participants="all", dimension="dimension", operation="operation", change="value", evidence="evidence").alias("content")),
+        table(spark, d, "temporal_marks").select(F.col("mark_id").alias("id"), line("TEMPORAL", description="description", kind="kind").alias("content")),
+        table(spark, d, "state_changes").select(F.col("change_id").alias("id"), line("STATE_CHANGES", subject="subject", path="path", operation="operation", value="value", persistence="persistence").alias("content")),
+    )
+    rows = None
+    for part in outputs:
+        parsed = X.parse_tagged(part, "id", "content").select("section", "details", "ok")
+        rows = parsed if rows is None else rows.unionByName(parsed)
+    return rows.groupBy("section", F.when(F.col("ok"), F.col("details")).alias("details")).agg(F.count("*").alias("n"))
+
+
 def extraction_outcome(spark: SparkSession, d: str) -> DataFrame:
     s = _outputs(spark, d, "structured")
     parsed = s.join(X.parse_structured(s, "segment_row_id", "content").select("segment_row_id", "reason"), "segment_row_id")
@@ -245,7 +266,7 @@ im as (select *, row_number() over (partition by segment_row_id, section order b
 QUERIES = {
     f.__name__: f
     for f in (
-        parse_structured, parse_tagged, extraction_outcome, vocab_normalize, evidence_normalize, field_sanitize, literal_types, provider_failures, bounded_regions, validate_segments, validate_commitments, validate_events, injectable_segments, source_matches,
+        parse_structured, parse_tagged, tagged_outcome, tagged_families, extraction_outcome, vocab_normalize, evidence_normalize, field_sanitize, literal_types, provider_failures, bounded_regions, validate_segments, validate_commitments, validate_events, injectable_segments, source_matches,
         before_raw, timeline_search, sensitive_segments, message_health, fingerprints, normalized_aliases, entity_ids, alias_registry, materialized_entities, entity_propose, group_participants, speakers, segment_upsert, segment_actions,
         commitment_retire, attempt_journal, kv_last_writes, session_pick, content_digest,
     )
@@ -260,11 +281,30 @@ ar as (select chat_id, entity_id, alias, count(distinct segment_id) as n_segment
   select chat_id, entity_id, segment_id, {_ALIAS.format('a')}, false from (select *, unnest(aliases) as a from em)) where entity_id is not null and alias <> '' group by all)"""
 _WORDS = "list_distinct(list_filter(string_split({0}, ' '), lambda x: x <> ''))"
 
+_READ_ITEMS = f"""select *, main is not null and (section = 'ENTITIES' or (coalesce(ev, 'explicit') in ({_E}) and coalesce(sa, 'normal') in ('minor', 'normal', 'important', 'critical') and dm is null)) as good from (
+          select *, case section when 'ENTITIES' then coalesce({_field_sql('mention')}, {_field_sql('name')}, nullif(plain, '')) else coalesce({_field_sql('description')}, {_field_sql('event')}, nullif(plain, '')) end as main,
+            {_field_sql('evidence')} as ev, {_field_sql('salience')} as sa, {_field_sql('domains')} as dm from im where item_no <= 100)"""
+#: A cell written into a line of fields and read back: up to the next bar, blanks around it dropped.
+_CELL = "nullif(trim(split_part({0}, '|', 1)), '')"
+
 SQL = {
     "parse_structured": sql(_PARSED, select="select segment_row_id, reason, unclosed_depth::int as unclosed_depth, unterminated_string, missing from ps"),
-    "parse_tagged": sql(_TAGGED, select=f"""select segment_row_id, section, item_no::int as item_no, main, case when section = 'EVENTS' then coalesce(ev, 'explicit') end as evidence,
-        main is not null and (section = 'ENTITIES' or (coalesce(ev, 'explicit') in ({_E}) and coalesce(sa, 'normal') in ('minor', 'normal', 'important', 'critical'))) as ok from (
-          select *, case section when 'ENTITIES' then coalesce({_field_sql('mention')}, nullif(plain, '')) else coalesce({_field_sql('description')}, nullif(plain, '')) end as main, {_field_sql('evidence')} as ev, {_field_sql('salience')} as sa from im where item_no <= 100)"""),
+    "parse_tagged": sql(_TAGGED, select=f"select segment_row_id, section, item_no::int as item_no, main, case when section = 'EVENTS' then 'evidence=' || coalesce(ev, 'explicit') || '; salience=' || coalesce(sa, 'normal') else '' end as details, case when section = 'EVENTS' then coalesce(ev, 'explicit') end as evidence, good as ok from ({_READ_ITEMS})"),
+    "tagged_outcome": sql(_TAGGED, select=rf"""select t.segment_row_id, case when coalesce(synopsis, '') = '' then 'missing_synopsis' when not regexp_matches(synopsis, '[.!?]["''’”\])}}]*$') then 'truncated_synopsis' else 'ok' end as reason, coalesce(n_items, 0)::bigint as n_items,
+          coalesce(n_items, 0) = 0 as degraded, coalesce(warnings, '') as warnings
+        from (select segment_row_id from segments where structured_trace.mode = 'fallback' and structured_trace.content is not null) t
+        left join (select segment_row_id, {_SANITIZE.format("string_agg(line, chr(10) order by n)")} as synopsis from tg where section = 'SYNOPSIS' and tag is null group by all) using (segment_row_id)
+        left join (select segment_row_id, sum(k) as n_items, string_agg(section || ': discarded invalid line', '; ' order by section) filter (bad) as warnings
+          from (select segment_row_id, section, count(*) filter (good) as k, bool_or(not good) as bad from ({_READ_ITEMS}) group by all) group by all) using (segment_row_id)"""),
+    "tagged_families": f"""select section, case when ok then details end as details, count(*) as n from (
+        select 'COMMITMENTS' as section, 'evidence=' || coalesce({_CELL.format('evidence')}, 'explicit') || '; transition=' || {_CELL.format('transition')} as details,
+          {_CELL.format('actor')} is not null and {_CELL.format('content')} is not null and coalesce({_CELL.format('evidence')}, 'explicit') in ({_E}) and coalesce({_CELL.format('transition')} in ('made', 'active', 'kept', 'broken', 'released', 'obsolete', 'superseded', 'unknown'), false) as ok from commitments
+        union all select 'RELATIONSHIPS', 'dimension=' || {_CELL.format('dimension')} || '; evidence=' || coalesce({_CELL.format('evidence')}, 'explicit') || '; operation=' || coalesce({_CELL.format('operation')}, 'set'),
+          coalesce(len(list_filter(participants, lambda x: trim(x) <> '')) >= 2, false) and {_CELL.format('value')} is not null and coalesce({_CELL.format('evidence')}, 'explicit') in ({_E}) and coalesce({_CELL.format('operation')}, 'set') in ('add', 'set', 'revise', 'remove', 'transition')
+          and coalesce({_CELL.format('dimension')} in ('formal_status', 'domestic_status', 'emotional_closeness', 'trust', 'current_conflict', 'romantic_attraction', 'romantic_intent', 'sexual_attraction', 'sexual_intent', 'physical_affection', 'romantic_history', 'sexual_history', 'exclusivity', 'boundary', 'reconciliation'), false) from relationship_changes
+        union all select 'TEMPORAL', 'evidence=explicit; kind=' || {_CELL.format('kind')}, {_CELL.format('description')} is not null and coalesce({_CELL.format('kind')} in ('exact', 'relative', 'approximate', 'ordering', 'deadline'), false) from temporal_marks
+        union all select 'STATE_CHANGES', 'evidence=explicit; operation=' || coalesce({_CELL.format('operation')}, 'set') || '; persistence=' || coalesce({_CELL.format('persistence')}, 'active'),
+          {_CELL.format('subject')} is not null and {_CELL.format('path')} is not null and {_CELL.format('value')} is not null and coalesce({_CELL.format('operation')}, 'set') in ('add', 'set', 'revise', 'remove', 'transition') and coalesce({_CELL.format('persistence')}, 'active') in ('transient', 'active', 'durable', 'historical', 'archived') from state_changes) group by all""",
     "extraction_outcome": sql(_PARSED, select="""select segment_id, count(*) as n_attempts, min(a) filter (reason = 'ok') as first_ok, arg_max(reason, a) filter (reason <> 'ok') as last_failure,
         ['standard', 'compact', 'minimal_fallback', 'tight_fallback'][max(case when mode = 'fallback' and t then 3 when mode = 'fallback' then 2 when t or reason in ('invalid_json', 'schema_invalid', 'empty_object') then 1 else 0 end) + 1] as stage from (
           select segment_id, segment_row_id as a, reason, 'structured' as mode, coalesce(finish_reason = 'length' or reason = 'truncated', reason = 'truncated') as t from ps where segment_id is not null

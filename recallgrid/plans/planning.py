@@ -45,6 +45,11 @@ def adaptive_plans(spark: SparkSession, d: str) -> DataFrame:
     return P.adaptive_plans(adaptive_candidates(spark, d))
 
 
+def economic_totals(spark: SparkSession, d: str) -> DataFrame:
+    """The cost of the cheapest plan of every chat, out of the four plans."""
+    return adaptive_plans(spark, d).where("objective = 'economic'").select("chat_id", F.round("total_tokens", 4).alias("total_tokens"))
+
+
 def request_budgets(spark: SparkSession, d: str) -> DataFrame:
     return P.request_budgets(uncovered_islands(spark, d), total=4000, essential=120, input_budget=800)
 
@@ -102,7 +107,7 @@ _RUNS = """
 runs as (select chat_id, s.pos as unit_start, e.pos as unit_end, s.first_index, e.last_index, (e.before + e.n_tokens - s.before)::bigint as source_tokens, s.n_tokens as first_tokens, e.nat as boundary
   from u s join u e using (chat_id) where e.pos between s.pos and s.pos + 4)"""
 
-QUERIES = {f.__name__: f for f in (segment_plan_messages, segment_plan_turns, adaptive_candidates, adaptive_plans, request_budgets, calibration, usage_projection, backfill_report)}
+QUERIES = {f.__name__: f for f in (segment_plan_messages, segment_plan_turns, adaptive_candidates, adaptive_plans, economic_totals, request_budgets, calibration, usage_projection, backfill_report)}
 
 _PROJECTION = f"""(select *, (min_tokens + floor(0.75 * (max_tokens - min_tokens) + 0.5))::bigint as likely_tokens from (select *, min_tokens * 3 as max_tokens from (
   select chat_id, count(*) as n_requests, sum(n_tokens + greatest(600, floor(n_tokens * 0.45::double + 0.5)))::bigint as min_tokens from ({_ISLANDS}) group by all)))"""
@@ -130,3 +135,14 @@ SQL = {
           count(*) filter (status = 'failed') as n_failed, count(*) filter (status = 'excluded') as n_excluded, count(*) filter (pinned) as n_pinned from sg group by all) left join {_PROJECTION} using (chat_id)""",
     ),
 }
+
+#: The cheapest way to every place of a chat, place by place, from those to the five places before.
+SQL["economic_totals"] = sql(
+    SQL_MESSAGES, SQL_BUNDLED, SQL_BUNDLES, _BUNDLE_UNITS, _CHOICES.split("cand as")[0].rstrip().rstrip(","), _RUNS,
+    "safe as (select * from (select *, unit_end - unit_start as len, (source_tokens + greatest(600, floor(source_tokens * 0.45::double + 0.5))) * 1.24::double as cost, first_tokens > %d or (unit_start = unit_end and source_tokens > 800) as oversized "
+    "from runs where unit_start = unit_end or source_tokens <= %d) where oversized or source_tokens <= 800)" % (HARD, HARD),
+    "ends as (select chat_id, unit_end, max(cost) filter (len = 0) as c0, max(cost) filter (len = 1) as c1, max(cost) filter (len = 2) as c2, max(cost) filter (len = 3) as c3, max(cost) filter (len = 4) as c4 from safe group by all)",
+    "way as (select distinct chat_id, 0::bigint as pos, 0::double as b0, null::double as b1, null::double as b2, null::double as b3, null::double as b4 from u "
+    "union all select w.chat_id, w.pos + 1, least(w.b0 + c0, w.b1 + c1, w.b2 + c2, w.b3 + c3, w.b4 + c4), w.b0, w.b1, w.b2, w.b3 from way w join u on u.chat_id = w.chat_id and u.pos = w.pos left join ends e on e.chat_id = w.chat_id and e.unit_end = w.pos)",
+    select="select chat_id, round(b0, 4) as total_tokens from way join (select chat_id, max(pos) + 1 as n from u group by all) using (chat_id) where pos = n and b0 is not null",
+)

@@ -252,6 +252,29 @@ def test_terms_of_every_field(spark):
     assert [r["d"] for r in spark.createDataFrame([("Social ",), ("physical",), ("what",), (None,), ("boundary",)], "v string").select(X.normalize_domain(F.col("v")).alias("d")).collect()] == ["social", "physical", "other", "other", "relationship"]
 
 
+def test_all_sections_of_tagged_output(spark, as_rows):
+    good = {
+        "ENTITIES": "- name=Ann", "EVENTS": "- event=x | domains=social, family", "OBSERVATIONS": "- fact=f | scope=world", "STATE_CHANGES": "- subject=s|path=p|value=1", "KNOWLEDGE": "- holder=h | kind=knows | proposition=p", "RELATIONSHIPS": "- participants=a, b | dimension=trust | change=up",
+        "COMMITMENTS": "- actor=a | transition=made | content=c", "THREADS": "- key=k | transition=advance | description=d", "SALIENT_NEGATIVES": "- proposition=p | reason=r | continuity=Yes", "REGISTERS": "- registerKey=r", "INTERPRETATIONS": "- it seems | evidence=weak_inference",
+        "TEMPORAL": "- at dawn | kind=exact", "LOCATIONS": "- location=quay | kind=scene",
+    }
+    bad = {
+        "ENTITIES": "- | x=1", "EVENTS": "- event=x | domains=social, nonsense", "OBSERVATIONS": "- only plain", "STATE_CHANGES": "- subject=s|path=p", "KNOWLEDGE": "- holder=h | kind=guesses | proposition=p", "RELATIONSHIPS": "- participants=a | dimension=trust | value=up", "COMMITMENTS": "- actor=a | transition=Made | content=c",
+        "THREADS": "- key=k | transition=made | description=d", "SALIENT_NEGATIVES": "- proposition=p | reason=r", "REGISTERS": "- registerKey=r | kind=odd", "INTERPRETATIONS": "- it seems | evidence=explicit", "TEMPORAL": "- at dawn", "LOCATIONS": "- location=quay | kind=where",
+    }
+    text = "[SYNOPSIS]\nIt was “over.”\n" + "\n".join(f"[{k}]\n{good[k]}\n{bad[k]}\n- None" for k in good) + "\n[UNKNOWN]\n- x"
+    rows = spark.createDataFrame([(1, text), (2, "[EVENTS]\n- a"), (3, "[SYNOPSIS]\nIt broke of\n[EVENTS]\n- a"), (4, "[SYNOPSIS]\nNothing.\n[EVENTS]\n- none"), (5, None), (6, "[SYNOPSIS]\nx.\n[EVENTS]\n" + "- e\n" * 103)], "id int, c string")
+    got = as_rows(X.parse_tagged(rows.where("id = 1"), "id", "c"), "section", "item_no", "ok")
+    assert got == sorted((k, n, n == 1) for k in good for n in (1, 2))
+    shown = {r["section"]: r["details"] for r in X.parse_tagged(rows.where("id = 1"), "id", "c").where("item_no = 1").collect()}
+    assert shown["OBSERVATIONS"] == "evidence=explicit; persistence=historical; salience=normal" and shown["THREADS"] == "evidence=explicit; transition=advanced" and shown["ENTITIES"] == ""
+    out = {r["id"]: (r["reason"], r["n_items"], r["degraded"], r["warnings"]) for r in X.tagged_outcome(rows, "id", "c").collect()}
+    assert out[1][:3] == ("ok", 13, False) and out[1][3].count("discarded") == 13
+    assert out[2][0] == "missing_synopsis" and out[3][0] == "truncated_synopsis" and out[4] == ("ok", 0, True, "") and 5 not in out
+    assert out[6] == ("ok", 100, False, "EVENTS: item cap applied")
+    assert {r["id"]: r["reason"] for r in X.tagged_outcome(rows, "id", "c", require_semantic=True).collect()}[4] == "semantic_empty"
+
+
 def test_usage_and_privacy(spark, as_rows):
     u = spark.createDataFrame([(1, '{"prompt_tokens": 10, "prompt_tokens_details": {"cached_tokens": 4}, "completion_tokens": 3}'), (2, '{"input_tokens": 7}'), (3, None), (4, "{bad")], "id int, usage string")
     assert as_rows(A.normalize_usage(u), "id", "nominal", "cached", "uncached", "output") == [(1, 10, 4, 6, 3), (2, 7, None, None, None), (3, None, None, None, None), (4, None, None, None, None)]
