@@ -139,7 +139,7 @@ SQL = {
     "register_log": sql(_RESULTS, select="""select register, first_value(case when event > 199400 then 'race' else 'generic' end) over (partition by register order by event, position) as type, 'active' as lifecycle, 'relevant' as policy,
         row_number() over (partition by register order by event, position) as observation_no, event as segment, subject from rk where position <= 3"""),
     "reduced_registers": sql(_RESULTS, select="""select register, case when register = 'ASIA' then 'unknown' else 'wins' end as type, case when register <> 'ASIA' then subject end as state from (
-        select register, subject, row_number() over (partition by register order by count(*) desc, subject) as n from rk where position = 1 group by all) where n = 1"""),
+        select *, row_number() over (partition by register order by wins desc, subject) as n from (select register, subject, count(*) as wins from rk where position = 1 group by register, subject)) where n = 1"""),
     "relevant_registers": """select * from (select n_name as key, case when n_regionkey = 1 then 'united league' else 'other' end as type from nation)
         where len(list_intersect(list_concat(string_split(lower(key), ' '), string_split(type, ' ')), ['united', 'germany', 'iran'])) > 0""",
     "chat_preferences": "select chat_id, lower(trim(split_part(path, '.', 1))) as key, arg_max_null(value, change_id) as value from state_changes where chat_id is not null and path is not null group by chat_id, lower(trim(split_part(path, '.', 1)))",
