@@ -13,6 +13,8 @@ from ..functions.runtime import cut, small
 
 #: Rows of the feed that one batch resolves.
 BATCH_ROWS = 50_000_000
+#: Batches at most; beyond that they grow.
+MOST_BATCHES = 60
 #: Spellings that the reference list may give for removal: they are broadcast.
 MOST_SPELLINGS = 10_000
 LEAVES = T.ArrayType(T.StructType([T.StructField("tail", T.StringType()), T.StructField("value", T.StringType())]))
@@ -118,11 +120,10 @@ def apply_changes(changes: DataFrame, canonical_values: DataFrame, base: DataFra
     log = opened.select("chat_id", "subject", "change_seq", F.inline(entries))
 
     bounds: list[int] = []
-    if batches is None:
-        batches = max(2, -(-changes.count() // BATCH_ROWS))  # counted from the files' footers
-    if batches > 1:  # a handful of split points, whatever the input's size
-        found = changes.where("change_seq is not null").agg(F.percentile_approx("change_seq", [k / batches for k in range(1, batches)], 1000).alias("q")).first()
-        bounds = sorted(set(found["q"] or []))
+    if batches != 1:  # counted, and cut at a handful of split points, in one pass over one column
+        found = changes.where("change_seq is not null").agg(F.count("*").alias("n"), F.percentile_approx("change_seq", [k / MOST_BATCHES for k in range(1, MOST_BATCHES)], 1000).alias("q")).first()
+        wanted = min(MOST_BATCHES, batches or max(2, -(-found["n"] // BATCH_ROWS)))
+        bounds = sorted({found["q"][round(k * MOST_BATCHES / wanted) - 1] for k in range(1, wanted)}) if found["q"] else []
     batch = sum((F.when(F.col("change_seq") > b, 1).otherwise(0) for b in bounds), F.lit(0))
     images = F.max(F.when(~F.col("tomb"), F.struct("change_seq", "value"))).alias("image")
     tombs = F.max(F.when(F.col("tomb"), F.col("change_seq"))).alias("tomb_seq")

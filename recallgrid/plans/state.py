@@ -115,6 +115,7 @@ def _characters(spark: SparkSession, d: str, aged: DataFrame) -> DataFrame:
     """chat_id, key, text: each character's live attributes, knowledge and commitments by path."""
     raw = table(spark, d, "state_changes")
     refused = S.preference_gate(changes(spark, d)).where("not accepted").select("chat_id", "change_seq")
+    refused = cut(refused)  # met by every pass over the feed
     leaves = apply_changes(raw.join(refused, ["chat_id", "change_seq"], "left_anti"), table(spark, d, "canonical_values"))
     plain = F.regexp_replace("value", '^"(.*)"$', "$1")
     rows = leaves.where(plain.isNotNull() & (plain != "")).select("chat_id", F.col("subject").alias("key"), F.concat_ws("=", "path", plain).alias("detail"))
