@@ -50,6 +50,41 @@ def validate_events(events: DataFrame, domains: tuple[str, ...], evidence: tuple
     return events.select("event_row_id", errors_of(checks).alias("errors")).withColumn("ok", F.col("errors") == "")
 
 
+def validate_relationships(rows: DataFrame, dimensions: tuple[str, ...], operations: tuple[str, ...], evidence: tuple[str, ...]) -> DataFrame:
+    """rel_change_id, errors, ok."""
+    checks = {
+        "at least two participants are required": F.size("participants") >= 2, "participants must be EntityIds": F.col("participants").isNotNull() & F.forall("participants", lambda x: F.coalesce(x.rlike(ENTITY_ID), F.lit(False))), "dimension is unknown": F.col("dimension").isin(*dimensions),
+        "operation is unknown": F.col("operation").isin(*operations), "value is required": F.col("value").isNotNull(), "evidence is unknown": F.col("evidence").isin(*evidence),
+    }
+    return rows.select("rel_change_id", errors_of(checks).alias("errors")).withColumn("ok", F.col("errors") == "")
+
+
+def validate_temporal(rows: DataFrame, kinds: tuple[str, ...], evidence: tuple[str, ...]) -> DataFrame:
+    """mark_id, errors, ok."""
+    checks = {"description is required": filled(F.col("description")), "kind is unknown": F.col("kind").isin(*kinds), "evidence is unknown": F.col("evidence").isin(*evidence)}
+    return rows.select("mark_id", errors_of(checks).alias("errors")).withColumn("ok", F.col("errors") == "")
+
+
+def validate_state_changes(rows: DataFrame, operations: tuple[str, ...], persistence: tuple[str, ...], evidence: tuple[str, ...]) -> DataFrame:
+    """change_id, errors, ok."""
+    checks = {
+        "subject must be an EntityId": F.col("subject").rlike(ENTITY_ID), "path is required": filled(F.col("path")), "operation is unknown": F.col("operation").isin(*operations), "value is required": (F.col("operation") == "remove") | F.col("value").isNotNull(),
+        "persistence is unknown": F.col("persistence").isin(*persistence), "evidence is unknown": F.col("evidence").isin(*evidence),
+    }
+    return rows.select("change_id", errors_of(checks).alias("errors")).withColumn("ok", F.col("errors") == "")
+
+
+def validate_conflicts(conflicts: DataFrame, statuses: tuple[str, ...] = ("unresolved", "resolved", "dismissed")) -> DataFrame:
+    """conflicts with errors and ok: both claims, what they are about and a known status are required."""
+    checks = {"subject is required": filled(F.col("subject")), "property is required": filled(F.col("property")), "both claims are required": F.col("earlier").isNotNull() & F.col("later").isNotNull(), "status is unknown": F.col("status").isin(*statuses)}
+    return conflicts.withColumn("errors", errors_of(checks)).withColumn("ok", F.col("errors") == "")
+
+
+def search_records(rows: DataFrame, needle: str, columns: tuple[str, ...]) -> DataFrame:
+    """Rows any of whose columns, joined by blanks, holds the needle, in any case; blanks around the needle don't count, an empty one finds all."""
+    return rows.where(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(needle.strip().lower())))
+
+
 def injectable(segments: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """Valid segments that may stand in for their messages (eligible is true or null) and, if given, whose range fingerprint is in `allowed` (range_fp)."""
     kept = segments.where("status = 'valid' and coalesce(eligible, true)")

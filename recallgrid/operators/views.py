@@ -74,7 +74,7 @@ def semantic_text(segments: DataFrame, families: dict[str, DataFrame]) -> DataFr
     out = segments.select("segment_id", F.coalesce("synopsis", F.lit("")).alias("__t0"))
     for i, df in enumerate(families.values(), 1):
         lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ")
-        out = out.join(df.where("text is not null").groupBy("segment_id").agg(lines.alias(f"__t{i}")), "segment_id", "left")
+        out = out.join(df.where("text <> ''").groupBy("segment_id").agg(lines.alias(f"__t{i}")), "segment_id", "left")
     parts = [F.col(f"__t{i}") for i in range(len(families) + 1)]
     return out.select("segment_id", F.concat_ws(" ", *(F.when(p != "", p) for p in parts)).alias("text"))
 

@@ -125,6 +125,18 @@ def _eligible(spark: SparkSession, d: str) -> DataFrame:
     return segments(spark, d).withColumn("eligible", F.when(F.col("segment_row_id") % 9 == 0, False)).withColumn("range_fp", F.concat_ws(":", F.col("first_index").cast("string"), F.col("last_index").cast("string")))
 
 
+def validate_relationships(spark: SparkSession, d: str) -> DataFrame:
+    return V.validate_relationships(table(spark, d, "relationship_changes"), TERMS["relationship_dimension"], TERMS["relationship_operation"], EVIDENCE)
+
+
+def validate_temporal(spark: SparkSession, d: str) -> DataFrame:
+    return V.validate_temporal(table(spark, d, "temporal_marks"), TERMS["temporal_kind"], EVIDENCE)
+
+
+def validate_state_changes(spark: SparkSession, d: str) -> DataFrame:
+    return V.validate_state_changes(table(spark, d, "state_changes"), TERMS["state_operation"], TERMS["persistence"], EVIDENCE)
+
+
 def injectable_segments(spark: SparkSession, d: str) -> DataFrame:
     e = _eligible(spark, d)
     return V.injectable(e, e.where("last_index % 3 > 0").select("range_fp")).select("chat_id", "segment_id")
@@ -266,7 +278,7 @@ im as (select *, row_number() over (partition by segment_row_id, section order b
 QUERIES = {
     f.__name__: f
     for f in (
-        parse_structured, parse_tagged, tagged_outcome, tagged_families, extraction_outcome, vocab_normalize, evidence_normalize, field_sanitize, literal_types, provider_failures, bounded_regions, validate_segments, validate_commitments, validate_events, injectable_segments, source_matches,
+        parse_structured, parse_tagged, tagged_outcome, tagged_families, extraction_outcome, vocab_normalize, evidence_normalize, field_sanitize, literal_types, provider_failures, bounded_regions, validate_segments, validate_commitments, validate_events, validate_relationships, validate_temporal, validate_state_changes, injectable_segments, source_matches,
         before_raw, timeline_search, sensitive_segments, message_health, fingerprints, normalized_aliases, entity_ids, alias_registry, materialized_entities, entity_propose, group_participants, speakers, segment_upsert, segment_actions,
         commitment_retire, attempt_journal, kv_last_writes, session_pick, content_digest,
     )
@@ -328,6 +340,14 @@ SQL = {
     "validate_commitments": "select commitment_row_id, errors, errors = '' as ok from (select commitment_row_id, concat_ws('; ', " + ", ".join(_BAD.format(m, c) for m, c in (
         ("actor must be an EntityId", "regexp_matches(actor, '^ent_[0-9a-f]{16}$')"), ("toward must be an EntityId", "toward is null or regexp_matches(toward, '^ent_[0-9a-f]{16}$')"), ("content is required", "trim(content) <> ''"),
         ("transition is unknown", f"transition in ({', '.join(repr(x) for x in TRANSITIONS)})"), ("evidence is unknown", f"evidence in ({_E})"))) + ") as errors from commitments)",
+    "validate_relationships": "select rel_change_id, errors, errors = '' as ok from (select rel_change_id, concat_ws('; ', " + ", ".join(_BAD.format(m, c) for m, c in (
+        ("at least two participants are required", "len(participants) >= 2"), ("participants must be EntityIds", "participants is not null and len(list_filter(participants, lambda x: not coalesce(regexp_matches(x, '^ent_[0-9a-f]{16}$'), false))) = 0"),
+        ("dimension is unknown", f"dimension in {TERMS['relationship_dimension']}"), ("operation is unknown", f"operation in {TERMS['relationship_operation']}"), ("value is required", "value is not null"), ("evidence is unknown", f"evidence in ({_E})"))) + ") as errors from relationship_changes)",
+    "validate_temporal": "select mark_id, errors, errors = '' as ok from (select mark_id, concat_ws('; ', " + ", ".join(_BAD.format(m, c) for m, c in (
+        ("description is required", "trim(description) <> ''"), ("kind is unknown", f"kind in {TERMS['temporal_kind']}"), ("evidence is unknown", f"evidence in ({_E})"))) + ") as errors from temporal_marks)",
+    "validate_state_changes": "select change_id, errors, errors = '' as ok from (select change_id, concat_ws('; ', " + ", ".join(_BAD.format(m, c) for m, c in (
+        ("subject must be an EntityId", "regexp_matches(subject, '^ent_[0-9a-f]{16}$')"), ("path is required", "trim(path) <> ''"), ("operation is unknown", f"operation in {TERMS['state_operation']}"), ("value is required", "value is not null or operation = 'remove'"),
+        ("persistence is unknown", f"persistence in {TERMS['persistence']}"), ("evidence is unknown", f"evidence in ({_E})"))) + ") as errors from state_changes)",
     "validate_events": "select event_row_id, errors, errors = '' as ok from (select event_row_id, concat_ws('; ', " + ", ".join(_BAD.format(m, c) for m, c in (
         ("description is required", "trim(description) <> ''"), ("participants must be an array", "participants is not null"), ("evidence is unknown", f"evidence in ({_E})"), ("salience is unknown", f"salience in ({', '.join(repr(x) for x in SALIENCE)})"),
         ("domains are unknown", f"domains is not null and len(list_filter(domains, lambda x: x is null or not list_contains([{', '.join(repr(x) for x in DOMAINS)}], x))) = 0"))) + ") as errors from episode_events)",

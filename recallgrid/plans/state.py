@@ -84,7 +84,8 @@ def _touches(told: DataFrame) -> DataFrame:
 
 
 def provenance(spark: SparkSession, d: str) -> DataFrame:
-    return S.provenance(_touches(_told(spark, d)), segment_ordinals(spark, d))
+    """The latest segment that touched each commitment, relationship, character, thread, world fact and negative."""
+    return _origins(spark, d, _negatives(spark, d), _told(spark, d), segment_ordinals(spark, d))
 
 
 def _aged(spark: SparkSession, d: str, told: DataFrame | None = None, ordinals: DataFrame | None = None) -> DataFrame:
@@ -257,7 +258,7 @@ touched as (
   union all select chat_id, segment_id, 'thread', split_part(way, '.', 2) from moved where regexp_matches(way, '^localThreads\.[^.]+$') and value is not null and value not like '{%'
   union all select chat_id, segment_id, 'world_fact', description from temporal_marks where description is not null
   union all select chat_id, segment_id, 'salient_negative', key from ngs),
-origins as (select chat_id, kind, key, arg_max(last_index, ordinal) as last_index, max(ordinal) as ordinal from touched join ords using (chat_id, segment_id) where key is not null group by all)"""
+origins as (select chat_id, kind, key, arg_max(segment_id, ordinal) as segment_id, arg_max(last_index, ordinal) as last_index, max(ordinal) as ordinal from touched join ords using (chat_id, segment_id) where key is not null group by all)"""
 _FACTS = "wf as (select chat_id, description as fact, arg_max_null(kind, (coalesce(stated_at, timestamp '0001-01-01'), mark_id)) as value from temporal_marks where description is not null group by all)"
 
 _CHECKPOINTS = """select chat_id, ordinal as frontier, segment_id, (s % 2305843009213693951)::bigint as prefix_fingerprint from (
@@ -286,7 +287,7 @@ SQL = {
         select *, lag(value) over (partition by chat_id, subject, path order by change_seq) as earlier from ch where evidence = 'explicit' and value is not null and value not like '{%')
         where earlier is not null and earlier <> value and op not in ('revise', 'update', 'amend') group by all"""),
     "segment_ordinals": sql(SQL_SEGMENTS, _ORDINALS, select="select * from ords"),
-    "provenance": sql(SQL_SEGMENTS, _ORDINALS, _COMMITTED, _PROVENANCE, select="select * from prov"),
+    "provenance": sql(SQL_SEGMENTS, _ORDINALS, _COMMITTED, _ITEM_ORIGINS, select="select chat_id, kind, key, segment_id, ordinal, last_index from origins"),
     "commitment_ageout": sql(SQL_SEGMENTS, _ORDINALS, _COMMITMENTS, _PROVENANCE, _AGED, select="select chat_id, commitment_id, status, age_segments, aged_out from aged"),
     "state_projection": sql(
         SQL_SEGMENTS, _ORDINALS, _COMMITMENTS, _PROVENANCE, _AGED, _RELATIONS, _CHANGES, _THREADS, _FACTS, _CHARACTERS, _ITEM_ORIGINS,

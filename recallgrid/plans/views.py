@@ -50,14 +50,31 @@ def relationship_inspector(spark: SparkSession, d: str) -> DataFrame:
     return W.inspect_relationships(table(spark, d, "relationship_changes"), segments(spark, d))
 
 
+def _families(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """What the records of segments say, by family in the order of a summary: segment_id, seq, text."""
+    words = lambda *columns: F.concat_ws(" ", *(F.when(c != "", c) for c in columns))
+    col = F.col
+    parts = {
+        "events": ("episode_events", "event_row_id", words(col("description")), None), "state": ("state_changes", "change_id", words(col("subject"), col("path"), col("operation"), col("value")), None),
+        "relationships": ("relationship_changes", "rel_change_id", words(F.array_join("participants", " "), col("dimension"), col("operation"), col("value")), None),
+        "commitments": ("commitments", "commitment_row_id", words(col("actor"), col("toward"), col("content"), col("transition")), col("transition").isin("made", "active", "unknown")),
+        "temporal": ("temporal_marks", "mark_id", words(col("description"), col("kind")), None), "entities": ("entity_mentions", "mention_id", words(col("mention"), col("canonical_name_candidate"), F.array_join("aliases", " ")), None),
+    }
+    return {k: (table(spark, d, t) if keep is None else table(spark, d, t).where(keep)).select("segment_id", F.col(seq).alias("seq"), text.alias("text")) for k, (t, seq, text, keep) in parts.items()}
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return W.semantic_text(segments(spark, d).where("status = 'valid'"), _families(spark, d))
+
+
 def semantic_texts(spark: SparkSession, d: str) -> DataFrame:
-    families = {
-        "events": table(spark, d, "episode_events").select("segment_id", F.col("event_row_id").alias("seq"), F.col("description").alias("text")),
-        "commitments": table(spark, d, "commitments").where(F.col("transition").isin("made", "active", "unknown")).select("segment_id", F.col("commitment_row_id").alias("seq"), F.col("content").alias("text")),
-        "temporal": table(spark, d, "temporal_marks").select("segment_id", F.col("mark_id").alias("seq"), F.col("description").alias("text")),
-    }
-    text = W.semantic_text(segments(spark, d).where("status = 'valid'"), families)
-    return text.select("segment_id", F.md5("text").alias("digest"), F.length("text").alias("n_chars"))
+    return _texts(spark, d).select("segment_id", F.md5("text").alias("digest"), F.length("text").alias("n_chars"))
+
+
+def record_search(spark: SparkSession, d: str) -> DataFrame:
+    """Segments any of whose records holds some words, with the segment's id, state and times."""
+    both = segments(spark, d).join(_texts(spark, d), "segment_id").select("chat_id", "segment_id", "status", "text", "source_model")
+    return validation.search_records(both, " Unpaid ", ("segment_id", "status", "source_model", "text")).select("chat_id", "segment_id")
 
 
 def stale_suffix(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +95,7 @@ def status_view(spark: SparkSession, d: str) -> DataFrame:
 _DOMAINS = ", ".join(f"'{x}'" for x in DOMAINS)
 _MATCHES = PARSE_SQL["source_matches"]
 
-QUERIES = {f.__name__: f for f in (segment_sources, combined_plans, qualification, repaired_domains, resolved_references, conflict_status, relationship_inspector, semantic_texts, stale_suffix, replay_status, status_view)}
+QUERIES = {f.__name__: f for f in (segment_sources, combined_plans, qualification, repaired_domains, resolved_references, conflict_status, relationship_inspector, semantic_texts, record_search, stale_suffix, replay_status, status_view)}
 
 #: Messages that no valid segment covers; every run of them counts as a chat of its own.
 _OPEN_MESSAGES = """
@@ -86,6 +103,18 @@ taken as (select distinct chat_id, unnest(range(first_index, last_index + 1))::i
 lm as (select * replace (island::varchar || '#' || chat_id as chat_id) from (
   select every.*, t, coalesce(sum(coalesce(t, 0)) over (partition by every.chat_id order by message_index rows between unbounded preceding and 1 preceding), 0)::bigint as island from every left join taken using (chat_id, message_index)) where t is null)"""
 
+_SAID = "select segment_id, string_agg(w, ' ' order by seq) as {0} from (select segment_id, {1} as seq, nullif(concat_ws(' ', {2}), '') as w from {3}) where w is not null group by all"
+_PIECES = (
+    ("e1", "event_row_id", "nullif(description, '')", "episode_events"), ("e2", "change_id", "nullif(subject, ''), nullif(path, ''), nullif(operation, ''), nullif(value, '')", "state_changes"),
+    ("e3", "rel_change_id", "nullif(array_to_string(participants, ' '), ''), nullif(dimension, ''), nullif(operation, ''), nullif(value, '')", "relationship_changes"),
+    ("e4", "commitment_row_id", "nullif(actor, ''), nullif(toward, ''), nullif(content, ''), nullif(transition, '')", "commitments where transition in ('made', 'active', 'unknown')"), ("e5", "mark_id", "nullif(description, ''), nullif(kind, '')", "temporal_marks"),
+    ("e6", "mention_id", "nullif(mention, ''), nullif(canonical_name_candidate, ''), nullif(array_to_string(aliases, ' '), '')", "entity_mentions"),
+)
+_TEXTS = (
+    ", ".join(f"f{p[0]} as ({_SAID.format(*p)})" for p in _PIECES) + ", tx as (select segment_id, concat_ws(' ', nullif(coalesce(synopsis, ''), ''), e1, e2, e3, e4, e5, e6) as x from sg "
+    + " ".join(f"left join f{p[0]} using (segment_id)" for p in _PIECES) + " where status = 'valid')"
+)
+
 SQL = {
     "segment_sources": sql(SQL_MESSAGES, SQL_SEGMENTS, select="select s.chat_id, segment_id, count(*) as n_messages, sum(n_tokens)::bigint as n_tokens from sg s join lm on lm.chat_id = s.chat_id and message_index between first_index and last_index group by all"),
     "combined_plans": sql(SQL_MESSAGES.replace("lm as", "every as"), SQL_SEGMENTS, _OPEN_MESSAGES, SQL_BUNDLED, SQL_BUNDLES, _BUNDLE_UNITS, _CHOICES, "pl as (select regexp_replace(chat_id, '^[0-9]+#', '') as chat_id, n_tokens from walk)", select="""select chat_id, count(*) filter (r = 0) as n_planned, count(*) filter (r = 1) as n_reused, coalesce(sum(t) filter (r = 0), 0)::bigint as planned_tokens, coalesce(max(t), 0)::bigint as most_tokens from (
@@ -103,14 +132,8 @@ SQL = {
     "conflict_status": f"select *, case when seq % 3 >= 1 then (case when seq % 2 = 0 then 'resolved' else 'dismissed' end) else 'unresolved' end as status from ({STATE_SQL['conflicts']})",
     "relationship_inspector": sql(SQL_SEGMENTS, select="""select segment_id || ':' || (row_number() over (partition by segment_id order by rel_change_id) - 1) as change_key, chat_id, segment_id, array_to_string(participants, '|') as pair, dimension, operation, value
         from relationship_changes where segment_id in (select segment_id from sg where status = 'valid')"""),
-    "semantic_texts": sql(
-        SQL_SEGMENTS,
-        """ev as (select segment_id, string_agg(description, ' ' order by event_row_id) as e from episode_events where description is not null group by all),
-        cc as (select segment_id, string_agg(content, ' ' order by commitment_row_id) as c from commitments where transition in ('made', 'active', 'unknown') and content is not null group by all),
-        tm as (select segment_id, string_agg(description, ' ' order by mark_id) as t from temporal_marks where description is not null group by all)""",
-        select="""select segment_id, md5(x) as digest, length(x)::int as n_chars from (select segment_id, concat_ws(' ', nullif(coalesce(synopsis, ''), ''), nullif(e, ''), nullif(c, ''), nullif(t, '')) as x
-          from sg left join ev using (segment_id) left join cc using (segment_id) left join tm using (segment_id) where status = 'valid')""",
-    ),
+    "semantic_texts": sql(SQL_SEGMENTS, _TEXTS, select="select segment_id, md5(x) as digest, length(x)::int as n_chars from tx"),
+    "record_search": sql(SQL_SEGMENTS, _TEXTS, select="select sg.chat_id, sg.segment_id from sg join tx using (segment_id) where contains(lower(concat_ws(' ', sg.segment_id, status, source_model, x)), 'unpaid')"),
     "stale_suffix": sql(SQL_SEGMENTS, _ORDINALS, f"ma as ({_MATCHES})", select="""select chat_id, segment_id, case when b = 1 and status <> 'excluded' then 'stale' else status end as status from (
         select o.chat_id, o.segment_id, sg.status, max((not coalesce(ma.matches, false))::int) over (partition by o.chat_id order by ordinal) as b from ords o join sg using (segment_id) left join ma on ma.segment_id = o.segment_id)"""),
     "replay_status": sql(SQL_SEGMENTS, select="""select chat_id, count(*) as n_planned, count(k) as n_available, count(*) filter (k is null) as n_missing, count(*) filter (k > 1) as n_conflicting from (select * from sg where chat_id is not null) left join (

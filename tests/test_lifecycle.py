@@ -1,6 +1,9 @@
 from pyspark.sql import functions as F
 
+from recallgrid.functions.vocabulary import EVIDENCE
+from recallgrid.functions.vocabulary import TERMS as T
 from recallgrid.operators import lifecycle as L
+from recallgrid.operators import validation as V
 
 
 def test_profiles(spark, as_rows):
@@ -49,3 +52,17 @@ def test_sources_of_responses(spark, as_rows):
     q = spark.createDataFrame([(1, "live", "f"), (2, "replay", "f"), (3, "replay", "g"), (4, "offline", "f"), (5, "replay", None)], "request_id int, mode string, fingerprint string")
     r = spark.createDataFrame([("f", 1, "old"), ("f", 2, "new")], "fingerprint string, attempt int, response string")
     assert as_rows(L.generation_source(q, r), "request_id", "source", "response") == [(1, "provider", None), (2, "record", "new"), (3, "replay_missing", None), (4, "unavailable", None), (5, "replay_missing", None)]
+
+
+def test_further_validators(spark, as_rows):
+    e = "ent_" + "0" * 16
+    r = spark.createDataFrame([(1, [e, e], "trust", "set", "v", "explicit"), (2, [e], "trust", "set", None, "explicit"), (3, None, "odd", None, "v", None), (4, [e, "Ann"], "trust", "add", "v", "explicit")], "rel_change_id int, participants array<string>, dimension string, operation string, value string, evidence string")
+    got = {x["rel_change_id"]: x["errors"] for x in V.validate_relationships(r, T["relationship_dimension"], T["relationship_operation"], EVIDENCE).collect()}
+    assert got[1] == "" and got[2] == "at least two participants are required; value is required" and got[3].count(";") == 4 and got[4] == "participants must be EntityIds"
+    t = spark.createDataFrame([(1, "x", "exact", "explicit"), (2, " ", None, "explicit")], "mark_id int, description string, kind string, evidence string")
+    assert as_rows(V.validate_temporal(t, T["temporal_kind"], EVIDENCE), "mark_id", "ok") == [(1, True), (2, False)]
+    s = spark.createDataFrame([(1, e, "p", "remove", None, "active", "explicit"), (2, e, "p", "set", None, "active", "explicit"), (3, None, None, None, None, None, None)], "change_id int, subject string, path string, operation string, value string, persistence string, evidence string")
+    assert as_rows(V.validate_state_changes(s, T["state_operation"], T["persistence"], EVIDENCE), "change_id", "ok") == [(1, True), (2, False), (3, False)]
+    c = spark.createDataFrame([("s", "p", "a", "b", "unresolved"), ("s", "p", "a", None, "gone")], "subject string, property string, earlier string, later string, status string")
+    assert as_rows(V.validate_conflicts(c), "errors", "ok") == [("", True), ("both claims are required; status is unknown", False)]
+    assert V.search_records(c, " GONE ", ("subject", "status")).count() == 1 and V.search_records(c, " ", ("subject",)).count() == 2
