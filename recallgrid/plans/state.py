@@ -117,7 +117,7 @@ def _characters(spark: SparkSession, d: str, aged: DataFrame) -> DataFrame:
     raw = table(spark, d, "state_changes")
     refused = S.preference_gate(changes(spark, d)).where("not accepted").select("chat_id", "change_seq")
     refused = cut(refused)  # met by every pass over the feed
-    leaves = apply_changes(raw.join(refused, ["chat_id", "change_seq"], "left_anti"), table(spark, d, "canonical_values"))
+    leaves = apply_changes(raw.join(refused, ["chat_id", "change_seq"], "left_anti"), table(spark, d, "canonical_values"), batches=1)  # as a step of a longer plan: no jobs of its own between batches
     plain = F.regexp_replace("value", '^"(.*)"$', "$1")
     rows = leaves.where(plain.isNotNull() & (plain != "")).select("chat_id", F.col("subject").alias("key"), F.concat_ws("=", "path", plain).alias("detail"))
     at = F.concat(F.lit("knowledge."), "dimension")
