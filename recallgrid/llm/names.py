@@ -18,21 +18,33 @@ from .canonical import LOOKALIKES, edits
 
 #: Short forms of given names.
 NICKNAMES = {
-    "alexander": "alex sandy lex al xander", "anneliese": "anna ann liesl annie", "arabella": "ara bella belle", "benjamin": "ben benny benji", "catherine": "cathy kate kitty cat",
-    "charles": "charlie chuck chas", "charlotte": "charlie lottie", "cornelius": "corny neil con", "daniel": "dan danny", "david": "dave davy", "desmond": "des dez", "dorothea": "dot dottie thea dory",
-    "edward": "ed eddie ted ned teddy", "eleanor": "nell ellie nora", "elizabeth": "liz beth betty lizzie eliza bess libby", "ferdinand": "ferdy ferd nando", "frederick": "fred freddie freddy fritz", "george": "georgie",
-    "gregory": "greg gregor", "gwendolyn": "gwen wendy gwennie", "harriet": "hattie harry etta", "henry": "harry hank hal", "hezekiah": "hez hezzie", "ignatius": "iggy nate", "isabella": "bella izzy isa belle",
-    "james": "jim jimmy jamie", "john": "jack johnny", "josephine": "jo josie josey posy", "joseph": "joe joey", "katherine": "kate kat kitty kathy katie", "leonard": "len lenny leo", "margaret": "maggie peg meg peggy marge",
-    "mary": "molly polly", "matthias": "matt matty matthew", "michael": "mike mick", "nathaniel": "nat nate nathan", "nicholas": "nick", "ottoline": "otta ottie", "patricia": "pat patty trish", "philippa": "pip pippa",
-    "quentin": "quen quent", "rebecca": "becca becky", "richard": "dick rick richie", "robert": "bob rob bobby robbie bert", "rosalind": "roz ros rose", "samuel": "sam sammy", "sarah": "sally sadie", "susannah": "sue susie susan suki",
-    "theodore": "ted theo teddy", "thomas": "tom tommy", "tobias": "toby tobe", "ursula": "ursa ursie", "veronica": "ronnie vera", "victoria": "vicky tori vic", "wilhelmina": "mina willa minnie billie", "william": "bill will billy willy liam",
-    "yolanda": "yoli yola", "zachary": "zack zac zach",
+    "alexander": ("alex", "sandy", "lex", "al", "xander"), "anneliese": ("anna", "ann", "liesl", "annie"), "arabella": ("ara", "bella", "belle"), "benjamin": ("ben", "benny", "benji"),
+    "catherine": ("cathy", "kate", "kitty", "cat"), "charles": ("charlie", "chuck", "chas"), "charlotte": ("charlie", "lottie"), "cornelius": ("corny", "neil", "con"), "daniel": ("dan", "danny"),
+    "david": ("dave", "davy"), "desmond": ("des", "dez"), "dorothea": ("dot", "dottie", "thea", "dory"), "edward": ("ed", "eddie", "ted", "ned", "teddy"), "eleanor": ("nell", "ellie", "nora"),
+    "elizabeth": ("liz", "beth", "betty", "lizzie", "eliza", "bess", "libby"), "ferdinand": ("ferdy", "ferd", "nando"), "frederick": ("fred", "freddie", "freddy", "fritz"), "george": ("georgie",),
+    "gregory": ("greg", "gregor"), "gwendolyn": ("gwen", "wendy", "gwennie"), "harriet": ("hattie", "harry", "etta"), "henry": ("harry", "hank", "hal"), "hezekiah": ("hez", "hezzie"),
+    "ignatius": ("iggy", "nate"), "isabella": ("bella", "izzy", "isa", "belle"), "james": ("jim", "jimmy", "jamie"), "john": ("jack", "johnny"), "josephine": ("jo", "josie", "josey", "posy"),
+    "joseph": ("joe", "joey"), "katherine": ("kate", "kat", "kitty", "kathy", "katie"), "leonard": ("len", "lenny", "leo"), "margaret": ("maggie", "peg", "meg", "peggy", "marge"),
+    "mary": ("molly", "polly"), "matthias": ("matt", "matty", "matthew"), "michael": ("mike", "mick"), "nathaniel": ("nat", "nate", "nathan"), "nicholas": ("nick",), "ottoline": ("otta", "ottie"),
+    "patricia": ("pat", "patty", "trish"), "philippa": ("pip", "pippa"), "quentin": ("quen", "quent"), "rebecca": ("becca", "becky"), "richard": ("dick", "rick", "richie"),
+    "robert": ("bob", "rob", "bobby", "robbie", "bert"), "rosalind": ("roz", "ros", "rose"), "samuel": ("sam", "sammy"), "sarah": ("sally", "sadie"), "susannah": ("sue", "susie", "susan", "suki"),
+    "theodore": ("ted", "theo", "teddy"), "thomas": ("tom", "tommy"), "tobias": ("toby", "tobe"), "ursula": ("ursa", "ursie"), "veronica": ("ronnie", "vera"), "victoria": ("vicky", "tori", "vic"),
+    "wilhelmina": ("mina", "willa", "minnie", "billie"), "william": ("bill", "will", "billy", "willy", "liam"), "yolanda": ("yoli", "yola"), "zachary": ("zack", "zac", "zach"),
 }
 
-#: Forms of address, left off before a name; words that are no part of a name's core; mentions that name nobody.
-TITLES = set("mr mrs ms miss dr doctor prof professor captain capt judge sister brother steward sir lady lord madam master mistress father mother king queen prince princess saint sergeant sgt lieutenant lt colonel col general gen major".split())
+#: Forms of address, left off before a name.
+TITLES = {
+    "mr", "mrs", "ms", "miss", "dr", "doctor", "prof", "professor", "captain", "capt", "judge", "sister", "brother", "steward", "sir", "lady", "lord", "madam", "master", "mistress", "father",
+    "mother", "king", "queen", "prince", "princess", "saint", "sergeant", "sgt", "lieutenant", "lt", "colonel", "col", "general", "gen", "major",
+}
+#: Words that are no part of a name's core.
 FILLERS = {"the", "of", "and", "de", "la"}
-UNNAMED = set("nobody someone somebody anyone anybody everyone everybody stranger strangers narrator crowd people person man woman boy girl voice others other they them he she it him her we us you unknown none null nil na unnamed anonymous particular in a an the some any no one of old young another character figure".split())
+#: Words of mentions that name nobody.
+UNNAMED = {
+    "nobody", "someone", "somebody", "anyone", "anybody", "everyone", "everybody", "stranger", "strangers", "narrator", "crowd", "people", "person", "man", "woman", "boy", "girl", "voice", "others",
+    "other", "they", "them", "he", "she", "it", "him", "her", "we", "us", "you", "unknown", "none", "null", "nil", "na", "unnamed", "anonymous", "particular", "in", "a", "an", "the", "some", "any",
+    "no", "one", "of", "old", "young", "another", "character", "figure",
+}
 
 #: Similarity of windows from which spellings must be brought together, and the chance with which they must be.
 SIMILARITY, RECALL, ROWS = 0.5, 0.985, 3
@@ -81,10 +93,10 @@ def is_full(name: list[str]) -> bool:
     return sum(len(w) >= 3 and not w.endswith(".") and w not in _SHORT for w in name) >= 2
 
 
-_SHORT = {n for v in NICKNAMES.values() for n in v.split()}
+_SHORT = {n for v in NICKNAMES.values() for n in v}
 _LONG: dict[str, set[str]] = {}
 for _full, _shorts in NICKNAMES.items():
-    for _n in _shorts.split():
+    for _n in _shorts:
         _LONG.setdefault(_n, set()).add(_full)
 
 
