@@ -17,7 +17,7 @@ IDLE_MS = 6 * 3600 * 1000
 STATE = "last int, first int, saw_user boolean, saw_assistant boolean, n_messages int, n_tokens bigint, kind string"
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None = IDLE_MS) -> Iterator[pd.DataFrame]:
     """Feeds a chat's new messages, in order, to its open bundle. Emits bundles as they close, and `edit` rows for messages at or before the last one seen.
 
     A chat that stayed idle has its open bundle emitted and its state dropped.
@@ -44,18 +44,25 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         assistant = assistant or (role == "assistant" and user)
         last, n, tokens = index, n + 1, tokens + int(size or 0)
     state.update((last, first, user, assistant, n, tokens, ""))
-    state.setTimeoutDuration(IDLE_MS)
+    if idle_ms is not None:
+        state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame(out, columns=_COLUMNS)
 
 
-def live_bundles(messages: DataFrame) -> DataFrame:
+def live_bundles(messages: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Closed turn bundles of a stream of messages, and `edit` rows for indices already seen, which are for invalidation.
 
-    State of a chat: where its open bundle began and what it has seen; seven values, dropped, with the open bundle emitted, once the chat was idle for IDLE_MS. Messages after that open a new bundle, whatever their index.
+    State of a chat: where its open bundle began and what it has seen; seven values, dropped, with the open bundle emitted, once the chat was idle for `idle_ms`. Messages after that open a new bundle, whatever their index.
+    Without `idle_ms` nothing times out: for queries that read what is there and end, which a timeout would keep alive.
     messages: chat_id, message_index, role, n_tokens.
     """
     slim = messages.select("chat_id", "message_index", "role", F.col("n_tokens").cast("bigint").alias("n_tokens"))
-    return slim.groupBy("chat_id").applyInPandasWithState(_advance, BUNDLE, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        yield from _advance(key, batches, state, idle_ms)
+
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return slim.groupBy("chat_id").applyInPandasWithState(advance, BUNDLE, STATE, "append", timeout)
 
 
 def spend_by_window(ledger: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

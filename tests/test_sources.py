@@ -119,7 +119,7 @@ def stream(spark, tmp_path, name, batches, schema):
 def test_live_bundles(spark, tmp_path, as_rows):
     m = lambda i, role: {"chat_id": "c", "message_index": i, "role": role, "n_tokens": 2}
     s = stream(spark, tmp_path, "in", [[m(0, "user"), m(1, "assistant"), m(2, "user")], [m(1, "user"), m(3, "assistant")], [m(4, "user"), m(5, "user")]], live.MESSAGE)
-    q = live.live_bundles(s).writeStream.format("memory").queryName("bundles").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q = live.live_bundles(s, idle_ms=None).writeStream.format("memory").queryName("bundles").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert as_rows(spark.table("bundles"), "kind", "first_index", "last_index", "n_messages", "n_tokens") == [("edit", 1, 1, 1, 2), ("exchange", 0, 1, 2, 4), ("exchange", 2, 3, 2, 4)]
 
