@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import search_tokens
-from ..functions.runtime import spread
+from ..functions.runtime import cut, spread
 from ..functions.vocabulary import STOP_WORDS
 
 K1, B = 1.2, 0.75
@@ -20,6 +21,12 @@ QUERY_BLOCK = 512
 MOST_QUERY_CELLS = 8_000_000
 #: Postings of a term that one join key holds at most.
 HOT_TERM = 1_000_000
+#: Words of queries that every task holds at once; larger query sets go past the documents in several passes.
+MOST_ASKED = 2_000_000
+#: Words of documents that a task indexes at once, and the slices whose best scores bound those of a block.
+BLOCK_WORDS, SLICES = 4_000_000, 64
+#: Scores nearer than this may be equal in the digits of the ranking.
+CLOSE = 1e-8
 
 
 def postings(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -62,6 +69,130 @@ def bm25(index: DataFrame, stats: DataFrame, terms: DataFrame, within: str | Non
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
 
 
+class _Asked:
+    """Queries as words by number: those of query i are words[starts[i]:starts[i + 1]], their texts and idf by number."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        ids, terms = rows["query_id"].combine_chunks().dictionary_encode(), rows["term"].combine_chunks().dictionary_encode()
+        query, word = ids.indices.to_numpy(), terms.indices.to_numpy()
+        self.ids, self.terms, self.idf = ids.dictionary, terms.dictionary, np.empty(len(terms.dictionary))
+        self.idf[word] = rows["idf"].to_numpy()
+        self.words = word[np.argsort(query, kind="stable")]
+        self.starts = np.searchsorted(np.sort(query), np.arange(len(self.ids) + 1))
+
+
+class _Index:
+    """What each word that is asked for adds to the score of each document of a block, by word; the words of each document. Places of documents are in the order of their ids."""
+
+    def __init__(self, ids: pa.Array, words: pa.ListArray, asked: _Asked, avg_length: float) -> None:
+        order = pc.sort_indices(ids)
+        self.ids, words = ids.take(order), words.take(order)
+        self.n = len(ids)
+        length = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        term = pc.index_in(words.flatten(), value_set=asked.terms).fill_null(-1).to_numpy(zero_copy_only=False)
+        at = np.repeat(np.arange(self.n, dtype=np.int64), length)[term >= 0]
+        key, tf = np.unique(term[term >= 0] * np.int64(self.n) + at, return_counts=True)
+        term, self.at = key // self.n, key % self.n
+        self.adds = asked.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.at] / avg_length))
+        self.starts = np.searchsorted(term, np.arange(len(asked.terms) + 1))
+        self.doc_terms, self.doc_starts = term[np.argsort(self.at, kind="stable")], np.append(0, np.cumsum(np.bincount(self.at, minlength=self.n)))
+        self.wanted = np.zeros(len(asked.terms), bool)
+
+    def best(self, words: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, scores and matches of the documents that can be among a query's k best, given that k documents seen before reach `floor`.
+
+        A score is summed in the order of the words, so like documents get the same number to the last bit.
+        """
+        spans = [slice(a, b) for a, b in zip(self.starts[words], self.starts[words + 1]) if a < b]
+        if not spans:
+            return np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        score = np.bincount(np.concatenate([self.at[s] for s in spans]), np.concatenate([self.adds[s] for s in spans]), self.n)
+        if k <= SLICES <= self.n:  # the best of each slice are as many documents as slices: the k-th of these is a bound that needs no sorting
+            tops = score[: self.n // SLICES * SLICES].reshape(SLICES, -1).max(axis=1)
+            floor = max(floor, np.partition(tops, -k)[-k] - CLOSE)
+        docs = np.flatnonzero((score >= floor) & (score > 0))
+        docs = docs[_best_of(score[docs], docs, k)]
+        self.wanted[words] = True
+        matched = [np.count_nonzero(self.wanted[self.doc_terms[a:b]]) for a, b in zip(self.doc_starts[docs], self.doc_starts[docs + 1])]
+        self.wanted[words] = False
+        return docs, score[docs], np.array(matched, np.int64)
+
+
+def _best_of(score: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """Which can be among the k best by rounded score, then place: all that come near the k-th, but of equal scores no more than the first k."""
+    if len(score) <= k:
+        return np.arange(len(score))
+    near = np.flatnonzero(score >= np.partition(score, -k)[-k] - CLOSE)
+    near = near[np.lexsort((place[near], -score[near]))]
+    new = np.append(True, score[near][1:] != score[near][:-1])
+    return near[np.arange(len(near)) - np.flatnonzero(new)[np.cumsum(new) - 1] < k]
+
+
+def bm25_top_k(documents: DataFrame, terms: DataFrame, k: int, most_asked: int = MOST_ASKED, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """query_id, doc_id, score, matched, place: the k best documents of each query by BM25, over all documents; scores as in `bm25`.
+
+    documents: doc_id (unique), words (array of those that count), read several times; terms: query_id, term. The pairs of queries and documents that share a term are never rows: the words of the queries, which are
+    counted, are handed to all tasks and the documents stream past them without a shuffle. A task indexes a block of documents at a time and yields what can be among the k best. Larger query sets go in parts of about
+    `most_asked` words, each a pass of its own. Exact either way.
+    """
+    kinds = dict(documents.dtypes)["doc_id"], dict(terms.dtypes)["query_id"]
+    schema = f"query_id {kinds[1]}, doc_id {kinds[0]}, score double, matched bigint"
+    totals = documents.agg(F.count("*").alias("n_docs"), F.greatest(F.lit(1.0), F.avg(F.size("words"))).alias("avg_length")).first()
+    df = documents.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(F.lit(1.0) + (F.lit(totals["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = cut(terms.select("query_id", "term").distinct().join(df, "term").select("query_id", "term", idf.alias("idf")))
+    passes = max(1, -(-weighted.count() // most_asked))
+    slim, avg_length = spread(documents.select("doc_id", "words")), totals["avg_length"]
+
+    def one_pass(part: DataFrame) -> DataFrame:
+        held = weighted.sparkSession.sparkContext.broadcast(_Asked(part.toArrow()))
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked: _Asked = held.value
+            if not len(asked.ids):
+                return
+            floor = np.zeros(len(asked.ids))
+            for ids, words in _blocks(batches, block_words):
+                index = _Index(ids, words, asked, avg_length)
+                found = []
+                for q in range(len(asked.ids)):
+                    docs, score, matched = index.best(asked.words[asked.starts[q] : asked.starts[q + 1]], k, floor[q])
+                    if len(docs) >= k:
+                        floor[q] = max(floor[q], np.partition(score, -k)[-k] - CLOSE)
+                    found.append((np.full(len(docs), q), docs, score, matched))
+                of, docs, score, matched = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([asked.ids.take(pa.array(of)), index.ids.take(pa.array(docs)), pa.array(score), pa.array(matched)], ["query_id", "doc_id", "score", "matched"])
+
+        return slim.mapInArrow(stream, schema)
+
+    parts = [weighted] if passes == 1 else [weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i) for i in range(passes)]
+    scored = one_pass(parts[0])
+    for part in parts[1:]:
+        scored = scored.unionByName(one_pass(part))
+    return top_k(scored, k)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """Ids and words of documents, about `size` words at a time; a document stays whole."""
+    held, n = [], 0
+
+    def block() -> tuple[pa.Array, pa.ListArray]:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return whole.column("doc_id"), whole.column("words")
+
+    for batch in batches:
+        ends, at = np.append(0, np.cumsum(batch.column("words").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))), 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + size - n, "right")) - 1)
+            held.append(batch.slice(at, to - at))
+            n, at = n + int(ends[to] - ends[at]), to
+            if n >= size or at < len(batch):
+                yield block()
+                held, n = [], 0
+    if held:
+        yield block()
+
+
 def top_k(scored: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """The k best rows of each query by score (compared after rounding), then doc_id, with their place."""
     order = Window.partitionBy("query_id").orderBy(F.round("score", digits).desc(), "doc_id")

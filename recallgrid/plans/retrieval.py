@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import search_tokens
 from ..functions.runtime import cut
 from ..functions.vocabulary import STOP_WORDS
 from ..operators import registers as G
@@ -78,18 +79,21 @@ def query_terms(spark: SparkSession, d: str) -> DataFrame:
     return R.query_terms(_queries(spark, d))
 
 
-def _bm25(spark: SparkSession, d: str, within: str | None = None) -> DataFrame:
-    """BM25 of the queries' words, over all documents or those of the query's group."""
+def _bm25(spark: SparkSession, d: str, within: str) -> DataFrame:
+    """BM25 of the queries' words, over the documents of the query's group."""
     c = _corpus(spark, d)
     index, terms = cut(R.postings(c)), query_terms(spark, d)  # the index is written once: counted, and met by the queries' terms
-    if within:
-        index = index.join(c.select("doc_id", within), "doc_id")
-        terms = terms.join(c.select(F.col("doc_id").alias("query_id"), within), "query_id")
+    index = index.join(c.select("doc_id", within), "doc_id")
+    terms = terms.join(c.select(F.col("doc_id").alias("query_id"), within), "query_id")
     return R.bm25(index, R.document_stats(c), terms, within)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_k(_bm25(spark, d), TOP).select("query_id", "doc_id", F.round("score", 6).alias("score"), "matched", "place")
+    c = _corpus(spark, d).select("doc_id", F.array_join(search_tokens(F.coalesce("text", F.lit(""))), " ").alias("text"))
+    c = cut(c)  # the current rows are found and their texts split into words once
+    words = c.select("doc_id", F.when(c["text"] != "", F.split("text", " ")).otherwise(F.array().cast("array<string>")).alias("words"))
+    terms = R.query_terms(c.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+    return R.bm25_top_k(words, terms, TOP).select("query_id", "doc_id", F.round("score", 6).alias("score"), "matched", "place")
 
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
